@@ -1,0 +1,5 @@
+"""Batch only: no operator of this package keeps stream state.
+
+The column functions in ``plumbline.functions`` are stateless, so they work on
+streaming DataFrames as they are.
+"""
