@@ -66,14 +66,20 @@ def log_loss(p: Column, y: Column, eps: float = 1e-9) -> Column:
     return -(y * F.ln(p) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - p))
 
 
-def width_bin(conf: Column, bins: Column | int) -> Column:
+def width_bin(conf: Column, bins: int) -> Column:
     """1-based equal-width bin, each ``(low, high]`` and the first closed at 0.
 
-    NULL outside [0, 1] and for NaN: such rows are in no bin.
+    Edges are multiples of the double 1/bins. NULL outside [0, 1] and for NaN: such
+    rows are in no bin.
     """
-    n = bins if isinstance(bins, Column) else F.lit(bins)
-    inside = ~F.isnan(conf) & (conf >= 0.0) & (conf <= 1.0)
-    return F.when(inside, F.greatest(F.lit(1), F.ceil(conf * n).cast("int")))
+    step = 1.0 / bins
+    near = F.greatest(F.lit(1), F.ceil(conf * bins).cast("int"))
+    exact = (
+        F.when((near > 1) & (conf <= (near - 1) * F.lit(step)), near - 1)
+        .when((near < bins) & (conf > near * F.lit(step)), near + 1)
+        .otherwise(near)
+    )
+    return F.when(~F.isnan(conf) & (conf >= 0.0) & (conf <= 1.0), exact)
 
 
 def edge_bin(conf: Column, edges: Column) -> Column:

@@ -63,72 +63,92 @@ def overlapping_pairs(
     )
 
 
+def _overlaps_with_truth(
+    detections: DataFrame, boxes: DataFrame, keys: Sequence[str], cell: float
+) -> DataFrame:
+    """Overlapping (detection, box) pairs. Identical boxes collapse to their lowest
+    ``gt_id`` before the join, as the other copies can never win."""
+    corners = ["x1", "y1", "x2", "y2"]
+    distinct_boxes = boxes.groupBy(*keys, *corners).agg(F.min("gt_id").alias("gt_id"))
+    return overlapping_pairs(detections, distinct_boxes, keys, cell)
+
+
+def _better() -> Column:
+    """Orders boxes for one detection: larger overlap first, then the lower ``gt_id``."""
+    return F.struct(F.col("iou"), (-F.col("gt_id")).alias("g"))
+
+
 def best_overlap(
     detections: DataFrame, boxes: DataFrame, keys: Sequence[str] = ("image_id",), cell: float = 256.0
 ) -> DataFrame:
-    """Each detection with ``iou`` and ``gt_id`` of its best box (0 and NULL without one).
+    """Every detection with ``iou`` and ``gt_id`` of its best box (0 and NULL without one).
 
-    ``detections`` needs a unique ``det_id`` per keys, ``boxes`` a ``gt_id``. Equal
-    overlaps go to the lowest ``gt_id``. Identical boxes collapse to their lowest
-    ``gt_id`` before the join, as the others can never win.
+    ``detections`` needs a unique ``det_id`` per keys, ``boxes`` a ``gt_id``. Detections
+    without a partner ride along as rows with overlap 0, so one aggregation is enough.
     """
     keys = list(keys)
-    corners = ["x1", "y1", "x2", "y2"]
-    distinct_boxes = boxes.groupBy(*keys, *corners).agg(F.min("gt_id").alias("gt_id"))
     extra = [c for c in detections.columns if c not in keys and c != "det_id"]
-    pairs = overlapping_pairs(detections, distinct_boxes, keys, cell)
+    pairs = _overlaps_with_truth(detections, boxes, keys, cell)
     none = detections.select(
-        "*", F.lit(None).cast(distinct_boxes.schema["gt_id"].dataType).alias("gt_id"), F.lit(0.0).alias("iou")
+        "*", F.lit(None).cast(boxes.schema["gt_id"].dataType).alias("gt_id"), F.lit(0.0).alias("iou")
     )
-    better = F.struct(F.col("iou"), (-F.col("gt_id")).alias("g"))
     return (
         pairs.unionByName(none)
         .groupBy(*keys, "det_id")
-        .agg(F.max(better).alias("_best"), *[F.first(c).alias(c) for c in extra])
+        .agg(F.max(_better()).alias("_best"), *[F.first(c).alias(c) for c in extra])
         .select(
             *keys, "det_id", *extra, (-F.col("_best.g")).alias("gt_id"), F.col("_best.iou").alias("iou")
         )
     )
 
 
-def flag_matches(
-    best: DataFrame, thresholds: Sequence[float] = (0.5,), keys: Sequence[str] = ("image_id",)
+def true_positives(
+    detections: DataFrame,
+    boxes: DataFrame,
+    thresholds: Sequence[float] = (0.5,),
+    keys: Sequence[str] = ("image_id",),
+    carry: Sequence[str] = (),
+    cell: float = 256.0,
 ) -> DataFrame:
-    """Add ``tp``: array with one 0/1 per threshold (greedy, score ranked, one to one).
+    """One row per true positive: (keys, iou_threshold, gt_id, det_id, score, iou, carry).
 
-    Ties in score go to the lower ``det_id``. The winner of each box is found by
-    aggregation, so many detections on one box never meet in one task.
+    Greedy, score ranked and one to one; ties in score go to the lower ``det_id``.
+    Everything else in ``detections`` is a false positive. Both steps are aggregations,
+    so many detections on one box, or many boxes in one image, never meet in one task.
     """
-    keys = list(keys)
-    first = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"))
-    names = [f"_w{i}" for i in range(len(thresholds))]
-    winners = (
-        best.where(F.col("iou") >= min(thresholds))
-        .groupBy(*keys, "gt_id")
-        .agg(*[F.min(F.when(F.col("iou") >= t, first)).alias(w) for w, t in zip(names, thresholds)])
-        .select(
-            *keys,
-            F.explode(
-                F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.col(w)["d"].alias("det_id")) for i, w in enumerate(names)])
-            ).alias("w"),
-        )
-        .select(*keys, "w.det_id", "w.bit")
-        .where(F.col("det_id").isNotNull())
+    keys, carry = list(keys), list(carry)
+    narrow = detections.select(*keys, "det_id", "score", *carry, "x1", "y1", "x2", "y2")
+    chosen = (
+        _overlaps_with_truth(narrow, boxes, keys, cell)
         .groupBy(*keys, "det_id")
-        .agg(F.sum("bit").alias("_mask"))
+        .agg(F.max(_better()).alias("b"), F.first("score").alias("score"), *[F.first(c).alias(c) for c in carry])
+        .where(F.col("b.iou") >= min(thresholds))
+        .select(*keys, "det_id", "score", *carry, (-F.col("b.g")).alias("gt_id"), F.col("b.iou").alias("iou"))
+    )
+    first = F.struct((-F.col("score")).alias("s"), F.col("det_id"), F.col("score"), F.col("iou"), *carry)
+    winners = chosen.groupBy(*keys, "gt_id").agg(
+        *[F.min(F.when(F.col("iou") >= t, first)).alias(f"w{i}") for i, t in enumerate(thresholds)]
+    )
+    per_level = F.array(
+        *[
+            F.struct(F.lit(float(t)).alias("iou_threshold"), F.col(f"w{i}").alias("w"))
+            for i, t in enumerate(thresholds)
+        ]
     )
     return (
-        best.join(winners, [*keys, "det_id"], "left")
-        .withColumn(
-            "tp",
-            F.array(
-                *[
-                    F.coalesce(F.shiftright("_mask", i).bitwiseAND(F.lit(1).cast("long")), F.lit(0)).cast("int")
-                    for i in range(len(thresholds))
-                ]
-            ),
-        )
-        .drop("_mask")
+        winners.select(*keys, "gt_id", F.inline(per_level))
+        .where("w IS NOT NULL")
+        .select(*keys, "iou_threshold", "gt_id", "w.det_id", "w.score", "w.iou", *[f"w.{c}" for c in carry])
+    )
+
+
+def flag_matches(
+    detections: DataFrame, boxes: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("image_id",)
+) -> DataFrame:
+    """Every detection with ``tp`` 0/1 and the ``iou`` of the match (0 for false positives)."""
+    hits = true_positives(detections, boxes, (threshold,), keys).select(*keys, "det_id", "iou", F.lit(1).alias("tp"))
+    return detections.join(hits, [*keys, "det_id"], "left").withColumns(
+        {"tp": F.coalesce("tp", F.lit(0)), "iou": F.coalesce("iou", F.lit(0.0))}
     )
 
 

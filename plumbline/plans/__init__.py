@@ -4,7 +4,7 @@ import importlib
 
 from plumbline.plans.registry import ORACLES, QUERIES
 
-for _module in ("detection",):
+for _module in ("detection", "calibration"):
     importlib.import_module(f"plumbline.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -33,10 +33,15 @@ def positives(boxes, keys):
     return boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("npos"))
 
 
+def hits_at(spark, sf_dir, thresholds=(0.5,)):
+    return M.true_positives(T.detections(spark, sf_dir), T.boxes(spark, sf_dir), thresholds, carry=["grp"])
+
+
 def ap50_by_group(spark, sf_dir):
     gt = T.boxes(spark, sf_dir)
-    flagged = M.flag_matches(T.best(spark, sf_dir))
-    return D.average_precision(flagged, positives(gt, ["grp"]), ["grp"])
+    return D.average_precision(
+        T.detections(spark, sf_dir), hits_at(spark, sf_dir), positives(gt, ["grp"]), ["grp"]
+    )
 
 
 @query(
@@ -92,8 +97,13 @@ def _ap_by_iou(spark, sf_dir):
 
 def ap_levels(spark, sf_dir):
     levels = M.COCO_THRESHOLDS
-    flagged = M.flag_matches(T.best(spark, sf_dir), levels)
-    return D.average_precision(flagged, positives(T.boxes(spark, sf_dir), []), [], levels)
+    return D.average_precision(
+        T.detections(spark, sf_dir).withColumn("pool", F.lit("all")),
+        hits_at(spark, sf_dir, levels).withColumn("pool", F.lit("all")),
+        positives(T.boxes(spark, sf_dir).withColumn("pool", F.lit("all")), ["pool"]),
+        ["pool"],
+        levels,
+    )
 
 
 @query(
@@ -119,26 +129,25 @@ FROM flags f JOIN (SELECT grp, count(*) AS n FROM boxes GROUP BY 1) b ON f.grp =
     ),
 )
 def _match_summary(spark, sf_dir):
-    flagged = M.flag_matches(T.best(spark, sf_dir)).withColumn("hit", F.col("tp")[0])
-    agg = flagged.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n_det"),
-        F.sum("hit").alias("tp"),
-        F.sum(1 - F.col("hit")).alias("fp"),
-        r6(F.sum(F.col("hit") * F.col("iou"))).alias("iou_sum"),
-    )
-    return agg.join(positives(T.boxes(spark, sf_dir), ["grp"]), "grp").select(
-        "grp", "n_det", "tp", "fp", (F.col("npos") - F.col("tp")).alias("fn"), "iou_sum"
+    return group_counts(spark, sf_dir).select("grp", "n_det", "tp", "fp", "fn", r6("iou_sum").alias("iou_sum"))
+
+
+def group_counts(spark, sf_dir):
+    return D.match_counts(
+        T.detections(spark, sf_dir), hits_at(spark, sf_dir), T.boxes(spark, sf_dir), ["grp"]
     )
 
 
 @query(
     "detection_matches",
-    with_tables("flags", body="SELECT image_id, det_id, gt_id, round(iou, 6) AS iou, tp FROM flags"),
+    with_tables(
+        "flags",
+        body="SELECT image_id, det_id, tp, round(CASE WHEN tp = 1 THEN iou ELSE 0 END, 6)::double AS iou FROM flags",
+    ),
 )
 def _matches(spark, sf_dir):
-    return M.flag_matches(T.best(spark, sf_dir)).select(
-        "image_id", "det_id", "gt_id", r6("iou").alias("iou"), F.col("tp")[0].alias("tp")
-    )
+    flagged = M.flag_matches(T.detections(spark, sf_dir), T.boxes(spark, sf_dir))
+    return flagged.select("image_id", "det_id", "tp", r6("iou").alias("iou"))
 
 
 @query(
@@ -153,9 +162,7 @@ JOIN (SELECT grp, count(*) AS n FROM boxes GROUP BY 1) USING (grp)""",
     ),
 )
 def _lrp(spark, sf_dir):
-    flagged = M.flag_matches(T.best(spark, sf_dir))
-    out = D.lrp_error(flagged, positives(T.boxes(spark, sf_dir), ["grp"]), ["grp"])
-    return out.select("grp", "tp", "fp", "fn", r6("lrp").alias("lrp"))
+    return D.lrp_error(group_counts(spark, sf_dir)).select("grp", "tp", "fp", "fn", r6("lrp").alias("lrp"))
 
 
 @query(
