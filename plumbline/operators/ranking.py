@@ -74,15 +74,18 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key and ``prob``.
 
     The rows are first reduced to (key, value, count); only the distinct values are
-    ranked. Column ``quantile`` holds the result; keys without a value give no row.
+    ranked. Column ``quantile`` holds the result; keys without a value give no row. With
+    ``weight`` the rows already are (key, value, count).
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")
+    )
     cum = running_totals(counted, keys, [F.col(value)], {"_cum": F.col("_c")})
     wanted = cum.select(
         *keys,
