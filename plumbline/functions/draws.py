@@ -7,6 +7,7 @@ intermediate leaves the range of a signed 64-bit integer.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +29,18 @@ def draw(seed: int, *parts: Column) -> Column:
     return cube((cube(mixed % p) + SHIFT) % p)
 
 
+def draw_array(seed: int, *parts: np.ndarray) -> np.ndarray:
+    """The same integers for NumPy arrays that broadcast against each other."""
+    mixed = np.int64((seed * 7919 + 17) % PRIME)
+    for part, weight in zip(parts, WEIGHTS, strict=False):
+        mixed = mixed + (part.astype(np.int64) % PRIME) * weight % PRIME
+
+    def cube(v: np.ndarray) -> np.ndarray:
+        return (v * v % PRIME) * v % PRIME
+
+    return cube((cube(mixed % PRIME) + SHIFT) % PRIME)
+
+
 def draw_sql(seed: int, *parts: str) -> str:
     """The same integer as a SQL expression."""
     mixed = f"{(seed * 7919 + 17) % PRIME}::bigint"

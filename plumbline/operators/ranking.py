@@ -25,7 +25,8 @@ def running_totals(
     """Add ``rank`` (1-based), ``n`` (rows of the key) and one running total per entry of
     ``sums`` (plus its final value as ``<name>_all``), all within ``keys`` in ``order``.
 
-    ``order`` must be total; add a unique column as the last tie breaker.
+    ``order`` must be total; add a unique column as the last tie breaker. ``df`` must not
+    have columns named ``rank`` or ``n``.
     """
     keys = list(keys)
     names = list(sums)
@@ -66,7 +67,7 @@ def running_totals(
         .select(
             *[F.col(f"l.{c}") for c in df.columns],
             (F.col("_rank") + F.col("_o_n")).alias("rank"),
-            F.col("n"),
+            F.col("o.n"),
             *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(c) for c in names],
             *[F.col(f"{c}_all") for c in names],
         )
