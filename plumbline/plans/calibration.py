@@ -11,6 +11,7 @@ from plumbline.operators import selective as R
 from plumbline.plans import tables as T
 from plumbline.plans.registry import query, r6
 from plumbline.plans.tables import with_tables
+from plumbline.session import materialize
 
 _BINS = """
 bins AS (SELECT i + 1 AS bin, i * (1.0::double / {n}) AS lo,
@@ -38,6 +39,11 @@ def cands(spark, sf_dir):
     return T.candidates(spark, sf_dir)
 
 
+def stored_cands(spark, sf_dir):
+    """Candidates as a written table, for reports that read them more than once."""
+    return materialize(cands(spark, sf_dir).drop("x1", "y1", "x2", "y2", "gt_id"))
+
+
 @query(
     "candidate_bank",
     with_tables(
@@ -164,7 +170,7 @@ mass AS (SELECT grp AS g, e AS lo, lead(e) OVER (PARTITION BY grp ORDER BY e) AS
     ),
 )
 def _robust(spark, sf_dir):
-    out = C.binning_robustness(cands(spark, sf_dir), [], "grp", "fused")
+    out = C.binning_robustness(stored_cands(spark, sf_dir), [], "grp", "fused")
     return out.select("grp", "binning", r6("ece").alias("ece"))
 
 
@@ -200,7 +206,7 @@ JOIN ({ece_sql("run, grp", source="cands")}) USING (run, grp)""",
     ),
 )
 def _counts(spark, sf_dir):
-    out = C.candidate_counts(cands(spark, sf_dir), ["run", "grp"], "fused")
+    out = C.candidate_counts(stored_cands(spark, sf_dir), ["run", "grp"], "fused")
     return out.select(
         "run", "grp", "n", "images", "positives", r6("positive_rate").alias("positive_rate"), r6("ece").alias("ece")
     )
@@ -257,7 +263,7 @@ conf AS (SELECT *, abs(fused - 0.5) * 2 - dis / ((SELECT max(dis) FROM js) + 1e-
 
 def referred(spark, sf_dir):
     """Candidates with disagreement, decision correctness and referral confidence."""
-    df = cands(spark, sf_dir).select(
+    df = stored_cands(spark, sf_dir).select(
         "run", "grp", "image_id", "det_id", "label", "fused",
         S.js_divergence(F.col("p_det"), F.col("p_ver")).alias("dis"),
         S.is_correct(F.col("fused"), F.col("label")).alias("correct"),
@@ -277,7 +283,7 @@ FROM conf GROUP BY grp""",
 )
 def _referral(spark, sf_dir):
     df = R.referral_score(
-        cands(spark, sf_dir).withColumn("dis", S.js_divergence(F.col("p_det"), F.col("p_ver"))), "fused", "dis"
+        stored_cands(spark, sf_dir).withColumn("dis", S.js_divergence(F.col("p_det"), F.col("p_ver"))), "fused", "dis"
     )
     return df.groupBy("grp").agg(
         r6(F.avg("dis")).alias("mean_dis"),
@@ -354,5 +360,5 @@ SELECT grp, target_tp, fp_reference, fp_alternative, fp_alternative - fp_referen
     ),
 )
 def _matched(spark, sf_dir):
-    out = R.matched_recall_table(cands(spark, sf_dir), [], "grp", reference="p_det", alternative="fused")
+    out = R.matched_recall_table(stored_cands(spark, sf_dir), [], "grp", reference="p_det", alternative="fused")
     return out.withColumn("relative", r6("relative"))

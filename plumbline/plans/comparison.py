@@ -13,7 +13,7 @@ from plumbline.operators import sampling as P
 from plumbline.operators import significance as X
 from plumbline.operators import summaries as R
 from plumbline.plans import tables as T
-from plumbline.plans.calibration import bins_sql, cands, ece_sql
+from plumbline.plans.calibration import bins_sql, cands, ece_sql, stored_cands
 from plumbline.plans.detection import ap_sql
 from plumbline.plans.registry import query, r6
 from plumbline.plans.tables import with_tables
@@ -365,7 +365,7 @@ SELECT grp, floor(avg(images))::bigint AS images, floor(avg(n))::bigint AS n, ro
 JOIN ({ece_sql("run, grp", source="cands")}) USING (run, grp) GROUP BY grp"""),
 )
 def _subgroup_summary(spark, sf_dir):
-    counts = C.candidate_counts(cands(spark, sf_dir), ["run", "grp"], "fused")
+    counts = C.candidate_counts(stored_cands(spark, sf_dir), ["run", "grp"], "fused")
     return R.mean_over_runs(counts, "grp", ["images", "n"], ["ece"]).withColumn("ece", r6("ece"))
 
 
