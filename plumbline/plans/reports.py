@@ -161,14 +161,14 @@ def _dump(spark, sf_dir):
     """
 SELECT v.variant AS method, s.seed FROM (SELECT DISTINCT event_type AS variant FROM events) v
 CROSS JOIN (SELECT DISTINCT user_id % 7 AS seed FROM events) s
-WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = v.variant AND e.user_id % 7 = s.seed AND e.value > 48)""",
+WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = v.variant AND e.user_id % 7 = s.seed AND e.value > 350)""",
 )
 def _pending(spark, sf_dir):
-    """Runs without a stored report; a run counts as stored once a value above 48 was logged."""
+    """Runs without a stored report; a run counts as stored once a value above 350 was logged."""
     events = T.read(spark, sf_dir, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 7).alias("seed"), "value")
     seeds = events.agg(F.collect_set("seed").alias("s"))
     wanted = events.select("method").distinct().withColumn("seed", F.explode(seeds.scalar()))
-    return U.pending_runs(wanted, events.where("value > 48"))
+    return U.pending_runs(wanted, events.where("value > 350"))
 
 
 @query(
