@@ -48,7 +48,7 @@ def boxes_of(documents: DataFrame) -> DataFrame:
 
 def read_label_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of ``labels/<split>/<stem>.txt``: (split, stem, line_no, line)."""
-    files = spark.read.option("wholetext", True).text(f"{root}/labels/*/*.txt")
+    files = spark.read.text(f"{root}/labels/*/*.txt", wholetext=True)
     path = F.col("_metadata.file_path")
     named = files.select(
         F.element_at(F.split(path, "/"), -2).alias("split"),

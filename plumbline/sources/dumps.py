@@ -44,7 +44,7 @@ def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     """Report files as (method, seed, report text); files with other names drop out."""
     name = F.col("_metadata.file_name")
     return (
-        spark.read.option("wholetext", True).text(glob)
+        spark.read.text(glob, wholetext=True)
         .select(
             F.regexp_extract(name, REPORT_NAME, 1).alias("method"),
             F.regexp_extract(name, REPORT_NAME, 2).alias("seed"),

@@ -206,7 +206,7 @@ def test_paths(spark):
 
 def test_reports_and_dumps(spark, tmp_path):
     (tmp_path / "report_erm_seed3.json").write_text('{"detection": {"worst_group_AP50": 0.1, "mean_AP50": NaN, "per_group_AP50": {"0": 0.1}}, "calibration": null, "collapsed": true, "reason": "x"}')
-    (tmp_path / "report_erm_seed4.json").write_text('{"detection": {"worst_group_AP50": 0.3}, "calibration": {"D-ECE": 0.2}}')
+    (tmp_path / "report_erm_seed4.json").write_text('{"detection": {"worst_group_AP50": 0.3},\n "calibration": {"D-ECE": 0.2}}')
     (tmp_path / "notes.json").write_text("{}")
     got = {r.seed: r for r in U.report_figures(U.read_reports(spark, str(tmp_path / "*.json"))).collect()}
     assert set(got) == {3, 4}
