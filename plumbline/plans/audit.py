@@ -9,6 +9,7 @@ from plumbline.operators import neardup as N
 from plumbline.plans import tables as T
 from plumbline.plans.registry import query, r6
 from plumbline.plans.tables import with_tables
+from plumbline.session import materialize
 
 _HASHED = "hashed AS (SELECT *, sha256(content) AS digest FROM images)"
 
@@ -102,8 +103,7 @@ near AS (SELECT a.fp AS fp_a, b.fp AS fp_b, bit_count(xor(a.fp, b.fp))::int AS d
 
 
 def fingerprints(spark, sf_dir):
-    images = T.images(spark, sf_dir)
-    return N.text_fingerprint(images, "image_id", "content")
+    return N.text_fingerprint(T.images(spark, sf_dir), "image_id", "content")
 
 
 @query(
@@ -123,7 +123,7 @@ FROM near JOIN reps a ON a.fingerprint = fp_a JOIN reps b ON b.fingerprint = fp_
 )
 def _near(spark, sf_dir):
     """Near copies within 6 bits, as pairs of distinct fingerprints."""
-    fps = fingerprints(spark, sf_dir)
+    fps = materialize(fingerprints(spark, sf_dir))
     return N.near_copies(fps, N.hamming_pairs(fps, 6))
 
 
@@ -174,7 +174,7 @@ GROUP BY component"""),
 def _component_removal(spark, sf_dir):
     """One image kept per group of near copies, by split priority."""
     images = T.images(spark, sf_dir).select("image_id", "split")
-    fps = fingerprints(spark, sf_dir)
+    fps = materialize(fingerprints(spark, sf_dir))
     labels = N.components(N.hamming_pairs(fps, 6))
     return N.keep_one_per_component(fps.join(images, "image_id"), labels, A.split_rank(F.col("split")))
 

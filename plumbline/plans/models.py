@@ -11,7 +11,7 @@ from plumbline.operators import grouping as G
 from plumbline.operators import masks as K
 from plumbline.plans import tables as T
 from plumbline.plans.calibration import cands
-from plumbline.plans.registry import query, r6
+from plumbline.plans.registry import ORACLES, query, r6
 from plumbline.plans.tables import with_tables
 
 _Q = """
@@ -274,7 +274,18 @@ def _dice(spark, sf_dir):
     return K.dice(masks, truth, samples).withColumn("dice", r6("dice"))
 
 
-@query("segmentation_pilot")
+@query(
+    "segmentation_pilot",
+    "WITH " + _RODS.strip() + f"""
+SELECT consensus_dice, kept_fraction, consensus_dice >= 0.7 AS passed, mean_dice FROM
+(SELECT round(avg(2.0::double * coalesce(c, 0) / (coalesce(o, 0) + t)), 6) AS consensus_dice
+ FROM (SELECT sample, count(*) AS t FROM truth GROUP BY 1)
+ LEFT JOIN (SELECT sample, count(*) AS o FROM agreed GROUP BY 1) USING (sample)
+ LEFT JOIN (SELECT sample, count(*) AS c FROM agreed JOIN truth USING (sample, x, y) GROUP BY 1) USING (sample)),
+(SELECT round(avg((containment >= 0.7 AND elongation >= 2 AND foreground_ratio BETWEEN 0.05 AND 0.9 AND components BETWEEN 1 AND 2)::int), 6) AS kept_fraction
+ FROM ({ORACLES["mask_morphology"]})),
+(SELECT string_agg(backend || ':' || d, ',' ORDER BY backend) AS mean_dice FROM (SELECT backend, round(avg(dice), 4) AS d FROM ({ORACLES["mask_dice"]}) GROUP BY 1))""",
+)
 def _pilot(spark, sf_dir):
     truth, masks, samples, boxes = rods(spark, sf_dir)
     out = K.pilot_summary(masks, truth, samples, boxes)

@@ -11,7 +11,7 @@ from plumbline.plans.audit import _FINGERPRINTS, _HASHED
 from plumbline.plans.calibration import _JS, bins_sql, cands, ece_sql, stored_cands
 from plumbline.plans.comparison import diffs
 from plumbline.plans.detection import _FLAG_LEVELS, ap_sql
-from plumbline.plans.registry import query, r6
+from plumbline.plans.registry import ORACLES, query, r6
 from plumbline.plans.tables import with_tables
 from plumbline.session import shared_dir
 from plumbline.sources import corpus as P
@@ -113,12 +113,17 @@ def _audit(spark, sf_dir):
     )
 
 
-@query("significance_report")
+@query(
+    "significance_report",
+    f"""SELECT variant, n, wins, mean_diff, p_sign, w_plus, p_wilcoxon, ci_low, ci_high FROM ({ORACLES["sign_test"]})
+    JOIN ({ORACLES["wilcoxon"]}) USING (variant) JOIN ({ORACLES["paired_bootstrap"]}) USING (variant)""",
+)
 def _significance(spark, sf_dir):
     """Sign test, signed-rank test and interval in one row per comparison."""
     out = K.significance_report(diffs(spark, sf_dir), ["variant"], "seed", draws=2000)
     return out.select(
-        "variant", "n", "wins", *[F.round(c, 7).alias(c) for c in ("mean_diff", "p_sign", "w_plus", "p_wilcoxon", "ci_low", "ci_high")]
+        "variant", "n", "wins", "w_plus",
+        *[F.round(c, 7).alias(c) for c in ("p_sign", "p_wilcoxon")], *[r6(c).alias(c) for c in ("mean_diff", "ci_low", "ci_high")],
     )
 
 
