@@ -255,5 +255,9 @@ def minority_detail(images: DataFrame, candidates: DataFrame, keys: Sequence[str
     ).withColumn("nominal_images", nominal)
 
 
+def candidates_per_image(candidates: DataFrame, keys: Sequence[str], image: str = "image_id") -> DataFrame:
+    return candidates.groupBy(*keys, image).agg(F.count(F.lit(1)).alias("candidates"))
+
+
 def images_without_candidates(images: DataFrame, candidates: DataFrame, image: str = "image_id") -> DataFrame:
     return images.select(image).join(candidates.select(image).distinct(), image, "left_anti")

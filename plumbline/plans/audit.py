@@ -20,6 +20,11 @@ def hashed(spark, sf_dir):
     )
 
 
+def stored_hashes(spark, sf_dir):
+    """Hashes as a written table, so that contents are read once."""
+    return materialize(hashed(spark, sf_dir))
+
+
 @query(
     "exact_duplicates",
     with_tables("images", extra=_HASHED, body="""
@@ -28,7 +33,7 @@ SELECT image_id, digest, first_id, copies FROM (
          count(*) OVER (PARTITION BY digest) AS copies FROM hashed) WHERE copies > 1"""),
 )
 def _dups(spark, sf_dir):
-    return A.exact_copies(hashed(spark, sf_dir)).select("image_id", "digest", "first_id", "copies")
+    return A.exact_copies(stored_hashes(spark, sf_dir)).select("image_id", "digest", "first_id", "copies")
 
 
 @query(
@@ -48,7 +53,7 @@ def _leaks(spark, sf_dir):
 SELECT image_id FROM hashed WHERE split = 'test' AND digest IN (SELECT digest FROM hashed WHERE split = 'train')"""),
 )
 def _leaked(spark, sf_dir):
-    return A.leaked_ids(hashed(spark, sf_dir))
+    return A.leaked_ids(stored_hashes(spark, sf_dir))
 
 
 _KEPT = _HASHED + """,
@@ -173,10 +178,10 @@ GROUP BY component"""),
 )
 def _component_removal(spark, sf_dir):
     """One image kept per group of near copies, by split priority."""
-    images = T.images(spark, sf_dir).select("image_id", "split")
-    fps = materialize(fingerprints(spark, sf_dir))
+    images = T.images(spark, sf_dir)
+    fps = materialize(images.select("image_id", "split", N.fingerprint_of(F.col("content")).alias("fingerprint")))
     labels = N.components(N.hamming_pairs(fps, 6))
-    return N.keep_one_per_component(fps.join(images, "image_id"), labels, A.split_rank(F.col("split")))
+    return N.keep_one_per_component(fps, labels, A.split_rank(F.col("split")))
 
 
 _NEAR_VECTORS = """
@@ -384,6 +389,15 @@ def _minority(spark, sf_dir):
     return A.minority_detail(images, T.candidates(spark, sf_dir).where("grp = 'R'"), ["run"])
 
 
+@query(
+    "candidates_per_image",
+    with_tables("cands", body="SELECT run, image_id, count(*) AS candidates FROM cands WHERE grp = 'R' GROUP BY ALL"),
+)
+def _per_image(spark, sf_dir):
+    """Candidates of the minority group in every image that has any."""
+    return A.candidates_per_image(T.candidates(spark, sf_dir).where("grp = 'R'"), ["run"])
+
+
 @query(
     "images_without_candidates",
     with_tables("dets", "all_images", body="""

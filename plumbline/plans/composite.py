@@ -23,11 +23,14 @@ def leakage_report(images: DataFrame, max_distance: int = 4) -> DataFrame:
 
     ``images`` needs image_id, split, content.
     """
-    digests = images.select("image_id", "split", A.content_hash(F.col("content")).alias("digest"))
-    exact = A.cross_split_leaks(digests).agg(F.count(F.lit(1)).alias("exact_leaks"))
+    # contents are read once, for both kinds of hash
     prints = materialize(
-        N.text_fingerprint(images, "image_id", "content").join(images.select("image_id", "split"), "image_id")
+        images.select(
+            "image_id", "split",
+            A.content_hash(F.col("content")).alias("digest"), N.fingerprint_of(F.col("content")).alias("fingerprint"),
+        )
     )
+    exact = A.cross_split_leaks(prints).agg(F.count(F.lit(1)).alias("exact_leaks"))
     near = N.cross_split_near(prints, N.hamming_pairs(prints, max_distance)).agg(
         F.coalesce(F.sum("id_pairs"), F.lit(0)).alias("near_leaks")
     )
@@ -38,13 +41,16 @@ def leakage_report(images: DataFrame, max_distance: int = 4) -> DataFrame:
 
 def corpus_audit(images: DataFrame, boxes: DataFrame, max_distance: int = 6, stride: int = 8) -> dict[str, DataFrame]:
     """Group sizes, exact and near copies, box statistics and the resolution advice."""
-    digests = images.select("image_id", A.content_hash(F.col("content")).alias("digest"))
-    prints = materialize(N.text_fingerprint(images, "image_id", "content"))
+    prints = materialize(
+        images.select(
+            "image_id", A.content_hash(F.col("content")).alias("digest"), N.fingerprint_of(F.col("content")).alias("fingerprint")
+        )
+    )
     grouped = boxes.join(images.select("image_id", F.concat_ws("/", "camera", "background").alias("grp")), "image_id")
     stats = materialize(A.box_statistics(grouped.drop(boxes["grp"]) if "grp" in boxes.columns else grouped, "grp", images))
     return {
         "group_distribution": A.group_distribution(images),
-        "exact_copies": A.exact_copies(digests),
+        "exact_copies": A.exact_copies(prints),
         "near_copies": N.near_copies(prints, N.hamming_pairs(prints, max_distance)),
         "box_statistics": stats,
         "advice": A.finer_level_advice(stats, stride),

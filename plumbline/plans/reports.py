@@ -13,7 +13,7 @@ from plumbline.plans.comparison import diffs
 from plumbline.plans.detection import _FLAG_LEVELS, ap_sql
 from plumbline.plans.registry import ORACLES, query, r6
 from plumbline.plans.tables import with_tables
-from plumbline.session import shared_dir
+from plumbline.session import scratch_path
 from plumbline.sources import corpus as P
 from plumbline.sources import dumps as U
 
@@ -152,7 +152,7 @@ WHERE run <> 'r2' GROUP BY ALL"""),
 )
 def _dump(spark, sf_dir):
     """Score tables written per run and read back with partition pruning."""
-    path = f"{shared_dir(spark)}/candidate-dump-{spark.sparkContext.applicationId}"
+    path = scratch_path(spark, "candidates")
     rows = cands(spark, sf_dir).select(
         F.col("run").alias("method"), F.expr("int(image_id % 2)").alias("seed"), "image_id", "det_id", "grp", "label", "p_det", "p_ver", "fused", "iou"
     )
@@ -181,7 +181,7 @@ def _pending(spark, sf_dir):
     "SELECT event_type AS method, user_id % 7 AS seed, event_type || '_seed' || (user_id % 7) AS tag FROM events WHERE event_type LIKE 'c%' GROUP BY ALL",
 )
 def _available(spark, sf_dir):
-    path = f"{shared_dir(spark)}/run-dump-{spark.sparkContext.applicationId}"
+    path = scratch_path(spark, "runs")
     runs = T.run_reports(spark, sf_dir).select(F.col("variant").alias("method"), "seed", "score")
     U.write_candidates(runs, path, force=True)
     return U.available_runs(spark, path, "c").withColumn("seed", F.col("seed").cast("long"))

@@ -43,16 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """New path in the shared folder that goes away with the application."""
+    path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts the lineage, survives lost executors, and freezes values that would change
-    if the plan ran twice (partition ids). The table goes away with the application.
+    if the plan ran twice (partition ids).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
