@@ -172,7 +172,7 @@ def _margin_score(df: DataFrame, vec: str, positive: np.ndarray, negative: np.nd
     return df.withColumn(out, score(F.col(vec)))
 
 
-BANK_ROWS, BANK_PER_CLASS = 1024, 512  # fixed values: size limits of the reference bank
+BANK_ROWS, BANK_PER_CLASS = 1024, 512  # fixed values: size limits of the bank
 
 
 def memory_bank(labelled: DataFrame, row_id: str, vec: str, label: str = "positive", seed: int = 0, rows: int = BANK_ROWS, per_class: int = BANK_PER_CLASS) -> DataFrame:
