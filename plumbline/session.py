@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs: dict[str, str] = {}
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators count on.
@@ -28,19 +25,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder.
+    """Folder for intermediate tables that every executor sees.
 
-    Only where the session names none (tests, a laptop) a folder of our own is made.
+    The cluster's checkpoint folder (setting or ``setCheckpointDir``), else a folder in
+    the warehouse. Relative and scheme-less names are left to Hadoop's default file system.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.sparkContext.getCheckpointDir()
     )
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="plumbline-")
-    return _own_dirs[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/.scratch-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
@@ -61,3 +59,16 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind ``materialize`` once their last reader is done.
+
+    Only folders made by ``scratch_path`` are touched; other frames are left alone.
+    """
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/plumbline-" in folder:
+                target = jvm.org.apache.hadoop.fs.Path(folder)
+                target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
