@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, quality
+from plumbline.llm import bpe, credentials, mixing, quality
 from plumbline.llm.common import read
-from plumbline.session import configure
+from plumbline.session import configure, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +40,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and the verdict of the weighed rules."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs)
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each text: base patterns and what the compressor finds new."""
+    found = credentials.find(read(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda x: x["kind"] != "novel")
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "novel")],
+        F.sha2(credentials.listed(base), 256).alias("base_sha256"),
+        credentials.listed(F.col("findings")).alias("spans"),
+    )
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken so that sources come to their target shares."""
+    sized = materialize(mixing.sizes(read(spark, sf_dir, "documents")))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
