@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, credentials, mixing, quality
+from plumbline.llm import bpe, credentials, html_text, mixing, quality, toxicity
 from plumbline.llm.common import read
 from plumbline.session import configure, materialize
 
@@ -61,3 +61,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken so that sources come to their target shares."""
     sized = materialize(mixing.sizes(read(spark, sf_dir, "documents")))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each text by its nearest labelled examples."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
