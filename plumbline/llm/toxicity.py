@@ -25,7 +25,7 @@ from plumbline.session import materialize
 EXAMPLES = 4096
 #: Terms that span the space, at most, and how clearly each must tell the labels apart.
 TERMS = 2048
-CHI_SQUARED = 25.0
+CHI_SQUARED = 40.0
 #: Examples of one block of the index, and neighbours that vote.
 BLOCK = 64
 NEIGHBOURS = 15
