@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, credentials, html_text, mixing, quality, toxicity
+from plumbline.llm import bpe, credentials, html_text, mixing, neighbours, quality, toxicity
 from plumbline.llm.common import read
 from plumbline.session import configure, materialize
 
@@ -74,3 +74,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth embedding."""
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
