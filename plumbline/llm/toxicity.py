@@ -182,11 +182,15 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms
         labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
         .where(fold("doc_id") != 0)
     )
-    rows = docs.select("doc_id", as_bytes().alias("_raw")).join(known, "doc_id")
-    rows = rows.select("doc_id", "_toxic", "_raw", F.xxhash64("doc_id").alias("_h"))
+    # ids are drawn first: only the drawn rows' texts are read, and none is shuffled
+    rows = docs.select("doc_id").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
     totals = {r[0]: r[1] for r in rows.groupBy("_toxic").count().collect()}
-    parts = [rows.where(F.col("_toxic") == c).orderBy("_h", "doc_id", "_raw").limit(examples) for c in (0, 1)]
-    chosen = materialize(parts[0].unionByName(parts[1]).drop("_h"))
+    parts = [
+        rows.where(F.col("_toxic") == c).dropDuplicates(["doc_id"]).orderBy("_h", "doc_id").limit(examples)
+        for c in (0, 1)
+    ]
+    drawn = materialize(parts[0].unionByName(parts[1]).drop("_h"))
+    chosen = docs.select("doc_id", as_bytes().alias("_raw")).join(F.broadcast(drawn), "doc_id")
     n = {r[0]: r[1] for r in chosen.groupBy("_toxic").count().collect()}
     n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
 
