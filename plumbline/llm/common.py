@@ -56,3 +56,64 @@ def fold(doc_id: Column | str, parts: int = 5) -> Column:
 
 def fold_of(doc_id: int | None, parts: int = 5) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts
+
+
+def bit_filter(keys: DataFrame, position: Column, bits: int) -> "np.ndarray":
+    """Bitmap of ``2 ** bits`` bits with the positions of all keys set, as bytes (bit i of byte i // 8).
+
+    A lossless pre-filter of fixed size: a row whose bit is unset has no partner. Its size does
+    not grow with the keys; with many keys it only lets more rows pass.
+    """
+    import numpy as np
+
+    at = keys.select((position + 1).alias("_p")).where("_p is not null")  # bit 1 is the first of bucket 1
+    parts = (
+        at.groupBy(F.expr("bitmap_bucket_number(_p)").alias("_b"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_m"))
+    )
+    out = np.zeros(max(1, 2**bits // 8), np.uint8)
+    for number, chunk in parts.collect():  # at most 2 ** bits / 32768 rows of 4 KB
+        start = (number - 1) * 4096
+        piece = np.frombuffer(bytes(chunk), np.uint8)[: len(out) - start]
+        out[start : start + len(piece)] = piece
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id and component (smallest id reachable) of every id on an edge (``a``, ``b``).
+
+    Large-star and small-star steps in turn until every edge points at its smallest id. Each
+    round is an aggregation and a join; its table is written and the one before is dropped.
+    """
+    from plumbline.session import materialize, release
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    def star(both: DataFrame, nearer: Column) -> DataFrame:
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("_m"))
+        return both.join(least, "a").where(nearer).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+
+    now = materialize(edges.where("a <> b").select("a", "b").distinct())
+    seen = state(now)
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = star(both, F.col("b") > F.col("a")).where("a <> b").distinct()
+        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("_m"))
+        small = (
+            large.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b")
+            .unionByName(least.select("a", F.col("_m").alias("b")))
+            .distinct()
+        )
+        after = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        found = state(after)
+        release(now)
+        now = after
+        if found == seen:
+            break
+        seen = found
+    roots = now.select(F.col("b").alias("id")).distinct()
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        roots.select("id", F.col("id").alias("component"))
+    ).groupBy("id").agg(F.min("component").alias("component"))

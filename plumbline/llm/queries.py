@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, credentials, html_text, mixing, neighbours, quality, toxicity
+from plumbline.llm import bpe, credentials, html_text, mixing, neighbours, quality, shingle_join, toxicity
 from plumbline.llm.common import read
 from plumbline.session import configure, materialize
 
@@ -80,3 +80,9 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth embedding."""
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles overlap by 85 % of their union."""
+    return shingle_join.link(read(spark, sf_dir, "documents"))
