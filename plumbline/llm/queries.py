@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, credentials, html_text, mixing, neighbours, quality, shingle_join, toxicity
-from plumbline.llm.common import read
+from plumbline.llm import bpe, class_lm, credentials, html_text, mixing, neighbours, quality, shingle_join, toxicity
+from plumbline.llm.common import fold, read
 from plumbline.session import configure, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,9 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles overlap by 85 % of their union."""
     return shingle_join.link(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each text by a class-based bigram model, and by single words."""
+    return class_lm.train_and_score(read(spark, sf_dir, "documents"), fold("doc_id") == 1)
