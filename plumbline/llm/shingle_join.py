@@ -1,15 +1,16 @@
 """Documents linked by the Jaccard similarity of their word n-grams, by a grouped prefix join.
 
-Sets that are equal collapse first. All n-grams have one order: rare before common, then by
-hash; what is common comes from counters over the whole corpus. Two sets that reach the
+Sets that are equal collapse first. All n-grams have one order: rare before common by counters
+over the whole corpus, then by hash. Two sets that reach the
 threshold share an n-gram among their first ``n - ceil(t * n) + 1``, the prefix. Sets of equal
 prefix and size form a group; groups meet under the n-grams of their prefixes, pairs of groups
 are filtered by size and by the number of n-grams that their prefixes share, and what is left is
 expanded to members and verified on the whole sets.
 
 Only components are asked for, so pairs that are connected already need no check. First each
-group meets one partner per round (the one that shares most of its prefix among the ends of each
-n-gram's list); groups that stayed apart then meet everybody outside their own component.
+group is verified against the few partners that share most of its prefix among the ends of each
+n-gram's list, which joins large families of copies by stars. Groups that stayed apart then meet
+everybody outside their own component.
 """
 
 from __future__ import annotations
@@ -31,12 +32,8 @@ WORDS = 4
 PERCENT = 85
 #: Counters of n-grams (a power of two), kept as 32-bit numbers by every task.
 COUNTERS = 1 << 21
-#: An n-gram is common if its counter exceeds twice the mean counter by this much.
-COMMON = 64
 #: Bits of the filter that says which sets are needed for verification.
 FILTER_BITS = 26
-#: Rounds in which a group meets a single partner.
-STAR_ROUNDS = 3
 _CHUNK = 1 << 15
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -104,9 +101,9 @@ def _count(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _signatures(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """doc_id, size, 64-bit hash of the set and prefix of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -118,7 +115,7 @@ def _signatures(docs: DataFrame, common: np.ndarray, width: int, percent: int) -
                 take = n - (percent * n + 99) // 100 + 1 if n else 0
                 if take:
                     late = shared.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-                    order = np.argsort((s >> np.uint64(1)) | (late << np.uint64(63)))
+                    order = np.argsort((s >> np.uint64(32)) | (late << np.uint64(32)), kind="stable")
                     prefixes.append(s[order[:take]].view(np.int64))
                 else:
                     prefixes.append(np.zeros(0, np.int64))
@@ -205,9 +202,7 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     spark = docs.sparkSession
     batched(spark)
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    counts = _count(docs, width)
-    common = (counts > 2 * counts.mean() + COMMON).astype(np.uint8)
-    signed = materialize(_signatures(docs, common, width, percent))
+    signed = materialize(_signatures(docs, _count(docs, width), width, percent))
     prefixes = materialize(
         signed.where("n > 0").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
         .withColumn("_g", F.xxhash64("prefix", "n"))
@@ -221,9 +216,9 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     heads = heads.repartition("token")
     often = heads.groupBy("token").agg(F.count("*").alias("_df")).where("_df > 1").select("token")
     met = materialize(heads.join(often, "token").select("token", "g", "n", "p"))
-    several = members.groupBy("g").agg(F.count("*").alias("_k")).where("_k > 1").select("g")
-    needed = met.select("g").unionByName(several).distinct()
-    sets = materialize(_sets(docs, members.join(needed, "g", "left_semi").select("s", "doc_id"), width))
+    def touched(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+        return members.join(nodes, "s", "left_semi").select("s", "doc_id")
 
     def near(a: str, b: str) -> Column:
         return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
@@ -239,6 +234,26 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     twins = signed.where("n > 0").select("doc_id", F.col("s").alias("b")).join(
         alike.where("a <> b").select("doc_id", "a"), "doc_id"
     ).where("a <> b").select("a", "b")
+    # the ends of each n-gram's list: smallest and largest set, and the first by hash
+    end = lambda *first: F.struct(*first, F.col("g").alias("e"), F.col("n").alias("en"), F.col("p").alias("ep"))
+    ends = met.groupBy("token").agg(
+        F.array(F.min(end("n", "g")), F.max(end("n", "g"))).alias("by_size"), F.min(end(F.xxhash64("g"))).alias("by_hash")
+    )
+    ends = ends.select("token", F.posexplode(F.concat(
+        F.transform("by_size", lambda x: F.struct(x["e"], x["en"])), F.array(F.struct("by_hash.e", "by_hash.en"))
+    )).alias("turn", "end"))
+    partners = (
+        met.join(ends, "token")
+        .where((F.col("g") != F.col("end.e")) & (100 * F.least("n", F.col("end.en")) >= percent * F.greatest("n", F.col("end.en"))))
+        .groupBy(F.col("g").alias("a"), F.col("end.e").alias("b"), "turn").agg(F.count("*").alias("c"), F.first("p").alias("p"))
+        # only a choice of partners: what is left out here comes up again below
+        .where("10 * c >= p")
+        .groupBy("a", "turn").agg(F.max(F.struct("c", "b")).alias("m"))
+        .select("a", F.col("m.b").alias("b"))
+    )
+    partners = materialize(partners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = _sets(docs, touched(partners.unionByName(stars)), width)
+    sets = materialize(sets)
     checked = materialize(_verified(stars, sets, percent))
     loose = materialize(stars.join(checked, ["a", "b"], "left_anti").select(F.col("a").alias("g")).distinct())
     split = members.join(loose, "g").where("s <> g").select("g", "s")
@@ -250,7 +265,8 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         members.join(loose, "g", "left_anti").select("g", "s").unionByName(split.select(F.col("s").alias("g"), "s"))
         .unionByName(loose.select("g", F.col("g").alias("s")))
     )
-    edges = materialize(checked.unionByName(twins))
+    edges = materialize(checked.unionByName(twins).unionByName(_verified(partners, sets, percent)))
+    release(sets)
 
     def expand(pairs: DataFrame) -> DataFrame:
         """Pairs of groups as pairs of members."""
@@ -258,26 +274,6 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         wide = pairs.select("a", "b").join(left, "a").join(right, "b")
         return wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
-    for turn in range(STAR_ROUNDS):
-        labels = components(edges)
-        here = met.join(labels, met["g"] == labels["id"], "left").select(
-            "token", "g", "n", "p", F.coalesce("component", "g").alias("c")
-        )
-        here = materialize(here)
-        place = F.struct(*([F.col("n"), F.col("g")] if turn < 2 else [F.xxhash64("g"), F.col("g")]), F.col("c"), F.col("n").alias("_n"), F.col("p").alias("_p"))
-        pick = F.max(place) if turn == 1 else F.min(place)
-        ends = here.groupBy("token").agg(pick.alias("e"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi")
-        seen = (
-            here.join(ends.select("token", "e"), "token")
-            .where((F.col("c") != F.col("e.c")) & (100 * F.least(F.col("n"), F.col("e._n")) >= percent * F.greatest(F.col("n"), F.col("e._n"))))
-            .groupBy(F.col("g").alias("a"), F.col("e.g").alias("b"))
-            .agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("p").alias("pa"), F.first("e._n").alias("nb"), F.first("e._p").alias("pb"))
-        )
-        # only a choice of partners: what is left out here comes up again below
-        best = seen.where(10 * F.col("c") >= F.least("pa", "pb")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        found = materialize(_verified(best, sets, percent))
-        release(here)
-        edges = materialize(edges.unionByName(found))
     labels = components(edges)
     here = materialize(
         met.join(labels, met["g"] == labels["id"], "left").select("token", "g", "n", "p", F.coalesce("component", "g").alias("c"))
@@ -298,8 +294,10 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         .groupBy("a", "b")
         .agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("na", "pa", "nb", "pb")])
     )
-    last = materialize(_verified(expand(enough(pairs)), sets, percent))
-    labels = components(edges.unionByName(last))
+    pairs = materialize(expand(enough(pairs)))
+    release(here, met)
+    sets = materialize(_sets(docs, touched(pairs), width))
+    labels = components(edges.unionByName(_verified(pairs, sets, percent)))
     nodes = materialize(
         signed.select("doc_id", "n", "s").join(labels, F.col("s") == F.col("id"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_c"))
