@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, class_lm, credentials, html_text, mixing, neighbours, quality, shingle_join, toxicity
+from plumbline.llm import bpe, class_lm, credentials, html_text, mixing, neighbours, quality, repeats, shingle_join, toxicity
 from plumbline.llm.common import fold, read
 from plumbline.session import configure, materialize
 
@@ -92,3 +92,11 @@ def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of each text by a class-based bigram model, and by single words."""
     return class_lm.train_and_score(read(spark, sf_dir, "documents"), fold("doc_id") == 1)
+
+
+@query
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 50-byte strings that a smaller document holds."""
+    return repeats.find(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
