@@ -1,27 +1,62 @@
-"""From raw documents to token ids, one operator per stage."""
+"""From raw documents to token ids: five stages, each by one operator.
+
+``run`` writes what a stage keeps and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe
+from plumbline.llm import bpe, credentials, mixing, shingle_join, toxicity
 from plumbline.llm.common import read
 from plumbline.session import configure, materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples do not call toxic."""
+    configure(spark)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies."""
+    configure(spark)
+    return shingle_join.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced; ``n_chars`` counts the new text."""
+    configure(spark)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return credentials.mask(docs).withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    configure(spark)
+    return mixing.apply(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and the digests of ids and decoded text."""
-    return bpe.encode(docs.select("doc_id", "text", "lang", "source"), decoded=False).drop("text")
+    """Token ids of each text, with digests of the ids and of the text decoded from them."""
+    configure(spark)
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=False)
 
 
-STAGES = [("bpe encoding and decoding", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
 
 #: The classifier and the selection by dynamic programming have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))

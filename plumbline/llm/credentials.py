@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,8 +135,6 @@ def mask(docs: DataFrame, text: str = "text", mark: str = "[secret]", cut: float
             at = max(at, b)
         return "".join([*out, t[at:]]) if at else t
 
-    import pandas as pd
-
     def run(column: pd.Series) -> pd.Series:
         return column.map(hide, na_action="ignore")
 

@@ -154,13 +154,11 @@ def mix(sized: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
     """Per row of ``sized`` (doc_id, source, size): source_size, target, copies and taken words.
 
     ``taken`` is copies times size. Every run gives the same answer: rows of one source and
-    length are ranked by a hash of the id. Rows that agree in all three columns share their
-    rank by position, so the result is the same whichever of them comes first. An empty
-    document is taken in whole passes only. Lengths per source, the rows that one task of the
-    plan sees, are no more than the longest document has words.
+    length are ranked by a hash of the id, and rows that agree in all three columns are taken
+    alike, all or none. An empty document is taken in whole passes only. Lengths per source, the
+    rows that one task of the plan sees, are no more than the longest document has words.
     """
     goal = targets(sized, **shares)
-    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
     counted = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     plan = materialize(
         counted.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
@@ -185,7 +183,7 @@ def mix(sized: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
         "_quota",
         F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_extra") - F.coalesce(F.sum("_n").over(lower), F.lit(0)))),
     ).select(*[F.col(c).alias(f"_{c}") for c in ("source", "size")], F.col("_part").alias("_p"), "_quota")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("_u", "doc_id"))
+    rank = F.rank().over(Window.partitionBy("source", "size", "_part").orderBy("_u", "doc_id"))
     return (
         rows.join(
             parts,
@@ -200,22 +198,17 @@ def mix(sized: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
 def apply(docs: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it; columns stay.
 
-    Rows that share id, source and size are told apart by their order within these.
+    Rows that agree in id, source and size are taken equally often. Texts are shuffled once, by
+    id, so that no source or length is met by one task.
     """
     sized = materialize(sizes(docs))
-    twin = lambda df: df.withColumn(
-        "_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(0)))
-    )
-    chosen = twin(mix(sized, seed, **shares).withColumnRenamed("size", "_size")).where("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_size").alias("_z"), F.col("_twin").alias("_t"), "copies")
+    chosen = mix(sized, seed, **shares).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
     words = F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), ""))
-    return (
-        twin(docs.withColumn("_size", words.cast("bigint")))
-        .join(
-            chosen,
-            F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-            & (F.col("_size") == F.col("_z")) & (F.col("_twin") == F.col("_t")),
-        )
-        .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d, c = docs.select(row, "doc_id", "source", words.alias("size")).alias("d"), chosen.alias("c")
+    same = (
+        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
+        & (F.col("d.size") == F.col("c.size"))
     )
+    repeated = F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("again")
+    return d.join(c, same).select("d.row", repeated).select("row.*")

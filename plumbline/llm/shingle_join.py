@@ -306,3 +306,30 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     return nodes.join(least, "_c", "left").select(
         "doc_id", "n_shingles", F.when(F.col("_c").isNotNull(), F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` per component, that of the smallest id; all columns stay.
+
+    A row without id goes by its text, after all rows with ids. Only rows that a bit filter
+    suspects (those to go, and repeated ids) are shuffled; all others stay where they are.
+    """
+    spark = docs.sparkSession
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), own).alias("_id"), "text")
+    linked = materialize(link(keyed.select(F.col("_id").alias("doc_id"), "text"), width, percent))
+    go = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    again = linked.groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1").select("doc_id")
+    position = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS))
+    bits = spark.sparkContext.broadcast(
+        bit_filter(go.unionByName(again).withColumnRenamed("doc_id", "_id"), position, FILTER_BITS)
+    )
+
+    def suspect(column: pd.Series) -> pd.Series:
+        at = column.to_numpy()
+        return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    marked = keyed.withColumn("_suspect", F.pandas_udf(suspect, "boolean")(position))
+    looked_at = marked.where("_suspect").join(go.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").dropDuplicates(["_id"])
+    return marked.where("not _suspect").select("row.*").unionByName(looked_at.select("row.*"))

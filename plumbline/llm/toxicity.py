@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -259,8 +260,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``cut``, all columns."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pd.Series) -> pd.Series:
