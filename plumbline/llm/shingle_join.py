@@ -3,9 +3,9 @@
 Sets that are equal collapse first. All n-grams have one order: rare before common by counters
 over the whole corpus, then by hash. Two sets that reach the
 threshold share an n-gram among their first ``n - ceil(t * n) + 1``, the prefix. Sets of equal
-prefix and size form a group; groups meet under the n-grams of their prefixes, pairs of groups
-are filtered by size and by the number of n-grams that their prefixes share, and what is left is
-expanded to members and verified on the whole sets.
+prefix and size form a group; groups meet under the n-grams of their prefixes (of the smaller
+one a shorter prefix is enough), pairs of groups are filtered by size, and what is left is expanded
+to members, bounded by bitmaps and verified on the whole sets.
 
 Only components are asked for, so pairs that are connected already need no check. First each
 group is verified against the few partners that share most of its prefix among the ends of each
@@ -102,13 +102,13 @@ def _count(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, size, 64-bit hash of the set and prefix of every document."""
+    """doc_id, size, 64-bit hash of the set, prefix and bitmap of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            sizes, names, prefixes = [], [], []
+            sizes, names, prefixes, maps = [], [], [], []
             for raw in batch.column("_raw").to_pylist():
                 s = shingler(raw)
                 n = len(s)
@@ -121,15 +121,55 @@ def _signatures(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -
                     prefixes.append(np.zeros(0, np.int64))
                 sizes.append(n)
                 names.append(_name(s))
+                maps.append(_parity(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "s", "prefix"],
+                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                names=["doc_id", "n", "s", "prefix", "map"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", as_bytes().alias("_raw")).mapInArrow(
-        run, f"doc_id {kind}, n long, s long, prefix array<long>"
+        run, f"doc_id {kind}, n long, s long, prefix array<long>, map binary"
+    )
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of hashes falls on i; 2 to 4 bits per hash."""
+    if not len(hashes):
+        return b""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """No two sets with these bitmaps and sizes share more: each differing bit is a hash of one only."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) > len(q):
+        p, q = q, p
+    if len(q) > len(p):
+        q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)
+    return (n + m - int(np.bitwise_count(p ^ q).sum())) // 2
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("_x", "_y", "_n", "_m")]
+            good = []
+            for x, y, n, m in zip(*columns, strict=True):
+                most = _most_shared(x, y, n, m)
+                good.append(100 * most >= percent * (n + m - most))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return (
+        pairs.select("a", "b")
+        .join(nodes.select(F.col("s").alias("a"), F.col("map").alias("_x"), F.col("n").alias("_n")), "a")
+        .join(nodes.select(F.col("s").alias("b"), F.col("map").alias("_y"), F.col("n").alias("_m")), "b")
+        .select("a", "b", "_x", "_y", "_n", "_m").mapInArrow(run, "a long, b long")
     )
 
 
@@ -204,7 +244,7 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     docs = docs.select("doc_id", F.col(text).alias("text"))
     signed = materialize(_signatures(docs, _count(docs, width), width, percent))
     prefixes = materialize(
-        signed.where("n > 0").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+        signed.where("n > 0").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
         .withColumn("_g", F.xxhash64("prefix", "n"))
     )
     # groups: equal prefix and size; the smallest member stands for the others until verification
@@ -212,10 +252,11 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         prefixes.join(prefixes.groupBy("_g", "n").agg(F.min("s").alias("g")), ["_g", "n"]).select("s", "g", "n", "doc_id")
     )
     heads = prefixes.join(members.where("s = g").select("g"), F.col("s") == F.col("g"), "left_semi")
-    heads = heads.select(F.col("s").alias("g"), "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
+    heads = heads.select(F.col("s").alias("g"), "n", F.posexplode("prefix").alias("p", "token"))
     heads = heads.repartition("token")
     often = heads.groupBy("token").agg(F.count("*").alias("_df")).where("_df > 1").select("token")
     met = materialize(heads.join(often, "token").select("token", "g", "n", "p"))
+
     def touched(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
         return members.join(nodes, "s", "left_semi").select("s", "doc_id")
@@ -223,10 +264,9 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     def near(a: str, b: str) -> Column:
         return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
 
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs whose prefixes share what the threshold asks: one set's rest can add no more."""
-        need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - 1e-9)
-        return pairs.where(F.col("c") >= need - F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
+    def short(x: str) -> Column:
+        """Is the n-gram in the prefix that is enough for the smaller set of a pair?"""
+        return F.col(f"{x}.p") < F.col(f"{x}.n") - F.ceil(2 * percent * F.col(f"{x}.n") / F.lit(100 + percent)) + 1
 
     # a star around the head settles a group; where it fails, every member is a group of its own
     stars = members.where("s <> g").select(F.col("g").alias("a"), F.col("s").alias("b"))
@@ -235,7 +275,7 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         alike.where("a <> b").select("doc_id", "a"), "doc_id"
     ).where("a <> b").select("a", "b")
     # the ends of each n-gram's list: smallest and largest set, and the first by hash
-    end = lambda *first: F.struct(*first, F.col("g").alias("e"), F.col("n").alias("en"), F.col("p").alias("ep"))
+    end = lambda *first: F.struct(*first, F.col("g").alias("e"), F.col("n").alias("en"))
     ends = met.groupBy("token").agg(
         F.array(F.min(end("n", "g")), F.max(end("n", "g"))).alias("by_size"), F.min(end(F.xxhash64("g"))).alias("by_hash")
     )
@@ -245,21 +285,20 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     partners = (
         met.join(ends, "token")
         .where((F.col("g") != F.col("end.e")) & (100 * F.least("n", F.col("end.en")) >= percent * F.greatest("n", F.col("end.en"))))
-        .groupBy(F.col("g").alias("a"), F.col("end.e").alias("b"), "turn").agg(F.count("*").alias("c"), F.first("p").alias("p"))
+        .groupBy(F.col("g").alias("a"), F.col("end.e").alias("b"), "turn").agg(F.count("*").alias("c"), F.first("n").alias("n"))
         # only a choice of partners: what is left out here comes up again below
-        .where("10 * c >= p")
+        .where("60 * c >= n")
         .groupBy("a", "turn").agg(F.max(F.struct("c", "b")).alias("m"))
         .select("a", F.col("m.b").alias("b"))
     )
-    partners = materialize(partners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    partners = partners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    partners = materialize(_possible(partners, prefixes, percent))
     sets = _sets(docs, touched(partners.unionByName(stars)), width)
     sets = materialize(sets)
     checked = materialize(_verified(stars, sets, percent))
     loose = materialize(stars.join(checked, ["a", "b"], "left_anti").select(F.col("a").alias("g")).distinct())
     split = members.join(loose, "g").where("s <> g").select("g", "s")
-    more = prefixes.join(split, "s").select(
-        F.explode("prefix").alias("token"), F.col("s").alias("g"), "n", F.size("prefix").alias("p")
-    )
+    more = prefixes.join(split, "s").select(F.col("s").alias("g"), "n", F.posexplode("prefix").alias("p", "token"))
     met = materialize(met.unionByName(more))
     own = materialize(
         members.join(loose, "g", "left_anti").select("g", "s").unionByName(split.select(F.col("s").alias("g"), "s"))
@@ -283,18 +322,14 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     most = size.groupBy("token").agg(F.max(F.struct("_k", "c")).alias("m"), F.count("*").alias("_cs")).where("_cs > 1").select("token", F.col("m.c").alias("_main"))
     mixed = here.join(most, "token")
     rest = mixed.where("c <> _main").alias("r")
+    smaller = F.struct("r.n", "r.g") < F.struct("o.n", "o.g")
     pairs = (
         rest.join(mixed.alias("o"), (F.col("r.token") == F.col("o.token")) & (F.col("r.c") != F.col("o.c")) & near("r", "o")
-                  & ((F.col("o.c") == F.col("o._main")) | (F.col("r.g") < F.col("o.g"))))
-        .select(*[
-            F.when(F.col("r.g") < F.col("o.g"), F.col(f"{x}.{name}")).otherwise(F.col(f"{y}.{name}")).alias(alias)
-            for x, y, end in (("r", "o", "a"), ("o", "r", "b"))
-            for name, alias in (("g", end), ("n", f"n{end}"), ("p", f"p{end}"))
-        ])
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("na", "pa", "nb", "pb")])
+                  & ((F.col("o.c") == F.col("o._main")) | (F.col("r.g") < F.col("o.g")))
+                  & F.when(smaller, short("r")).otherwise(short("o")))
+        .select(F.least("r.g", "o.g").alias("a"), F.greatest("r.g", "o.g").alias("b")).distinct()
     )
-    pairs = materialize(expand(enough(pairs)))
+    pairs = materialize(_possible(expand(pairs), prefixes, percent))
     release(here, met)
     sets = materialize(_sets(docs, touched(pairs), width))
     labels = components(edges.unionByName(_verified(pairs, sets, percent)))
