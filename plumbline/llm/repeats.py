@@ -43,16 +43,16 @@ from plumbline.session import materialize, release
 LENGTH = 50
 BLOCK = 24
 #: Bytes of text that a task works on at a time; longer texts are cut with overlap.
-PIECE = 1 << 20
-CHUNK = 2 << 20
+PIECE = 1 << 19
+CHUNK = 1 << 20
 #: Bytes of text per range of blocks; ranges are a power of two, at least LEAST_RANGES.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
 #: Bits of the filters that tell map tasks which blocks matter.
 FILTER_BITS = 27
 #: Occurrences of a range that one task takes.
 CROWD = 4_000_000
-_POSITION = np.uint64((1 << 22) - 1)
+_POSITION = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _NULL_ID = 2**63 - 1
 
@@ -70,8 +70,10 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stir(h: np.ndarray, factor: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(factor)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Chunk:
@@ -88,10 +90,16 @@ class Chunk:
             return
         power, inverse = _powers()
         ahead = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[:n], out=ahead[1:])
-        blocks = _stir((ahead[block:] - ahead[:-block]) * inverse[: n - block + 1], 0xC2B2AE3D27D4EB4F)
+        ahead[1:] = self.bytes
+        ahead[1:] += np.uint64(1)
+        ahead[1:] *= power[:n]
+        np.cumsum(ahead, out=ahead)
+        blocks = ahead[block:] - ahead[:-block]
+        blocks *= inverse[: n - block + 1]
+        blocks = _stir(blocks, 0xC2B2AE3D27D4EB4F)
         # the position in the low bits: of equal hashes the first counts, wherever the text stands
-        low = (blocks & ~_POSITION) | np.arange(len(blocks), dtype=np.uint64)
+        low = blocks & ~_POSITION
+        low |= np.arange(len(blocks), dtype=np.uint64)
         span = 1
         while span * 2 <= width:
             low = np.minimum(low[:-span], low[span:])
@@ -422,13 +430,13 @@ def find(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, text: str =
     from each other, and a null id is larger than any other. Equal rows get equal answers.
     """
     spark = docs.sparkSession
-    batched(spark, 512)
+    batched(spark)
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), as_bytes(text).alias("_raw"))
     total = texts.agg(F.sum(F.length("_raw"))).first()[0] or 0
     ranges = max(LEAST_RANGES, 1 << max(0, int(total) // RANGE_BYTES - 1).bit_length())
     ranges = min(ranges, 1 << (FILTER_BITS - 3))
-    homes = max(31, int(total) // (RANGE_BYTES // 2)) | 1
+    homes = max(31, int(total) // RANGE_BYTES) | 1
     merged = materialize(
         _runs(texts.select("_id", "_raw"), ranges, length, block).groupBy("bucket").applyInPandas(
             lambda p: _merge(p, ranges), "bucket int, tasks int, firsts binary, shared binary, several binary"
