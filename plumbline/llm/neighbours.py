@@ -26,6 +26,8 @@ from plumbline.session import materialize
 TREES = 8
 DEPTH = 7
 LEAVES = 176
+#: Rows that the visited leaves hold at least, counted once per tree; few rows are all visited.
+CANDIDATES = 16_000
 #: Vectors that the splits are fitted on, at most: those of the smallest hash of their id.
 SAMPLE = 16_384
 #: Vectors and queries of one block.
@@ -60,14 +62,19 @@ class Forest:
             out[:, t] = node - len(offsets)
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[tuple[int, int]]:
-        """The first ``leaves`` (tree, leaf) that one queue over all trees yields."""
+    def visit(self, query: np.ndarray, leaves: int, held: list[list[int]]) -> list[tuple[int, int]]:
+        """The (tree, leaf) that one queue over all trees yields first.
+
+        ``leaves`` of them, and more until they hold ``CANDIDATES`` rows; ``held`` has the rows of
+        each leaf, and empty leaves do not count.
+        """
         unit = query / np.sqrt((query**2).sum())
         margins = (self.planes[:, :, :-1] @ unit - self.offsets).tolist()
         inner = self.offsets.shape[1]
         queue = [(0.0, t, 0) for t in range(len(margins))]
         found: list[tuple[int, int]] = []
-        while queue and len(found) < leaves:
+        rows = 0
+        while queue and (len(found) < leaves or rows < CANDIDATES):
             cost, t, node = heapq.heappop(queue)
             own = margins[t]
             while node < inner:
@@ -75,7 +82,9 @@ class Forest:
                 near = 2 * node + 1 + (margin > 0)
                 heapq.heappush(queue, (cost + margin * margin, t, 4 * node + 3 - near))
                 node = near
-            found.append((t, node - inner))
+            if held[t][node - inner]:
+                rows += held[t][node - inner]
+                found.append((t, node - inner))
         return found
 
 
@@ -150,7 +159,7 @@ def search(
     null ids and vectors whose length differs from the sample's take no part. Rows that agree in id
     and vector count once; a row is never its own neighbour, equal vectors of other ids are.
     The trees depend on at most ``sample`` rows, the index holds all. With few rows a query
-    visits all of them; larger ``leaves`` raise recall, larger ``depth`` makes leaves finer.
+    visits all leaves; larger ``leaves`` raise recall, larger ``depth`` makes leaves finer.
     """
     spark = rows.sparkSession
     kind = "f4" if "float" in dict(rows.dtypes)[vector] else "f8"
@@ -188,7 +197,7 @@ def search(
         for batch in batches:
             ids, texts = batch.column("vec_id").to_pylist(), batch.column("_v").to_pylist()
             for i, raw in zip(ids, texts, strict=True):
-                found = forest.value.visit(np.frombuffer(raw, kind).astype(float), leaves)
+                found = forest.value.visit(np.frombuffer(raw, kind).astype(float), leaves, held.value)
                 yield pa.RecordBatch.from_pydict(
                     {"vec_id": [i] * len(found), "_v": [raw] * len(found),
                      "_tree": pa.array([t for t, _ in found], pa.int32()),
@@ -197,6 +206,10 @@ def search(
 
     placed = materialize(good.mapInArrow(place, "vec_id long, _v binary, _asks boolean, _leaves array<int>"))
     indexed = placed.select("vec_id", "_v", F.posexplode("_leaves").alias("_tree", "_leaf"))
+    filled = np.zeros((trees, 2**depth), np.int64)
+    for tree, leaf, n in indexed.groupBy("_tree", "_leaf").count().collect():  # trees * 2 ** depth rows at most
+        filled[tree, leaf] = n
+    held = spark.sparkContext.broadcast(filled.tolist())
     asked = materialize(
         placed.where("_asks").select("vec_id", "_v").dropDuplicates()
         .mapInArrow(walk, "vec_id long, _v binary, _tree int, _leaf int")
