@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ class Shingler:
         words = raw.lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known = self.known
         codes = []
@@ -70,6 +71,14 @@ class Shingler:
         return np.unique(h)
 
 
+def _squeeze(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def _unsqueeze(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32)
+
+
 def _count(docs: DataFrame, width: int) -> np.ndarray:
     """Counters of all n-grams of the corpus; each document counts its n-grams once."""
 
@@ -84,12 +93,12 @@ def _count(docs: DataFrame, width: int) -> np.ndarray:
             small = counters.astype(np.int32)
             for k in range(0, COUNTERS, _CHUNK):
                 yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array([k // _CHUNK], pa.int32()), "counts": [small[k : k + _CHUNK].tobytes()]}
+                    {"chunk": pa.array([k // _CHUNK], pa.int32()), "counts": [_squeeze(small[k : k + _CHUNK])]}
                 )
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in part["counts"])
-        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+        total = sum(_unsqueeze(x).astype(np.int64) for x in part["counts"])
+        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [_squeeze(np.minimum(total, 2**31 - 1).astype(np.int32))]})
 
     schema = "chunk int, counts binary"
     parts = docs.select(as_bytes().alias("_raw")).mapInArrow(count, schema)
@@ -97,7 +106,7 @@ def _count(docs: DataFrame, width: int) -> np.ndarray:
     some = parts.groupBy("chunk", "_salt").applyInPandas(lambda p: add(p[["chunk", "counts"]]), schema)
     out = np.zeros(COUNTERS, np.int32)
     for chunk, counts in some.groupBy("chunk").applyInPandas(add, schema).collect():
-        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(bytes(counts), np.int32)
+        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = _unsqueeze(bytes(counts))
     return out
 
 
