@@ -43,8 +43,8 @@ from plumbline.session import materialize, release
 LENGTH = 50
 BLOCK = 24
 #: Bytes of text that a task works on at a time; longer texts are cut with overlap.
-PIECE = 1 << 19
-CHUNK = 1 << 20
+PIECE = 1 << 18
+CHUNK = 1 << 19
 #: Bytes of text per range of blocks; ranges are a power of two, at least LEAST_RANGES.
 RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
@@ -52,7 +52,7 @@ LEAST_RANGES = 64
 FILTER_BITS = 27
 #: Occurrences of a range that one task takes.
 CROWD = 4_000_000
-_POSITION = np.uint64((1 << 21) - 1)
+_POSITION = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _NULL_ID = 2**63 - 1
 
