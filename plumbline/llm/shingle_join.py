@@ -31,11 +31,12 @@ from plumbline.session import materialize, release
 #: Words of an n-gram, and the percentage of the union that the intersection must reach.
 WORDS = 4
 PERCENT = 85
-#: Counters of n-grams (a power of two), kept as 32-bit numbers by every task.
-COUNTERS = 1 << 21
+#: Counters of n-grams (a power of two). A task adds up in two bytes each, the order of n-grams
+#: knows them up to 255. More counters tell rare n-grams apart in a larger corpus.
+COUNTERS = 1 << 24
 #: Bits of the filter that says which sets are needed for verification.
 FILTER_BITS = 26
-_CHUNK = 1 << 15
+_CHUNK = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -76,37 +77,37 @@ def _squeeze(counts: np.ndarray) -> bytes:
 
 
 def _unsqueeze(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint16)
 
 
 def _count(docs: DataFrame, width: int) -> np.ndarray:
     """Counters of all n-grams of the corpus; each document counts its n-grams once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counters, any_row = Shingler(width), np.zeros(COUNTERS, np.int64), False
+        shingler, counters, any_row = Shingler(width), np.zeros(COUNTERS, np.uint16), False
         for batch in batches:
             sets = [shingler(r) for r in batch.column("_raw").to_pylist()]
             any_row = True
-            at = np.concatenate(sets) & np.uint64(COUNTERS - 1)
-            counters += np.bincount(at.astype(np.int64), minlength=COUNTERS)
+            at, times = np.unique(np.concatenate(sets) & np.uint64(COUNTERS - 1), return_counts=True)
+            counters[at] = np.minimum(counters[at] + times, 65_535)
         if any_row:
-            small = counters.astype(np.int32)
             for k in range(0, COUNTERS, _CHUNK):
                 yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array([k // _CHUNK], pa.int32()), "counts": [_squeeze(small[k : k + _CHUNK])]}
+                    {"chunk": pa.array([k // _CHUNK], pa.int32()), "counts": [_squeeze(counters[k : k + _CHUNK])]}
                 )
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unsqueeze(x).astype(np.int64) for x in part["counts"])
-        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [_squeeze(np.minimum(total, 2**31 - 1).astype(np.int32))]})
+        total = np.minimum(total, 65_535).astype(np.uint16)
+        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [_squeeze(total)]})
 
     schema = "chunk int, counts binary"
     parts = docs.select(as_bytes().alias("_raw")).mapInArrow(count, schema)
     parts = parts.withColumn("_salt", F.spark_partition_id() % 16)
     some = parts.groupBy("chunk", "_salt").applyInPandas(lambda p: add(p[["chunk", "counts"]]), schema)
-    out = np.zeros(COUNTERS, np.int32)
+    out = np.zeros(COUNTERS, np.uint8)
     for chunk, counts in some.groupBy("chunk").applyInPandas(add, schema).collect():
-        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = _unsqueeze(bytes(counts))
+        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.minimum(_unsqueeze(bytes(counts)), 255)
     return out
 
 
@@ -308,13 +309,13 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     loose = materialize(stars.join(checked, ["a", "b"], "left_anti").select(F.col("a").alias("g")).distinct())
     split = members.join(loose, "g").where("s <> g").select("g", "s")
     more = prefixes.join(split, "s").select(F.col("s").alias("g"), "n", F.posexplode("prefix").alias("p", "token"))
-    met = materialize(met.unionByName(more))
+    met, first = materialize(met.unionByName(more)), met
     own = materialize(
         members.join(loose, "g", "left_anti").select("g", "s").unionByName(split.select(F.col("s").alias("g"), "s"))
         .unionByName(loose.select("g", F.col("g").alias("s")))
     )
     edges = materialize(checked.unionByName(twins).unionByName(_verified(partners, sets, percent)))
-    release(sets)
+    release(sets, partners)
 
     def expand(pairs: DataFrame) -> DataFrame:
         """Pairs of groups as pairs of members."""
@@ -339,13 +340,14 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         .select(F.least("r.g", "o.g").alias("a"), F.greatest("r.g", "o.g").alias("b")).distinct()
     )
     pairs = materialize(_possible(expand(pairs), prefixes, percent))
-    release(here, met)
+    release(here, met, first)
     sets = materialize(_sets(docs, touched(pairs), width))
     labels = components(edges.unionByName(_verified(pairs, sets, percent)))
     nodes = materialize(
         signed.select("doc_id", "n", "s").join(labels, F.col("s") == F.col("id"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_c"))
     )
+    release(signed, prefixes, members, sets, pairs, edges, checked, loose, own)
     least = nodes.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
     return nodes.join(least, "_c", "left").select(
         "doc_id", "n_shingles", F.when(F.col("_c").isNotNull(), F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")
