@@ -211,4 +211,5 @@ def apply(docs: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
         & (F.col("d.size") == F.col("c.size"))
     )
     repeated = F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("again")
-    return d.join(c, same).select("d.row", repeated).select("row.*")
+    # a hash table of the narrow side, so that no text is sorted
+    return d.join(c.hint("shuffle_hash"), same).select("d.row", repeated).select("row.*")
