@@ -10,7 +10,9 @@ to members, bounded by bitmaps and verified on the whole sets.
 Only components are asked for, so pairs that are connected already need no check. First each
 group is verified against the few partners that share most of its prefix among the ends of each
 n-gram's list, which joins large families of copies by stars. Groups that stayed apart then meet
-everybody outside their own component.
+everybody outside their own component: around one centre by what they differ from it (two sets
+that are not both near the centre can only be alike if they share a difference), else under
+their prefixes.
 """
 
 from __future__ import annotations
@@ -216,6 +218,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(wanted.alias("w"), same, "left_semi").select("s", "_set")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return (
+        pairs.select("a", "b")
+        .join(sets.select(F.col("s").alias("a"), F.col("_set").alias("_x")), "a")
+        .join(sets.select(F.col("s").alias("b"), F.col("_set").alias("_y")), "b")
+        .select("a", "b", "_x", "_y")
+    )
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
 
@@ -230,13 +241,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = (
-        pairs.select("a", "b")
-        .join(sets.select(F.col("s").alias("a"), F.col("_set").alias("_x")), "a")
-        .join(sets.select(F.col("s").alias("b"), F.col("_set").alias("_y")), "b")
-        .select("a", "b", "_x", "_y")
-    )
-    return joined.mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and the hashes that only one of the two whole sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)
+                for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(found, pa.list_(pa.int64()))], names=["a", "b", "_only"]
+            )
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long, _only array<long>")
 
 
 def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -299,12 +320,15 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         # only a choice of partners: what is left out here comes up again below
         .where("60 * c >= n")
         .groupBy("a", "turn").agg(F.max(F.struct("c", "b")).alias("m"))
-        .select("a", F.col("m.b").alias("b"))
+        .select("a", "turn", F.col("m.b").alias("b"))
     )
-    partners = partners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    partners = materialize(_possible(partners, prefixes, percent))
-    sets = _sets(docs, touched(partners.unionByName(stars)), width)
-    sets = materialize(sets)
+    partners = materialize(partners)
+    near_ends = partners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near_ends = materialize(_possible(near_ends, prefixes, percent))
+    # the first by hash is the centre of its star; only sets that are alone in their group
+    alone = members.groupBy("g").agg(F.count("*").alias("_k")).where("_k = 1").select(F.col("g").alias("a"))
+    centres = materialize(partners.where("turn = 2").select("a", "b").join(alone, "a", "left_semi"))
+    sets = materialize(_sets(docs, touched(near_ends.unionByName(stars).unionByName(centres)), width))
     checked = materialize(_verified(stars, sets, percent))
     loose = materialize(stars.join(checked, ["a", "b"], "left_anti").select(F.col("a").alias("g")).distinct())
     split = members.join(loose, "g").where("s <> g").select("g", "s")
@@ -314,8 +338,9 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         members.join(loose, "g", "left_anti").select("g", "s").unionByName(split.select(F.col("s").alias("g"), "s"))
         .unionByName(loose.select("g", F.col("g").alias("s")))
     )
-    edges = materialize(checked.unionByName(twins).unionByName(_verified(partners, sets, percent)))
-    release(sets, partners)
+    edges = materialize(checked.unionByName(twins).unionByName(_verified(near_ends, sets, percent)))
+    apart = materialize(_differences(centres, sets))
+    release(sets, partners, near_ends)
 
     def expand(pairs: DataFrame) -> DataFrame:
         """Pairs of groups as pairs of members."""
@@ -323,19 +348,41 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         wide = pairs.select("a", "b").join(left, "a").join(right, "b")
         return wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
-    labels = components(edges)
-    here = materialize(
-        met.join(labels, met["g"] == labels["id"], "left").select("token", "g", "n", "p", F.coalesce("component", "g").alias("c"))
+    def labelled(rows: DataFrame) -> DataFrame:
+        now = components(edges).select(F.col("id").alias("g"), F.col("component").alias("c"))
+        return rows.join(now, "g", "left").withColumn("c", F.coalesce("c", "g"))
+
+    def mixed_up(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Rows of keys that several components share, with the key's largest; those outside it."""
+        size = rows.groupBy(*keys, "c").agg(F.count("*").alias("_k"))
+        most = size.groupBy(*keys).agg(F.max(F.struct("_k", "c")).alias("m"), F.count("*").alias("_cs"))
+        mixed = rows.join(most.where("_cs > 1").select(*keys, F.col("m.c").alias("_main")), keys)
+        return mixed.where("c <> _main").alias("r"), mixed.alias("o")
+
+    # once each: others against the largest component, and others among themselves
+    across = (F.col("r.c") != F.col("o.c")) & ((F.col("o.c") == F.col("o._main")) | (F.col("r.g") < F.col("o.g")))
+    # inside a star: sets that share a difference from the centre; all their differences are counted
+    from_centre = apart.select(F.col("a").alias("g"), F.col("b").alias("star"), F.size("_only").alias("d"), "_only").join(
+        prefixes.select(F.col("s").alias("g"), "n"), "g"
+    )
+    there = materialize(labelled(from_centre).select("g", "star", "n", "d", "c", F.explode("_only").alias("token")))
+    rest, mixed = mixed_up(there, ["star", "token"])
+    differ = (
+        rest.join(mixed, (F.col("r.star") == F.col("o.star")) & (F.col("r.token") == F.col("o.token")) & across)
+        .groupBy(F.least("r.g", "o.g").alias("a"), F.greatest("r.g", "o.g").alias("b"))
+        .agg(F.count("*").alias("k"), F.first(F.col("r.n") + F.col("o.n")).alias("n"), F.first(F.col("r.d") + F.col("o.d")).alias("d"))
+        .withColumn("d", F.col("d") - 2 * F.col("k"))
+        .where(100 * (F.col("n") - F.col("d")) >= percent * (F.col("n") + F.col("d")))
     )
-    # per n-gram: the largest component against the others, and the others among themselves
-    size = here.groupBy("token", "c").agg(F.count("*").alias("_k"))
-    most = size.groupBy("token").agg(F.max(F.struct("_k", "c")).alias("m"), F.count("*").alias("_cs")).where("_cs > 1").select("token", F.col("m.c").alias("_main"))
-    mixed = here.join(most, "token")
-    rest = mixed.where("c <> _main").alias("r")
+    edges = materialize(edges.unionByName(differ.select("a", "b")))
+    release(there)
+    star = from_centre.select("g", "star")
+    here = materialize(labelled(met.join(star, "g", "left")).select("token", "g", "n", "p", "c", "star"))
+    rest, mixed = mixed_up(here, ["token"])
     smaller = F.struct("r.n", "r.g") < F.struct("o.n", "o.g")
     pairs = (
-        rest.join(mixed.alias("o"), (F.col("r.token") == F.col("o.token")) & (F.col("r.c") != F.col("o.c")) & near("r", "o")
-                  & ((F.col("o.c") == F.col("o._main")) | (F.col("r.g") < F.col("o.g")))
+        rest.join(mixed, (F.col("r.token") == F.col("o.token")) & across & near("r", "o")
+                  & ~F.coalesce(F.col("r.star") == F.col("o.star"), F.lit(False))
                   & F.when(smaller, short("r")).otherwise(short("o")))
         .select(F.least("r.g", "o.g").alias("a"), F.greatest("r.g", "o.g").alias("b")).distinct()
     )
@@ -347,7 +394,7 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
         signed.select("doc_id", "n", "s").join(labels, F.col("s") == F.col("id"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_c"))
     )
-    release(signed, prefixes, members, sets, pairs, edges, checked, loose, own)
+    release(signed, prefixes, members, sets, pairs, edges, checked, loose, own, apart, centres)
     least = nodes.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
     return nodes.join(least, "_c", "left").select(
         "doc_id", "n_shingles", F.when(F.col("_c").isNotNull(), F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")
