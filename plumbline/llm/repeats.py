@@ -46,7 +46,7 @@ BLOCK = 24
 PIECE = 1 << 18
 CHUNK = 1 << 19
 #: Bytes of text per range of blocks; ranges are a power of two, at least LEAST_RANGES.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 LEAST_RANGES = 64
 #: Bits of the filters that tell map tasks which blocks matter.
 FILTER_BITS = 27
