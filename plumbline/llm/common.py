@@ -79,6 +79,29 @@ def bit_filter(keys: DataFrame, position: Column, bits: int) -> "np.ndarray":
     return out
 
 
+def has_bit(bitmap: "np.ndarray", positions: "np.ndarray") -> "np.ndarray":
+    import numpy as np
+
+    return (bitmap[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def marked(df: DataFrame, key: str, listed: DataFrame, name: str = "_marked", bits: int = 26) -> DataFrame:
+    """``df`` with a flag: false only if ``key`` is surely not among the ``key`` values of ``listed``.
+
+    Lets the many rows without a partner stay where they are; only marked rows need a join.
+    """
+    import pandas as pd
+
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(listed.select(key), place, bits))
+
+    def look(column: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(shared.value, column.to_numpy()))
+
+    look.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return df.withColumn(name, F.pandas_udf(look, "boolean")(place))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest id reachable) of every id on an edge (``a``, ``b``).
 

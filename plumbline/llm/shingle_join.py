@@ -27,7 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, batched, bit_filter, components
+from plumbline.llm.common import as_bytes, batched, bit_filter, components, has_bit, marked
+from plumbline.llm.repeats import _per_range, pack, unpack
 from plumbline.session import materialize, release
 
 #: Words of an n-gram, and the percentage of the union that the intersection must reach.
@@ -36,6 +37,10 @@ PERCENT = 85
 #: Counters of n-grams (a power of two). A task adds up in two bytes each, the order of n-grams
 #: knows them up to 255. More counters tell rare n-grams apart in a larger corpus.
 COUNTERS = 1 << 24
+#: N-grams of prefixes that one range of hashes holds, about.
+RANGE_TOKENS = 500_000
+#: Bits of the filter of n-grams that several prefixes hold.
+TOKEN_BITS = 27
 #: Bits of the filter that says which sets are needed for verification.
 FILTER_BITS = 26
 _CHUNK = 1 << 18
@@ -177,6 +182,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * most >= percent * (n + m - most))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    nodes = marked(nodes.select("s", "n", "map"), "s", ends).where("_marked")
     return (
         pairs.select("a", "b")
         .join(nodes.select(F.col("s").alias("a"), F.col("map").alias("_x"), F.col("n").alias("_n")), "a")
@@ -244,6 +251,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs, sets).mapInArrow(run, "a long, b long")
 
 
+def _met_twice(heads: DataFrame) -> np.ndarray:
+    """Bitmap over the top bits of n-gram hashes: those that two prefixes or more hold.
+
+    Sorted runs of hashes go to ranges of hashes, more of them for more prefixes; a run holds an
+    n-gram twice at most.
+    """
+    total = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    ranges = min(max(64, 1 << (int(total) // RANGE_TOKENS).bit_length()), 1 << (TOKEN_BITS - 3))
+    shift, per = np.uint64(65 - ranges.bit_length()), (1 << TOKEN_BITS) // ranges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = np.sort(batch.column("prefix").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            if len(tokens) > 2:
+                tokens = tokens[np.concatenate(([True, True], tokens[2:] != tokens[:-2]))]
+            bucket = (tokens >> shift).astype(np.int64)
+            rows: dict[str, list] = {"bucket": [], "blob": []}
+            for b, at in _per_range(np.arange(len(tokens)), bucket):
+                rows["bucket"].append(b)
+                rows["blob"].append(pack([(tokens[at] >> np.uint64(16), 6)]))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int32()), "blob": pa.array(rows["blob"], pa.binary())})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        tokens = np.sort(np.concatenate([unpack(b, [6])[0] for b in part["blob"]]))
+        twice = tokens[1:][tokens[1:] == tokens[:-1]]
+        flags = np.zeros(per, np.uint8)
+        flags[(twice >> (48 - TOKEN_BITS)) & (per - 1)] = 1
+        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    out = np.zeros((ranges, per // 8), np.uint8)
+    merged = heads.mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary")
+    for bucket, bits in merged.toLocalIterator():
+        out[bucket] = np.frombuffer(bytes(bits), np.uint8)
+    return out.ravel()
+
+
+def _explode_if(heads: DataFrame, often: np.ndarray) -> DataFrame:
+    """g, n, p (place in the prefix) and token of the n-grams that others may hold, too."""
+    shared = heads.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("prefix")
+            tokens = column.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(column.offsets.to_numpy())
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(has_bit(shared.value, (tokens.view(np.uint64) >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)))
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("g").take(row), batch.column("n").take(row), pa.array(place[at].astype(np.int32)), pa.array(tokens[at])],
+                names=["g", "n", "p", "token"],
+            )
+
+    return heads.mapInArrow(run, "g long, n long, p int, token long")
+
+
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b and the hashes that only one of the two whole sets has."""
 
@@ -274,19 +337,29 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     batched(spark)
     docs = docs.select("doc_id", F.col(text).alias("text"))
     signed = materialize(_signatures(docs, _count(docs, width), width, percent))
-    prefixes = materialize(
-        signed.where("n > 0").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
-        .withColumn("_g", F.xxhash64("prefix", "n"))
+    # equal sets: only rows of a set that occurs again are shuffled
+    worded = signed.where("n > 0")
+    again = worded.groupBy("s").agg(F.count("*").alias("_k")).where("_k > 1").select("s")
+    told = marked(worded, "s", again)
+    single = told.where("not _marked").select("s", "n", "doc_id", "prefix", "map")
+    copied = told.where("_marked").groupBy("s", "n").agg(
+        F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("map").alias("map")
     )
+    prefixes = materialize(single.unionByName(copied).withColumn("_g", F.xxhash64("prefix", "n")))
     # groups: equal prefix and size; the smallest member stands for the others until verification
     members = materialize(
         prefixes.join(prefixes.groupBy("_g", "n").agg(F.min("s").alias("g")), ["_g", "n"]).select("s", "g", "n", "doc_id")
     )
-    heads = prefixes.join(members.where("s = g").select("g"), F.col("s") == F.col("g"), "left_semi")
-    heads = heads.select(F.col("s").alias("g"), "n", F.posexplode("prefix").alias("p", "token"))
-    heads = heads.repartition("token")
-    often = heads.groupBy("token").agg(F.count("*").alias("_df")).where("_df > 1").select("token")
-    met = materialize(heads.join(often, "token").select("token", "g", "n", "p"))
+    followers = members.where("s <> g").select("s")
+    told = marked(prefixes.select("s", "n", "prefix"), "s", followers)
+    heads = told.where("not _marked").drop("_marked").unionByName(
+        told.where("_marked").drop("_marked").join(followers, "s", "left_anti")
+    )
+    heads = heads.select(F.col("s").alias("g"), "n", "prefix")
+    often = _met_twice(heads)
+    rows = _explode_if(heads, often).repartition("token")
+    several = rows.groupBy("token").agg(F.count("*").alias("_df")).where("_df > 1").select("token")
+    met = materialize(rows.join(several, "token").select("token", "g", "n", "p"))
 
     def touched(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
@@ -332,7 +405,7 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     checked = materialize(_verified(stars, sets, percent))
     loose = materialize(stars.join(checked, ["a", "b"], "left_anti").select(F.col("a").alias("g")).distinct())
     split = members.join(loose, "g").where("s <> g").select("g", "s")
-    more = prefixes.join(split, "s").select(F.col("s").alias("g"), "n", F.posexplode("prefix").alias("p", "token"))
+    more = prefixes.join(split, "s").select(F.col("s").alias("g"), "n", F.posexplode("prefix").alias("p", "token")).select("token", "g", "n", "p")
     met, first = materialize(met.unionByName(more)), met
     own = materialize(
         members.join(loose, "g", "left_anti").select("g", "s").unionByName(split.select(F.col("s").alias("g"), "s"))
@@ -407,22 +480,12 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     A row without id goes by its text, after all rows with ids. Only rows that a bit filter
     suspects (those to go, and repeated ids) are shuffled; all others stay where they are.
     """
-    spark = docs.sparkSession
     own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), own).alias("_id"), "text")
     linked = materialize(link(keyed.select(F.col("_id").alias("doc_id"), "text"), width, percent))
-    go = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    again = linked.groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1").select("doc_id")
-    position = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS))
-    bits = spark.sparkContext.broadcast(
-        bit_filter(go.unionByName(again).withColumnRenamed("doc_id", "_id"), position, FILTER_BITS)
-    )
-
-    def suspect(column: pd.Series) -> pd.Series:
-        at = column.to_numpy()
-        return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-    marked = keyed.withColumn("_suspect", F.pandas_udf(suspect, "boolean")(position))
-    looked_at = marked.where("_suspect").join(go.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").dropDuplicates(["_id"])
-    return marked.where("not _suspect").select("row.*").unionByName(looked_at.select("row.*"))
+    go = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    again = linked.groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1").select(F.col("doc_id").alias("_id"))
+    told = marked(keyed, "_id", go.unionByName(again))
+    looked_at = told.where("_marked").join(go, "_id", "left_anti").dropDuplicates(["_id"])
+    return told.where("not _marked").select("row.*").unionByName(looked_at.select("row.*"))
