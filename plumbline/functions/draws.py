@@ -1,8 +1,9 @@
 """Repeatable pseudo-random integers from plain 64-bit arithmetic.
 
 The values depend only on the inputs, never on partitioning, and any SQL engine can
-compute them. Cubing is a permutation modulo ``PRIME`` (PRIME % 3 == 2), and no
-intermediate leaves the range of a signed 64-bit integer.
+compute them. A draw joins two of 31 bits, each modulo its own prime, so it spans 62 bits
+and ids that agree modulo one prime still differ. Cubing is a permutation modulo either
+prime (p % 3 == 2), and no intermediate leaves the range of a signed 64-bit integer.
 """
 
 from __future__ import annotations
@@ -11,44 +12,64 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRIME = 2147483579
-WEIGHTS = (1288490189, 715827901, 1540483477, 48271)
-SHIFT = 104729
+PRIMES = (2147483579, 2147483549)
+#: Draws lie in [0, RANGE).
+RANGE = PRIMES[0] * PRIMES[1]
+WEIGHTS = ((1288490189, 715827901, 1540483477, 48271), (1103515245, 1812433253, 69069, 1664525))
+SHIFTS = (104729, 15485863)
+
+
+def _start(seed: int, half: int) -> int:
+    return (seed * (7919, 6007)[half] + (17, 29)[half]) % PRIMES[half]
 
 
 def draw(seed: int, *parts: Column) -> Column:
-    """Integer in [0, PRIME) from a seed and up to four non-negative integer columns."""
-    p = F.lit(PRIME).cast("long")
-    mixed = F.lit((seed * 7919 + 17) % PRIME).cast("long")
-    for part, weight in zip(parts, WEIGHTS, strict=False):
-        mixed = mixed + (part.cast("long") % p) * F.lit(weight).cast("long") % p
+    """Integer in [0, RANGE) from a seed and up to four non-negative integer columns."""
+
+    def half(k: int) -> Column:
+        p = F.lit(PRIMES[k]).cast("long")
+        mixed = F.lit(_start(seed, k)).cast("long")
+        for part, weight in zip(parts, WEIGHTS[k], strict=False):
+            mixed = mixed + (part.cast("long") % p) * F.lit(weight).cast("long") % p
+
+        def cube(v: Column) -> Column:
+            return (v * v % p) * v % p
 
-    def cube(v: Column) -> Column:
-        return (v * v % p) * v % p
+        return cube((cube(mixed % p) + SHIFTS[k]) % p)
 
-    return cube((cube(mixed % p) + SHIFT) % p)
+    return half(0) * F.lit(PRIMES[1]).cast("long") + half(1)
 
 
 def draw_array(seed: int, *parts: np.ndarray) -> np.ndarray:
     """The same integers for NumPy arrays that broadcast against each other."""
-    mixed = np.int64((seed * 7919 + 17) % PRIME)
-    for part, weight in zip(parts, WEIGHTS, strict=False):
-        mixed = mixed + (part.astype(np.int64) % PRIME) * weight % PRIME
 
-    def cube(v: np.ndarray) -> np.ndarray:
-        return (v * v % PRIME) * v % PRIME
+    def half(k: int) -> np.ndarray:
+        p = PRIMES[k]
+        mixed = np.int64(_start(seed, k))
+        for part, weight in zip(parts, WEIGHTS[k], strict=False):
+            mixed = mixed + (part.astype(np.int64) % p) * weight % p
 
-    return cube((cube(mixed % PRIME) + SHIFT) % PRIME)
+        def cube(v: np.ndarray) -> np.ndarray:
+            return (v * v % p) * v % p
+
+        return cube((cube(mixed % p) + SHIFTS[k]) % p)
+
+    return half(0) * np.int64(PRIMES[1]) + half(1)
 
 
 def draw_sql(seed: int, *parts: str) -> str:
     """The same integer as a SQL expression."""
-    mixed = f"{(seed * 7919 + 17) % PRIME}::bigint"
-    for part, weight in zip(parts, WEIGHTS, strict=False):
-        mixed += f" + (({part})::bigint % {PRIME}) * {weight} % {PRIME}"
 
-    def cube(v: str) -> str:
-        return f"(({v}) * ({v}) % {PRIME}) * ({v}) % {PRIME}"
+    def half(k: int) -> str:
+        p = PRIMES[k]
+        mixed = f"{_start(seed, k)}::bigint"
+        for part, weight in zip(parts, WEIGHTS[k], strict=False):
+            mixed += f" + (({part})::bigint % {p}) * {weight} % {p}"
+
+        def cube(v: str) -> str:
+            return f"(({v}) * ({v}) % {p}) * ({v}) % {p}"
+
+        inner = cube(f"({mixed}) % {p}")
+        return cube(f"({inner} + {SHIFTS[k]}) % {p}")
 
-    inner = cube(f"({mixed}) % {PRIME}")
-    return cube(f"({inner} + {SHIFT}) % {PRIME}")
+    return f"(({half(0)}) * {PRIMES[1]} + {half(1)})"

@@ -223,8 +223,16 @@ def share_drift(shares: DataFrame, group: str = "background", splits: Sequence[s
     return wide.withColumn("drift", F.round(F.greatest(*cols) - F.least(*cols), 1))
 
 
-def metadata_crosstab(images: DataFrame, metadata: DataFrame, file_name: str = "file_name", column: str = "background") -> DataFrame:
-    """Metadata values per split by base name of the file; NULL counts the misses."""
+def metadata_crosstab(
+    images: DataFrame, metadata: DataFrame, file_name: str = "file_name", column: str = "background", order: str | None = None
+) -> DataFrame:
+    """Metadata values per split by base name of the file; NULL counts the misses.
+
+    Of several metadata rows for a name the last by ``order`` counts; without ``order`` the one
+    of the greatest value.
+    """
+    last = F.struct(F.col(order or column), F.col(column).alias("v"))
+    metadata = metadata.groupBy(file_name).agg(F.max(last)["v"].alias(column))
     base = F.substring_index(F.col(file_name), "/", -1)
     return (
         images.withColumn("_base", base)

@@ -41,9 +41,9 @@ def random_split(df: DataFrame, row_id: str, train: float = 0.6, val: float = 0.
 def numbered_groups(df: DataFrame, group: str) -> DataFrame:
     """(group, group_no, groups, size), numbered in the order of the group names."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct(group, "size"))).alias("g"))
-    return listed.select(F.posexplode("g").alias("group_no", "g"), F.size("g").alias("groups")).select(
-        f"g.{group}", "group_no", "groups", "g.size"
+    ranked = running_totals(sizes, [], [F.col(group)], {})
+    return ranked.select(
+        group, (F.col("rank") - 1).cast("int").alias("group_no"), F.col("n").cast("int").alias("groups"), "size"
     )
 
 
@@ -95,12 +95,12 @@ def group_cycle_order(df: DataFrame, group: str, row_id: str, seed: int = 0) ->
     )
 
 
-def group_coverage(order: DataFrame, group: str, window: int, groups: int, max_windows: int = 200) -> DataFrame:
-    """Share of the first full windows of an order that contain every group."""
+def group_coverage(order: DataFrame, group: str, window: int, groups: int, max_windows: int | None = None) -> DataFrame:
+    """Share of the full windows of an order that contain every group; of the first ``max_windows`` if given."""
     full = order.agg(F.floor(F.count(F.lit(1)) / window).alias("w")).scalar()
     per_window = (
         order.withColumn("w", F.floor(F.col("position") / window))
-        .where((F.col("w") < max_windows) & (F.col("w") < full))
+        .where((F.col("w") < full) if max_windows is None else (F.col("w") < full) & (F.col("w") < max_windows))
         .groupBy("w")
         .agg(F.countDistinct(group).alias("seen"))
     )

@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from plumbline.functions.draws import PRIME, draw, draw_array
+from plumbline.functions.draws import RANGE, draw, draw_array
 from plumbline.operators.calibration import POOLED
 from plumbline.operators.ranking import running_totals
 
-EXACT_LIMIT = 50
-
 
 def paired_differences(reports: DataFrame, variant: str, baseline: str, on: Sequence[str], value: str) -> DataFrame:
     """Every other variant against the baseline, paired by seed: (variant, on, value, base, diff).
@@ -29,21 +27,49 @@ def paired_differences(reports: DataFrame, variant: str, baseline: str, on: Sequ
     return both.withColumn("diff", F.col(value) - F.col("base"))
 
 
+#: Terms of the continued fraction; it converges in far fewer for tails of a fair coin.
+TAIL_TERMS = 200
+
+
+@F.pandas_udf(DoubleType())
+def _log_gamma(x: pd.Series) -> pd.Series:
+    return x.map(math.lgamma, na_action="ignore")
+
+
 def _upper_tail(n: Column, k: Column) -> Column:
-    """P(X >= k) of a fair binomial for k above n/2, by a running product of terms."""
-    none = F.lit(0.0)
-    log_c = F.when(
-        n > k,
-        F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n - k, F.lit(1))), none, lambda s, i: s + F.ln((k + i) / i)),
-    ).otherwise(none)
-    first = F.exp(log_c - n * F.lit(math.log(2.0)))
-    start = F.struct(first.alias("term"), first.alias("total"))
+    """P(X >= k) of a fair binomial: the regularised incomplete beta I(1/2; k, n - k + 1).
+
+    A continued fraction of a fixed number of terms, whatever n.
+    """
+    a, b = k.cast("double"), (n - k + 1).cast("double")
+    log_front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) - (a + b) * F.lit(math.log(2.0))
+
+    def fraction(a: Column, b: Column) -> Column:
+        tiny = F.lit(1e-300)
+        near = lambda v: F.when(F.abs(v) < 1e-300, tiny).otherwise(v)
+        d = 1.0 / near(1.0 - (a + b) * 0.5 / (a + 1.0))
+        start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+
+        def step(s: Column, m: Column) -> Column:
+            m = m.cast("double")
+            even = m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))
 
-    def step(s: Column, j: Column) -> Column:
-        term = s["term"] * (n - j + 1) / j
-        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+            def advance(s: Column, t: Column) -> Column:
+                d, c = 1.0 / near(1.0 + t * s["d"]), near(1.0 + t / s["c"])
+                return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
 
-    return F.when(n > k, F.aggregate(F.sequence(k + 1, F.greatest(n, k + 1)), start, step, lambda s: s["total"])).otherwise(first)
+            first = advance(s, even)
+            return F.aggregate(F.array(F.lit(0)), first, lambda x, _: advance(x, odd))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TAIL_TERMS)), start, step, lambda s: s["h"])
+
+    front = F.exp(log_front)
+    # the fraction converges fast left of the mean of its beta; else the other tail is taken
+    direct = front * fraction(a, b) / a
+    other = 1.0 - front * fraction(b, a) / b
+    inside = F.when((a + 1) / (a + b + 2) > 0.5, direct).otherwise(other)
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(inside)
 
 
 def sign_test(diffs: DataFrame, keys: Sequence[str], diff: str = "diff") -> DataFrame:
@@ -53,9 +79,7 @@ def sign_test(diffs: DataFrame, keys: Sequence[str], diff: str = "diff") -> Data
         F.count(F.when(F.col(diff) > 0, 1)).alias("wins"),
         F.avg(diff).alias("mean_diff"),
     )
-    n, w = F.col("n"), F.col("wins")
-    low = F.when(w <= 0, 1.0).otherwise(1.0 - _upper_tail(n, n - w + 1))
-    return counted.withColumn("p_sign", F.when(2 * w > n, _upper_tail(n, w)).otherwise(low))
+    return counted.withColumn("p_sign", _upper_tail(F.col("n"), F.col("wins")))
 
 
 @F.pandas_udf(DoubleType())
@@ -77,12 +101,18 @@ def _signed_rank_tail(n: Column, w: Column) -> Column:
     return F.aggregate(reached, F.lit(0.0), lambda a, c: a + c) / F.pow(F.lit(2.0), n)
 
 
-def wilcoxon(diffs: DataFrame, keys: Sequence[str], diff: str = "diff", at_least: int = 5) -> DataFrame:
+def wilcoxon(
+    diffs: DataFrame, keys: Sequence[str], diff: str = "diff", at_least: int = 5, method: str = "auto", exact_up_to: int = 50
+) -> DataFrame:
     """One-sided signed-rank test: (keys, n_used, w_plus, p_wilcoxon).
 
-    Zero differences drop out. Exact for up to 50 pairs without ties or zeros, normal
-    approximation with tie correction otherwise; NULL for fewer than ``at_least`` pairs.
+    Zero differences drop out; NULL for fewer than ``at_least`` pairs. ``exact`` counts subset
+    sums and is defined without ties and zeros only (NULL otherwise); ``normal`` approximates
+    with tie correction; ``auto`` is exact where it is defined for up to ``exact_up_to`` pairs
+    (the usual convention) and normal elsewhere.
     """
+    if method not in ("exact", "normal", "auto"):
+        raise ValueError(f"unknown method: {method}")
     keys = list(keys)
     levels = diffs.groupBy(*keys, F.abs(diff).alias("size")).agg(
         F.count(F.lit(1)).alias("c"), F.count(F.when(F.col(diff) > 0, 1)).alias("p")
@@ -99,12 +129,15 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], diff: str = "diff", at_least
     )
     out = zeros.join(stats, keys, "left") if keys else zeros.join(stats, F.lit(True), "left")
     n, w = F.col("n_used"), F.col("w_plus")
-    exact = (n <= EXACT_LIMIT) & (F.col("zeros") == 0) & (F.col("ties") == 0)
+    plain = (F.col("zeros") == 0) & (F.col("ties") == 0)
+    exact = {"exact": plain, "normal": F.lit(False), "auto": plain & (n <= exact_up_to)}[method]
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
     z = (w - n * (n + 1) / 4.0) / F.sqrt(F.nullif(variance, F.lit(0.0)))
     tested = out.withColumn("_z", z).withColumn("_normal", _normal_tail("_z"))
     small_n = F.when(exact, n).otherwise(F.lit(1).cast("long"))
-    p = F.when(exact, _signed_rank_tail(small_n, w)).otherwise(F.col("_normal"))
+    p = F.when(exact, _signed_rank_tail(small_n, w))
+    if method != "exact":
+        p = p.otherwise(F.col("_normal"))
     return tested.withColumn("p_wilcoxon", F.when(F.col("n_all") >= at_least, p)).select(*keys, "n_used", "w_plus", "p_wilcoxon")
 
 
@@ -128,17 +161,20 @@ def _interval(replicates: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
 
 
-POISSON_STEPS = 12
-
-
 def _poisson_cuts() -> list[int]:
-    """Upper ends, in [0, PRIME), of the draws that give weight 0, 1, 2, ... under Poisson(1)."""
-    cuts, term, below = [], math.exp(-1.0), 0.0
-    for k in range(POISSON_STEPS):
-        below += term
-        cuts.append(int(below * PRIME))
-        term /= k + 1
-    return cuts
+    """Upper ends, in [0, RANGE), of the draws that give weight 0, 1, 2, ... under Poisson(1).
+
+    As many as the resolution of a draw can tell apart.
+    """
+    cuts, term, below, k = [], 1.0, 0.0, 0
+    while True:
+        below += term * math.exp(-1.0)
+        cut = int(below * RANGE)
+        if cut >= RANGE or (cuts and cut == cuts[-1]):
+            return cuts
+        cuts.append(cut)
+        k += 1
+        term /= k
 
 
 def poisson_weight_sql(u: str) -> str:
@@ -193,15 +229,6 @@ def _poisson_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, s
     return narrow.mapInPandas(weigh, schema)
 
 
-def poisson_weight_sql(u: str) -> str:
-    parts, term, below = [], math.exp(-1.0), 0.0
-    for k in range(POISSON_STEPS):
-        below += term
-        parts.append(f"({u} >= {int(below * PRIME)})::int")
-        term /= k + 1
-    return " + ".join(parts)
-
-
 def cluster_bootstrap(
     sums: DataFrame, keys: Sequence[str], group: str, cluster: str, draws: int = 2000, seed: int = 0, scheme: str = "resample"
 ) -> DataFrame:

@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import materialize
+
 NUMERIC = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
 
-def flatten_json(df: DataFrame, keys: Sequence[str], column: str, depth: int = 4) -> DataFrame:
-    """(keys, metric, value): every number of a nested JSON object under its dotted path.
+def flatten_json(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """(keys, metric, value): every number of a nested JSON object under its dotted path, however deep.
 
-    Booleans, strings, lists and nulls drop out, and so does the bare NaN that some
-    writers emit. ``depth`` bounds the nesting that is followed.
+    Booleans, strings, lists and nulls drop out, and so do the bare NaN and Infinity that some
+    writers emit. A row that is no JSON gives nothing; ``broken_json`` finds such rows. Levels
+    are followed until no object is left; each is a smaller table than the one before.
     """
     spark = df.sparkSession
     keys = list(keys)
     listed = "".join(f"t.{k}, " for k in keys)
-    clean = F.regexp_replace(F.col(column), r"(:\s*)NaN\b", "$1null")
-    level = df.select(*keys, F.lit("").alias("path"), F.parse_json(clean).alias("v"))
+    level = df.select(*keys, F.lit("").alias("path"), _parsed(column).alias("v")).where("v IS NOT NULL")
     found = None
-    for _ in range(depth):
+    while True:
         fields = spark.sql(
             f"SELECT {listed} concat(t.path, e.key) AS metric, e.value AS v, schema_of_variant(e.value) AS kind "
             "FROM {level} t, LATERAL variant_explode(t.v) e WHERE e.key IS NOT NULL",
@@ -33,8 +35,23 @@ def flatten_json(df: DataFrame, keys: Sequence[str], column: str, depth: int = 4
             *keys, "metric", F.variant_get("v", "$", "double").alias("value")
         )
         found = numbers if found is None else found.unionByName(numbers)
-        level = fields.where(kind == "OBJECT").select(*keys, F.concat("metric", F.lit(".")).alias("path"), "v")
-    return found
+        level = materialize(
+            fields.where(kind == "OBJECT").select(
+                *keys, F.concat("metric", F.lit(".")).alias("path"), F.to_json("v").alias("v")
+            )
+        ).withColumn("v", F.parse_json("v"))
+        if level.isEmpty():
+            return found
+
+
+def _parsed(column: str) -> Column:
+    clean = F.regexp_replace(F.col(column), r"([:\[,]\s*)(?:NaN|[+-]?Infinity)(?=\s*[,\]}])", "$1null")
+    return F.try_parse_json(clean)
+
+
+def broken_json(df: DataFrame, column: str) -> DataFrame:
+    """Rows with a text in ``column`` that is no JSON."""
+    return df.where(F.col(column).isNotNull() & _parsed(column).isNull())
 
 
 def aggregate_seeds(flat: DataFrame, keys: Sequence[str] = (), metric: str = "metric", value: str = "value") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import Box, clip, decode_point, iou, shift, tile_offsets
+from plumbline.functions.geometry import Box, clip, decode_point, shift, tile_offsets
 from plumbline.functions.scores import quality
 from plumbline.operators.matching import overlapping_pairs
 from plumbline.session import materialize
@@ -16,39 +16,15 @@ from plumbline.session import materialize
 _CORNERS = ("x1", "y1", "x2", "y2")
 
 
-def _struct_box(s: Column) -> Box:
-    return Box(*(s[c] for c in _CORNERS))
-
-
-def suppress(df: DataFrame, keys: Sequence[str], threshold: float = 0.5, fold_limit: int = 1000, cell: float = 256.0) -> DataFrame:
+def suppress(df: DataFrame, keys: Sequence[str], threshold: float = 0.5, cell: float = 256.0) -> DataFrame:
     """Rows that survive: best score first, a row falls if a kept one overlaps it by more
     than ``threshold``; ties go to the lower ``det_id``. Add a class to ``keys`` for
     suppression within classes only.
 
-    Groups of at most ``fold_limit`` rows are folded where they lie. Larger ones are never
-    gathered: they are settled in rounds over their overlap pairs, with the same result.
+    Groups are never gathered: rows are settled in rounds over the pairs that overlap, however
+    few or many a group has.
     """
-    keys = list(keys)
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold_limit).drop("_n")
-    if not big.take(1):
-        return _folded(df, keys, threshold)
-    big = materialize(big)
-    small = _folded(df.join(big, keys, "left_anti"), keys, threshold)
-    large = _settled(df.join(big, keys, "left_semi"), keys, threshold, cell)
-    return small.unionByName(large)
-
-
-def _folded(df: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    extra = [c for c in df.columns if c not in keys]
-    row = F.struct((-F.col("score")).alias("_s"), F.col("det_id").alias("_d"), *[F.col(c) for c in extra])
-    ranked = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def step(kept: Column, r: Column) -> Column:
-        falls = F.exists(kept, lambda k: iou(_struct_box(k), _struct_box(r)) > threshold)
-        return F.when(falls, kept).otherwise(F.concat(kept, F.array(r)))
-
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), step)
-    return ranked.select(*keys, F.inline(kept)).select(*df.columns)
+    return _settled(df, list(keys), threshold, cell)
 
 
 def _settled(df: DataFrame, keys: list[str], threshold: float, cell: float) -> DataFrame:
@@ -87,17 +63,21 @@ def top_per_key(df: DataFrame, keys: Sequence[str], k: int, tie: str = "det_id")
 
 
 def decode_detections(
-    points: DataFrame, keys: Sequence[str] = ("image_id",), score_cut: float = 0.05, threshold: float = 0.5, max_det: int = 300
+    points: DataFrame, keys: Sequence[str] = ("image_id",), score_cut: float = 0.05, threshold: float = 0.5,
+    max_det: int | None = None, before: int = 4,
 ) -> DataFrame:
-    """Boxes from raw grid points: score cut, top 4*max_det, suppression, top max_det.
+    """Boxes from raw grid points: score cut, suppression; with ``max_det`` the best so many of each key.
 
+    With ``max_det`` only the best ``before * max_det`` boxes of a key go into suppression.
     ``points`` holds det_id, px, py, stride, left, top, right, bottom, class_logit,
     centre_logit.
     """
     box = decode_point(*(F.col(c) for c in ("px", "py", "stride", "left", "top", "right", "bottom")))
     scored = points.withColumn("score", quality(F.col("class_logit"), F.col("centre_logit"))).where(F.col("score") >= score_cut)
     boxes = scored.select(*keys, "det_id", "score", F.col("class_logit").alias("det_logit"), *box.columns())
-    kept = suppress(top_per_key(boxes, keys, 4 * max_det), keys, threshold)
+    if max_det is None:
+        return suppress(boxes, keys, threshold)
+    kept = suppress(top_per_key(boxes, keys, before * max_det), keys, threshold)
     return top_per_key(kept, keys, max_det)
 
 
@@ -136,12 +116,14 @@ def fuse_tiles(detections: DataFrame, grid: DataFrame, images: DataFrame, thresh
 
 
 def failure_images(
-    detections: DataFrame, boxes: DataFrame, hits: DataFrame, n: int, prefer: str = "fp", image: str = "image_id"
+    detections: DataFrame, boxes: DataFrame, hits: DataFrame, n: int, prefer: str = "fp", image: str = "image_id",
+    images: DataFrame | None = None,
 ) -> DataFrame:
     """The ``n`` images with most false positives (or misses), ties by the higher image id.
 
-    Images without a failure are left out unless no image has one. ``detections`` and
-    ``hits`` should already be cut at the score of interest.
+    Images without a failure fill the list where fewer than ``n`` have one. ``detections`` and
+    ``hits`` should already be cut at the score of interest; ``images`` adds images that have
+    neither detections nor boxes.
     """
     if prefer not in ("fp", "fn"):
         raise ValueError(f"unknown preference: {prefer}")
@@ -151,9 +133,9 @@ def failure_images(
         .unionByName(boxes.select(image, zero.alias("d"), one.alias("b"), zero.alias("t")))
         .unionByName(hits.select(image, zero.alias("d"), zero.alias("b"), one.alias("t")))
     )
+    if images is not None:
+        parts = parts.unionByName(images.select(image, zero.alias("d"), zero.alias("b"), zero.alias("t")))
     per_image = parts.groupBy(image).agg(
         (F.sum("d") - F.sum("t")).alias("fp"), (F.sum("b") - F.sum("t")).alias("fn")
     )
-    top = per_image.orderBy(F.col(prefer).desc(), F.col(image).desc()).limit(n)
-    worst = per_image.agg(F.max(prefer)).scalar()
-    return top.where((F.col(prefer) > 0) | (worst == 0))
+    return per_image.orderBy(F.col(prefer).desc(), F.col(image).desc()).limit(n)

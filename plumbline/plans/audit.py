@@ -343,19 +343,22 @@ def _group_boxes(spark, sf_dir):
 @query(
     "metadata_crosstab",
     with_tables("images", body="""
-SELECT split, m.lang AS value, count(*) AS images
-FROM images i LEFT JOIN (SELECT d.doc_id, d.lang FROM documents d JOIN labels l ON l.doc_id = d.doc_id) m ON m.doc_id = i.image_id
+SELECT split, m.source AS value, count(*) AS images
+FROM images i LEFT JOIN (SELECT d.doc_id, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id) m ON m.doc_id = i.image_id
 GROUP BY ALL"""),
 )
 def _crosstab(spark, sf_dir):
-    """Metadata of the labelled documents by base name; the others are misses."""
+    """Metadata of the labelled documents by base name; the others are misses. Of two rows for a name the later counts."""
     images = T.images(spark, sf_dir).select("split", F.expr("concat('set/', split, '/', image_id, '.png')").alias("file_name"))
     labelled = T.read(spark, sf_dir, "labels").select("doc_id")
     meta = (
-        T.read(spark, sf_dir, "documents").select("doc_id", "lang").join(labelled, "doc_id", "left_semi")
-        .select(F.expr("concat(doc_id, '.png')").alias("file_name"), F.col("lang").alias("background"))
+        T.read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(labelled, "doc_id", "left_semi")
+        .select(
+            F.expr("concat(doc_id, '.png')").alias("file_name"),
+            F.posexplode(F.array("lang", "source")).alias("line", "background"),
+        )
     )
-    return A.metadata_crosstab(images, meta)
+    return A.metadata_crosstab(images, meta, order="line")
 
 
 @query(

@@ -66,13 +66,13 @@ def _wilcoxon(spark, sf_dir):
     "paired_bootstrap",
     with_tables("reports", extra=_DIFFS + f""",
 ix AS (SELECT variant, diff, row_number() OVER (PARTITION BY variant ORDER BY seed) - 1 AS idx, count(*) OVER (PARTITION BY variant) AS n FROM diffs),
-picks AS (SELECT variant, b, ({draw_sql(0, "b", "idx")}) % n AS idx FROM ix CROSS JOIN (SELECT range AS b FROM range(2000)))""",
+picks AS (SELECT variant, b, ({draw_sql(0, "b", "idx")}) % n AS idx FROM ix CROSS JOIN (SELECT range AS b FROM range(10000)))""",
     body="""
 SELECT variant, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM (
   SELECT p.variant, b, avg(diff) AS m FROM picks p JOIN ix ON ix.variant = p.variant AND ix.idx = p.idx GROUP BY ALL) GROUP BY variant"""),
 )
 def _paired_bootstrap(spark, sf_dir):
-    out = X.mean_difference_interval(diffs(spark, sf_dir), ["variant"], "seed", draws=2000)
+    out = X.mean_difference_interval(diffs(spark, sf_dir), ["variant"], "seed")
     return out.select("variant", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
@@ -86,7 +86,7 @@ SELECT grp, round(quantile_cont(ece, 0.025), 6) AS ci_low, round(quantile_cont(e
   SELECT grp, b, sum(abs(h - c)) / sum(n) AS ece FROM (
     SELECT grp, b, bin, sum(w * n) AS n, sum(w * hits) AS h, sum(w * conf) AS c FROM weighted GROUP BY ALL) GROUP BY ALL) GROUP BY grp
 """
-BOOTSTRAP_DRAWS = 100
+BOOTSTRAP_DRAWS = 2000
 
 
 @query(
@@ -182,7 +182,7 @@ def _cycle(spark, sf_dir):
 plain AS (SELECT 'as logged' AS name, example AS position, grp FROM losses UNION ALL SELECT 'cycled', position, background FROM ordered),
 win AS (SELECT name, position // 8 AS w, count(DISTINCT grp) AS seen, any_value(gn) AS gn FROM plain
         JOIN (SELECT name, count(*) // 8 AS fw, count(DISTINCT grp) AS gn FROM plain GROUP BY 1) USING (name)
-        WHERE position // 8 < least(200, fw) GROUP BY ALL)""",
+        WHERE position // 8 < fw GROUP BY ALL)""",
     body="SELECT name, count(*) AS windows, round(avg((seen = gn)::int), 6) AS coverage FROM win GROUP BY name"),
 )
 def _coverage(spark, sf_dir):
@@ -242,22 +242,25 @@ def _dro_loss(spark, sf_dir):
 
 
 def nested_reports(spark, sf_dir):
-    """Run reports as JSON texts, nested and with parts that are no numbers."""
-    return T.run_reports(spark, sf_dir).select(
+    """Run reports as JSON texts, nested, with parts that are no numbers, and with torn ones between them."""
+    whole = T.run_reports(spark, sf_dir).select(
         "variant",
         "seed",
         F.format_string(
             '{"detection": {"score": %s, "undefined": NaN, "per_group": {"a": %s, "b": %s}}, '
-            '"collapsed": false, "note": "x", "sizes": [1, 2], "n_rows": %s}',
-            F.col("score").cast("string"), F.col("seed").cast("string"), (F.col("seed") * 2).cast("string"), F.col("n_rows").cast("string"),
+            '"p": {"q": {"r": {"s": {"t": {"u": %s}}}}}, "limits": [-Infinity, 1], "top": Infinity, "collapsed": false, "note": "x", "sizes": [1, 2], "n_rows": %s}',
+            F.col("score").cast("string"), F.col("seed").cast("string"), (F.col("seed") * 2).cast("string"),
+            (F.col("seed") * 3).cast("string"), F.col("n_rows").cast("string"),
         ).alias("report"),
     )
+    torn = whole.withColumn("report", F.expr("substr(report, 1, length(report) - 1)"))
+    return whole.unionByName(torn)
 
 
 _FLAT = """
 flat AS (SELECT variant, seed, unnest([
   {'metric': 'detection.score', 'value': score}, {'metric': 'detection.per_group.a', 'value': seed::double},
-  {'metric': 'detection.per_group.b', 'value': seed * 2::double}, {'metric': 'n_rows', 'value': n_rows::double}], recursive := true) FROM reports)
+  {'metric': 'detection.per_group.b', 'value': seed * 2::double}, {'metric': 'p.q.r.s.t.u', 'value': seed * 3::double}, {'metric': 'n_rows', 'value': n_rows::double}], recursive := true) FROM reports)
 """
 
 
@@ -285,7 +288,7 @@ SELECT DISTINCT 'k' AS metric, event_type AS variant FROM events WHERE props LIK
 def _keys(spark, sf_dir):
     """Metric names seen in the JSON properties of the events."""
     events = T.read(spark, sf_dir, "events").select(F.col("event_type").alias("variant"), "props")
-    return R.flatten_json(events, ["variant"], "props", depth=1).select("metric", "variant").distinct()
+    return R.flatten_json(events, ["variant"], "props").select("metric", "variant").distinct()
 
 
 @query(

@@ -217,6 +217,23 @@ def _failures(spark, sf_dir):
     return P.failure_images(dets, gt, M.true_positives(dets, gt), 20)
 
 
+@query(
+    "failure_images_filled",
+    with_tables("best", "boxes", "images", extra="""
+cut AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY image_id, gt_id ORDER BY score DESC, det_id) = 1 THEN 1 ELSE 0 END AS tp
+        FROM best WHERE score >= 0.5 AND iou >= 0.5)""", body="""
+SELECT image_id, (SELECT count(*) FROM best d WHERE d.image_id = i.image_id AND d.score >= 0.5) - coalesce(t, 0) AS fp, coalesce(b, 0) - coalesce(t, 0) AS fn
+FROM (SELECT image_id FROM images UNION SELECT image_id FROM boxes UNION SELECT image_id FROM best WHERE score >= 0.5) i
+LEFT JOIN (SELECT image_id, sum(tp)::bigint AS t FROM cut GROUP BY 1) USING (image_id)
+LEFT JOIN (SELECT image_id, count(*) AS b FROM boxes GROUP BY 1) USING (image_id)
+ORDER BY fn DESC, image_id DESC LIMIT 100000"""),
+)
+def _failures_filled(spark, sf_dir):
+    """A list longer than there are failing images: it is filled with the others."""
+    dets, gt, images = T.detections(spark, sf_dir).where("score >= 0.5"), T.boxes(spark, sf_dir), T.images(spark, sf_dir)
+    return P.failure_images(dets, gt, M.true_positives(dets, gt), 100_000, "fn", images=images)
+
+
 @query(
     "densest_cap",
     with_tables("dets", body="""

@@ -120,7 +120,7 @@ def _audit(spark, sf_dir):
 )
 def _significance(spark, sf_dir):
     """Sign test, signed-rank test and interval in one row per comparison."""
-    out = K.significance_report(diffs(spark, sf_dir), ["variant"], "seed", draws=2000)
+    out = K.significance_report(diffs(spark, sf_dir), ["variant"], "seed")
     return out.select(
         "variant", "n", "wins", "w_plus",
         *[F.round(c, 7).alias(c) for c in ("p_sign", "p_wilcoxon")], *[r6(c).alias(c) for c in ("mean_diff", "ci_low", "ci_high")],

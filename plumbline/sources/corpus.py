@@ -95,7 +95,12 @@ def metadata_lookup(rows: DataFrame, order: str, file_name: str = "file_name", c
 
 def read_metadata(spark: SparkSession, path: str, file_name: str = "file_name", camera: str = "camera", background: str = "background") -> DataFrame:
     """Metadata CSV with a header; column names differ between corpora, hence arguments."""
-    rows = spark.read.option("header", True).csv(path).withColumn("_line", F.monotonically_increasing_id())
+    # the order of lines: by file name, by block of the file, by place in the block
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    rows = spark.read.option("header", True).csv(path).withColumn("_line", place)
     return metadata_lookup(rows, "_line", file_name, camera, background)
 
 
