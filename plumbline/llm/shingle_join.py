@@ -434,21 +434,44 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
 
     # once each: others against the largest component, and others among themselves
     across = (F.col("r.c") != F.col("o.c")) & ((F.col("o.c") == F.col("o._main")) | (F.col("r.g") < F.col("o.g")))
-    # inside a star: sets that share a difference from the centre; all their differences are counted
-    from_centre = apart.select(F.col("a").alias("g"), F.col("b").alias("star"), F.size("_only").alias("d"), "_only").join(
-        prefixes.select(F.col("s").alias("g"), "n"), "g"
+    # inside a star, by what the sets differ from a centre that is moved to what most of them hold
+    sizes = prefixes.select(F.col("s").alias("g"), "n")
+    from_centre = (
+        apart.select(F.col("a").alias("g"), F.col("b").alias("star"), "_only").join(sizes, "g")
+        .join(sizes.select(F.col("g").alias("star"), F.col("n").alias("_m")), "star")
+        .where(4 * F.size("_only") <= F.col("n") + F.col("_m"))
+        .select("g", "star", "n", "_only")
     )
-    there = materialize(labelled(from_centre).select("g", "star", "n", "d", "c", F.explode("_only").alias("token")))
+    from_centre = materialize(from_centre)
+    those = materialize(from_centre.select("g", "star", F.explode("_only").alias("token")))
+    people = from_centre.groupBy("star").agg(F.count("*").alias("_k"))
+    usual = (
+        those.groupBy("star", "token").agg(F.count("*").alias("_c")).join(people, "star").where("2 * _c > _k").select("star", "token")
+    )
+    moved = materialize(
+        those.join(usual, ["star", "token"], "left_anti").select("g", "star", "token").unionByName(
+            from_centre.select("g", "star").join(usual, "star").join(those, ["g", "star", "token"], "left_anti")
+        )
+    )
+    # f(x) + f(y) <= 0 links x and y whatever they share; all of these link with the least f
+    far = from_centre.select("g", "star", "n").join(moved.groupBy("g").agg(F.count("*").alias("d")), "g", "left").withColumn(
+        "d", F.coalesce("d", F.lit(0))
+    )
+    far = materialize(far.withColumn("f", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")))
+    nearest = far.groupBy("star").agg(F.min(F.struct("f", "g")).alias("_y"))
+    close = far.join(nearest, "star").where((F.col("f") + F.col("_y.f") <= 0) & (F.col("g") != F.col("_y.g")))
+    edges = materialize(edges.unionByName(close.select(F.col("g").alias("a"), F.col("_y.g").alias("b"))))
+    # all others must share a difference; all their differences are counted
+    there = materialize(labelled(moved.join(far.select("g", "n", "d"), "g")))
     rest, mixed = mixed_up(there, ["star", "token"])
     differ = (
         rest.join(mixed, (F.col("r.star") == F.col("o.star")) & (F.col("r.token") == F.col("o.token")) & across)
         .groupBy(F.least("r.g", "o.g").alias("a"), F.greatest("r.g", "o.g").alias("b"))
         .agg(F.count("*").alias("k"), F.first(F.col("r.n") + F.col("o.n")).alias("n"), F.first(F.col("r.d") + F.col("o.d")).alias("d"))
-        .withColumn("d", F.col("d") - 2 * F.col("k"))
-        .where(100 * (F.col("n") - F.col("d")) >= percent * (F.col("n") + F.col("d")))
+        .where((100 + percent) * (F.col("d") - 2 * F.col("k")) <= (100 - percent) * F.col("n"))
     )
     edges = materialize(edges.unionByName(differ.select("a", "b")))
-    release(there)
+    release(there, those, moved)
     star = from_centre.select("g", "star")
     here = materialize(labelled(met.join(star, "g", "left")).select("token", "g", "n", "p", "c", "star"))
     rest, mixed = mixed_up(here, ["token"])
