@@ -175,6 +175,17 @@ def _margin_score(df: DataFrame, vec: str, positive: np.ndarray, negative: np.nd
 BANK_ROWS, BANK_PER_CLASS = 1024, 512  # fixed values: size limits of the bank
 
 
+HANDED_ROWS = 16_384
+
+
+def _handed(few: DataFrame) -> list:
+    """Rows of a table of checked size."""
+    rows = few.limit(HANDED_ROWS + 1).collect()
+    if len(rows) > HANDED_ROWS:
+        raise ValueError(f"more than {HANDED_ROWS} references; draw a sample with memory_bank or class_prototypes")
+    return rows
+
+
 def memory_bank(labelled: DataFrame, row_id: str, vec: str, label: str = "positive", seed: int = 0, rows: int = BANK_ROWS, per_class: int = BANK_PER_CLASS) -> DataFrame:
     """References: the first ``rows`` labelled vectors, at most ``per_class`` of each class at random."""
     first = labelled.orderBy(row_id).limit(rows)
@@ -185,9 +196,9 @@ def memory_bank(labelled: DataFrame, row_id: str, vec: str, label: str = "positi
 def memory_bank_score(df: DataFrame, bank: DataFrame, vec: str, label: str = "positive", out: str = "ver_logit") -> DataFrame:
     """5 * (nearest positive - nearest negative) by cosine; 0 with no positive reference.
 
-    The bank has a fixed maximum size, so it is the one thing handed to every task.
+    The bank is handed to every task, so it may have ``HANDED_ROWS`` rows at most.
     """
-    rows = bank.select(vec, label).collect()
+    rows = _handed(bank.select(vec, label))
     positive = [r[0] for r in rows if r[1] == 1]
     negative = [r[0] for r in rows if r[1] == 0]
     return _margin_score(
@@ -195,15 +206,17 @@ def memory_bank_score(df: DataFrame, bank: DataFrame, vec: str, label: str = "po
     )
 
 
-PROTOTYPE_ROWS = 256  # fixed value: labelled vectors that prototypes are built from
-
-
-def class_prototypes(labelled: DataFrame, row_id: str, vec: str, label: str = "positive", k: int = 8, seed: int = 0) -> DataFrame:
-    """k centres per class from the first labelled vectors: (label, vec).
+def class_prototypes(labelled: DataFrame, row_id: str, vec: str, label: str = "positive", k: int = 8, seed: int = 0, per_class: int = 128) -> DataFrame:
+    """k centres per class from labelled vectors: (label, vec).
 
-    A class with no more than k vectors keeps its own vectors, repeated up to k.
+    Fitted on ``per_class`` vectors of each class at most, drawn by a hash of their ids. A class
+    with no more than k vectors keeps its own vectors, repeated up to k.
     """
-    first = materialize(labelled.orderBy(row_id).limit(PROTOTYPE_ROWS).select(label, vec))
+    drawn = [
+        labelled.where(F.col(label) == c).orderBy(draw(seed, F.col(row_id)), row_id).limit(per_class).select(label, vec)
+        for c in (0, 1)
+    ]
+    first = materialize(drawn[0].unionByName(drawn[1]))
     out = []
     for c in (0, 1):
         rows = first.where(F.col(label) == c)
@@ -220,6 +233,6 @@ def class_prototypes(labelled: DataFrame, row_id: str, vec: str, label: str = "p
 
 
 def prototype_score(df: DataFrame, prototypes: DataFrame, vec: str, label: str = "positive", scale: float = 10.0, bias: float = 0.0, out: str = "ver_logit") -> DataFrame:
-    rows = prototypes.select(vec, label).collect()
+    rows = _handed(prototypes.select(vec, label))
     positive, negative = [r[0] for r in rows if r[1] == 1], [r[0] for r in rows if r[1] == 0]
     return _margin_score(df, vec, _unit(positive) if positive else np.empty((0, 1)), _unit(negative) if negative else np.empty((0, 1)), scale, bias, out)

@@ -14,28 +14,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 _PART = "_range"
+#: Rows that one range is meant to hold.
+RANGE_ROWS = 500_000
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], rows_per_range: int = RANGE_ROWS
 ) -> DataFrame:
     """Add ``rank`` (1-based), ``n`` (rows of the key) and one running total per entry of
     ``sums`` (plus its final value as ``<name>_all``), all within ``keys`` in ``order``.
 
     ``order`` must be total; add a unique column as the last tie breaker. ``df`` must not
-    have columns named ``rank`` or ``n``.
+    have columns named ``rank`` or ``n``. There are as many ranges as hold ``rows_per_range``
+    rows each, so a task's share does not grow with the table.
     """
     keys = list(keys)
     names = list(sums)
     valued = df.select("*", *[expr.alias(f"_v_{name}") for name, expr in sums.items()])
+    # written once, so that sampling for the ranges does not work the input out again
+    narrow = materialize(valued)
+    ranges = max(1, -(-narrow.count() // rows_per_range))
     ranged = materialize(
-        valued.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
-            _PART, F.spark_partition_id()
-        )
+        narrow.repartitionByRange(ranges, *[F.col(k) for k in keys], *order).withColumn(_PART, F.spark_partition_id())
     )
+    release(narrow)
     # one row per (key, range): at most #keys + #ranges rows
     parts = ranged.groupBy(*keys, _PART).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{c}").alias(f"_s_{c}") for c in names]

@@ -27,20 +27,37 @@ def paired_differences(reports: DataFrame, variant: str, baseline: str, on: Sequ
     return both.withColumn("diff", F.col(value) - F.col("base"))
 
 
-#: Terms of the continued fraction; it converges in far fewer for tails of a fair coin.
+#: Terms of the continued fraction. It needs about the square root of n; beyond TAIL_EXACT tosses
+#: the normal tail with its fourth-cumulant term is closer than rounding leaves the fraction.
 TAIL_TERMS = 200
+TAIL_EXACT = 10_000
+
+
+@F.pandas_udf(DoubleType())
+def _normal_tail(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)), na_action="ignore")
 
 
 @F.pandas_udf(DoubleType())
 def _log_gamma(x: pd.Series) -> pd.Series:
-    return x.map(math.lgamma, na_action="ignore")
+    return x.map(lambda v: math.lgamma(v) if v > 0 else math.inf, na_action="ignore")
 
 
 def _upper_tail(n: Column, k: Column) -> Column:
     """P(X >= k) of a fair binomial: the regularised incomplete beta I(1/2; k, n - k + 1).
 
-    A continued fraction of a fixed number of terms, whatever n.
+    A continued fraction of a fixed number of terms; for very many tosses the normal tail, corrected
+    for continuity and for the fourth cumulant.
     """
+    full = n
+    z = (k - 0.5 - n / 2.0) / (F.sqrt(n) / 2.0)
+    bell = F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi)
+    many = _normal_tail(z) - bell * (z * z * z - 3.0 * z) / (12.0 * n)
+    n, k = F.least(n, F.lit(TAIL_EXACT)), F.when(n <= TAIL_EXACT, k).otherwise(F.lit(1))
+    return F.when(full > TAIL_EXACT, many).otherwise(_exact_tail(n, k))
+
+
+def _exact_tail(n: Column, k: Column) -> Column:
     a, b = k.cast("double"), (n - k + 1).cast("double")
     log_front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) - (a + b) * F.lit(math.log(2.0))
 
@@ -82,11 +99,6 @@ def sign_test(diffs: DataFrame, keys: Sequence[str], diff: str = "diff") -> Data
     return counted.withColumn("p_sign", _upper_tail(F.col("n"), F.col("wins")))
 
 
-@F.pandas_udf(DoubleType())
-def _normal_tail(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)), na_action="ignore")
-
-
 def _signed_rank_tail(n: Column, w: Column) -> Column:
     """P(W >= w) under the null for n untied pairs: subset sums of 1..n counted by folding."""
     top = n * (n + 1) / 2
@@ -229,16 +241,80 @@ def _poisson_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, s
     return narrow.mapInPandas(weigh, schema)
 
 
+#: Clusters whose picks one task draws, and counts, at a time.
+PICK_BLOCK = 1024
+
+
+def _resample_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
+    """Weighted bin sums of every replicate: (keys, bin, b, n, hits, conf), partial per block of clusters.
+
+    Pick i of replicate b falls on cluster ``draw(b, i) % clusters``. A task draws the picks of a
+    range of i for all replicates and sends each block of clusters the packed (b, cluster) it got.
+    """
+    values = ["n", "hits", "conf"]
+    clusters = running_totals(cells.select(*keys, cluster).distinct(), keys, [F.col(cluster)], {}).select(
+        *keys, cluster, F.col("n").alias("total"), (F.col("rank") - 1).alias("idx")
+    )
+    ranges = clusters.groupBy(*keys).agg(F.max("total").alias("total")).select(
+        *keys, "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / PICK_BLOCK))).alias("part")
+    ).repartition(*keys, "part")
+    replicate = np.arange(draws, dtype=np.int64)
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                i = np.arange(row.part * PICK_BLOCK, min(row.total, (row.part + 1) * PICK_BLOCK), dtype=np.int64)
+                u = draw_array(seed, replicate[:, None], i[None, :]) % row.total
+                block, packed = (u // PICK_BLOCK).ravel(), (replicate[:, None] * PICK_BLOCK + u % PICK_BLOCK).ravel()
+                order = np.argsort(block, kind="stable")
+                found, starts = np.unique(block[order], return_index=True)
+                out = pd.DataFrame({
+                    "block": found, "picks": [x.astype("<u4").tobytes() for x in np.split(packed[order], starts[1:])]
+                })
+                for k in keys:
+                    out[k] = getattr(row, k)
+                yield out[[*keys, "block", "picks"]]
+
+    def weigh(picks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        weights = np.zeros((draws, PICK_BLOCK))
+        for blob in picks["picks"]:
+            weights += np.bincount(np.frombuffer(blob, "<u4"), minlength=draws * PICK_BLOCK).reshape(draws, PICK_BLOCK)
+        out = []
+        for (_, own) in part.groupby(part["bin"].fillna(-1)):
+            at = (own["idx"] % PICK_BLOCK).to_numpy(dtype=np.int64)
+            sums = pd.DataFrame(weights[:, at] @ own[values].to_numpy(dtype=np.float64), columns=values)
+            sums.insert(0, "b", replicate.astype(np.int32))
+            for k in [*keys, "bin"]:
+                sums[k] = own[k].iloc[0]
+            out.append(sums)
+        names = [*keys, "bin", "b", *values]
+        return pd.concat(out)[names].astype({"bin": "Int32"}) if out else pd.DataFrame(columns=names)
+
+    key_types = StructType([cells.schema[k] for k in keys])
+    picked = ranges.mapInPandas(
+        pick, StructType([*key_types.fields, *StructType.fromDDL("block long, picks binary").fields])
+    )
+    located = cells.join(clusters.drop("total"), [*keys, cluster]).select(
+        *keys, F.floor(F.col("idx") / PICK_BLOCK).alias("block"), "idx", F.col("bin").cast("int").alias("bin"),
+        *[F.col(v).cast("double").alias(v) for v in values],
+    )
+    return (
+        picked.groupBy(*keys, "block").cogroup(located.groupBy(*keys, "block"))
+        .applyInPandas(weigh, StructType([*key_types.fields, *StructType.fromDDL("bin int, b int, n double, hits double, conf double").fields]))
+    )
+
+
 def cluster_bootstrap(
     sums: DataFrame, keys: Sequence[str], group: str, cluster: str, draws: int = 2000, seed: int = 0, scheme: str = "resample"
 ) -> DataFrame:
     """Percentile interval of the ECE, resampling whole clusters (images), per group and pooled.
 
     ``sums`` are ``bin_sums`` keyed by (keys, group, cluster): all that the error depends
-    on. ``resample`` draws as many clusters as there are, with replacement. It shuffles
-    draws x clusters numbers; for very many clusters ``poisson`` gives each cluster (an
-    integer id) an independent Poisson(1) weight instead, needs no shuffle before the final
-    sums, and differs by terms of the order 1/sqrt(clusters).
+    on. ``resample`` draws as many clusters as there are, with replacement; its picks travel
+    as packed numbers to blocks of clusters, where they are counted and multiplied with the bin
+    sums. For very many clusters ``poisson`` gives each cluster (an integer id) an independent
+    Poisson(1) weight instead, needs no shuffle before the final sums, and differs by terms of
+    the order 1/sqrt(clusters).
     """
     if scheme not in ("resample", "poisson"):
         raise ValueError(f"unknown scheme: {scheme}")
@@ -251,24 +327,9 @@ def cluster_bootstrap(
     values = ("n", "hits", "conf")
     if scheme == "poisson":
         partial = _poisson_sums(cells, keys, cluster, draws, seed)
-        per_bin = partial.groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
     else:
-        clusters = running_totals(cells.select(*keys, cluster).distinct(), keys, [F.col(cluster)], {}).select(
-            *keys, cluster, F.col("n").alias("total"), (F.col("rank") - 1).alias("idx")
-        )
-        replicate = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")
-        weights = (
-            clusters.select(*keys, "total", "idx", replicate)
-            .select(*keys, "b", (draw(seed, F.col("b"), F.col("idx")) % F.col("total")).alias("idx"))
-            .groupBy(*keys, "b", "idx")
-            .agg(F.count(F.lit(1)).alias("w"))
-        )
-        located = cells.join(clusters.drop("total"), [*keys, cluster]).drop(cluster)
-        per_bin = (
-            weights.join(located, [*keys, "idx"])
-            .groupBy(*keys, "b", "bin")
-            .agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in values])
-        )
+        partial = _resample_sums(cells, keys, cluster, draws, seed)
+    per_bin = partial.groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("hits") - F.col("conf"))).otherwise(0.0)
     errors = per_bin.groupBy(*keys, "b").agg((F.sum(gap) / F.sum("n")).alias("ece"))
     return _interval(errors, keys, "ece")

@@ -296,13 +296,11 @@ def _pilot(spark, sf_dir):
 
 
 def text_images(spark, sf_dir):
-    """Whole texts read as rows of RGB pixels, sixteen to a row."""
-    data = F.encode("text", "UTF-8")
-    height = F.floor(F.octet_length(data) / 48).cast("int")
-    return (
-        T.read(spark, sf_dir, "documents")
-        .select("doc_id", height.alias("height"), F.lit(16).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
-        .where("height > 0")
+    """Whole texts read as rows of RGB pixels, sixteen to a row; the last row is filled up with black."""
+    raw = T.read(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    height = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / 48)).cast("int")
+    return raw.withColumn("height", height).select(
+        "doc_id", "height", F.lit(16).alias("width"), F.lit(3).alias("nChannels"), F.expr("rpad(raw, height * 48, X'00')").alias("data")
     )
 
 

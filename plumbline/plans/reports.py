@@ -306,3 +306,48 @@ def _kept(spark, sf_dir):
         for flag, name in ((True, "all_images"), (False, "with_boxes"))
     ]
     return counted[0].join(counted[1], "grp", "left").na.fill(0)
+
+
+@query(
+    "stored_reports",
+    with_tables("reports", body="SELECT variant, seed, round(score, 6) AS score, n_rows FROM reports"),
+)
+def _stored_reports(spark, sf_dir):
+    """Run reports written as JSON objects and read back."""
+    path = scratch_path(spark, "reports")
+    U.write_reports(T.run_reports(spark, sf_dir), path)
+    stored = spark.read.schema("variant string, seed long, score double, n_rows long").json(path)
+    return stored.withColumn("score", r6("score"))
+
+
+@query(
+    "split_files",
+    with_tables("images", "boxes", extra="""
+numbered AS (SELECT i.split, row_number() OVER (ORDER BY list_position(['train', 'val', 'test'], i.split), b.image_id, b.gt_id) - 1 AS no
+             FROM boxes b JOIN images i USING (image_id))""", body="""
+SELECT split, images, boxes, no_sum FROM (SELECT split, count(*) AS images FROM images GROUP BY 1)
+LEFT JOIN (SELECT split, count(*) AS boxes, sum(no)::bigint AS no_sum FROM numbered GROUP BY 1) USING (split)"""),
+)
+def _split_files(spark, sf_dir):
+    """Splits written to files, boxes numbered anew across them, and read back."""
+    path = scratch_path(spark, "splits")
+    P.write_splits(T.images(spark, sf_dir), T.boxes(spark, sf_dir), path)
+    images = spark.read.parquet(f"{path}/images").groupBy("split").agg(F.count(F.lit(1)).alias("images"))
+    boxes = spark.read.parquet(f"{path}/boxes").groupBy("split").agg(
+        F.count(F.lit(1)).alias("boxes"), F.sum("gt_id").alias("no_sum")
+    )
+    return images.join(boxes, "split", "left")
+
+
+@query(
+    "detection_dump",
+    with_tables("best", body="""
+SELECT 'det' AS method, (image_id % 3)::int AS seed, count(*) AS n, round(avg(score), 6) AS mean_score FROM best GROUP BY ALL"""),
+)
+def _detection_dump(spark, sf_dir):
+    """Detections written per run and read back whole."""
+    path = scratch_path(spark, "detections")
+    rows = T.detections(spark, sf_dir).select(F.lit("det").alias("method"), F.expr("int(image_id % 3)").alias("seed"), "*")
+    U.write_candidates(rows, path, force=True)
+    stored = U.read_candidates(spark, path, method="det")
+    return stored.groupBy("method", "seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean_score"))

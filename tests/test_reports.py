@@ -76,3 +76,38 @@ def test_a_crowded_image_is_matched_whole(spark):
 
 def test_intermediate_tables_live_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/plumbline-x-")
+
+
+def test_flatten_follows_any_depth_and_skips_torn_rows(spark):
+    from plumbline.operators.summaries import broken_json, flatten_json
+
+    rows = [(1, '{"a":{"b":{"c":{"d":{"e":5}}}},"x":1,"top":Infinity,"l":[-Infinity,NaN]}'), (2, '{"a": '), (3, None)]
+    df = spark.createDataFrame(rows, "id int, body string")
+    got = sorted(tuple(r) for r in flatten_json(df, ["id"], "body").collect())
+    assert got == [(1, "a.b.c.d.e", 5.0), (1, "x", 1.0)]
+    assert [r["id"] for r in broken_json(df, "body").collect()] == [2]
+
+
+def test_failure_list_is_filled_with_other_images(spark):
+    from plumbline.operators.suppression import failure_images
+
+    detections = spark.createDataFrame([(1,), (2,)], "image_id long")
+    boxes = spark.createDataFrame([(2,), (3,)], "image_id long")
+    hits = spark.createDataFrame([(2,)], "image_id long")
+    images = spark.createDataFrame([(1,), (2,), (3,), (9,)], "image_id long")
+    got = [tuple(r) for r in failure_images(detections, boxes, hits, 3, images=images).collect()]
+    assert got == [(1, 1, 0), (9, 0, 0), (3, 0, 1)]
+
+
+def test_last_metadata_row_of_a_name_counts(spark, tmp_path):
+    from plumbline.operators.audit import metadata_crosstab
+    from plumbline.sources.corpus import read_metadata
+
+    images = spark.createDataFrame([("train", "set/a.png")], "split string, file_name string")
+    meta = spark.createDataFrame([("a.png", "old", 1), ("a.png", "new", 2)], "file_name string, background string, line int")
+    assert [tuple(r) for r in metadata_crosstab(images, meta, order="line").collect()] == [("train", "new", 1)]
+    big = "".join(f"f{k}.png,c,old\n" for k in range(2000))
+    (tmp_path / "a.csv").write_text("file_name,camera,background\n" + big)
+    (tmp_path / "b.csv").write_text("file_name,camera,background\nf7.png,c,new\n")
+    got = {r["file_name"]: r["background"] for r in read_metadata(spark, str(tmp_path)).collect()}
+    assert got["f7.png"] == "new" and got["f8.png"] == "old" and len(got) == 2000

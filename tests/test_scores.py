@@ -128,3 +128,42 @@ def test_divergence_and_bands(spark):
     ).first()
     assert r.same == pytest.approx(0.0) and r.far == pytest.approx(np.log(2), abs=1e-6)
     assert r.edge is False and r.c == 0.5
+
+
+def test_running_totals_over_many_ranges(spark):
+    """One key of a million rows in 64 ranges."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.ranking import running_totals
+
+    rows = spark.range(1_000_000).select(F.lit("k").alias("key"), F.col("id"))
+    got = running_totals(rows, ["key"], [F.col("id")], {"total": F.col("id")}, rows_per_range=15_625)
+    bad = got.where((F.col("rank") != F.col("id") + 1) | (F.col("n") != 1_000_000) | (F.col("total") != F.col("id") * (F.col("id") + 1) / 2))
+    assert got.count() == 1_000_000 and bad.count() == 0
+
+
+def test_draws_span_62_bits(spark):
+    import numpy as np
+
+    from plumbline.functions.draws import PRIMES, draw, draw_array
+
+    ids = np.array([5, 5 + PRIMES[0], 5 + PRIMES[1]], np.int64)
+    drawn = draw_array(1, ids)
+    assert len(set(drawn.tolist())) == 3
+    df = spark.createDataFrame([(int(i),) for i in ids], "i long")
+    assert [r[0] for r in df.select(draw(1, df["i"])).collect()] == drawn.tolist()
+    assert (draw_array(2, np.arange(1000)) % 4_000_000_000 > 2**31).mean() > 0.4
+
+
+def test_sign_test_of_any_size(spark):
+    import math
+
+    from plumbline.operators.significance import _upper_tail
+    from pyspark.sql import functions as F
+
+    cases = [(n, k) for n in (1, 2, 7, 60) for k in range(n + 2)]
+    df = spark.createDataFrame(cases + [(3_000_000_000, 1_500_000_000)], "n long, k long")
+    got = {(r[0], r[1]): r[2] for r in df.select("n", "k", _upper_tail(F.col("n"), F.col("k"))).collect()}
+    for n, k in cases:
+        assert abs(got[n, k] - sum(math.comb(n, j) for j in range(k, n + 1)) / 2**n) < 1e-10, (n, k)
+    assert abs(got[3_000_000_000, 1_500_000_000] - 0.5) < 1e-3
