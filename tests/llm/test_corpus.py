@@ -283,3 +283,14 @@ def test_no_documents(spark):
     assert {r["component_id"] for r in shingle_join.link(nothing).collect()} == {1, 2, 3}
     assert {r["n_removed"] for r in repeats.find(nothing).collect()} == {0}
     assert {r["n_tokens"] for r in class_lm.train_and_score(nothing, F.lit(False)).collect()} == {1}
+
+
+@pytest.mark.parametrize("rows", [40, 4000])
+def test_curve_on_nearly_parted_votes(rows):
+    """The curve rises, also where a few labels are noise and the rest is parted completely."""
+    rng = np.random.default_rng(6)
+    y = (rng.random(rows) < 0.3).astype(float)
+    x = np.where(y == 1, 6.9, -6.9) + rng.normal(0, 0.01, rows)
+    y[: rows // 20] = 1 - y[: rows // 20]
+    slope, offset = toxicity._platt(x, y, np.where(y == 1, 1.0, 4.0))
+    assert slope > 0 and slope * 6.9 + offset > 0 > slope * -6.9 + offset
