@@ -30,6 +30,8 @@ CHI_SQUARED = 40.0
 #: Examples of one block of the index, and neighbours that vote.
 BLOCK = 64
 NEIGHBOURS = 15
+#: Weight of the share of toxic labels, in examples of nearness about 0.6.
+DOUBT = 0.5
 
 _FOLD = bytes(
     32 if b < 128 and not chr(b).isalnum() else (b + 32 if 65 <= b <= 90 else b) for b in range(256)
@@ -54,6 +56,8 @@ class Model:
     entry_at: np.ndarray  # postings of entry e: entry_at[e] to entry_at[e + 1]
     post_example: np.ndarray
     post_weight: np.ndarray
+    share: float = 0.5  # of toxic labels
+    usual: float = 1.0  # rows that an example stands for on average
     nothing: float = 0.0
     curve: tuple[float, float] = (1.0, 0.0)
 
@@ -100,9 +104,14 @@ class Model:
         return best, score
 
     def vote(self, who: np.ndarray, score: np.ndarray) -> float:
-        """Share of toxic votes among neighbours, each by 1 / distance and by what it stands for."""
-        w = self.stands_for[who] / (1.02 - np.minimum(score, 1.0))
-        return float((w * self.labels[who]).sum() / w.sum())
+        """Share of toxic votes among neighbours, each by its nearness and by what it stands for.
+
+        Faint neighbours say little: the share among all labelled rows votes along with the
+        weight of ``DOUBT`` examples.
+        """
+        w = self.stands_for[who] * np.minimum(score, 1.0) ** 2 / (1.02 - np.minimum(score, 1.0))
+        doubt = DOUBT * self.usual
+        return float(((w * self.labels[who]).sum() + doubt * self.share) / (w.sum() + doubt))
 
     def score(self, raw: bytes) -> tuple[float, list, list[float]]:
         who, near = self.nearest(*self.vector(raw), NEIGHBOURS)
@@ -128,6 +137,8 @@ def build(vocabulary: list[bytes], df: np.ndarray, n: int, rows: list[tuple], to
     model.labels = np.array([v[2] for v in vectors], float)
     share = [max(1, (model.labels == c).sum()) for c in (0, 1)]
     model.stands_for = np.where(model.labels == 1, totals[1] / share[1], totals[0] / share[0])
+    model.share = float(totals[1] / max(1.0, sum(totals)))
+    model.usual = float(model.stands_for.mean()) if len(vectors) else 1.0
     model.ids = [v[3] for v in vectors]
     example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
     term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
