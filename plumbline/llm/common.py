@@ -85,7 +85,7 @@ def has_bit(bitmap: "np.ndarray", positions: "np.ndarray") -> "np.ndarray":
     return (bitmap[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def marked(df: DataFrame, key: str, listed: DataFrame, name: str = "_marked", bits: int = 26) -> DataFrame:
+def marked(df: DataFrame, key: str, listed: DataFrame, name: str = "_marked", bits: int = 24) -> DataFrame:
     """``df`` with a flag: false only if ``key`` is surely not among the ``key`` values of ``listed``.
 
     Lets the many rows without a partner stay where they are; only marked rows need a join.

@@ -40,9 +40,9 @@ COUNTERS = 1 << 24
 #: N-grams of prefixes that one range of hashes holds, about.
 RANGE_TOKENS = 500_000
 #: Bits of the filter of n-grams that several prefixes hold.
-TOKEN_BITS = 27
+TOKEN_BITS = 26
 #: Bits of the filter that says which sets are needed for verification.
-FILTER_BITS = 26
+FILTER_BITS = 24
 _CHUNK = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
