@@ -69,7 +69,7 @@ FROM (SELECT split, count(*) AS n FROM hashed GROUP BY 1) h
 LEFT JOIN (SELECT split, count(*) AS n FROM kept GROUP BY 1) k USING (split)"""),
 )
 def _remove(spark, sf_dir):
-    df = hashed(spark, sf_dir)
+    df = stored_hashes(spark, sf_dir)
     return A.removal_counts(df, A.first_occurrences(df))
 
 

@@ -129,16 +129,19 @@ def _significance(spark, sf_dir):
 
 @query(
     "power_note",
-    with_tables("images", body="""
+    with_tables("images", "cands", extra="""
+shown AS (SELECT count(*) FILTER (background = 'en') AS a, count(*) FILTER (background = 'es') AS b FROM cands JOIN images USING (image_id))""", body="""
 SELECT count(*) FILTER (split = 'train') AS train_images, count(*) FILTER (split = 'val') AS val_images,
        count(*) FILTER (split = 'test') AS test_images, count(*) FILTER (split = 'test' AND background = 'es') AS minority_test_images,
        count(*) FILTER (split = 'val' AND background = 'es') AS minority_val_images,
-       round((1.959963985 + 0.8416212336) * sqrt(0.25 * (1.0 / count(*) FILTER (background = 'en') + 1.0 / count(*) FILTER (background = 'es'))), 3)::double AS detectable_gap
+       (SELECT round((1.959963985 + 0.8416212336) * sqrt(0.25 * (1.0 / greatest(a, 1) + 1.0 / greatest(b, 1))), 3)::double FROM shown) AS detectable_gap
 FROM images"""),
 )
 def _power(spark, sf_dir):
+    """Split sizes, and the gap that the candidates of the two groups' images can show."""
     images = T.images(spark, sf_dir)
-    return K.power_note(images, images, "background", "en", "es")
+    shown = cands(spark, sf_dir).select("image_id").join(images.select("image_id", "background"), "image_id")
+    return K.power_note(images, shown, "background", "en", "es")
 
 
 # stored tables
@@ -222,14 +225,14 @@ def _labels(spark, sf_dir):
     "preferred_image",
     """
 SELECT stem, arg_min(ext, r) AS ext FROM (
-  SELECT l_suppkey AS stem, ext, list_position(['.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp'], ext) AS r
-  FROM (SELECT l_suppkey, (['.bmp', '.tiff', '.gif', '.jpg', '.tif', '.jpeg', '.png'])[l_linenumber] AS ext FROM lineitem WHERE l_quantity < 5))
+  SELECT l_orderkey AS stem, ext, list_position(['.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp'], ext) AS r
+  FROM (SELECT l_orderkey, (['.bmp', '.tiff', '.gif', '.jpg', '.tif', '.jpeg', '.png'])[l_linenumber] AS ext FROM lineitem))
 WHERE r IS NOT NULL GROUP BY stem""",
 )
 def _preferred(spark, sf_dir):
     exts = F.expr("array('.bmp', '.tiff', '.gif', '.jpg', '.tif', '.jpeg', '.png')")
-    files = T.read(spark, sf_dir, "lineitem").where("l_quantity < 5").select(
-        F.col("l_suppkey").alias("stem"), F.try_element_at(exts, F.col("l_linenumber")).alias("ext")
+    files = T.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("stem"), F.try_element_at(exts, F.col("l_linenumber")).alias("ext")
     )
     return P.preferred_image(files, ["stem"])
 
