@@ -35,7 +35,7 @@ ENDING_BYTES = 3
 CLASSES = 96
 #: Exchange passes over all types, at most; it stops earlier when nothing moves.
 PASSES = 12
-#: Most frequent words whose counts travel with the tasks.
+#: Most frequent words whose counts travel with the tasks, at most; words of about equal count go together.
 CARRIED = 131_072
 #: Pseudo-counts of a transition that follow the class frequencies.
 PRIOR = 4.0
@@ -252,7 +252,13 @@ def fit(training: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     counts = materialize(count_words(training))
     tokens, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("h") != END_HASH)
-    top = words.orderBy(F.desc("c"), "h").limit(CARRIED).toPandas()
+    # words by steps of their count; as many whole steps as the bound holds come to the driver
+    step = F.floor(F.log2("c") * 64).alias("step")
+    steps = sorted(words.groupBy(step).count().collect(), reverse=True)
+    held = np.cumsum([r["count"] for r in steps])
+    inside = [r["step"] for r, n in zip(steps, held, strict=True) if n <= CARRIED]
+    top = words.where(step >= (min(inside) if inside else 1 << 30)).toPandas()
+    top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     frequent = top.head(FREQUENT)
     by = np.argsort(frequent["h"].to_numpy(np.int64), kind="stable")
     types = Types(frequent["h"].to_numpy(np.int64)[by], by.astype(np.int64))

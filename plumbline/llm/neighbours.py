@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import drawn_first
 from plumbline.session import materialize
 
 #: Trees, halvings of each tree, and leaves that a query visits in all trees together.
@@ -167,15 +168,17 @@ def search(
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col(vector))).select(
         F.col("vec_id").cast("long"), F.col(vector).alias("_v"), queries.alias("_asks")
     )
-    drawn = good.select("_v").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).collect()
+    place = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30))
+    few = drawn_first(good, F.xxhash64("vec_id", F.lit(seed)), sample, good.count())
+    drawn = [r[2] for r in sorted(few.select(place, "vec_id", "_v").collect())[:sample]]
     if not drawn:
         return spark.createDataFrame([], empty)
-    size = len(drawn[0][0])
+    size = len(drawn[0])
     good = good.where(F.size("_v") == size)
     length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     norm = good.agg(F.max(length)).first()[0]
     forest = spark.sparkContext.broadcast(
-        grow(np.array([r[0] for r in drawn if len(r[0]) == size], float), float(norm), trees, depth, seed)
+        grow(np.array([v for v in drawn if len(v) == size], float), float(norm), trees, depth, seed)
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import _gather
-from plumbline.llm.common import as_bytes, fold, map_texts
+from plumbline.llm.common import as_bytes, drawn_first, fold, map_texts
 from plumbline.session import materialize
 
 #: Labelled rows of each class that the classifier is fitted on, at most: a seeded sample.
@@ -210,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms
     rows = docs.select("doc_id").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
     totals = {r[0]: r[1] for r in rows.groupBy("_toxic").count().collect()}
     parts = [
-        rows.where(F.col("_toxic") == c).dropDuplicates(["doc_id"]).orderBy("_h", "doc_id").limit(examples)
+        drawn_first(rows.where(F.col("_toxic") == c).dropDuplicates(["doc_id"]), F.col("_h"), examples, totals.get(c, 0))
+        .orderBy(F.pmod("_h", F.lit(1 << 30)), "doc_id").limit(examples)
         for c in (0, 1)
     ]
     drawn = materialize(parts[0].unionByName(parts[1]).drop("_h"))
