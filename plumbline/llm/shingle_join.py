@@ -398,9 +398,11 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     partners = materialize(partners)
     near_ends = partners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near_ends = materialize(_possible(near_ends, prefixes, percent))
-    # the first by hash is the centre of its star; only sets that are alone in their group
-    alone = members.groupBy("g").agg(F.count("*").alias("_k")).where("_k = 1").select(F.col("g").alias("a"))
-    centres = materialize(partners.where("turn = 2").select("a", "b").join(alone, "a", "left_semi"))
+    # the first by hash is the centre of its star, for all members of a group
+    centres = materialize(
+        partners.where("turn = 2").select(F.col("a").alias("g"), "b").join(members.select("g", "s"), "g")
+        .where("s <> b").select(F.col("s").alias("a"), "b")
+    )
     sets = materialize(_sets(docs, touched(near_ends.unionByName(stars).unionByName(centres)), width))
     checked = materialize(_verified(stars, sets, percent))
     loose = materialize(stars.join(checked, ["a", "b"], "left_anti").select(F.col("a").alias("g")).distinct())
@@ -472,7 +474,12 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     )
     edges = materialize(edges.unionByName(differ.select("a", "b")))
     release(there, those, moved)
-    star = from_centre.select("g", "star")
+    # a group is of a star if all its members are: then they have met all others of that star
+    star = (
+        own.join(from_centre.select(F.col("g").alias("s"), "star"), "s", "left").groupBy("g")
+        .agg(F.count("*").alias("_k"), F.count("star").alias("_in"), F.min("star").alias("star"), F.max("star").alias("_last"))
+        .where("_k = _in and star = _last").select("g", "star")
+    )
     here = materialize(labelled(met.join(star, "g", "left")).select("token", "g", "n", "p", "c", "star"))
     rest, mixed = mixed_up(here, ["token"])
     smaller = F.struct("r.n", "r.g") < F.struct("o.n", "o.g")
