@@ -30,7 +30,7 @@ PATTERN = (
     rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 #: Words that a worker remembers; beyond, it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _NONE = np.iinfo(np.int32).max
 
 

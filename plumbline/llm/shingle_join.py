@@ -59,7 +59,7 @@ class Shingler:
         words = raw.lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 100_000:
+        if len(self.known) > 50_000:
             self.known.clear()
         known = self.known
         codes = []
