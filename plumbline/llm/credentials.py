@@ -4,12 +4,15 @@ A candidate is a long run of key-like characters shortly after a word that speak
 Zstandard, primed with a dictionary of identifiers and placeholders, compresses the text
 around it with and without the candidate. The bytes it adds measure its novelty: names and
 values that the surroundings or the dictionary already hold cost next to nothing, random
-keys cost about as many bytes as they carry.
+keys cost about as many bytes as they carry. Other copies of the candidate are blanked first,
+so that a key shown twice is as new as one shown once, and every copy of a value found new is
+reported, wherever it stands. The lines of a private key block belong together.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import pandas as pd
@@ -29,6 +32,11 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # runs of fewer characters fail anyway
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _SENSITIVE = ("key", "token", "secret", "passw", "credential", "bearer", "auth", "private")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_BREAK = r"""(?:\\[rn]|[\s"',>#*|;]|\+(?=\s))"""  # between lines of a block, also when quoted
+_HEADER = re.compile(_BREAK + r"*+[A-Za-z][A-Za-z-]*: [^\n\\]*+")
+_LINE = re.compile(_BREAK + r"*+([A-Za-z0-9+/=]+)")
+_CLOSING = re.compile(_BREAK + r"*+(?:=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/])" + _BREAK + r"*+)?(?:-----END|\Z)")
 #: Characters before and after a candidate that count as its surroundings.
 AROUND = 512
 #: Characters before a candidate in which a sensitive word must stand.
@@ -63,6 +71,35 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(squeeze(around + candidate.encode("utf-8", "replace"))) - len(squeeze(around))) / len(candidate)
 
 
+def _measure(text: str, a: int, b: int) -> float:
+    """Novelty of ``text[a:b]`` against its surroundings, in which other copies of it are blanked."""
+    value, reach = text[a:b], AROUND + b - a  # no copy is cut at the edge
+    blank = "\n" * len(value)
+    before = text[max(0, a - reach) : a].replace(value, blank)[-AROUND:]
+    return novelty(before, value, text[b : b + reach].replace(value, blank)[:AROUND])
+
+
+def _mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _block_lines(text: str) -> list[list[tuple[int, int]]]:
+    """Per private key block the spans of its key-like lines, up to the END marker."""
+    out = []
+    for m in _BLOCK.finditer(text):
+        at, lines = m.end(), []
+        while header := _HEADER.match(text, at):
+            at = header.end()
+        while line := _LINE.match(text, at):
+            # a short line is the last one; prose is no line of a key
+            if line.end() - line.start(1) < 16 and not _CLOSING.match(text, line.end()):
+                break
+            lines.append(line.span(1))
+            at = line.end()
+        out.append(lines)
+    return out
+
+
 def find_in(text: str, cut: float = NOVELTY) -> list[tuple[int, int, int, float]]:
     """(start, kind number, end, novelty) of every span, by start and kind; offsets are code points."""
     low = text.lower()
@@ -73,23 +110,58 @@ def find_in(text: str, cut: float = NOVELTY) -> list[tuple[int, int, int, float]
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     taken = sorted((a, b) for a, _, b in spans)
-    measured = [(a, k, b, novelty(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])) for a, k, b in spans]
-    if any(w in low for w in _SENSITIVE):
-        covered = 0
-        for m in _CANDIDATE.finditer(text):
-            a, b = m.span()
-            while covered < len(taken) and taken[covered][1] <= a:
-                covered += 1
-            if covered < len(taken) and taken[covered][0] < b:
-                continue  # a base span says it already
-            value = m[0]
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-            lead = text[max(0, a - NEAR) : a].lower()
-            if any(w in lead for w in _SENSITIVE):
-                score = novelty(text[max(0, a - AROUND) : a], value, text[b : b + AROUND])
-                if score >= cut:
-                    measured.append((a, 3, b, score))
+    measured = [(a, k, b, _measure(text, a, b)) for a, k, b in spans]
+    if not any(w in low for w in _SENSITIVE):
+        return sorted(measured)
+    longest = max((b - a for a, b in taken), default=0)
+
+    def free(a: int, b: int) -> bool:
+        """Does no span taken so far overlap this one?"""
+        at = bisect_left(taken, (b, 0)) - 1
+        while at >= 0 and taken[at][0] > a - longest:
+            if taken[at][1] > a:
+                return False
+            at -= 1
+        return True
+
+    def take(a: int, b: int, score: float) -> None:
+        nonlocal longest
+        measured.append((a, 3, b, score))
+        insort(taken, (a, b))
+        longest = max(longest, b - a)
+
+    values = set()  # found new
+    for start, k, end in spans:
+        if k == 0:  # a key in an assignment may stand elsewhere without one
+            for m in _CANDIDATE.finditer(text, _ASSIGN.match(text, start).start(2), end):
+                if _mixed(m[0]) and _measure(text, *m.span()) >= cut:
+                    values.add(m[0])
+    if "PRIVATE KEY" in text:
+        for lines in _block_lines(text):
+            scores = [_measure(text, a, b) for a, b in lines]
+            if any(b - a >= 16 and score >= cut for (a, b), score in zip(lines, scores, strict=True)):
+                for (a, b), score in zip(lines, scores, strict=True):
+                    if free(a, b):
+                        take(a, b, score)
+                    if b - a >= 16 and score >= cut:
+                        values.add(text[a:b])
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        if not free(a, b) or not _mixed(m[0]):
+            continue
+        lead = text[max(0, a - NEAR) : a].lower()
+        if any(w in lead for w in _SENSITIVE):
+            score = _measure(text, a, b)
+            if score >= cut:
+                take(a, b, score)
+                values.add(m[0])
+    for value in sorted(values, key=lambda v: (-len(v), v)):
+        a = text.find(value)
+        while a >= 0:
+            b = a + len(value)
+            if free(a, b):
+                take(a, b, _measure(text, a, b))
+            a = text.find(value, b)
     return sorted(measured)
 
 
