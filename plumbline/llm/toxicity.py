@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-The terms that tell the labels apart (chi-squared on a bounded sample of labelled rows) span
-the vector space. Examples stand in blocks; the inverted index holds, per term and block, the
+The terms that tell the labels apart span the vector space; they are counted over all labelled
+rows of the training folds, their document frequency over all documents. Examples, a bounded
+sample of the labelled rows, stand in blocks; the inverted index holds, per term and block, the
 postings and their largest weight. A query sums those maxima into a bound per block, visits
 blocks from the highest bound on, and stops once no other block can hold a nearer example, so
 the neighbours are exact. Their votes count by nearness and by how many labelled rows an
@@ -11,15 +12,18 @@ probability.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import _gather
-from plumbline.llm.common import as_bytes, drawn_first, fold, map_texts
+from plumbline.llm.common import as_bytes, batched, drawn_first, fold, map_texts, marked
 from plumbline.session import materialize
 
 #: Labelled rows of each class that the classifier is fitted on, at most: a seeded sample.
@@ -27,6 +31,10 @@ EXAMPLES = 4096
 #: Terms that span the space, at most, and how clearly each must tell the labels apart.
 TERMS = 2048
 CHI_SQUARED = 40.0
+#: Standard errors by which the log odds of a term are lowered before terms are ranked by them.
+DOUBTED = 2.0
+#: Terms that a task counts before it passes the counts on.
+REMEMBERED = 200_000
 #: Examples of one block of the index, and neighbours that vote.
 BLOCK = 64
 NEIGHBOURS = 15
@@ -195,12 +203,63 @@ def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def count_terms(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """term, a and b: rows of ``docs`` with a term that ``known`` calls toxic and clean.
+
+    Texts without a label stay where they are; the others always meet their label in a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for toxic, own in enumerate(counts):
+                n, none = pa.array(own.values(), pa.int64()), pa.array(np.zeros(len(own), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.keys(), pa.binary()), n if toxic else none, none if toxic else n], names=["term", "a", "b"]
+                )
+                own.clear()
+
+        for batch in batches:
+            for raw, toxic in zip(batch.column("_raw").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
+                counts[toxic].update(set(terms(raw)))
+            if sum(map(len, counts)) > REMEMBERED:
+                yield from flush()
+        yield from flush()
+
+    batched(docs.sparkSession)
+    told = marked(docs.select("doc_id", as_bytes().alias("_raw")), "doc_id", known).where("_marked")
+    rows = told.join(known.hint("shuffle_hash"), "doc_id").select("_raw", "_toxic")
+    parts = rows.mapInArrow(run, "term binary, a long, b long")
+    return parts.groupBy("term").agg(*[F.sum(c).cast("double").alias(c) for c in ("a", "b")])
+
+
+def count_documents(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
+    """Rows of ``docs`` that hold each term of the vocabulary."""
+    wanted = set(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Counter = Counter()
+        for batch in batches:
+            for raw in batch.column("_raw").to_pylist():
+                own.update(wanted.intersection(terms(raw)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], names=["term", "n"]
+        )
+
+    batched(docs.sparkSession)
+    met = docs.select(as_bytes().alias("_raw")).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n"))
+    df = {bytes(term): n for term, n in met.collect()}
+    return np.array([df.get(w, 0) for w in vocabulary], float)
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms: int = TERMS) -> Model:
     """Fit on labelled rows of ``docs`` outside the held-out fold (crc32 of the id modulo 5 is 0).
 
-    At most ``examples`` rows of each class, by a hash of the id, and ``most_terms`` terms are
-    used; that bounds what the driver gathers. A document labelled twice counts as toxic if
-    either label says so; null labels are left out.
+    Terms are counted over all of these rows, and ranked by their log odds less their doubt, which
+    do not grow with the rows. At most ``examples`` rows of each class, by a hash of the id, and
+    ``most_terms`` terms are used; that bounds what the driver gathers. A document labelled twice
+    counts as toxic if either label says so; null labels are left out.
     """
     known = (
         labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
@@ -216,27 +275,20 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms
     ]
     drawn = materialize(parts[0].unionByName(parts[1]).drop("_h"))
     chosen = docs.select("doc_id", as_bytes().alias("_raw")).join(F.broadcast(drawn), "doc_id")
-    n = {r[0]: r[1] for r in chosen.groupBy("_toxic").count().collect()}
-    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
-
-    def present(cols: dict) -> dict:
-        out: dict[str, list] = {"term": [], "toxic": []}
-        for raw, toxic in zip(cols["_raw"], cols["_toxic"], strict=True):
-            own = set(terms(raw))
-            out["term"] += own
-            out["toxic"] += [toxic] * len(own)
-        return out
-
-    a, b = F.sum("toxic").cast("double"), F.sum(1 - F.col("toxic")).cast("double")
-    met = map_texts(chosen, present, "term binary, toxic int").groupBy("term").agg(a.alias("a"), b.alias("b"))
-    total = n0 + n1
-    cross = F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
-    spread = (F.col("a") + F.col("b")) * (total - F.col("a") - F.col("b")) * max(n0, 1.0) * max(n1, 1.0)
+    n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
+    total, a, b = n0 + n1, F.col("a"), F.col("b")
+    cross = a * (n0 - b) - b * (n1 - a)
+    spread = (a + b) * (total - a - b) * max(n0, 1.0) * max(n1, 1.0)
+    cells = [a + 0.5, n0 - b + 0.5, n1 - a + 0.5, b + 0.5]
+    odds = F.log(cells[0]) + F.log(cells[1]) - F.log(cells[2]) - F.log(cells[3])
+    doubt = F.sqrt(sum((1 / c for c in cells), F.lit(0.0)))
     told = (
-        met.where(F.col("a") + F.col("b") >= 3)
+        count_terms(docs, known)
+        .where(a + b >= 3)
         .withColumn("chi", F.when(spread > 0, total * cross * cross / spread).otherwise(0.0))
         .where(F.col("chi") >= CHI_SQUARED)
-        .orderBy(F.desc("chi"), "term")
+        .withColumn("told", F.abs(odds) - DOUBTED * doubt)
+        .orderBy(F.desc("told"), "term")
         .limit(most_terms)
         .collect()
     )
@@ -252,8 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms
     kind = dict(docs.dtypes)["doc_id"]
     few = map_texts(chosen, thin, f"doc_id {kind}, _toxic int, _raw binary").collect()
     examples_found = [(r[0], r[1], bytes(r[2])) for r in few]
-    df = np.array([r["a"] + r["b"] for r in told], float)
-    return build(vocabulary, df, len(few), examples_found, (float(totals.get(0, 0)), float(totals.get(1, 0))))
+    return build(vocabulary, count_documents(docs, vocabulary), docs.count(), examples_found, (n0, n1))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

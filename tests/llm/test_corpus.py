@@ -246,6 +246,21 @@ def test_toxicity(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if not r["predicted"])
 
 
+def test_toxicity_counts_all_rows(spark):
+    """Rare telling words are found however few examples are drawn, and all documents count for the idf."""
+    bad = [f"insult{k}" for k in range(10)]
+    rows = [(k, fx.prose(k, 12) + (f" {bad[k // 11 % 10]}" if k % 11 == 0 else "")) for k in range(1650)]
+    rows += [(2000 + k, fx.prose(k, 5) + " insult3") for k in range(50)]  # without labels
+    labels = spark.createDataFrame([(k, int(k % 11 == 0)) for k in range(1650)], "doc_id long, toxic int")
+    docs = fx.documents(spark, rows)
+    model = toxicity.fit(docs, labels, examples=60)
+    assert {w.encode() for w in bad} <= set(model.number)
+    df = sum(b"insult3" in toxicity.terms(t.encode()) for _, t in rows)
+    assert model.idf[model.number[b"insult3"]] == pytest.approx(math.log((1 + len(rows)) / (1 + df)) + 1)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert all(found[k] == int(k % 11 == 0) for k in range(1650))
+
+
 def test_nearest_examples_are_exact(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"w{k}".encode() for k in range(40)]
