@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
+    """The document of the smallest id of each group whose five-word shingles overlap by 80 % of their union."""
     configure(spark)
-    return shingle_join.keep_one(docs)
+    return shingle_join.keep_one(docs, width=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

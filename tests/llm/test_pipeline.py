@@ -46,3 +46,14 @@ def test_toxicity_learns_from_other_folds_only(spark):
     docs = fx.documents(spark, [(k, "scumbag here" if k % 2 else "fine here") for k in range(100)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int")
     assert not any(common.fold_of(i) == 0 for i in toxicity.fit(docs, labels).ids)
+
+
+def test_join_stage_takes_five_words_and_80_percent(spark, tmp_path):
+    words = [f"word{k}" for k in range(100)]
+    changed = ["other" if k in (30, 70) else w for k, w in enumerate(words)]  # 86 / 106 on five words, 89 / 105 on four
+    further = [f"new{k}" if k in (20, 45, 70) else w for k, w in enumerate(words)]  # 81 / 111
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(further)), (4, fx.prose(4, 60))]
+    docs = fx.documents(spark, rows)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect())
+    assert got == sorted({c for _, _, c in plain_components(rows, width=5, percent=80)}) == [1, 3, 4]
+    assert 2 in {c for _, _, c in plain_components(rows)}  # the query's four words and 85 % keep it
