@@ -4,8 +4,10 @@ Text nodes are grouped by their root-to-leaf tag path. Each path has its text le
 punctuation per node; both follow the page's node order, are smoothed with a Gaussian, fused by
 product and averaged back to paths. Paths above a threshold from their spread are content, and
 the element that holds them carries its other paths along, so that short headings and
-paragraphs of the article stay. Parts that are boilerplate by their element, role or class
-take no part.
+paragraphs of the article stay. Parts that are boilerplate by their element or role take no
+part. Parts that only their class or id, or a form around them, speaks against take no part
+either, unless they hold most of the page's text and punctuation or of its article: then their
+ratios are lowered.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ _INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr picture source".split()
 )
 _NO_CONTENT = frozenset(
-    "head nav footer aside form button select option datalist fieldset legend dialog menu svg math canvas object "
+    "head nav footer aside button select option datalist fieldset legend dialog menu svg math canvas object "
     "applet audio video map meter progress output".split()
 )
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption center address hgroup details summary header".split())
@@ -48,7 +50,7 @@ _CLOSES_P = frozenset(
 )
 _CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table div section article main body html td th".split())
-_BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+_BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 _BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion promoted banner "
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toc "
@@ -57,34 +59,76 @@ _BAD_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login "
     "share sharing social toolbar search masthead skip outbrain taboola".split()
 )
+#: Factor on the ratio of a part that its class, id or form speaks against.
+_LOWERED = 0.25
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _boilerplate(tag: str, attributes: str, within: bool) -> bool:
-    """Is this element, by itself, none of the article? ``within``: inside article or main."""
+def _boilerplate(tag: str, attributes: str, within: bool) -> tuple[bool, frozenset[str]]:
+    """Is this element, by itself, none of the article, and which words only speak against it?
+
+    ``within``: inside article or main.
+    """
+    against = {"form"} if tag == "form" else set()
     if tag in _NO_CONTENT or (tag == "header" and not within):
-        return True
+        return True, frozenset()
     if not attributes:
-        return False
+        return False, frozenset(against)
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, frozenset()
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, frozenset()
         if name == "role" and value.lower() in _BAD_ROLES:
-            return True
+            return True, frozenset()
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             words = {w.lower() for w in _WORDS.findall(value)}
-            if words & _BAD_WORDS or (not within and "header" in words):
-                return True
-    return False
+            against |= words & _BAD_WORDS
+            if not within and "header" in words:
+                against.add("header")
+        if name == "role" and value.lower() == "form":
+            against.add("form")
+    return False, frozenset(against)
+
+
+Block = tuple[tuple[str, ...], str, bool, bool]
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, in a boilerplate part) of every block of text, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate so far, within article or main
-    out: list[tuple[tuple[str, ...], str, bool]] = []
+def _judged(found: list[tuple], marks: int) -> list[Block]:
+    """(path, text, bad, lowered) of blocks (path, text, bad, within, numbers of the marks around them).
+
+    A mark that stands around most of the text and punctuation, or most of the article's text,
+    only lowers what it holds; so do all marks if nothing else is left.
+    """
+    size, dots, inner = np.zeros(marks), np.zeros(marks), np.zeros(marks)
+    total = np.zeros(3)
+    for _, text, bad, within, around in found:
+        if bad:
+            continue
+        own = (len(text), len(_PUNCTUATION.findall(text)), len(text) if within else 0)
+        total += own
+        for k in set(around):
+            size[k] += own[0]
+            dots[k] += own[1]
+            inner[k] += own[2]
+    lowers = ((2 * size > total[0]) & (2 * dots > total[1])) | (2 * inner > total[2])
+    if not any(not bad and all(lowers[k] for k in around) for _, _, bad, _, around in found):
+        lowers[:] = True
+    # parts under other marks are paths of their own
+    return [
+        ((f"!{around}", *path) if around else path, text, bad or not all(lowers[k] for k in around), bool(around))
+        for path, text, bad, _, around in found
+    ]
+
+
+def blocks_of(page: str) -> list[Block]:
+    """(path, text, in a boilerplate part, lowered) of every block of text, in page order."""
+    # tag, boilerplate so far, within article or main, marks around: parts of one path and the same words share a mark
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    out: list[tuple] = []
+    numbers: dict[tuple, int] = {}
+    around: tuple[int, ...] = ()
     piece: list[str] = []
     path: tuple[str, ...] = ()
     bad = within = False
@@ -94,12 +138,18 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             text = " ".join(html.unescape("".join(piece)).split())
             piece.clear()
             if text:
-                out.append((path, text, bad))
+                out.append((path, text, bad, within, around))
 
     def settle() -> None:
-        nonlocal path, bad, within
-        path = tuple(t for t, _, _ in stack)
-        bad, within = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        nonlocal path, bad, within, around
+        path = tuple(s[0] for s in stack)
+        bad, within, around = stack[-1][1:] if stack else (False, False, ())
+
+    def push(tag: str, hard: bool, against: frozenset[str], inside: bool) -> None:
+        own = around
+        if against and not (bad or hard):
+            own = (*own, numbers.setdefault((path, tag, against), len(numbers)))
+        stack.append((tag, bad or hard, inside, own))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -121,10 +171,12 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                     close()
                     stack.pop()
                     settle()
-            elif tag not in _VOID and attributes and not attributes.endswith("/") and _boilerplate(tag, attributes, within):
-                close()
-                stack.append(("~" + tag, True, within))
-                settle()
+            elif tag not in _VOID and attributes and not attributes.endswith("/"):
+                hard, against = _boilerplate(tag, attributes, within)
+                if hard or against:
+                    close()
+                    push("~" + tag, hard, against, within)
+                    settle()
             continue
         close()
         if ends:
@@ -140,16 +192,16 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == other or stack[i][0] in ("ul", "ol", "dl", "table")), None)
                 if depth is not None and stack[depth][0] == other:
                     del stack[depth:]
-            if tag == "body" and any(t == "head" for t, _, _ in stack):
+            if tag == "body" and any(s[0] == "head" for s in stack):
                 del stack[next(i for i, s in enumerate(stack) if s[0] == "head") :]
             if tag not in _VOID:
                 settle()
-                stack.append((tag, bad or _boilerplate(tag, attributes, within), within or tag in ("article", "main")))
+                push(tag, *_boilerplate(tag, attributes, within), within or tag in ("article", "main"))
         settle()
     if at < len(page):
         piece.append(page[at:])
     close()
-    return out
+    return _judged(out, len(numbers))
 
 
 def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
@@ -157,25 +209,26 @@ def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
     return np.convolve(np.pad(x, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def path_scores(blocks: Sequence[tuple[tuple[str, ...], str, bool]]) -> dict[tuple[str, ...], float]:
+def path_scores(blocks: Sequence[Block]) -> dict[tuple[str, ...], float]:
     """Fused, smoothed ratio of every path that is no boilerplate."""
-    paths = [p for p, _, _ in blocks]
+    paths = [b[0] for b in blocks]
     lengths, marks, nodes = {}, {}, {}
-    for path, text, bad in blocks:
+    for path, text, bad, _ in blocks:
         nodes[path] = nodes.get(path, 0) + 1
         lengths[path] = lengths.get(path, 0) + (0 if bad else len(text))
         marks[path] = marks.get(path, 0) + (0 if bad else len(_PUNCTUATION.findall(text)))
-    bad = np.array([b for _, _, b in blocks])
+    bad = np.array([b[2] for b in blocks])
     size = _smooth(np.array([lengths[p] / nodes[p] for p in paths])) * ~bad
     dots = _smooth(np.array([marks[p] / nodes[p] for p in paths])) * ~bad
-    fused = size * (1 + dots)
+    fused = size * (1 + dots) * np.where([b[3] for b in blocks], _LOWERED, 1.0)
     totals: dict[tuple[str, ...], float] = {}
     for path, value in zip(paths, fused, strict=True):
         totals[path] = totals.get(path, 0.0) + float(value)
+    alive = {p for p, _, b, _ in blocks if not b}
     # an element that says it is the article outweighs what stands around it
     return {
         p: totals[p] / nodes[p] * (16 if "article" in p or "main" in p else 1)
-        for p in totals if any(q == p and not b for q, _, b in blocks)
+        for p in totals if p in alive
     }
 
 
@@ -197,7 +250,7 @@ def main_text(page: str) -> str:
     most = values.max()
     threshold = min(most, max(values.std(), 0.1 * most))
     holders = {_holder(p) for p, v in scores.items() if v >= threshold}
-    chosen = [t for p, t, _ in live if any(p[: len(h)] == h for h in holders)]
+    chosen = [t for p, t, _, _ in live if any(p[: len(h)] == h for h in holders)]
     return "\n".join(chosen)
 
 

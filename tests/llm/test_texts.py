@@ -187,6 +187,28 @@ def test_pages(spark):
         assert got[k]["n_chars"] == len(want) and got[k]["url"] == f"u{k}"
 
 
+def test_wrappers_keep_the_article():
+    """A class, id or form around most of a page does not take its article away."""
+    parts = [f"Paragraph {k} has some text, with commas, and it ends with a dot. It goes on, too." for k in range(6)]
+    body = "".join(f"<p>{t}</p>" for t in parts)
+    side = "<div class='sidebar'><p>Side, text.</p></div>"
+    pages = [
+        f"<body><div class='layout has-sidebar'><div>{body}</div>{side}</div></body>",
+        f"<body><div class='no-sidebar'><article>{body}</article></div></body>",
+        f"<body><section id='discussion'>{body}</section><nav>menu</nav></body>",
+        f"<body><form action='/'><input name=q><div>{body}</div><button>Go</button><select><option>x</select></form></body>",
+        "<body><nav>menu</nav><section>"
+        + "".join(f"<div class='elementor-element-{k} elementor-widget'><p>{t}</p></div>" for k, t in enumerate(parts))
+        + "</section></body>",
+    ]
+    for page in pages:
+        assert html_text.main_text(page) == "\n".join(parts)
+    talk = "".join("<p>Nice, post!</p>" for _ in range(60))
+    assert html_text.main_text(f"<body><div>{body}</div><div id='comments'>{talk}</div></body>") == "\n".join(parts)
+    cards = "<div class='related'>" + "<article><p>Other, one.</p></article>" * 3 + "</div>"
+    assert html_text.main_text(f"<body><article>{body}</article>{cards}</body>") == "\n".join(parts)
+
+
 def test_long_broken_page_is_linear():
     assert html_text.main_text("<div class=\"" * 20_000) is not None
     assert html_text.main_text("<p>" * 5000 + "x, y.").endswith("x, y.")
