@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, class_lm, credentials, html_text, mixing, neighbours, quality, repeats, shingle_join, toxicity
+from plumbline.llm import (
+    bpe, class_lm, credentials, html_text, lexical_search, merge_replay, mixing, neighbours, periodic_runs, quality,
+    repeats, shingle_join, toxicity,
+)
 from plumbline.llm.common import fold, read
 from plumbline.session import configure, materialize
 
@@ -100,3 +103,63 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.find(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: Terms as the search sees them: the separators are ASCII other than letters and digits.
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op11_lexical_search"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents
+), held AS (SELECT r, doc_id, words, len(words)::BIGINT AS n FROM docs WHERE len(words) > 0
+), corpus AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM held
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM held) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, corpus GROUP BY term, nn
+), asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term
+), scored AS (
+  SELECT item_id, r, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN held USING (r), corpus
+  GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words, the longest of them, and digests of all runs and of the texts without them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find(docs, tail_of="doc_id").withColumn("best", periodic_runs.longest())
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed().cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids by replayed merges and the bytes decoded from them, as digests."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return merge_replay.encode(docs, ids=False, decoded=False).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
