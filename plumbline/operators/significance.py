@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from plumbline.functions.draws import RANGE, draw, draw_array
+from plumbline.functions.draws import RANGE, draw_array
 from plumbline.operators.calibration import POOLED
 from plumbline.operators.ranking import running_totals
+from plumbline.session import materialize
 
 
 def paired_differences(reports: DataFrame, variant: str, baseline: str, on: Sequence[str], value: str) -> DataFrame:
@@ -156,13 +157,15 @@ def wilcoxon(
 def mean_difference_interval(
     diffs: DataFrame, keys: Sequence[str], order: str, diff: str = "diff", draws: int = 10000, seed: int = 0
 ) -> DataFrame:
-    """Percentile interval of the mean difference: resample the pairs of every key."""
+    """Percentile interval of the mean difference: resample the pairs of every key.
+
+    Pairs are numbered in ``order``, which is unique per key. Blocks of pairs draw their own counts
+    (see ``_resample_sums``), so no row per draw and pair exists.
+    """
     keys = list(keys)
-    indexed = running_totals(diffs.select(*keys, order, diff), keys, [F.col(order)], {}).withColumn("idx", F.col("rank") - 1)
-    picks = indexed.select(
-        *keys, "n", "idx", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")
-    ).select(*keys, "b", (draw(seed, F.col("b"), F.col("idx")) % F.col("n")).alias("idx"))
-    means = picks.join(indexed.select(*keys, "idx", diff), [*keys, "idx"]).groupBy(*keys, "b").agg(F.avg(diff).alias("m"))
+    cells = diffs.select(*keys, order, F.lit(0).alias("bin"), F.lit(1.0).alias("n"), F.col(diff).cast("double").alias("sum"))
+    partial = _resample_sums(cells, keys, order, ["n", "sum"], draws, seed)
+    means = partial.groupBy(*keys, "b").agg((F.sum("sum") / F.sum("n")).alias("m"))
     return _interval(means, keys, "m")
 
 
@@ -241,67 +244,146 @@ def _poisson_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, s
     return narrow.mapInPandas(weigh, schema)
 
 
-#: Clusters whose picks one task draws, and counts, at a time.
+#: Clusters of one block, replicates drawn together, and random words handled at a time.
 PICK_BLOCK = 1024
+REPLICATES = 64
+_WORDS = 1 << 20
+#: Random bits taken from one draw; the lowest of its 62 are as good as even.
+WORD = 60
+
+
+def _ones(r: np.ndarray, seed: int, b: np.ndarray, node: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Number of ones among ``r`` random bits of every (replicate, node) at its step ``t``."""
+    words = -(-r // WORD)
+    ends = np.cumsum(words)
+    out = np.zeros(len(r), np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    for start in range(0, total, _WORDS):
+        at = np.arange(start, min(start + _WORDS, total))
+        owner = np.searchsorted(ends, at, "right")
+        j = at - (ends - words)[owner]
+        width = np.minimum(WORD, r[owner] - j * WORD)
+        bits = draw_array(seed, b[owner], node[owner], t[owner], j) & ((np.int64(1) << width) - 1)
+        low = int(owner[0])
+        counts = np.bincount(owner - low, weights=np.bitwise_count(bits))
+        out[low : low + len(counts)] += counts.astype(np.int64)
+    return out
+
+
+def _binomial(m: np.ndarray, share: np.ndarray, whole: np.ndarray, seed: int, b: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """How many of ``m`` picks fall left where ``share`` of ``whole`` clusters lie left.
+
+    Every pick is a uniform number that is compared with share / whole bit by bit; of the picks not
+    yet decided each bit decides those that differ from it, counted as ones of random bits. Integers
+    only, so the law is exact and any engine gets the same counts.
+    """
+    left, undecided, rest, t = np.zeros_like(m), m.copy(), share.copy(), np.zeros_like(m)
+    while True:
+        live = np.flatnonzero((undecided > 0) & (rest > 0))
+        if not len(live):
+            return left
+        ones = _ones(undecided[live], seed, b[live], node[live], t[live])
+        bit = 2 * rest[live] >= whole[live]
+        rest[live] = 2 * rest[live] - np.where(bit, whole[live], 0)
+        left[live] += np.where(bit, undecided[live] - ones, 0)
+        undecided[live] = np.where(bit, ones, undecided[live] - ones)
+        t[live] += 1
+
+
+def block_counts(total: int, replicates: np.ndarray, seed: int, size: int = PICK_BLOCK) -> np.ndarray:
+    """Picks that fall on each block of ``size`` clusters: [replicate, block].
+
+    ``total`` picks among ``total`` clusters are split down a binary tree of blocks; a node draws how
+    many go left from (seed, replicate, node) alone.
+    """
+    n = len(replicates)
+    counts = np.full((n, 1), total, np.int64)
+    low, high, node = np.zeros(1, np.int64), np.full(1, -(-total // size), np.int64), np.ones(1, np.int64)
+    while (wide := high - low > 1).any():
+        at = np.flatnonzero(wide)
+        mid = (low[at] + high[at]) // 2
+        share, whole = (mid - low[at]) * size, np.minimum(high[at] * size, total) - low[at] * size
+        left = _binomial(
+            counts[:, at].ravel(), np.tile(share, n), np.tile(whole, n), 2 * seed + 1,
+            np.repeat(replicates, len(at)), np.tile(node[at], n),
+        ).reshape(n, len(at))
+        parts = 1 + wide.astype(np.int64)
+        first = (np.cumsum(parts) - parts)[at]
+        right = counts[:, at] - left
+        counts, low, high, node = (np.repeat(x, parts, axis=-1) for x in (counts, low, high, node))
+        counts[:, first], counts[:, first + 1] = left, right
+        high[first], low[first + 1] = mid, mid
+        node[first], node[first + 1] = 2 * node[first], 2 * node[first + 1] + 1
+    return counts
+
+
+def _resample_sums(
+    cells: DataFrame, keys: list[str], cluster: str, values: Sequence[str], draws: int, seed: int
+) -> DataFrame:
+    """Weighted sums of ``values`` in every replicate: (keys, bin, b, values), partial per block of clusters.
 
-
-def _resample_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
-    """Weighted bin sums of every replicate: (keys, bin, b, n, hits, conf), partial per block of clusters.
-
-    Pick i of replicate b falls on cluster ``draw(b, i) % clusters``. A task draws the picks of a
-    range of i for all replicates and sends each block of clusters the packed (b, cluster) it got.
+    As many picks as clusters, with replacement. How many picks a block of clusters gets is drawn
+    down a tree of blocks; the block then places its picks among its own clusters. Only one number
+    per replicate and block travels, and the work is clusters times draws.
     """
-    values = ["n", "hits", "conf"]
+    values = list(values)
     clusters = running_totals(cells.select(*keys, cluster).distinct(), keys, [F.col(cluster)], {}).select(
         *keys, cluster, F.col("n").alias("total"), (F.col("rank") - 1).alias("idx")
     )
-    ranges = clusters.groupBy(*keys).agg(F.max("total").alias("total")).select(
-        *keys, "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / PICK_BLOCK))).alias("part")
-    ).repartition(*keys, "part")
-    replicate = np.arange(draws, dtype=np.int64)
+    located = materialize(
+        cells.join(clusters, [*keys, cluster]).select(
+            *keys, "total", F.floor(F.col("idx") / PICK_BLOCK).alias("block"), "idx", F.col("bin").cast("int").alias("bin"),
+            *[F.col(v).cast("double").alias(v) for v in values],
+        )
+    )
+    parts = located.groupBy(*keys).agg(F.max("total").alias("total")).select(
+        *keys, "total", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(REPLICATES))).alias("first")
+    ).repartition(*keys, "first")
 
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for row in f.itertuples(index=False):
-                i = np.arange(row.part * PICK_BLOCK, min(row.total, (row.part + 1) * PICK_BLOCK), dtype=np.int64)
-                u = draw_array(seed, replicate[:, None], i[None, :]) % row.total
-                block, packed = (u // PICK_BLOCK).ravel(), (replicate[:, None] * PICK_BLOCK + u % PICK_BLOCK).ravel()
-                order = np.argsort(block, kind="stable")
-                found, starts = np.unique(block[order], return_index=True)
-                out = pd.DataFrame({
-                    "block": found, "picks": [x.astype("<u4").tobytes() for x in np.split(packed[order], starts[1:])]
-                })
+            for row in f.to_dict("records"):
+                replicates = np.arange(row["first"], min(row["first"] + REPLICATES, draws), dtype=np.int64)
+                counts = block_counts(row["total"], replicates, seed)
+                out = pd.DataFrame({"block": np.arange(counts.shape[1]), "first": row["first"]})
+                out["counts"] = [c.astype("<i8").tobytes() for c in counts.T]
                 for k in keys:
-                    out[k] = getattr(row, k)
-                yield out[[*keys, "block", "picks"]]
-
-    def weigh(picks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        weights = np.zeros((draws, PICK_BLOCK))
-        for blob in picks["picks"]:
-            weights += np.bincount(np.frombuffer(blob, "<u4"), minlength=draws * PICK_BLOCK).reshape(draws, PICK_BLOCK)
-        out = []
-        for (_, own) in part.groupby(part["bin"].fillna(-1)):
-            at = (own["idx"] % PICK_BLOCK).to_numpy(dtype=np.int64)
-            sums = pd.DataFrame(weights[:, at] @ own[values].to_numpy(dtype=np.float64), columns=values)
-            sums.insert(0, "b", replicate.astype(np.int32))
-            for k in [*keys, "bin"]:
-                sums[k] = own[k].iloc[0]
-            out.append(sums)
-        names = [*keys, "bin", "b", *values]
-        return pd.concat(out)[names].astype({"bin": "Int32"}) if out else pd.DataFrame(columns=names)
-
-    key_types = StructType([cells.schema[k] for k in keys])
-    picked = ranges.mapInPandas(
-        pick, StructType([*key_types.fields, *StructType.fromDDL("block long, picks binary").fields])
-    )
-    located = cells.join(clusters.drop("total"), [*keys, cluster]).select(
-        *keys, F.floor(F.col("idx") / PICK_BLOCK).alias("block"), "idx", F.col("bin").cast("int").alias("bin"),
-        *[F.col(v).cast("double").alias(v) for v in values],
-    )
-    return (
-        picked.groupBy(*keys, "block").cogroup(located.groupBy(*keys, "block"))
-        .applyInPandas(weigh, StructType([*key_types.fields, *StructType.fromDDL("bin int, b int, n double, hits double, conf double").fields]))
+                    out[k] = row[k]
+                yield out[[*keys, "block", "first", "counts"]]
+
+    def weigh(drawn: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        block, total = int(part["block"].iloc[0]), int(part["total"].iloc[0])
+        size = min(PICK_BLOCK, total - block * PICK_BLOCK)
+        code, bins = pd.factorize(part["bin"].fillna(-1).astype("int64"))
+        spread = np.zeros((size, len(bins), len(values)))
+        at = (part["idx"] % PICK_BLOCK).to_numpy(np.int64)
+        for k, v in enumerate(values):
+            np.add.at(spread[:, :, k], (at, code), part[v].to_numpy(np.float64))
+        spread = spread.reshape(size, -1)
+        numbers, sums = [], []
+        for first, blob in zip(drawn["first"], drawn["counts"], strict=True):
+            counts = np.frombuffer(blob, "<i8")
+            b = np.repeat(np.arange(len(counts)), counts)
+            j = np.arange(len(b)) - np.repeat(np.cumsum(counts) - counts, counts)
+            pick = draw_array(2 * seed, b + first, np.full(len(b), block), j) % size
+            weights = np.bincount(b * size + pick, minlength=len(counts) * size).reshape(-1, size).astype(np.float64)
+            sums.append(weights @ spread)
+            numbers.append(np.arange(first, first + len(counts)))
+        out = pd.DataFrame(np.concatenate(sums).reshape(-1, len(values)), columns=values)
+        b = np.concatenate(numbers)
+        out["b"], out["bin"] = np.repeat(b, len(bins)), pd.Series(np.tile(bins, len(b))).replace(-1, pd.NA).astype("Int32")
+        for k in keys:
+            out[k] = part[k].iloc[0]
+        return out[[*keys, "bin", "b", *values]].astype({"b": "int32"})
+
+    key_fields = [cells.schema[k] for k in keys]
+    drawn = parts.mapInPandas(
+        split, StructType([*key_fields, *StructType.fromDDL("block long, first int, counts binary").fields])
     )
+    schema = StructType([*key_fields, *StructType.fromDDL("bin int, b int").fields])
+    for v in values:
+        schema = schema.add(v, DoubleType())
+    return drawn.groupBy(*keys, "block").cogroup(located.groupBy(*keys, "block")).applyInPandas(weigh, schema)
 
 
 def cluster_bootstrap(
@@ -310,9 +392,8 @@ def cluster_bootstrap(
     """Percentile interval of the ECE, resampling whole clusters (images), per group and pooled.
 
     ``sums`` are ``bin_sums`` keyed by (keys, group, cluster): all that the error depends
-    on. ``resample`` draws as many clusters as there are, with replacement; its picks travel
-    as packed numbers to blocks of clusters, where they are counted and multiplied with the bin
-    sums. For very many clusters ``poisson`` gives each cluster (an integer id) an independent
+    on. ``resample`` draws as many clusters as there are, with replacement: block by block, each
+    from its own share of the picks. For very many clusters ``poisson`` gives each cluster (an integer id) an independent
     Poisson(1) weight instead, needs no shuffle before the final sums, and differs by terms of
     the order 1/sqrt(clusters).
     """
@@ -328,7 +409,7 @@ def cluster_bootstrap(
     if scheme == "poisson":
         partial = _poisson_sums(cells, keys, cluster, draws, seed)
     else:
-        partial = _resample_sums(cells, keys, cluster, draws, seed)
+        partial = _resample_sums(cells, keys, cluster, values, draws, seed)
     per_bin = partial.groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("hits") - F.col("conf"))).otherwise(0.0)
     errors = per_bin.groupBy(*keys, "b").agg((F.sum(gap) / F.sum("n")).alias("ece"))

@@ -62,14 +62,52 @@ def _wilcoxon(spark, sf_dir):
     return out.select("variant", "n_used", "w_plus", F.round("p_wilcoxon", 7).alias("p_wilcoxon"))
 
 
+def picks_sql(clusters: str, draws: int, seed: int = 0) -> str:
+    """Recursive SQL for the counts of blocks and the picks inside them: ``picked`` (grp, b, idx, w).
+
+    ``clusters`` selects (grp, total), one row per key.
+    """
+    size, word = X.PICK_BLOCK, X.WORD
+    bits = draw_sql(2 * seed + 1, "b", "node", "t", "j")
+    ones = (
+        f"list_sum(list_transform(range(0, (undecided + {word - 1}) // {word}), "
+        f"lambda j: bit_count(({bits}) & ((1::bigint << least({word}, undecided - j * {word})::int) - 1))))"
+    )
+    return f"""
+splits AS (
+  SELECT grp, b, total::bigint AS total, 0::bigint AS low, ((total + {size - 1}) // {size})::bigint AS high, 1::bigint AS node,
+         total::bigint AS m, 0::bigint AS lefts, total::bigint AS undecided,
+         ((((total + {size - 1}) // {size}) // 2) * {size})::bigint AS rest, 0::bigint AS t
+  FROM ({clusters}) CROSS JOIN (SELECT range AS b FROM range({draws}))
+  UNION ALL
+  SELECT grp, b, total,
+    CASE WHEN NOT live AND side = 1 THEN mid ELSE low END, CASE WHEN NOT live AND side = 0 THEN mid ELSE high END,
+    CASE WHEN live THEN node ELSE 2 * node + side END,
+    CASE WHEN live THEN m ELSE part END,
+    CASE WHEN NOT live THEN 0 WHEN up THEN lefts + undecided - ones ELSE lefts END,
+    CASE WHEN NOT live THEN part WHEN up THEN ones ELSE undecided - ones END,
+    CASE WHEN live THEN 2 * rest - up::bigint * whole WHEN side = 0 THEN ((mid - low) // 2) * {size} ELSE ((high - mid) // 2) * {size} END,
+    CASE WHEN live THEN t + 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN side = 0 THEN lefts ELSE m - lefts END AS part, 2 * rest >= whole AS up,
+               CASE WHEN live THEN {ones}::bigint ELSE 0 END AS ones
+        FROM (SELECT *, (low + high) // 2 AS mid, least(high * {size}, total) - low * {size} AS whole,
+                     undecided > 0 AND rest > 0 AS live FROM splits WHERE high - low > 1)
+        CROSS JOIN (SELECT unnest([0, 1]) AS side) WHERE side = 0 OR NOT live)
+),
+picked AS (
+  SELECT grp, b, low * {size} + ({draw_sql(2 * seed, "b", "low", "j")}) % least({size}, total - low * {size}) AS idx, count(*) AS w
+  FROM (SELECT grp, b, total, low, unnest(range(0, m)) AS j FROM splits WHERE high - low = 1) GROUP BY ALL
+)"""
+
+
 @query(
     "paired_bootstrap",
     with_tables("reports", extra=_DIFFS + f""",
-ix AS (SELECT variant, diff, row_number() OVER (PARTITION BY variant ORDER BY seed) - 1 AS idx, count(*) OVER (PARTITION BY variant) AS n FROM diffs),
-picks AS (SELECT variant, b, ({draw_sql(0, "b", "idx")}) % n AS idx FROM ix CROSS JOIN (SELECT range AS b FROM range(10000)))""",
+ix AS (SELECT variant AS grp, diff, row_number() OVER (PARTITION BY variant ORDER BY seed) - 1 AS idx FROM diffs),
+{picks_sql("SELECT grp, count(*) AS total FROM ix GROUP BY grp", 10000)}""", recursive=True,
     body="""
 SELECT variant, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM (
-  SELECT p.variant, b, avg(diff) AS m FROM picks p JOIN ix ON ix.variant = p.variant AND ix.idx = p.idx GROUP BY ALL) GROUP BY variant"""),
+  SELECT grp AS variant, b, sum(diff * w) / sum(w) AS m FROM picked JOIN ix USING (grp, idx) GROUP BY ALL) GROUP BY variant"""),
 )
 def _paired_bootstrap(spark, sf_dir):
     out = X.mean_difference_interval(diffs(spark, sf_dir), ["variant"], "seed")
@@ -92,12 +130,11 @@ BOOTSTRAP_DRAWS = 2000
 @query(
     "cluster_bootstrap_ci",
     with_tables("cands", extra=_CELLS + f""",
-cl AS (SELECT grp, image_id, row_number() OVER (PARTITION BY grp ORDER BY image_id) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS total
+cl AS (SELECT grp, image_id, row_number() OVER (PARTITION BY grp ORDER BY image_id) - 1 AS idx
        FROM (SELECT DISTINCT grp, image_id FROM cells)),
-ws AS (SELECT grp, b, idx, count(*) AS w FROM (
-         SELECT grp, b, ({draw_sql(0, "b", "idx")}) % total AS idx FROM cl CROSS JOIN (SELECT range AS b FROM range({BOOTSTRAP_DRAWS}))) GROUP BY ALL),
-weighted AS (SELECT ws.grp, b, bin, w, n, hits, conf FROM ws JOIN cl ON cl.grp = ws.grp AND cl.idx = ws.idx
-             JOIN cells ON cells.grp = cl.grp AND cells.image_id = cl.image_id)""", body=_CI),
+{picks_sql("SELECT grp, count(*) AS total FROM cl GROUP BY grp", BOOTSTRAP_DRAWS)},
+weighted AS (SELECT p.grp, b, bin, w, n, hits, conf FROM picked p JOIN cl USING (grp, idx)
+             JOIN cells ON cells.grp = cl.grp AND cells.image_id = cl.image_id)""", recursive=True, body=_CI),
 )
 def _bootstrap(spark, sf_dir):
     """Interval of the calibration error, resampling images, per group and pooled."""

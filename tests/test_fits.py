@@ -71,6 +71,44 @@ def test_bootstrap_intervals(spark):
         X.cluster_bootstrap(sums, [], "grp", "image_id", scheme="x")
 
 
+def test_block_counts_are_multinomial():
+    """Counts add up, have the mean and spread of fair picks, and depend on the replicate alone."""
+    total, size = 1000, 64
+    counts = X.block_counts(total, np.arange(4000), 3, size)
+    widths = np.array([64] * 15 + [40])
+    assert counts.shape == (4000, 16) and (counts.sum(axis=1) == total).all() and (counts >= 0).all()
+    share = widths / total
+    assert np.abs(counts.mean(axis=0) - widths).max() < 5 * np.sqrt(widths.max() / 4000)
+    assert counts.var(axis=0) == pytest.approx(total * share * (1 - share), rel=0.12)
+    together = np.corrcoef(counts[:, 0], counts[:, 9])[0, 1]
+    assert together == pytest.approx(-share[0] / (1 - share[0]), abs=0.06)
+    assert (X.block_counts(total, np.array([7, 3999]), 3, size) == counts[[7, 3999]]).all()
+    assert (X.block_counts(total, np.arange(50), 4, size) != counts[:50]).any()
+    assert (X.block_counts(40, np.arange(3), 3, size) == 40).all()
+
+
+def test_binomial_against_its_law():
+    n = 60_000
+    m, share, whole = np.full(n, 9), np.full(n, 3), np.full(n, 7)
+    got = np.bincount(X._binomial(m, share, whole, 5, np.arange(n), np.ones(n, np.int64)), minlength=10) / n
+    want = [math.comb(9, k) * (3 / 7) ** k * (4 / 7) ** (9 - k) for k in range(10)]
+    assert got == pytest.approx(want, abs=0.01)
+    many = X._binomial(np.full(300, 100_000), np.full(300, 1), np.full(300, 2), 5, np.arange(300), np.ones(300, np.int64))
+    assert many.mean() == pytest.approx(50_000, abs=60) and many.std() == pytest.approx(158, rel=0.2)
+
+
+def test_resampling_over_several_blocks(spark):
+    """Five thousand pairs: the interval is that of the normal law, whatever the partitions."""
+    rng = np.random.default_rng(1)
+    d = rng.normal(0.3, 1.0, 5000)
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(d)], "k long, seed long, diff double")
+    r = X.mean_difference_interval(df, ["k"], "seed", draws=1000).first()
+    half = 1.96 * d.std() / np.sqrt(5000)
+    assert r.ci_low == pytest.approx(d.mean() - half, abs=0.004) and r.ci_high == pytest.approx(d.mean() + half, abs=0.004)
+    again = X.mean_difference_interval(df.repartition(5), ["k"], "seed", draws=1000).first()
+    assert again.ci_low == pytest.approx(r.ci_low) and again.ci_high == pytest.approx(r.ci_high)
+
+
 def test_cycle_order(spark):
     df = spark.createDataFrame([(i, "abc"[0 if i < 13 else 1 if i < 15 else 2]) for i in range(16)], "id long, g string")
     out = P.group_cycle_order(df, "g", "id", seed=1).orderBy("position").collect()
