@@ -2,58 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.functions.geometry import Box, clip, decode_point, shift, tile_offsets
 from plumbline.functions.scores import quality
 from plumbline.operators.matching import overlapping_pairs
-from plumbline.session import materialize
+from plumbline.operators.neardup import components
+from plumbline.session import materialize, release
 
 _CORNERS = ("x1", "y1", "x2", "y2")
 
 
-def suppress(df: DataFrame, keys: Sequence[str], threshold: float = 0.5, cell: float = 256.0) -> DataFrame:
+#: Overlapping pairs that one task may fold in rank order. Keys with more are taken apart.
+PAIRS_TOGETHER = 2_000_000
+
+
+def suppress(
+    df: DataFrame, keys: Sequence[str], threshold: float = 0.5, cell: float = 256.0, together: int = PAIRS_TOGETHER
+) -> DataFrame:
     """Rows that survive: best score first, a row falls if a kept one overlaps it by more
     than ``threshold``; ties go to the lower ``det_id``. Add a class to ``keys`` for
     suppression within classes only.
 
-    Groups are never gathered: rows are settled in rounds over the pairs that overlap, however
-    few or many a group has.
+    The overlapping pairs of a key stream through one task in rank order, which only remembers who
+    has fallen. A key with more than ``together`` pairs is first cut into the connected pieces of its
+    overlaps; a piece that is still larger is settled in rounds, spread over all tasks.
     """
-    return _settled(df, list(keys), threshold, cell)
-
-
-def _settled(df: DataFrame, keys: list[str], threshold: float, cell: float) -> DataFrame:
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys and c not in _CORNERS and c not in ("det_id", "score")]
     rank = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"))
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     # of identical boxes only the best ranked can stay; boxes without area overlap nothing
-    firsts = df.where(solid).groupBy(*keys, *_CORNERS).agg(F.min(rank).alias("r"))
-    firsts = firsts.select(*keys, *_CORNERS, F.col("r.d").alias("det_id"), F.col("r.s").alias("s"))
-    other = firsts.withColumnsRenamed({"det_id": "det_b", "s": "s_b"})
+    firsts = df.where(solid).groupBy(*keys, *_CORNERS).agg(
+        F.min_by(F.struct("det_id", "score", *rest), rank).alias("r")
+    ).select(*keys, *_CORNERS, "r.*")
+    narrow = firsts.select(*keys, *_CORNERS, "det_id", (-F.col("score")).alias("s"))
+    other = narrow.withColumnsRenamed({"det_id": "det_b", "s": "s_b"})
     before = F.struct(F.col("s"), F.col("det_id").alias("d")) < F.struct(F.col("s_b").alias("s"), F.col("det_b").alias("d"))
     edges = materialize(
-        overlapping_pairs(firsts, other, keys, cell)
+        overlapping_pairs(narrow, other, keys, cell)
         .where((F.col("iou") > threshold) & before)
-        .select(*keys, F.col("det_id").alias("high"), F.col("det_b").alias("low"))
+        .select(*keys, "s", F.col("det_id").alias("high"), F.col("det_b").alias("low"))
     )
-    fallen = None
-    while edges.take(1):
-        blocked = edges.select(*keys, F.col("low").alias("high")).distinct()
-        winners = edges.select(*keys, "high").distinct().join(blocked, [*keys, "high"], "left_anti")
-        losers = materialize(edges.join(winners, [*keys, "high"], "left_semi").select(*keys, "low").distinct())
-        fallen = losers if fallen is None else fallen.unionByName(losers)
-        gone_high = losers.withColumnRenamed("low", "high")
-        edges = materialize(
-            edges.join(losers, [*keys, "low"], "left_anti").join(gone_high, [*keys, "high"], "left_anti")
+    crowded = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > together).select(*keys)
+    if crowded.take(1):
+        apart = edges.join(crowded, keys, "left_semi")
+        fallen = _folded(edges.join(crowded, keys, "left_anti"), keys, keys).unionByName(_by_pieces(apart, keys, together))
+    else:
+        fallen = _folded(edges, keys, keys)
+    stay = firsts.join(fallen.withColumnRenamed("low", "det_id"), [*keys, "det_id"], "left_anti")
+    return stay.select(*df.columns).unionByName(df.where(~solid))
+
+
+def _folded(edges: DataFrame, keys: list[str], pieces: list[str]) -> DataFrame:
+    """(keys, low) of rows that fall, where no overlap leaves a piece: pairs pass in rank order."""
+    names = [*keys, "low"]
+    ordered = edges.repartition(*pieces).sortWithinPartitions("s", "high").select(*keys, "high", "low")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fallen: set = set()
+        for f in frames:
+            of = [f[k].tolist() for k in keys]
+            out = []
+            for i, (high, low) in enumerate(zip(zip(*of, f["high"]), zip(*of, f["low"]))):
+                if low not in fallen and high not in fallen:
+                    fallen.add(low)
+                    out.append(i)
+            yield f[names].iloc[out]
+
+    return ordered.mapInPandas(fold, StructType([edges.schema[c] for c in names]))
+
+
+def _by_pieces(edges: DataFrame, keys: list[str], together: int) -> DataFrame:
+    """(keys, low) of rows that fall among the pairs of crowded keys."""
+    node = lambda c: F.xxhash64(*keys, c)  # noqa: E731  (equal hashes would only join two pieces)
+    labels = components(edges.select(node("high").alias("a"), node("low").alias("b")), "a", "b")
+    labelled = materialize(edges.withColumn("node", node("high")).join(labels, "node").drop("node"))
+    large = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > together).select("component")
+    fallen = _folded(labelled.join(large, "component", "left_anti"), keys, ["component"])
+    if not large.take(1):
+        return fallen
+    return fallen.unionByName(_in_rounds(labelled.join(large, "component", "left_semi").drop("component"), keys))
+
+
+def _in_rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, low) of rows that fall: rows that nothing above overlaps any more fell those below them."""
+    left = materialize(edges.select(*keys, "high", "low"))
+    fallen = left.select(*keys, "low").limit(0)
+    while left.take(1):
+        blocked = left.select(*keys, F.col("low").alias("high")).distinct()
+        winners = left.select(*keys, "high").distinct().join(blocked, [*keys, "high"], "left_anti")
+        losers = materialize(left.join(winners, [*keys, "high"], "left_semi").select(*keys, "low").distinct())
+        now = materialize(
+            left.join(losers, [*keys, "low"], "left_anti")
+            .join(losers.withColumnRenamed("low", "high"), [*keys, "high"], "left_anti")
         )
-    stay = firsts.select(*keys, "det_id").unionByName(df.where(~solid).select(*keys, "det_id"))
-    if fallen is not None:
-        stay = stay.join(fallen.withColumnRenamed("low", "det_id"), [*keys, "det_id"], "left_anti")
-    return df.join(stay, [*keys, "det_id"], "left_semi")
+        total = materialize(fallen.unionByName(losers))
+        release(left, losers, fallen)
+        left, fallen = now, total
+    release(left)
+    return fallen
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], k: int, tie: str = "det_id") -> DataFrame:

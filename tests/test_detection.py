@@ -94,7 +94,9 @@ def test_count_error(spark):
     assert D.count_error(images, d.where("false"), g).first().count_corr is None
 
 
-def test_suppression_equals_loop(spark):
+@pytest.mark.parametrize("together", [10**6, 12, 0])
+def test_suppression_equals_loop(spark, together):
+    """All pairs of an image at once, connected pieces of crowded images, and pieces in rounds."""
     rng = np.random.default_rng(5)
     dets = []
     for image in range(6):
@@ -103,7 +105,7 @@ def test_suppression_equals_loop(spark):
             w, h = (0, 5) if j % 9 == 8 else (10, 10)
             dets.append((image, j, float(rng.integers(0, 6)) / 6, (float(x), float(y), float(x + w), float(y + h))))
     d, _ = frames(spark, dets, {0: [(0.0, 0.0, 1.0, 1.0)]})
-    kept = P.suppress(d, ["image_id"], 0.4, cell=16.0).collect()
+    kept = P.suppress(d, ["image_id"], 0.4, cell=16.0, together=together).collect()
     for image in range(6):
         assert {r.det_id for r in kept if r.image_id == image} == loops.suppress([x for x in dets if x[0] == image], 0.4)
 
