@@ -25,11 +25,11 @@ def prints(seed, n=150):
     return sorted(out) + [0, -1, 1 << 62, -(2**63)]
 
 
-@pytest.mark.parametrize("bands,hot", [(7, 2000), (8, 2000), (8, 1)])
-def test_hamming_join_equals_all_pairs(spark, bands, hot):
+@pytest.mark.parametrize("list_size", [1024, 16, 2])
+def test_hamming_join_equals_all_pairs(spark, list_size):
     values = prints(1)
     df = spark.createDataFrame([(v,) for v in values + values[:5]], "fingerprint long")
-    got = {(r.fp_a, r.fp_b): r.distance for r in N.hamming_pairs(df, 6, bands, hot).collect()}
+    got = {(r.fp_a, r.fp_b): r.distance for r in N.hamming_pairs(df, 6, list_size).collect()}
     want = {}
     for i, a in enumerate(sorted(set(values))):
         for b in sorted(set(values))[i + 1 :]:
@@ -38,7 +38,34 @@ def test_hamming_join_equals_all_pairs(spark, bands, hot):
                 want[a, b] = d
     assert got == want and len(want) > 50
     with pytest.raises(ValueError):
-        N.band_keys(F.lit(0), 6, 6)
+        N.band_masks(0b111111, 6, 7)
+
+
+def test_masks_leave_the_differing_bits_out():
+    varying = 0xFFF00000FFFF0F
+    masks = N.band_masks(varying, 3, 5)
+    bits = [i for i in range(64) if varying >> i & 1]
+    assert len(masks) == 10 and all(m & ~varying == 0 for m in masks)
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        change = sum(1 << int(i) for i in rng.choice(bits, 3, replace=False))
+        assert any(m & change == 0 for m in masks)
+
+
+def test_hamming_join_of_a_full_key(spark):
+    """Half of 40,000 fingerprints agree in 40 bits, so that they share most keys: split again, not all pairs."""
+    rng = np.random.default_rng(4)
+    crowd = rng.integers(0, 2**24, 20_000) << 20
+    spread = rng.integers(-(2**62), 2**62, 20_000)
+    values = np.unique(np.concatenate([crowd, spread]))
+    df = spark.createDataFrame([(int(v),) for v in values], "fingerprint long")
+    got = {(r.fp_a, r.fp_b) for r in N.hamming_pairs(df, 3).collect()}
+    want = set()
+    view = values.view(np.uint64)
+    for i in range(len(values)):
+        near = np.flatnonzero(np.bitwise_count(view[i + 1 :] ^ view[i]) <= 3) + i + 1
+        want |= {(int(values[i]), int(values[j])) for j in near}
+    assert got == want and len(want) > 1000
 
 
 def test_components_on_chains_and_stars(spark):
@@ -66,6 +93,21 @@ def test_cosine_join_equals_matrix_product(spark, pivots, block):
         assert got == want and want
 
 
+def test_cosine_bound_is_safe_and_saves_products():
+    """No pair above the cosine is lost, and few of the others are multiplied in full."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 64))
+    v[300:] = v[:300] + rng.normal(size=(300, 64)) * 0.02
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    axes = N.principal_axes(v[:200])
+    assert axes.shape == (64, 16) and np.allclose(axes.T @ axes, np.eye(16))
+    may = N.possible(v @ axes, v @ axes, 0.98)
+    assert may[v @ v.T >= 0.98].all()
+    assert axes.shape[1] / 64 + may.mean() < 0.5
+    few = N.principal_axes(v[:3, :5])
+    assert few.shape == (5, 5)
+
+
 def corpus(spark):
     rows = [(1, "train", "a"), (2, "train", "a"), (3, "train", "b"), (4, "val", "b"), (5, "val", "c"), (6, "test", "a"), (7, "test", "d"), (8, "test", "c")]
     df = spark.createDataFrame(rows, "image_id long, split string, content string")
