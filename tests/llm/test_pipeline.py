@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import fixtures as fx
-from test_corpus import plain_components
+from test_across_documents import plain_components
 
 from plumbline.llm import common, mixing, toxicity
 
