@@ -14,6 +14,7 @@ from plumbline.plans.detection import _FLAG_LEVELS, ap_sql
 from plumbline.plans.registry import ORACLES, query, r6
 from plumbline.plans.tables import with_tables
 from plumbline.session import scratch_path
+from plumbline.sources import annotations as N
 from plumbline.sources import corpus as P
 from plumbline.sources import dumps as U
 
@@ -354,3 +355,31 @@ def _detection_dump(spark, sf_dir):
     U.write_candidates(rows, path, force=True)
     stored = U.read_candidates(spark, path, method="det")
     return stored.groupBy("method", "seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean_score"))
+
+
+@query(
+    "annotation_documents",
+    with_tables("images", "boxes", body="""
+SELECT split, images, cameras, coalesce(boxes, 0) AS boxes, round(coalesce(area, 0), 3) AS area, coalesce(ids, 0) AS ids FROM
+(SELECT split, count(*) AS images, count(DISTINCT camera) AS cameras FROM images GROUP BY split) LEFT JOIN
+(SELECT split, count(*) AS boxes, sum((x2 - x1) * (y2 - y1))::double AS area, sum(gt_id % 1000003)::bigint AS ids
+ FROM boxes JOIN images USING (image_id) GROUP BY split) USING (split)"""),
+)
+def _annotation_documents(spark, sf_dir):
+    """One annotation document per split, written, and read again in ranges of 64 KB."""
+    path = scratch_path(spark, "documents")
+    images = T.images(spark, sf_dir).select("split", "image_id", "camera", "background")
+    N.write_documents(images, T.boxes(spark, sf_dir).join(images.select("image_id", "split"), "image_id"), path)
+    objects = N.read_objects(spark, path, 1 << 16)
+    per_image = N.images_in(objects).groupBy("split").agg(
+        F.count(F.lit(1)).alias("images"), F.countDistinct("camera").alias("cameras")
+    )
+    per_box = N.boxes_in(objects).groupBy("split").agg(
+        F.count(F.lit(1)).alias("boxes"), F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"),
+        F.sum(F.col("gt_id") % 1000003).alias("ids"),
+    )
+    zero = F.lit(0)
+    return per_image.join(per_box, "split", "left").select(
+        "split", "images", "cameras", F.coalesce("boxes", zero).alias("boxes"),
+        F.round(F.coalesce("area", zero.cast("double")), 3).alias("area"), F.coalesce("ids", zero).alias("ids"),
+    )

@@ -7,6 +7,7 @@ import pytest
 from plumbline.operators import audit as A
 from plumbline.operators import masks as K
 from plumbline.operators import neardup as N
+from plumbline.sources import annotations as D
 from plumbline.sources import corpus as P
 from plumbline.sources import dumps as U
 from pyspark.sql import functions as F
@@ -230,6 +231,55 @@ def test_annotation_documents_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/images")).where("split = 'test'").count() == 1
 
 
+@pytest.mark.parametrize("range_bytes", [None, 4096, 700])
+def test_one_document_is_read_by_many_tasks(spark, tmp_path, range_bytes):
+    """Whatever the ranges: brackets and quotes in strings, nested objects, other keys, a long object."""
+    rng = np.random.default_rng(0)
+    odd = ['a}b', 'q"}{[', "back\\", '\\"}', "é中}", "]}", ""]
+    doc = {
+        "info": {"about": {"deep": [{"id": 1}]}, "images": "no {array"},
+        "images": [{"id": i, "file_name": odd[i % 7] + f"/{i}.png", "width": 10, "height": 10} for i in range(60)],
+        "licenses": [],
+        "annotations": [
+            {"id": i, "image_id": int(rng.integers(60)), "bbox": [1.5, 2, i % 5, 4], "category_id": 1,
+             "segmentation": {"size": [1, 2], "counts": "}" * (i % 3), "more": {"x": {}}}, "note": "z}" * (900 if i == 33 else 1)}
+            for i in range(150)
+        ],
+        "categories": [{"id": 1, "name": "rod"}],
+    }
+    (tmp_path / "train.json").write_text(json.dumps(doc, indent=1 if range_bytes == 700 else None, ensure_ascii=False) + "\n")
+    (tmp_path / "val.json").write_text(json.dumps({"images": doc["images"][:2], "annotations": []}))
+    (tmp_path / "torn.json").write_text(json.dumps(doc)[:-300])
+    rows = D.read_objects(spark, str(tmp_path), range_bytes).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.split, r.section), []).append(json.loads(r.object))
+    order = lambda x: x["id"]
+    for key in ("images", "annotations", "categories"):
+        assert sorted(got["train", key], key=order) == doc[key]
+    assert sorted(got["val", "images"], key=order) == doc["images"][:2]
+    assert {k for k in got if k[0] in ("torn", "val")} == {("val", "images")}
+    objects = D.read_objects(spark, str(tmp_path / "train.json"), range_bytes)
+    assert D.images_in(objects).count() == 60 and D.boxes_in(objects).count() == 120
+    if range_bytes:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
+        parts = spark.read.text(str(tmp_path / "train.json"), lineSep="}").rdd.getNumPartitions()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
+        assert parts > 3
+
+
+def test_written_documents_are_json(spark, tmp_path):
+    images = spark.createDataFrame([("train", 1, "a.png"), ("train", 2, 'b".png'), ("val", 3, "c.png")], "split string, image_id long, file_name string")
+    boxes = spark.createDataFrame([("train", 1, 7, 1.0, 2.0, 4.0, 6.0)], "split string, image_id long, gt_id long, x1 double, y1 double, x2 double, y2 double")
+    D.write_documents(images, boxes, str(tmp_path / "docs"))
+    (file,) = (tmp_path / "docs/split=train").glob("*.txt")
+    doc = json.loads(file.read_text())
+    assert [i["id"] for i in doc["images"]] == [1, 2] and doc["annotations"][0]["bbox"] == [1.0, 2.0, 3.0, 4.0]
+    objects = D.read_objects(spark, str(tmp_path / "docs"))
+    assert {(r.split, r.image_id) for r in D.images_in(objects).collect()} == {("train", 1), ("train", 2), ("val", 3)}
+    assert [(r.split, r.gt_id, r.x2, r.y2) for r in D.boxes_in(objects).collect()] == [("train", 7, 4.0, 6.0)]
+
+
 def test_metadata_last_row_wins(spark, tmp_path):
     (tmp_path / "m.csv").write_text("Image_ID,Background_Color,Camera_System\na.png,red,c1\na.png,blue,c2\n")
     meta = P.read_metadata(spark, str(tmp_path / "m.csv"), "Image_ID", "Camera_System", "Background_Color")
