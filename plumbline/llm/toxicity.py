@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-The terms that tell the labels apart span the vector space; they are counted over all labelled
+The terms that tell of the toxic label span the vector space; they are counted over all labelled
 rows of the training folds, their document frequency over all documents. Examples, a bounded
 sample of the labelled rows, stand in blocks; the inverted index holds, per term and block, the
 postings and their largest weight. A query sums those maxima into a bound per block, visits
@@ -28,11 +28,12 @@ from plumbline.session import materialize
 
 #: Labelled rows of each class that the classifier is fitted on, at most: a seeded sample.
 EXAMPLES = 4096
-#: Terms that span the space, at most, and how clearly each must tell the labels apart.
+#: Terms that span the space, at most.
 TERMS = 2048
-CHI_SQUARED = 40.0
-#: Standard errors by which the log odds of a term are lowered before terms are ranked by them.
+#: Standard errors by which the log odds of a term are lowered, and what they must then reach: the
+#: term makes the toxic label about seven times as likely, at any number of rows.
 DOUBTED = 2.0
+TOLD = 2.0
 #: Terms that a task counts before it passes the counts on.
 REMEMBERED = 200_000
 #: Examples of one block of the index, and neighbours that vote.
@@ -71,11 +72,8 @@ class Model:
 
     def vector(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit TF-IDF weights of a text."""
-        counts: dict[int, int] = {}
-        get = self.number.get
-        for w in terms(raw):
-            if (i := get(w)) is not None:
-                counts[i] = counts.get(i, 0) + 1
+        number = self.number
+        counts = Counter([number[w] for w in terms(raw) if w in number])
         at = np.array(sorted(counts), np.int64)
         weight = (1 + np.log([counts[i] for i in at])) * self.idf[at] if len(at) else np.zeros(0)
         norm = np.sqrt((weight**2).sum())
@@ -256,8 +254,8 @@ def count_documents(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms: int = TERMS) -> Model:
     """Fit on labelled rows of ``docs`` outside the held-out fold (crc32 of the id modulo 5 is 0).
 
-    Terms are counted over all of these rows, and ranked by their log odds less their doubt, which
-    do not grow with the rows. At most ``examples`` rows of each class, by a hash of the id, and
+    Terms are counted over all of these rows. Those whose log odds, less their doubt, reach ``TOLD`` are
+    ranked by them; the odds of a term do not grow with the rows, only the doubt shrinks. At most ``examples`` rows of each class, by a hash of the id, and
     ``most_terms`` terms are used; that bounds what the driver gathers. A document labelled twice
     counts as toxic if either label says so; null labels are left out.
     """
@@ -276,18 +274,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms
     drawn = materialize(parts[0].unionByName(parts[1]).drop("_h"))
     chosen = docs.select("doc_id", as_bytes().alias("_raw")).join(F.broadcast(drawn), "doc_id")
     n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
-    total, a, b = n0 + n1, F.col("a"), F.col("b")
-    cross = a * (n0 - b) - b * (n1 - a)
-    spread = (a + b) * (total - a - b) * max(n0, 1.0) * max(n1, 1.0)
+    a, b = F.col("a"), F.col("b")
     cells = [a + 0.5, n0 - b + 0.5, n1 - a + 0.5, b + 0.5]
     odds = F.log(cells[0]) + F.log(cells[1]) - F.log(cells[2]) - F.log(cells[3])
     doubt = F.sqrt(sum((1 / c for c in cells), F.lit(0.0)))
     told = (
         count_terms(docs, known)
-        .where(a + b >= 3)
-        .withColumn("chi", F.when(spread > 0, total * cross * cross / spread).otherwise(0.0))
-        .where(F.col("chi") >= CHI_SQUARED)
-        .withColumn("told", F.abs(odds) - DOUBTED * doubt)
+        .withColumn("told", odds - DOUBTED * doubt)
+        .where(F.col("told") >= TOLD)
         .orderBy(F.desc("told"), "term")
         .limit(most_terms)
         .collect()
