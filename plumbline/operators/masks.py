@@ -1,60 +1,142 @@
-"""Masks as rows of foreground pixels (sample, x, y), and features of decoded images."""
+"""Masks as runs of foreground pixels, and features of decoded images.
+
+A run is a row (sample, y, x0, x1): the pixels x0 to x1 - 1 of line y. Runs may overlap until
+``overlay`` makes them disjoint; the other functions take disjoint runs.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.neardup import components
+from plumbline.session import materialize
+
+
+def runs_of_pixels(pixels: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """Single pixels (keys, x, y) as runs."""
+    return overlay(pixels.select(*keys, "y", F.col("x").alias("x0"), (F.col("x") + 1).alias("x1")), keys)
+
+
+def runs_of_boxes(boxes: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """Boxes filled, line by line, one run per box and line; what lies left of or above 0 is cut off."""
+    line = {c: F.greatest(F.ceil(c).cast("long"), F.lit(0)) for c in ("x1", "y1", "x2", "y2")}
+    cut = boxes.select(*keys, *[e.alias(c) for c, e in line.items()]).where("x2 > x1 AND y2 > y1")
+    return cut.select(*keys, F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
+
 
+def overlay(runs: DataFrame, keys: Sequence[str] = ("sample",), at_least: int | Column = 1) -> DataFrame:
+    """Disjoint longest runs of the pixels that ``at_least`` of the given runs hold, per keys and line.
 
-def mask_components(pixels: DataFrame) -> DataFrame:
-    """Number of 8-connected pieces per sample."""
-    node = F.struct("sample", "x", "y")
-    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1))])
-    ahead = pixels.select("sample", "x", "y", F.inline(moves)).select(
-        node.alias("a"), "sample", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")
+    Runs become steps up and down; a running sum along the line tells how many cover a place.
+    ``at_least`` may be a column of ``keys``.
+    """
+    keys = list(keys)
+    steps = (
+        runs.select(*keys, "y", F.explode(F.array(
+            F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d"))
+        )).alias("s"))
+        .groupBy(*keys, "y", F.col("s.x").alias("x")).agg(F.sum("s.d").alias("d"))
     )
-    edges = ahead.join(pixels.select("sample", "x", "y"), ["sample", "x", "y"]).select("a", F.struct("sample", "x", "y").alias("b"))
-    labels = components(edges, "a", "b")
-    merged = labels.where(F.col("node") != F.col("component")).groupBy(F.col("node.sample").alias("sample")).agg(F.count(F.lit(1)).alias("absorbed"))
-    # every pixel that is not the smallest of its piece is absorbed by it
-    area = pixels.groupBy("sample").agg(F.count(F.lit(1)).alias("area"))
-    return area.join(merged, "sample", "left").select("sample", (F.col("area") - F.coalesce("absorbed", F.lit(0))).alias("components"))
+    line = W.partitionBy(*keys, "y").orderBy("x")
+    wanted = F.lit(at_least) if isinstance(at_least, int) else at_least
+    inside = steps.withColumn("_in", F.sum("d").over(line) >= wanted)
+    turns = inside.withColumn("_was", F.coalesce(F.lag("_in").over(line), F.lit(False))).where("_in <> _was")
+    return turns.withColumn("x1", F.lead("x").over(line)).where("_in").select(*keys, "y", F.col("x").alias("x0"), "x1")
+
 
+def mask_components(runs: DataFrame) -> DataFrame:
+    """Number of 8-connected pieces per sample: runs of neighbouring lines that touch, corners included.
 
-def mask_morphology(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    The runs of a mask pass in line order; only the pieces that reach the line before are remembered.
+    """
+    ordered = runs.select("sample", "y", "x0", "x1").repartition("sample").sortWithinPartitions("sample", "y", "x0")
+    kind = runs.schema["sample"].dataType.simpleString()
+    return ordered.mapInPandas(_count_pieces, f"sample {kind}, components long")
+
+
+def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    started, sample, line, pieces, nearest, fresh = False, None, None, 0, 0, 0
+    above: list = []  # (x0, x1, piece) of the line before
+    here: list = []
+    parent: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    for f in frames:
+        done = []
+        for s, y, x0, x1 in zip(f["sample"].tolist(), f["y"].tolist(), f["x0"].tolist(), f["x1"].tolist()):
+            if not started or s != sample:
+                if started:
+                    done.append((sample, pieces))
+                started, sample, line, pieces, here = True, s, None, 0, []
+            if y != line:
+                above = [(u, v, root(p)) for u, v, p in here] if line is not None and y == line + 1 else []
+                parent = {p: p for _, _, p in above}
+                here, line, nearest = [], y, 0
+            fresh += 1
+            piece = fresh
+            parent[piece] = piece
+            pieces += 1
+            while nearest < len(above) and above[nearest][1] < x0:
+                nearest += 1
+            k = nearest
+            while k < len(above) and above[k][0] <= x1:
+                p, q = root(above[k][2]), root(piece)
+                if p != q:
+                    parent[q] = p
+                    pieces -= 1
+                k += 1
+            here.append((x0, x1, piece))
+        if done:
+            yield pd.DataFrame(done, columns=["sample", "components"])
+    if started:
+        yield pd.DataFrame([(sample, pieces)], columns=["sample", "components"])
+
+
+def mask_morphology(runs: DataFrame, boxes: DataFrame) -> DataFrame:
     """containment, elongation, components, orientation, foreground ratio per sample.
 
-    ``boxes`` has one box per sample. Axes come from the pixel covariance in closed form;
-    a mask of fewer than two pixels has none. Samples without pixels score 0.
+    ``boxes`` has one box per sample. Axes come from the pixel covariance, summed in closed form over
+    the runs; a mask of fewer than two pixels has none. Samples without pixels score 0.
     """
     edge = {c: F.bround(F.col(c)).cast("long") for c in ("x1", "y1", "x2", "y2")}
     whole = boxes.select(
-        "sample", "x1", "y1", "x2", "y2",
+        "sample", F.col("x1").alias("b_x1"), F.col("y1").alias("b_y1"), F.col("x2").alias("b_x2"), F.col("y2").alias("b_y2"),
         *[e.alias(f"r_{c}") for c, e in edge.items()],
     )
     zero, one = F.lit(0), F.lit(1)
-    inside = (
-        (F.col("y") >= F.greatest(zero, F.col("r_y1"))) & (F.col("y") < F.greatest(one, F.col("r_y2")))
-        & (F.col("x") >= F.greatest(zero, F.col("r_x1"))) & (F.col("x") < F.greatest(one, F.col("r_x2")))
-    )
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    stats = (
-        pixels.join(whole.select("sample", "r_x1", "r_y1", "r_x2", "r_y2"), "sample")
+    within = (F.col("y") >= F.greatest(zero, F.col("r_y1"))) & (F.col("y") < F.greatest(one, F.col("r_y2")))
+    common = F.least("x1", F.greatest(one, F.col("r_x2"))) - F.greatest("x0", F.greatest(zero, F.col("r_x1")))
+    # whole numbers throughout: 2 x and 6 x x summed over a run, so that even masks have no slant
+    n, x0, x1, y = F.col("x1") - F.col("x0"), F.col("x0"), F.col("x1"), F.col("y")
+    along = n * (x0 + x1 - 1)
+    squares = lambda e: (e - 1) * e * (2 * e - 1)  # noqa: E731  (of the places before e, six times)
+    sums = (
+        runs.join(whole.select("sample", "r_x1", "r_y1", "r_x2", "r_y2"), "sample")
         .groupBy("sample")
         .agg(
-            F.count(F.lit(1)).alias("area"),
-            F.count(F.when(inside, 1)).alias("inside"),
-            F.var_pop(x).alias("xx"),
-            F.var_pop(y).alias("yy"),
-            F.covar_pop(x, y).alias("xy"),
+            F.sum(n).alias("area"),
+            F.sum(F.when(within, F.greatest(common, zero)).otherwise(zero)).alias("inside"),
+            F.sum(along).alias("sx"), F.sum(n * y).alias("sy"), F.sum(squares(x1) - squares(x0)).alias("sxx"),
+            F.sum(n * y * y).alias("syy"), F.sum(along * y).alias("sxy"),
         )
     )
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    area = F.col("area").cast("double")
+    stats = sums.select(
+        "sample", "area", "inside",
+        ((4 * big("area") * big("sxx") - 6 * big("sx") * big("sx")).cast("double") / (24.0 * area * area)).alias("xx"),
+        ((big("area") * big("syy") - big("sy") * big("sy")).cast("double") / (area * area)).alias("yy"),
+        ((big("area") * big("sxy") - big("sx") * big("sy")).cast("double") / (2.0 * area * area)).alias("xy"),
+    )
     half, diff = (F.col("xx") + F.col("yy")) / 2.0, (F.col("xx") - F.col("yy")) / 2.0
     root = F.sqrt(diff * diff + F.col("xy") * F.col("xy"))
     floor = F.lit(1e-9)
@@ -62,8 +144,8 @@ def mask_morphology(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     angle = F.atan2(2.0 * F.col("xy"), F.col("xx") - F.col("yy")) / 2.0
     lies = F.when(F.col("r_x2") - F.col("r_x1") >= F.col("r_y2") - F.col("r_y1"), F.lit(0.0)).otherwise(F.lit(float(np.pi / 2)))
     has_axes = F.col("area") >= 2
-    box_area = F.greatest(F.lit(1.0), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    joined = whole.join(stats, "sample", "left").join(mask_components(pixels), "sample", "left")
+    box_area = F.greatest(F.lit(1.0), (F.col("b_x2") - F.col("b_x1")) * (F.col("b_y2") - F.col("b_y1")))
+    joined = whole.join(stats, "sample", "left").join(mask_components(runs), "sample", "left")
     return joined.select(
         "sample",
         (F.coalesce("inside", zero) / F.greatest(F.coalesce("area", zero), one)).alias("containment"),
@@ -87,15 +169,20 @@ def is_plausible_mask(containment: float = 0.7, elongation: float = 2.0, band: t
 def dice(masks: DataFrame, truth: DataFrame, samples: DataFrame) -> DataFrame:
     """Dice overlap with the truth per (sample, backend); 1 where both are empty.
 
-    ``samples`` lists every (sample, backend); empty masks have no pixel rows.
+    ``masks`` are disjoint runs per (sample, backend), ``truth`` per sample. ``samples`` lists every
+    (sample, backend); empty masks have no runs.
     """
-    both = masks.join(truth.select("sample", "x", "y"), ["sample", "x", "y"], "left_semi").groupBy("sample", "backend").agg(F.count(F.lit(1)).alias("common"))
-    own = masks.groupBy("sample", "backend").agg(F.count(F.lit(1)).alias("own"))
-    true_size = truth.groupBy("sample").agg(F.count(F.lit(1)).alias("truth"))
+    length = F.sum(F.col("x1") - F.col("x0"))
+    own = masks.groupBy("sample", "backend").agg(length.alias("own"))
+    true_size = truth.groupBy("sample").agg(length.alias("truth"))
+    listed = samples.select("sample", "backend").distinct()
+    beside = truth.join(listed, "sample").select("sample", "backend", "y", "x0", "x1")
+    shared = overlay(masks.select("sample", "backend", "y", "x0", "x1").unionByName(beside), ["sample", "backend"], 2)
+    both = shared.groupBy("sample", "backend").agg(length.alias("common"))
     zero = F.lit(0)
     total = F.coalesce("own", zero) + F.coalesce("truth", zero)
     return (
-        samples.join(own, ["sample", "backend"], "left")
+        listed.join(own, ["sample", "backend"], "left")
         .join(both, ["sample", "backend"], "left")
         .join(true_size, "sample", "left")
         .select("sample", "backend", F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.coalesce("common", zero) / total).alias("dice"))
@@ -103,15 +190,15 @@ def dice(masks: DataFrame, truth: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def consensus(masks: DataFrame, samples: DataFrame) -> DataFrame:
-    """Pixels that at least half of the backends of a sample set."""
+    """Runs of the pixels that at least half of the backends of a sample set."""
     backends = samples.groupBy("sample").agg(F.countDistinct("backend").alias("backends"))
-    votes = masks.groupBy("sample", "x", "y").agg(F.countDistinct("backend").alias("votes"))
-    return votes.join(backends, "sample").where(F.col("votes") * 2 >= F.col("backends")).select("sample", "x", "y")
+    counted = masks.select("sample", "y", "x0", "x1").join(backends, "sample")
+    return overlay(counted, ["sample", "backends"], F.col("backends") / 2.0).drop("backends")
 
 
 def pilot_summary(masks: DataFrame, truth: DataFrame, samples: DataFrame, boxes: DataFrame, dice_min: float = 0.7) -> DataFrame:
     """One row: mean Dice per backend, Dice of the consensus, share of plausible masks, pass."""
-    agreed = consensus(masks, samples)
+    agreed = materialize(consensus(masks, samples))
     alone = dice(masks, truth, samples).groupBy("backend").agg(F.avg("dice").alias("d"))
     listed = samples.select("sample").distinct()
     together = dice(agreed.withColumn("backend", F.lit("consensus")), truth, listed.withColumn("backend", F.lit("consensus")))

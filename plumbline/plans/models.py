@@ -11,8 +11,9 @@ from plumbline.operators import grouping as G
 from plumbline.operators import masks as K
 from plumbline.plans import tables as T
 from plumbline.plans.calibration import cands
-from plumbline.plans.registry import ORACLES, query, r6
+from plumbline.plans.registry import query, r6
 from plumbline.plans.tables import with_tables
+from plumbline.session import materialize
 
 _Q = """
 q AS (SELECT grp, run, image_id, label, (floor(p_det * 49) + 0.5) / 50.0::double AS p FROM cands),
@@ -203,94 +204,110 @@ def _norms(spark, sf_dir):
     return vecs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 5).alias("mean_norm"))
 
 
-# masks: a slanted rod per supplier, seen by three backends that shift or lose pixels
-_RODS = """
-rods AS (SELECT s_suppkey AS sample, 6 + s_suppkey % 5 AS len, 2 + s_suppkey % 2 AS thick, s_suppkey % 3 AS slant FROM supplier),
-truth AS (SELECT DISTINCT sample, i + 2 AS x, 2 + j + (i * slant) // 4 AS y
-          FROM rods, (SELECT range AS i FROM range(11)), (SELECT range AS j FROM range(3)) WHERE i < len AND j < thick),
-backs AS (SELECT sample, b AS backend FROM rods, (VALUES ('a'), ('b'), ('c')) v(b)),
-masks AS (SELECT sample, 'a' AS backend, x, y FROM truth
-          UNION ALL SELECT sample, 'b', x + 1, y FROM truth
-          UNION ALL SELECT sample, 'c', x, y FROM truth WHERE (x + sample) % 4 <> 0),
-agreed AS (SELECT sample, x, y FROM masks GROUP BY ALL HAVING count(*) * 2 >= 3),
-mbox AS (SELECT sample, 2.0::double AS x1, 2.0::double AS y1, (2 + len)::double AS x2, (2 + thick + ((len - 1) * slant) // 4)::double AS y2 FROM rods)
-"""
-
-
-def rods(spark, sf_dir):
-    base = T.read(spark, sf_dir, "supplier").selectExpr(
-        "bigint(s_suppkey) AS sample", "6 + s_suppkey % 5 AS len", "2 + s_suppkey % 2 AS thick", "s_suppkey % 3 AS slant"
+# masks: the given boxes filled per image, against the boxes of the two sources of detections
+def _merged_sql(name: str, source: str, keys: str) -> str:
+    part = f"PARTITION BY {keys}, y ORDER BY x0, x1 ROWS"
+    return f"""
+{name} AS (SELECT {keys}, y, min(x0) AS x0, max(x1) AS x1 FROM (
+  SELECT *, sum((m IS NULL OR x0 > m)::int) OVER ({part} UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, max(x1) OVER ({part} BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT DISTINCT {keys}, y, x0, x1 FROM {source}))) GROUP BY {keys}, y, g)"""
+
+
+_FILLED = """
+backs AS (SELECT image_id AS sample, unnest(['first', 'second']) AS backend FROM all_images),
+found AS (SELECT image_id AS sample, CASE WHEN det_id < 100000000000000 THEN 'first' ELSE 'second' END AS backend,
+                 greatest(x1, 0)::bigint AS x1, greatest(y1, 0)::bigint AS y1, x2::bigint AS x2, y2::bigint AS y2 FROM dets),
+drawn AS (SELECT sample, backend, unnest(range(y1, y2)) AS y, x1 AS x0, x2 AS x1 FROM found WHERE x2 > x1),
+filled AS (SELECT image_id AS sample, unnest(range(greatest(y1, 0)::bigint, y2::bigint)) AS y, greatest(x1, 0)::bigint AS x0, x2::bigint AS x1
+           FROM boxes WHERE x2 > greatest(x1, 0)),
+mbox AS (SELECT image_id AS sample, min(x1)::double AS x1, min(y1)::double AS y1, max(x2)::double AS x2, max(y2)::double AS y2 FROM boxes GROUP BY 1),
+""" + ",".join([_merged_sql("masks", "drawn", "sample, backend"), _merged_sql("truth", "filled", "sample"), _merged_sql("agreed", "masks", "sample")])
+
+
+def filled(spark, sf_dir):
+    """Truth, masks by source of the detections, all samples, and the box around the truth."""
+    boxes, dets = T.boxes(spark, sf_dir), T.detections(spark, sf_dir)
+    truth = K.overlay(K.runs_of_boxes(boxes.withColumnRenamed("image_id", "sample")))
+    source = F.when(F.col("det_id") < 100000000000000, "first").otherwise("second").alias("backend")
+    found = dets.select(F.col("image_id").alias("sample"), source, "x1", "y1", "x2", "y2")
+    masks = K.overlay(K.runs_of_boxes(found, ["sample", "backend"]), ["sample", "backend"])
+    samples = T.all_images(spark, sf_dir).select(
+        F.col("image_id").alias("sample"), F.explode(F.array(F.lit("first"), F.lit("second"))).alias("backend")
     )
-    truth = (
-        base.selectExpr("sample", "thick", "slant", "explode(sequence(0L, bigint(len - 1))) AS i")
-        .selectExpr("sample", "i", "slant", "explode(sequence(0L, bigint(thick - 1))) AS j")
-        .selectExpr("sample", "i + 2 AS x", "2 + j + (i * slant) DIV 4 AS y")
-        .distinct()
+    around = boxes.groupBy(F.col("image_id").alias("sample")).agg(
+        *[f(c).cast("double").alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))]
     )
-    shifted = truth.selectExpr("sample", "'b' AS backend", "x + 1 AS x", "y")
-    lossy = truth.where("(x + sample) % 4 <> 0").selectExpr("sample", "'c' AS backend", "x", "y")
-    masks = truth.selectExpr("sample", "'a' AS backend", "x", "y").unionByName(shifted).unionByName(lossy)
-    samples = base.selectExpr("sample", "explode(array('a', 'b', 'c')) AS backend")
-    boxes = base.selectExpr(
-        "sample", "2D AS x1", "2D AS y1", "double(2 + len) AS x2", "double(2 + thick + ((len - 1) * slant) DIV 4) AS y2"
-    )
-    return truth, masks, samples, boxes
-
-
-@query(
-    "mask_morphology",
-    "WITH RECURSIVE " + _RODS.strip() + """,
-reach AS (SELECT sample, x, y, x AS rx, y AS ry FROM agreed
-          UNION SELECT r.sample, r.x, r.y, p.x, p.y FROM reach r JOIN agreed p ON p.sample = r.sample AND abs(p.x - r.rx) <= 1 AND abs(p.y - r.ry) <= 1),
-comp AS (SELECT sample, count(DISTINCT root) AS components FROM (SELECT sample, x, y, min(rx * 1000 + ry) AS root FROM reach GROUP BY ALL) GROUP BY sample),
-st AS (SELECT sample, count(*) AS area, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy,
-              count(*) FILTER (x >= x1 AND x < x2 AND y >= y1 AND y < y2) AS inside, any_value((x2 - x1) * (y2 - y1)) AS ba
-       FROM agreed JOIN mbox USING (sample) GROUP BY sample),
-ev AS (SELECT *, (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS l1, (xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS l2 FROM st)
-SELECT sample, components, round(inside / area, 6) AS containment, round(sqrt(greatest(l1, 1e-9)) / sqrt(greatest(l2, 1e-9)), 4) AS elongation,
-       round(area / ba, 6) AS foreground_ratio,
-       round(abs(cos(atan2(2 * xy, xx - yy) / 2 - CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE pi() / 2 END)), 5) AS orientation
-FROM ev JOIN comp USING (sample) JOIN mbox USING (sample)""",
-)
+    return truth, materialize(masks), samples, around
+
+
+_PIECES = """,
+rects AS (SELECT DISTINCT sample, x1, y1, x2, y2 FROM found WHERE x2 > x1 AND y2 > y1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY x1, y1, x2, y2) AS i FROM rects),
+touching AS (SELECT a.sample, a.i, b.i AS j FROM numbered a JOIN numbered b
+             ON a.sample = b.sample AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2),
+reach AS (SELECT sample, i, i AS j FROM numbered UNION SELECT r.sample, r.i, t.j FROM reach r JOIN touching t ON t.sample = r.sample AND t.i = r.j),
+comp AS (SELECT sample, count(DISTINCT root) AS components FROM (SELECT sample, i, min(j) AS root FROM reach GROUP BY ALL) GROUP BY sample),
+st AS (SELECT sample, sum(x1 - x0) AS a, sum((x1 - x0) * (x0 + x1 - 1)) AS sx, sum((x1 - x0) * y) AS sy,
+              sum((x1 - 1) * x1 * (2 * x1 - 1) - (x0 - 1) * x0 * (2 * x0 - 1)) AS sxx, sum((x1 - x0) * y * y) AS syy,
+              sum((x1 - x0) * (x0 + x1 - 1) * y) AS sxy FROM agreed GROUP BY sample),
+ins AS (SELECT sample, sum(greatest(0, least(g.x1, greatest(1, b.x2)) - greatest(g.x0, b.x1)))::double AS inside
+        FROM agreed g JOIN mbox b USING (sample) WHERE y >= b.y1 AND y < greatest(1, b.y2) GROUP BY sample),
+mo AS (SELECT sample, a::double AS a, (4 * a * sxx - 6 * sx * sx)::double / (24.0::double * a::double * a::double) AS xx,
+              (a * syy - sy * sy)::double / (a::double * a::double) AS yy, (a * sxy - sx * sy)::double / (2.0::double * a::double * a::double) AS xy FROM st),
+ev AS (SELECT *, (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS l1, (xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS l2 FROM mo)
+"""
+_SHAPES = """
+SELECT sample, coalesce(components, 0) AS components, floor(coalesce(inside, 0) / greatest(coalesce(a, 0), 1) * 1000000 + 0.5::double) / 1000000 AS containment,
+       round(CASE WHEN a >= 2 THEN sqrt(greatest(l1, 1e-9)) / sqrt(greatest(l2, 1e-9)) ELSE 0 END, 4) AS elongation,
+       floor(coalesce(a, 0) / greatest(1, (x2 - x1) * (y2 - y1)) * 1000000 + 0.5::double) / 1000000 AS foreground_ratio,
+       round(abs(cos(CASE WHEN a >= 2 THEN atan2(2 * xy, xx - yy) / 2 ELSE 0 END - CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE pi() / 2 END)), 5) AS orientation
+FROM mbox LEFT JOIN ev USING (sample) LEFT JOIN comp USING (sample) LEFT JOIN ins USING (sample)"""
+_DICE = """
+SELECT b.sample, b.backend, round(CASE WHEN coalesce(o, 0) + coalesce(t, 0) = 0 THEN 1 ELSE 2.0::double * coalesce(c, 0) / (coalesce(o, 0) + coalesce(t, 0)) END, 6) AS dice
+FROM backs b
+LEFT JOIN (SELECT sample, sum(x1 - x0) AS t FROM truth GROUP BY 1) USING (sample)
+LEFT JOIN (SELECT sample, backend, sum(x1 - x0) AS o FROM masks GROUP BY ALL) USING (sample, backend)
+LEFT JOIN (SELECT m.sample, m.backend, sum(greatest(0, least(m.x1, t.x1) - greatest(m.x0, t.x0))) AS c
+           FROM masks m JOIN truth t ON t.sample = m.sample AND t.y = m.y GROUP BY ALL) USING (sample, backend)"""
+
+
+@query("mask_morphology", with_tables("dets", "boxes", "all_images", extra=_FILLED + _PIECES, recursive=True, body=_SHAPES))
 def _morphology(spark, sf_dir):
-    _, masks, samples, boxes = rods(spark, sf_dir)
-    out = K.mask_morphology(K.consensus(masks, samples), boxes)
+    """Shape of what either source of detections covers, against the box around the truth."""
+    _, masks, samples, boxes = filled(spark, sf_dir)
+    out = K.mask_morphology(materialize(K.consensus(masks, samples)), boxes)
+    steps = lambda c: (F.floor(F.col(c) * 1000000 + 0.5) / 1000000).alias(c)  # noqa: E731  (halves occur)
     return out.select(
-        "sample", "components", r6("containment").alias("containment"), F.round("elongation", 4).alias("elongation"),
-        r6("foreground_ratio").alias("foreground_ratio"), F.round("orientation", 5).alias("orientation"),
+        "sample", "components", steps("containment"), F.round("elongation", 4).alias("elongation"),
+        steps("foreground_ratio"), F.round("orientation", 5).alias("orientation"),
     )
 
 
-@query(
-    "mask_dice",
-    "WITH " + _RODS.strip() + """
-SELECT b.sample, b.backend, round(2.0::double * coalesce(c, 0) / (coalesce(o, 0) + t), 6) AS dice FROM backs b
-JOIN (SELECT sample, count(*) AS t FROM truth GROUP BY 1) USING (sample)
-LEFT JOIN (SELECT sample, backend, count(*) AS o FROM masks GROUP BY ALL) USING (sample, backend)
-LEFT JOIN (SELECT sample, backend, count(*) AS c FROM masks JOIN truth USING (sample, x, y) GROUP BY ALL) USING (sample, backend)""",
-)
+@query("mask_dice", with_tables("dets", "boxes", "all_images", extra=_FILLED, body=_DICE))
 def _dice(spark, sf_dir):
-    truth, masks, samples, _ = rods(spark, sf_dir)
+    truth, masks, samples, _ = filled(spark, sf_dir)
     return K.dice(masks, truth, samples).withColumn("dice", r6("dice"))
 
 
 @query(
     "segmentation_pilot",
-    "WITH " + _RODS.strip() + f"""
+    with_tables("dets", "boxes", "all_images", extra=_FILLED + _PIECES + f""",
+shapes AS ({_SHAPES}), dices AS ({_DICE}),
+both_sizes AS (SELECT sample, sum(t)::double AS t, sum(o)::double AS o, sum(c)::double AS c FROM (
+  SELECT image_id AS sample, 0 AS t, 0 AS o, 0 AS c FROM all_images
+  UNION ALL SELECT sample, x1 - x0, 0, 0 FROM truth UNION ALL SELECT sample, 0, x1 - x0, 0 FROM agreed
+  UNION ALL SELECT g.sample, 0, 0, greatest(0, least(g.x1, t.x1) - greatest(g.x0, t.x0)) FROM agreed g JOIN truth t ON t.sample = g.sample AND t.y = g.y)
+  GROUP BY sample)""", recursive=True, body="""
 SELECT consensus_dice, kept_fraction, consensus_dice >= 0.7 AS passed, mean_dice FROM
-(SELECT round(avg(2.0::double * coalesce(c, 0) / (coalesce(o, 0) + t)), 6) AS consensus_dice
- FROM (SELECT sample, count(*) AS t FROM truth GROUP BY 1)
- LEFT JOIN (SELECT sample, count(*) AS o FROM agreed GROUP BY 1) USING (sample)
- LEFT JOIN (SELECT sample, count(*) AS c FROM agreed JOIN truth USING (sample, x, y) GROUP BY 1) USING (sample)),
-(SELECT round(avg((containment >= 0.7 AND elongation >= 2 AND foreground_ratio BETWEEN 0.05 AND 0.9 AND components BETWEEN 1 AND 2)::int), 6) AS kept_fraction
- FROM ({ORACLES["mask_morphology"]})),
-(SELECT string_agg(backend || ':' || d, ',' ORDER BY backend) AS mean_dice FROM (SELECT backend, round(avg(dice), 4) AS d FROM ({ORACLES["mask_dice"]}) GROUP BY 1))""",
+(SELECT round(avg(CASE WHEN t + o = 0 THEN 1 ELSE 2 * c / (t + o) END), 4) AS consensus_dice FROM both_sizes),
+(SELECT round(avg((containment >= 0.7 AND elongation >= 2 AND foreground_ratio BETWEEN 0.05 AND 0.9 AND components BETWEEN 1 AND 2)::int), 6) AS kept_fraction FROM shapes),
+(SELECT string_agg(backend || ':' || d, ',' ORDER BY backend) AS mean_dice FROM (SELECT backend, round(avg(dice), 4) AS d FROM dices GROUP BY 1))"""),
 )
 def _pilot(spark, sf_dir):
-    truth, masks, samples, boxes = rods(spark, sf_dir)
+    truth, masks, samples, boxes = filled(spark, sf_dir)
     out = K.pilot_summary(masks, truth, samples, boxes)
     return out.select(
-        r6("consensus_dice").alias("consensus_dice"), r6("kept_fraction").alias("kept_fraction"), "passed",
+        F.round("consensus_dice", 4).alias("consensus_dice"), r6("kept_fraction").alias("kept_fraction"), "passed",
         F.expr("concat_ws(',', transform(map_entries(mean_dice), e -> concat(e.key, ':', round(e.value, 4))))").alias("mean_dice"),
     )
 

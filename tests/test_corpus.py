@@ -186,13 +186,57 @@ def test_rod_mask(spark):
     pixels = [(1, x, y) for x in range(5, 35) for y in range(10, 14)] + [(2, 0, 0), (2, 5, 5), (2, 6, 6)]
     df = spark.createDataFrame(pixels, "sample long, x long, y long")
     boxes = spark.createDataFrame([(1, 5.0, 10.0, 35.0, 14.0), (2, 0.0, 0.0, 3.0, 3.0), (3, 0.0, 0.0, 3.0, 3.0)], "sample long, x1 double, y1 double, x2 double, y2 double")
-    out = {r["sample"]: r for r in K.mask_morphology(df, boxes).collect()}
+    out = {r["sample"]: r for r in K.mask_morphology(K.runs_of_pixels(df), boxes).collect()}
     assert out[1].elongation > 2 and out[1].components == 1 and out[1].containment == 1.0
     assert out[1].orientation == pytest.approx(1.0)
     assert out[2].components == 2 and out[2].containment == pytest.approx(1 / 3)
     assert (out[3].containment, out[3].elongation, out[3].components) == (0.0, 0.0, 0)
 
 
+def test_runs_against_pixels(spark):
+    """Overlay, pieces, shape and Dice of random masks, from runs and from pixel arrays."""
+    rng = np.random.default_rng(8)
+    shapes = {k: [rng.random((14, 17)) < p for p in (0.25, 0.4, 0.5)] for k in range(12)}
+    rows = [(k, f"b{b}", int(y), int(x)) for k, own in shapes.items() for b, m in enumerate(own) for y, x in zip(*np.nonzero(m))]
+    pixels = spark.createDataFrame(rows, "sample long, backend string, y long, x long")
+    masks = K.runs_of_pixels(pixels, ["sample", "backend"])
+    truth = masks.where("backend = 'b2'").drop("backend")
+    samples = spark.createDataFrame([(k, f"b{b}") for k in range(13) for b in range(3)], "sample long, backend string")
+    got = {(r["sample"], r.backend): r.dice for r in K.dice(masks, truth, samples).collect()}
+    assert len(got) == 39 and got[12, "b0"] == 1.0
+    for k, own in shapes.items():
+        for b, m in enumerate(own):
+            assert got[k, f"b{b}"] == pytest.approx(2 * (m & own[2]).sum() / (m.sum() + own[2].sum()))
+    agreed = K.consensus(masks, samples)
+    lines = agreed.collect()
+    assert all(b.x0 > a.x1 for a in lines for b in lines if (a["sample"], a.y) == (b["sample"], b.y) and b.x0 > a.x0)
+    boxes = spark.createDataFrame([(k, 2.0, 3.0, 11.0, 9.0) for k in range(12)], "sample long, x1 double, y1 double, x2 double, y2 double")
+    out = {r["sample"]: r for r in K.mask_morphology(agreed, boxes).collect()}
+    for k, own in shapes.items():
+        m = sum(x.astype(int) for x in own) >= 2
+        ys, xs = np.nonzero(m)
+        left, pieces = set(zip(ys.tolist(), xs.tolist())), 0
+        while left:
+            pieces += 1
+            todo = [left.pop()]
+            while todo:
+                y, x = todo.pop()
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+        low, high = np.linalg.eigvalsh(np.cov(np.stack([xs, ys]), bias=True))
+        assert out[k].components == pieces
+        assert out[k].containment == pytest.approx(m[3:9, 2:11].sum() / m.sum())
+        assert out[k].elongation == pytest.approx(np.sqrt(high / low))
+        assert out[k].foreground_ratio == pytest.approx(m.sum() / 54)
+
+
+def test_filled_boxes(spark):
+    df = spark.createDataFrame([(1, -3.0, -1.0, 4.0, 2.0), (1, 2.0, 1.0, 6.0, 3.0), (1, 5.0, 5.0, 5.0, 9.0)], "sample long, x1 double, y1 double, x2 double, y2 double")
+    runs = K.overlay(K.runs_of_boxes(df))
+    assert sorted((r.y, r.x0, r.x1) for r in runs.collect()) == [(0, 0, 4), (1, 0, 6), (2, 2, 6)]
+
+
 def test_label_files_become_boxes(spark, tmp_path):
     for split in ("train", "val"):
         (tmp_path / "labels" / split).mkdir(parents=True)
