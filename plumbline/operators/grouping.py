@@ -2,27 +2,155 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from plumbline.functions.draws import draw
 from plumbline.operators.ranking import running_totals
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 
-def _best_kmeans(vectors: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
-    fits = (KMeans(k=k, seed=seed + i, featuresCol="scaled", maxIter=50).fit(vectors) for i in range(restarts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+#: Rows of a sample that first centres are drawn from.
+SEED_ROWS = 4096
+
+
+def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of the sample, each new one drawn by its squared distance to those before."""
+    chosen = [int(rng.integers(len(sample)))]
+    near = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = near.sum()
+        pick = int(np.searchsorted(np.cumsum(near), rng.random() * total)) if total > 0 else int(rng.integers(len(sample)))
+        chosen.append(min(pick, len(sample) - 1))
+        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of every row (ties to the lower) and its squared distance."""
+    far = (x**2).sum(axis=1)[:, None] - 2.0 * x @ centres.T + (centres**2).sum(axis=1)
+    best = far.argmin(axis=1)
+    return best, np.maximum(far[np.arange(len(x)), best], 0.0)
+
+
+def fit_together(
+    rows: DataFrame, vec: str, models: Sequence[tuple[int, int, str | None]], rounds: int = 300, tolerance: float = 1e-4
+) -> list[tuple[np.ndarray, float]]:
+    """Centres and inertia of several k-means models, all fitted in the same passes over the rows.
+
+    A model is (k, seed, weight): ``weight`` names a column of row weights, None counts every row once.
+    In a round every batch is multiplied once with the centres of all models still moving, and only
+    sums per centre are added up over the batches. A model stands still when the squared moves of its centres add up to
+    less than ``tolerance`` times the mean variance of the rows; a model that still moves after
+    ``rounds`` raises. First centres come from ``SEED_ROWS`` rows, the smallest of a hash.
+    """
+    weights = [w for w in dict.fromkeys(m[2] for m in models) if w]
+    few = rows.select(vec).orderBy(F.xxhash64(vec), vec).limit(SEED_ROWS).collect()
+    sample = np.array([r[0] for r in few], dtype=np.float64)
+    if not len(sample):
+        raise ValueError("no rows to cluster")
+    scale = float(sample.var(axis=0).mean())
+    centres = [_first_centres(sample, k, np.random.default_rng([seed, k])) for k, seed, _ in models]
+    inertia = [math.inf] * len(models)
+    moving = list(range(len(models)))
+    columns = [vec, *weights]
+    for _ in range(rounds + 1):
+        now = [(i, centres[i], models[i][2]) for i in moving]
+
+        def sums(frames: Iterator[pd.DataFrame], now: list = now) -> Iterator[pd.DataFrame]:
+            total = {i: (np.zeros((len(c), c.shape[1] + 1)), 0.0) for i, c, _ in now}
+            for f in frames:
+                if f.empty:
+                    continue
+                x = np.stack(f[vec].to_numpy()).astype(np.float64)
+                for i, c, w in now:
+                    best, gap = _nearest(x, c)
+                    own = f[w].to_numpy(np.float64) if w else np.ones(len(x))
+                    hot = np.zeros((len(x), len(c)))
+                    hot[np.arange(len(x)), best] = own
+                    add = np.concatenate((hot.T @ x, hot.sum(axis=0)[:, None]), axis=1)
+                    total[i] = total[i][0] + add, total[i][1] + float((own * gap).sum())
+            yield pd.DataFrame([
+                (i, j, [float(v) for v in part[j]], cost if j == 0 else 0.0)
+                for i, (part, cost) in total.items() for j in range(len(part))
+            ], columns=["model", "centre", "sums", "cost"])
+
+        width = len(sample[0]) + 1
+        added = rows.select(*columns).mapInPandas(sums, "model int, centre int, sums array<double>, cost double")
+        found = added.groupBy("model", "centre").agg(
+            F.array(*[F.sum(F.col("sums")[j]) for j in range(width)]).alias("sums"), F.sum("cost").alias("cost")
+        ).collect()  # one row per model and centre
+        still = []
+        for i in moving:
+            parts = {r["centre"]: r for r in found if r["model"] == i}
+            new = centres[i].copy()
+            for j, r in parts.items():
+                if r["sums"][-1] > 0:  # an empty centre stays where it is
+                    new[j] = np.array(r["sums"][:-1]) / r["sums"][-1]
+            inertia[i] = sum(r["cost"] for r in parts.values())
+            if ((new - centres[i]) ** 2).sum() > tolerance * scale:
+                centres[i] = new
+                still.append(i)
+        moving = still
+        if not moving:
+            return [(c, v) for c, v in zip(centres, inertia, strict=True)]
+    raise RuntimeError(f"{len(moving)} models still move after {rounds} rounds")
+
+
+def _with_clusters(df: DataFrame, vec: str, labels: dict[str, np.ndarray]) -> DataFrame:
+    """Number of the nearest centre of each named model, as one column per name."""
+    names = list(labels)
+
+    @F.pandas_udf(StructType([StructField(n, IntegerType()) for n in names]))
+    def assign(v: pd.Series) -> pd.DataFrame:
+        if len(v) == 0:
+            return pd.DataFrame({n: pd.Series([], dtype="int32") for n in names})
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        return pd.DataFrame({n: _nearest(x, labels[n])[0].astype("int32") for n in names})
+
+    return df.withColumn("_m", assign(F.col(vec))).select(*df.columns, *[F.col(f"_m.{n}").alias(n) for n in names])
+
+
+def assigned(df: DataFrame, vec: str, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """Rows with ``centre``, the number of the nearest of the given centres, and its squared ``distance``."""
+    points = np.array(centres, dtype=np.float64)
+
+    @F.pandas_udf("centre int, distance double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        if len(v) == 0:
+            return pd.DataFrame({"centre": pd.Series([], dtype="int32"), "distance": pd.Series([], dtype="float64")})
+        best, gap = _nearest(np.stack(v.to_numpy()).astype(np.float64), points)
+        return pd.DataFrame({"centre": best.astype("int32"), "distance": gap})
+
+    return df.withColumn("_n", nearest(F.col(vec))).select(*df.columns, "_n.centre", "_n.distance")
+
+
+class Scaling:
+    """Zero mean and unit spread of each feature; a constant feature becomes 0."""
+
+    def __init__(self, features: Sequence[str]) -> None:
+        self.features = list(features)
+
+    def fit(self, rows: DataFrame) -> "Scaling":
+        figures = rows.agg(*[f(F.col(c).cast("double")) for c in self.features for f in (F.avg, F.stddev_samp)]).first()
+        self.mean = [figures[2 * i] or 0.0 for i in range(len(self.features))]
+        self.spread = [figures[2 * i + 1] or 0.0 for i in range(len(self.features))]
+        return self
+
+    def column(self) -> Column:
+        return F.array(*[
+            (F.col(c).cast("double") - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
+            for c, m, s in zip(self.features, self.mean, self.spread, strict=True)
+        ])
 
 
 class StyleGroups:
@@ -32,19 +160,16 @@ class StyleGroups:
         self.features, self.k, self.seed, self.restarts = list(features), k, seed, restarts
 
     def fit(self, train: DataFrame) -> "StyleGroups":
-        self.assembler = VectorAssembler(inputCols=self.features, outputCol="raw")
-        rows = materialize(train.select(*[F.col(c).cast("double").alias(c) for c in self.features]))
-        raw = self.assembler.transform(rows)
-        self.scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(raw)
-        self.model = _best_kmeans(self.scaler.transform(raw), self.k, self.seed, self.restarts)
+        self.scaling = Scaling(self.features).fit(train)
+        rows = materialize(train.select(self.scaling.column().alias("v")))
+        fits = fit_together(rows, "v", [(self.k, self.seed + i, None) for i in range(self.restarts)])
+        self.centres, self.inertia = min(fits, key=lambda f: f[1])
+        release(rows)
         return self
 
     def label(self, df: DataFrame, out: str = "background") -> DataFrame:
-        scaled = self.scaler.transform(self.assembler.transform(df))
-        self.model.setPredictionCol("_c")
-        return self.model.transform(scaled).withColumn(out, F.concat(F.lit("style"), F.col("_c").cast("string"))).drop(
-            "raw", "scaled", "_c"
-        )
+        named = _with_clusters(df.withColumn("_v", self.scaling.column()), "_v", {"_c": self.centres})
+        return named.withColumn(out, F.concat(F.lit("style"), F.col("_c").cast("string"))).drop("_v", "_c")
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -85,69 +210,102 @@ def cluster_count_sweep(
     """One row per k: inertia, silhouette, CH, DB, smallest cluster, bootstrap ARI, chosen.
 
     The chosen k is the largest whose mean ARI is at least 0.9 and whose smallest cluster
-    has at least ``smallest`` rows. Every fit and score is a distributed pass; the driver
-    only holds one row of figures per k. The silhouette is the squared-distance form.
+    has at least ``smallest`` rows. All restarts and resamples of all k are fitted together. The driver
+    only holds centres and figures per k. The silhouette is the squared-distance form.
     """
     spark = df.sparkSession
-    assembler = VectorAssembler(inputCols=list(features), outputCol="raw")
-    raw = assembler.transform(materialize(df.select(row_id, *features)))
-    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(raw).transform(raw).select(row_id, "scaled").persist()
-    total = scaled.count()
-    rows = []
+    scaling = Scaling(features).fit(df)
+    rows = materialize(df.select(row_id, scaling.column().alias("v")))
+    weights = {f"w{r}": seed + 100 + r for r in range(resamples)}
+    weighed = materialize(_resampled(rows, row_id, weights))
+    models = [(k, seed + i, None) for k in ks for i in range(restarts)] + [(k, seed + r, f"w{r}") for k in ks for r in range(resamples)]
+    fits = fit_together(weighed, "v", models)
+    best, again = {}, {}
+    for (k, s, w), (centres, cost) in zip(models, fits, strict=True):
+        if w is None:
+            best[k] = min(best.get(k, (None, math.inf)), (centres, cost), key=lambda f: f[1])
+        else:
+            again[k, int(w[1:])] = centres
+    names = {f"k{k}": best[k][0] for k in ks} | {f"k{k}w{r}": c for (k, r), c in again.items()}
+    labelled = materialize(_with_clusters(rows, "v", names))
+    figures = []
     for k in ks:
-        model = _best_kmeans(scaled, k, seed, restarts)
-        labelled = model.transform(scaled)
-        sizes = [int(s) for s in model.summary.clusterSizes]
-        silhouette = ClusteringEvaluator(featuresCol="scaled").evaluate(labelled)
-        ch, db = _spread_scores(labelled, model, total)
-        aris = []
-        for r in range(resamples):
-            weight = _resample(scaled, row_id, total, seed + 100 + r)
-            again = KMeans(k=k, seed=seed + r, featuresCol="scaled", weightCol="w", maxIter=50).fit(weight)
-            again.setPredictionCol("again")
-            aris.append(adjusted_rand(contingency(again.transform(labelled), "prediction", "again")).first()[0])
-        rows.append(
-            (int(k), float(model.summary.trainingCost), float(silhouette), ch, db, min(sizes), float(np.mean(aris)), float(np.std(aris)))
-        )
-    scaled.unpersist()
+        centres, cost = best[k]
+        sizes, silhouette, ch, db = _spread_scores(labelled.select("v", F.col(f"k{k}").alias("prediction")), centres)
+        aris = [adjusted_rand(contingency(labelled, f"k{k}", f"k{k}w{r}")).first()[0] for r in range(resamples)]
+        mean, sd = (float(np.mean(aris)), float(np.std(aris))) if aris else (None, None)
+        figures.append((int(k), float(cost), silhouette, ch, db, min(sizes), mean, sd))
+    release(rows, weighed, labelled)
     table = spark.createDataFrame(
-        rows, "k int, inertia double, silhouette double, ch double, db double, smallest int, ari_mean double, ari_sd double"
+        figures, "k int, inertia double, silhouette double, ch double, db double, smallest int, ari_mean double, ari_sd double"
     )
     fit = (F.col("ari_mean") >= 0.9) & (F.col("smallest") >= smallest)
-    best = table.where(fit).agg(F.max("k")).scalar()
-    return table.withColumn("chosen", F.coalesce(F.col("k") == best, F.lit(False)))
-
-
-def _resample(scaled: DataFrame, row_id: str, total: int, seed: int) -> DataFrame:
-    """Bootstrap weights: how often a row is hit when as many ids are drawn as there are rows."""
-    hits = scaled.select((draw(seed, F.col(row_id)) % total).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    order = running_totals(scaled.select(row_id), [], [F.col(row_id)], {}).select(row_id, (F.col("rank") - 1).alias("slot"))
-    return scaled.join(order.join(hits, "slot"), row_id)
-
-
-def _spread_scores(labelled: DataFrame, model: KMeansModel, total: int) -> tuple[float, float]:
-    """Calinski-Harabasz and Davies-Bouldin from per-cluster sums (k rows on the driver)."""
-    centres = np.array(model.clusterCenters())
-    k = len(centres)
-    if k < 2 or total <= k:
-        return float("nan"), float("nan")
-    centre = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres]), F.col("prediction") + 1)
-    gap = F.zip_with(vector_to_array("scaled"), centre, lambda a, b: (a - b) * (a - b))
-    squared = F.aggregate(gap, F.lit(0.0), lambda s, v: s + v)
-    per = labelled.select("prediction", squared.alias("d")).groupBy("prediction").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("d").alias("within"), F.avg(F.sqrt("d")).alias("radius")
+    top = table.where(fit).agg(F.max("k")).scalar()
+    return table.withColumn("chosen", F.coalesce(F.col("k") == top, F.lit(False)))
+
+
+def _resampled(rows: DataFrame, row_id: str, seeds: dict[str, int]) -> DataFrame:
+    """Bootstrap weights as columns: how often a row is hit when as many ids are drawn as there are rows."""
+    numbered = materialize(running_totals(rows, [], [F.col(row_id)], {}).withColumn("slot", F.col("rank") - 1).drop("rank"))
+    if not seeds:
+        return numbered.drop("slot", "n")
+    hits = numbered.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), (draw(s, F.col(row_id)) % F.col("n")).alias("slot")) for name, s in seeds.items()
+    ])).alias("h")).select("h.*")
+    counted = hits.groupBy("slot").agg(*[F.count(F.when(F.col("name") == name, 1)).cast("double").alias(name) for name in seeds])
+    return numbered.drop("n").join(counted, "slot", "left").drop("slot").fillna(0.0, list(seeds))
+
+
+def _spread_scores(labelled: DataFrame, centres: np.ndarray) -> tuple[list[int], float | None, float | None, float | None]:
+    """Sizes, squared-distance silhouette, Calinski-Harabasz and Davies-Bouldin from sums per cluster."""
+    k, width = centres.shape
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, width + 4))
+        for f in frames:
+            if f.empty:
+                continue
+            x, own = np.stack(f["v"].to_numpy()).astype(np.float64), f["prediction"].to_numpy()
+            gap = ((x - centres[own]) ** 2).sum(axis=1)
+            np.add.at(total, own, np.column_stack([x, np.ones(len(x)), (x**2).sum(axis=1), gap, np.sqrt(gap)]))
+        yield pd.DataFrame({"prediction": np.arange(k), "sums": [[float(v) for v in t] for t in total]})
+
+    rows = labelled.select("v", "prediction")
+    added = rows.mapInPandas(sums, "prediction int, sums array<double>").groupBy("prediction").agg(
+        F.array(*[F.sum(F.col("sums")[j]) for j in range(width + 4)]).alias("sums")
     )
-    stats = {r["prediction"]: r for r in per.collect()}
-    sizes = np.array([stats[i]["n"] if i in stats else 0 for i in range(k)])
-    mean = (centres * sizes[:, None]).sum(axis=0) / total
-    between = float((sizes * ((centres - mean) ** 2).sum(axis=1)).sum())
-    within = float(sum(s["within"] for s in stats.values()))
-    ch = between / (k - 1) / (within / (total - k)) if within else float("nan")
-    radius = np.array([stats[i]["radius"] if i in stats else 0.0 for i in range(k)])
-    dist = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
-    np.fill_diagonal(dist, np.inf)
-    db = float(((radius[:, None] + radius[None, :]) / dist).max(axis=1).mean())
-    return float(ch), db
+    table = np.zeros((k, width + 4))
+    for r in added.collect():  # one row per cluster
+        table[r["prediction"]] = r["sums"]
+    size, squares, within, radius = table[:, width], table[:, width + 1], table[:, width + 2], table[:, width + 3]
+    total = size.sum()
+    if k < 2 or total <= k or (size == 0).any():
+        return [int(s) for s in size], None, None, None
+    mean = table[:, :width] / size[:, None]
+
+    def silhouettes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if f.empty:
+                continue
+            x, own = np.stack(f["v"].to_numpy()).astype(np.float64), f["prediction"].to_numpy()
+            # mean squared distance to all members of every cluster
+            far = (x**2).sum(axis=1)[:, None] - 2.0 * x @ mean.T + squares / size
+            at = np.arange(len(x))
+            inside = far[at, own] * size[own] / np.maximum(size[own] - 1, 1)
+            far[at, own] = np.inf
+            outside = far.min(axis=1)
+            value = np.where(size[own] == 1, 0.0, (outside - inside) / np.maximum(np.maximum(outside, inside), 1e-300))
+            yield pd.DataFrame({"s": [float(value.sum())]})
+
+    silhouette = rows.mapInPandas(silhouettes, "s double").agg(F.sum("s")).first()[0] / total
+    middle = (centres * size[:, None]).sum(axis=0) / total
+    between = float((size * ((centres - middle) ** 2).sum(axis=1)).sum())
+    ch = between / (k - 1) / (within.sum() / (total - k)) if within.sum() else None
+    apart = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    r = radius / size
+    db = float(((r[:, None] + r[None, :]) / apart).max(axis=1).mean())
+    return [int(s) for s in size], float(silhouette), float(ch) if ch is not None else None, db
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -100,18 +100,23 @@ def sign_test(diffs: DataFrame, keys: Sequence[str], diff: str = "diff") -> Data
     return counted.withColumn("p_sign", _upper_tail(F.col("n"), F.col("wins")))
 
 
-def _signed_rank_tail(n: Column, w: Column) -> Column:
-    """P(W >= w) under the null for n untied pairs: subset sums of 1..n counted by folding."""
-    top = n * (n + 1) / 2
-    sums = F.sequence(F.lit(0).cast("long"), top.cast("long"))
-    start = F.transform(sums, lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+@F.pandas_udf(DoubleType())
+def _signed_rank_tail(ranks: pd.Series, w: pd.Series) -> pd.Series:
+    """P(W >= w) under the null, given the doubled mid-ranks of the pairs: every sign is a fair toss.
+
+    The law of the sum is built pair by pair: half of it stays, half moves up by the pair's rank.
+    """
 
-    def add(counts: Column, i: Column) -> Column:
-        return F.transform(counts, lambda c, s: c + F.when(s >= i, F.coalesce(F.try_element_at(counts, (s - i + 1).cast("int")), F.lit(0.0))).otherwise(0.0))
+    def tail(own: np.ndarray, reached: float) -> float:
+        law = np.zeros(int(own.sum()) + 1)
+        law[0] = 1.0
+        for r in own.astype(np.int64):
+            moved = np.zeros_like(law)
+            moved[r:] = law[: len(law) - r]
+            law = (law + moved) / 2.0
+        return float(law[max(0, math.ceil(2.0 * reached - 1e-9)) :].sum())
 
-    counts = F.aggregate(F.sequence(F.lit(1).cast("long"), n), start, add)
-    reached = F.transform(counts, lambda c, s: F.when(s >= w, c).otherwise(0.0))
-    return F.aggregate(reached, F.lit(0.0), lambda a, c: a + c) / F.pow(F.lit(2.0), n)
+    return pd.Series([None if r is None else tail(np.asarray(r), v) for r, v in zip(ranks, w, strict=True)], dtype="float64")
 
 
 def wilcoxon(
@@ -119,10 +124,10 @@ def wilcoxon(
 ) -> DataFrame:
     """One-sided signed-rank test: (keys, n_used, w_plus, p_wilcoxon).
 
-    Zero differences drop out; NULL for fewer than ``at_least`` pairs. ``exact`` counts subset
-    sums and is defined without ties and zeros only (NULL otherwise); ``normal`` approximates
-    with tie correction; ``auto`` is exact where it is defined for up to ``exact_up_to`` pairs
-    (the usual convention) and normal elsewhere.
+    Zero differences drop out; NULL for fewer than ``at_least`` pairs. ``exact`` takes the law of the
+    rank sum over all signs, ties sharing their mid-rank; its work grows with the cube of the pairs.
+    ``normal`` approximates with tie correction; ``auto`` is exact without ties and zeros for up to
+    ``exact_up_to`` pairs (the usual convention) and normal elsewhere.
     """
     if method not in ("exact", "normal", "auto"):
         raise ValueError(f"unknown method: {method}")
@@ -135,20 +140,21 @@ def wilcoxon(
     )
     cum = running_totals(levels.where("size > 0"), keys, [F.col("size")], {"upto": F.col("c")})
     mid_rank = F.col("upto") - (F.col("c") - 1) / 2.0
+    listed = {"exact": F.lit(True), "normal": F.lit(False), "auto": F.col("upto_all") <= exact_up_to}[method]
     stats = cum.groupBy(*keys).agg(
         F.sum("c").alias("n_used"),
         F.sum(F.col("p") * mid_rank).alias("w_plus"),
         F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
+        F.flatten(F.collect_list(F.when(listed, F.array_repeat(2 * F.col("upto") - F.col("c") + 1, F.col("c").cast("int"))))).alias("_ranks"),
     )
     out = zeros.join(stats, keys, "left") if keys else zeros.join(stats, F.lit(True), "left")
     n, w = F.col("n_used"), F.col("w_plus")
-    plain = (F.col("zeros") == 0) & (F.col("ties") == 0)
-    exact = {"exact": plain, "normal": F.lit(False), "auto": plain & (n <= exact_up_to)}[method]
+    plain = (F.col("zeros") == 0) & (F.col("ties") == 0) & (n <= exact_up_to)
+    exact = {"exact": n.isNotNull(), "normal": F.lit(False), "auto": plain}[method]
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
     z = (w - n * (n + 1) / 4.0) / F.sqrt(F.nullif(variance, F.lit(0.0)))
-    tested = out.withColumn("_z", z).withColumn("_normal", _normal_tail("_z"))
-    small_n = F.when(exact, n).otherwise(F.lit(1).cast("long"))
-    p = F.when(exact, _signed_rank_tail(small_n, w))
+    tested = out.withColumn("_normal", _normal_tail(z)).withColumn("_exact", _signed_rank_tail(F.when(exact, F.col("_ranks")), w))
+    p = F.when(exact, F.col("_exact"))
     if method != "exact":
         p = p.otherwise(F.col("_normal"))
     return tested.withColumn("p_wilcoxon", F.when(F.col("n_all") >= at_least, p)).select(*keys, "n_used", "w_plus", "p_wilcoxon")

@@ -62,6 +62,52 @@ def _wilcoxon(spark, sf_dir):
     return out.select("variant", "n_used", "w_plus", F.round("p_wilcoxon", 7).alias("p_wilcoxon"))
 
 
+_BY_USER = """
+WITH tops AS (SELECT event_type AS variant, user_id, floor(max(value) / 10)::bigint AS score FROM events GROUP BY ALL),
+pairs AS (SELECT a.variant, a.user_id, a.score - b.score AS diff FROM tops a JOIN tops b ON b.user_id = a.user_id AND b.variant = 'click' WHERE a.variant <> 'click'),
+sized AS (SELECT variant, abs(diff) AS size, count(*) AS c, count(*) FILTER (diff > 0) AS p FROM pairs WHERE diff <> 0 GROUP BY ALL),
+mids AS (SELECT *, sum(c) OVER (PARTITION BY variant ORDER BY size) - (c - 1) / 2.0::double AS mid FROM sized),
+w AS (SELECT variant, sum(c)::bigint AS n_used, sum(p * mid) AS w_plus, sum(c * c * c - c)::double AS ties FROM mids GROUP BY 1)
+"""
+
+
+def user_pairs(spark, sf_dir):
+    """Best value of a user per kind of event in steps of ten, against that of clicks: many ties and zeros."""
+    tops = T.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant"), "user_id").agg(
+        F.floor(F.max("value") / 10).alias("score")
+    )
+    return X.paired_differences(tops, "variant", "click", ["user_id"], "score")
+
+
+@query(
+    "wilcoxon_normal",
+    _BY_USER + """
+SELECT variant, n_used, w_plus, round(0.5 - (z / 3000) * list_sum(list_transform(range(0, 3001),
+         lambda i: (CASE WHEN i IN (0, 3000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5::double * ((z * i / 3000) ** 2)))) / 3 / sqrt(2 * pi()), 6) AS p_wilcoxon
+FROM (SELECT *, (w_plus - n_used * (n_used + 1) / 4.0::double) / sqrt(n_used * (n_used + 1) * (2 * n_used + 1) / 24.0::double - ties / 48) AS z FROM w)""",
+)
+def _wilcoxon_normal(spark, sf_dir):
+    out = X.wilcoxon(user_pairs(spark, sf_dir), ["variant"], method="normal")
+    return out.select("variant", "n_used", "w_plus", r6("p_wilcoxon").alias("p_wilcoxon"))
+
+
+@query(
+    "wilcoxon_exact",
+    with_tables("reports", extra=_DIFFS + """,
+steps AS (SELECT variant, seed, (CASE WHEN diff < 0 THEN -1 ELSE 1 END) * ceil(abs(diff) / 2)::bigint AS d FROM diffs),
+mids AS (SELECT *, rank() OVER (PARTITION BY variant ORDER BY abs(d)) + (count(*) OVER (PARTITION BY variant, abs(d)) - 1) / 2.0::double AS mid FROM steps WHERE d <> 0),
+w AS (SELECT variant, count(*) AS n_used, coalesce(sum(mid) FILTER (d > 0), 0) AS w_plus, list(mid) AS mids FROM mids GROUP BY 1)""", body="""
+SELECT variant, n_used, w_plus, round(avg((s >= w_plus)::int), 7) AS p_wilcoxon FROM (
+  SELECT variant, n_used, w_plus, list_sum(list_transform(mids, lambda x, i: CASE WHEN (m >> (i - 1)::int) & 1 = 1 THEN x ELSE 0 END)) AS s
+  FROM w CROSS JOIN (SELECT range AS m FROM range(128)) WHERE m < 1 << n_used::int) GROUP BY ALL"""),
+)
+def _wilcoxon_exact(spark, sf_dir):
+    """Differences in steps of two, so that some tie: the law over all signs of the mid-ranks."""
+    step = F.when(F.col("diff") < 0, -1).otherwise(1) * F.ceil(F.abs("diff") / 2)
+    out = X.wilcoxon(diffs(spark, sf_dir).withColumn("diff", step), ["variant"], method="exact")
+    return out.select("variant", "n_used", "w_plus", F.round("p_wilcoxon", 7).alias("p_wilcoxon"))
+
+
 def picks_sql(clusters: str, draws: int, seed: int = 0) -> str:
     """Recursive SQL for the counts of blocks and the picks inside them: ``picked`` (grp, b, idx, w).
 

@@ -118,9 +118,14 @@ def _guard(spark, sf_dir):
     return Fu.collapse_guard(listed, bank, ["run"])
 
 
+COMPONENTS = [f"f{i}" for i in range(64)]
+
+
 def style_rows(spark, sf_dir):
+    """All components of the vectors as features, and a training part."""
     return T.vectors(spark, sf_dir).select(
-        "vec_id", F.when(F.col("vec_id") % 5 < 3, "train").otherwise("test").alias("split"), *[F.col("vec")[i].alias(f"f{i}") for i in range(7)]
+        "vec_id", F.when(F.col("vec_id") % 5 < 3, "train").otherwise("test").alias("split"),
+        *[F.col("vec")[i].alias(c) for i, c in enumerate(COMPONENTS)],
     )
 
 
@@ -128,10 +133,35 @@ def style_rows(spark, sf_dir):
 def _style(spark, sf_dir):
     """Style groups fitted on the training rows and given to all rows."""
     rows = style_rows(spark, sf_dir)
-    groups = G.StyleGroups([f"f{i}" for i in range(7)], k=4, restarts=3).fit(rows.where("split = 'train'"))
+    groups = G.StyleGroups(COMPONENTS, k=4).fit(rows.where("split = 'train'"))
     return groups.label(rows).groupBy("split", "background").agg(F.count(F.lit(1)).alias("images"))
 
 
+_SEEDED = """,
+stat AS (SELECT j, avg(v[j]) AS m, stddev_samp(v[j]) AS s FROM (SELECT vec AS v FROM vecs) CROSS JOIN (SELECT unnest(range(1, 65)) AS j) GROUP BY j),
+z AS (SELECT vec_id, list((vec[j] - m) / s ORDER BY j) AS v FROM vecs CROSS JOIN stat GROUP BY vec_id),
+first AS (SELECT vec_id AS c, v AS w FROM z ORDER BY vec_id LIMIT 4),
+near AS (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT vec_id, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) ** 2)) AS d FROM z CROSS JOIN first) GROUP BY vec_id)
+"""
+
+
+@query(
+    "nearest_centres",
+    with_tables("vecs", extra="skip AS (SELECT 1)" + _SEEDED, body="""
+SELECT (row_number() OVER (ORDER BY c) - 1)::int AS centre, count(*) AS n, round(sum(d), 3) AS inertia FROM near GROUP BY c"""),
+)
+def _centres(spark, sf_dir):
+    """Standardised vectors at the nearest of four given centres: sizes and inertia of one round."""
+    rows = style_rows(spark, sf_dir)
+    scaling = G.Scaling(COMPONENTS).fit(rows)
+    placed = materialize(rows.select("vec_id", scaling.column().alias("v")))
+    centres = [r[0] for r in placed.orderBy("vec_id").limit(4).select("v").collect()]
+    return G.assigned(placed, "v", centres).groupBy("centre").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 3).alias("inertia")
+    )
+
+
 @query(
     "cluster_purity",
     """
@@ -160,7 +190,7 @@ def _agreement(spark, sf_dir):
 
 @query("k_sweep")
 def _sweep(spark, sf_dir):
-    out = G.cluster_count_sweep(style_rows(spark, sf_dir), [f"f{i}" for i in range(7)], [2, 3, 4], "vec_id", resamples=2, restarts=2)
+    out = G.cluster_count_sweep(style_rows(spark, sf_dir), COMPONENTS, [2, 3, 4], "vec_id", restarts=10)
     return out.select("k", *[F.round(c, 4).alias(c) for c in ("inertia", "silhouette", "ch", "db", "ari_mean", "ari_sd")], "smallest", "chosen")
 
 

@@ -46,6 +46,21 @@ def test_signed_rank_is_exact(spark):
     assert r.w_plus == w and r.p_wilcoxon == pytest.approx(np.mean(np.array(sums) >= w))
 
 
+def test_signed_rank_with_ties(spark):
+    """The exact law over all signs of the mid-ranks; zeros drop out."""
+    d = [0.5, -0.5, 0.5, 1.0, -2.0, 2.0, 3.0, 0.0, 4.0]
+    df = spark.createDataFrame([(1, float(x)) for x in d] + [(2, 1.0)] * 3, "k int, diff double")
+    out = {r.k: r for r in X.wilcoxon(df, ["k"], method="exact", at_least=3).collect()}
+    ranks = [2, 2, 2, 4, 5.5, 5.5, 7, 8]
+    w = 2 + 2 + 4 + 5.5 + 7 + 8
+    sums = [sum(c) for c in itertools.product(*[(0, r) for r in ranks])]
+    assert out[1].w_plus == w and out[1].n_used == 8
+    assert out[1].p_wilcoxon == pytest.approx(np.mean(np.array(sums) >= w))
+    assert out[2].p_wilcoxon == pytest.approx(1 / 8)
+    usual = X.wilcoxon(df, ["k"]).where("k = 1").first().p_wilcoxon
+    assert usual != pytest.approx(out[1].p_wilcoxon) and usual == pytest.approx(out[1].p_wilcoxon, abs=0.03)
+
+
 def test_long_series_of_pairs(spark):
     df = spark.range(400).select(F.lit(1).alias("k"), (F.pmod(F.col("id") * 37, F.lit(101)) - 45.5).alias("diff"))
     s = X.sign_test(df, ["k"]).first()
@@ -265,6 +280,35 @@ def test_style_groups_and_sweep(spark):
     sweep = {r.k: r for r in G.cluster_count_sweep(df, ["a", "b"], [2, 3], "id", resamples=2, restarts=2).collect()}
     assert sweep[3].chosen and sweep[3].smallest == 30 and sweep[3].ari_mean == pytest.approx(1.0)
     assert sweep[3].inertia < sweep[2].inertia and sweep[3].ch > sweep[2].ch and sweep[3].db < sweep[2].db
+    # figures against plain NumPy for three clear groups
+    x = np.array([r[1:] for r in rows])
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    own = np.arange(90) % 3
+    mean = np.stack([z[own == c].mean(axis=0) for c in range(3)])
+    assert sweep[3].inertia == pytest.approx(((z - mean[own]) ** 2).sum())
+    far = ((z[:, None, :] - z[None, :, :]) ** 2).sum(axis=2)
+    apart = np.stack([far[:, own == c].sum(axis=1) / ((own == c).sum() - (own == c)) for c in range(3)], axis=1)
+    inside = apart[np.arange(90), own]
+    apart[np.arange(90), own] = np.inf
+    outside = apart.min(axis=1)
+    assert sweep[3].silhouette == pytest.approx(((outside - inside) / np.maximum(outside, inside)).mean())
+
+
+def test_models_fitted_together_are_those_fitted_alone(spark):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(200, 5))
+    df = spark.createDataFrame([([float(v) for v in x], float(i % 3)) for i, x in enumerate(data)], "v array<double>, w0 double")
+    models = [(3, 1, None), (4, 2, None), (3, 1, "w0")]
+    together = G.fit_together(df, "v", models)
+    for model, (centres, cost) in zip(models, together):
+        ((alone, own),) = G.fit_together(df.repartition(3), "v", [model])
+        assert np.allclose(centres, alone) and cost == pytest.approx(own)
+        best, _ = G._nearest(data, centres)
+        weight = np.arange(200) % 3 if model[2] else np.ones(200)
+        means = np.stack([(data[best == c] * weight[best == c, None]).sum(axis=0) / weight[best == c].sum() for c in range(model[0])])
+        assert np.abs(means - centres).max() < 0.02
+    with pytest.raises(RuntimeError):
+        G.fit_together(df, "v", [(4, 2, None)], rounds=1, tolerance=0.0)
 
 
 def test_flatten_and_aggregate(spark):
