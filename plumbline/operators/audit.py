@@ -250,7 +250,7 @@ def detectable_gap(n_a: Column, n_b: Column, rate: float = 0.5) -> Column:
 
 
 def minority_detail(images: DataFrame, candidates: DataFrame, keys: Sequence[str], image: str = "image_id") -> DataFrame:
-    """Nominal images, images with candidates and candidates of a group, per run.
+    """Nominal images, images with and without candidates and candidates of a group, per run.
 
     ``images`` are the images of the group; ``candidates`` its rows in every run.
     """
@@ -260,12 +260,27 @@ def minority_detail(images: DataFrame, candidates: DataFrame, keys: Sequence[str
         F.sum("c").alias("candidates"),
         F.count(F.lit(1)).alias("contributing_images"),
         F.max("c").alias("most_per_image"),
-    ).withColumn("nominal_images", nominal)
+    ).withColumn("nominal_images", nominal).withColumn(
+        "empty_images", F.col("nominal_images") - F.col("contributing_images")
+    )
 
 
 def candidates_per_image(candidates: DataFrame, keys: Sequence[str], image: str = "image_id") -> DataFrame:
     return candidates.groupBy(*keys, image).agg(F.count(F.lit(1)).alias("candidates"))
 
 
-def images_without_candidates(images: DataFrame, candidates: DataFrame, image: str = "image_id") -> DataFrame:
-    return images.select(image).join(candidates.select(image).distinct(), image, "left_anti")
+def images_without_candidates(
+    images: DataFrame, candidates: DataFrame, keys: Sequence[str] = (), image: str = "image_id"
+) -> DataFrame:
+    """Images that no candidate names; with ``keys`` once per run that has none of the image.
+
+    Runs are few; an image carries the runs that name it, and gives a row for each of the others.
+    """
+    if not keys:
+        return images.select(image).join(candidates.select(image).distinct(), image, "left_anti")
+    run = F.struct(*keys)
+    named = candidates.groupBy(image).agg(F.collect_set(run).alias("_in"))
+    runs = candidates.select(*keys).distinct().agg(F.collect_list(run)).scalar()
+    listed = images.select(image).distinct().join(named, image, "left").withColumn("_all", runs)
+    missing = F.when(F.col("_in").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_in"))
+    return listed.select(image, F.explode(missing).alias("_run")).select("_run.*", image)

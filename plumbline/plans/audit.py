@@ -384,7 +384,7 @@ def _gap(spark, sf_dir):
     "minority_detail",
     with_tables("cands", "all_images", body="""
 SELECT run, sum(c)::bigint AS candidates, count(*) AS contributing_images, max(c) AS most_per_image,
-       (SELECT count(*) FROM all_images WHERE grp = 'R') AS nominal_images
+       (SELECT count(*) FROM all_images WHERE grp = 'R') AS nominal_images, (SELECT count(*) FROM all_images WHERE grp = 'R') - count(*) AS empty_images
 FROM (SELECT run, image_id, count(*) AS c FROM cands WHERE grp = 'R' GROUP BY ALL) GROUP BY run"""),
 )
 def _minority(spark, sf_dir):
@@ -409,3 +409,16 @@ SELECT image_id FROM all_images WHERE grp = 'R' AND image_id NOT IN (SELECT imag
 def _without(spark, sf_dir):
     images = T.all_images(spark, sf_dir).where("grp = 'R'")
     return A.images_without_candidates(images, T.detections(spark, sf_dir).where("score >= 0.3"))
+
+
+@query(
+    "images_without_candidates_per_run",
+    with_tables("cands", "all_images", body="""
+SELECT run, image_id FROM (SELECT DISTINCT run FROM cands) CROSS JOIN (SELECT image_id FROM all_images WHERE grp = 'R')
+WHERE (run, image_id) NOT IN (SELECT (run, image_id) FROM cands WHERE grp = 'R')"""),
+)
+def _without_per_run(spark, sf_dir):
+    """Images of the smallest group of which a run has no candidate at all."""
+    images = T.all_images(spark, sf_dir).where("grp = 'R'")
+    runs = T.candidates(spark, sf_dir)
+    return A.images_without_candidates(images, runs.where("grp = 'R'"), ["run"])

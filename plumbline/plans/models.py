@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores as S
@@ -13,7 +15,8 @@ from plumbline.plans import tables as T
 from plumbline.plans.calibration import cands
 from plumbline.plans.registry import query, r6
 from plumbline.plans.tables import with_tables
-from plumbline.session import materialize
+from plumbline.session import materialize, scratch_path
+from plumbline.sources import images as I
 
 _Q = """
 q AS (SELECT grp, run, image_id, label, (floor(p_det * 49) + 0.5) / 50.0::double AS p FROM cands),
@@ -50,21 +53,33 @@ def _newton_sql(rounds: int) -> str:
         steps.append(f"""
 b{k + 1} AS (SELECT least(greatest(b - g / h, b / 4), b * 4) AS b FROM (
   SELECT any_value(b) AS b, sum(z * (w / (1 + exp(-z * b)) - s)) AS g, sum(w * z * z / (1 + exp(-z * b)) * (1 - 1 / (1 + exp(-z * b)))) AS h
-  FROM (SELECT w, s, ln(p / (1 - p)) AS z FROM lv) CROSS JOIN b{k}))""")
+  FROM lz CROSS JOIN b{k}))""")
     return ",".join(steps)
 
 
 @query(
     "temperature_scaling",
-    with_tables("cands", extra=_Q + "," + _newton_sql(15), body="SELECT round(1 / b, 5) AS temperature FROM b15"),
+    with_tables("cands", extra="""
+lz AS MATERIALIZED (SELECT z, count(*)::double AS w, sum(label)::double AS s FROM (
+  SELECT label, CASE WHEN p_det <= 0 THEN -20 WHEN p_det >= 1 THEN 20 ELSE least(greatest(ln(p_det / (1 - p_det)), -20), 20) END::double AS z FROM cands) GROUP BY z),
+""" + _newton_sql(15), body="SELECT round(1 / b, 5) AS temperature FROM b15"),
 )
 def _temperature(spark, sf_dir):
-    rows = quantised(spark, sf_dir).select("det_logit", "label")
+    """One divisor for the logits of the detector's scores as they are."""
+    rows = cands(spark, sf_dir).select(S.logit(F.col("p_det")).alias("det_logit"), "label")
     fitted = Fu.Temperature.fit(rows, "det_logit", "label")
     n = rows.agg(F.count(F.lit(1)).alias("n"))
     return n.select(F.round(F.lit(fitted.temperature), 5).alias("temperature"))
 
 
+@query("isotonic_scores")
+def _isotonic_scores(spark, sf_dir):
+    """The monotone map on the detector's scores as they are; pytest holds the fit against pooled neighbours."""
+    rows = cands(spark, sf_dir).select("p_det", S.logit(F.col("p_det")).alias("det_logit"), "label")
+    fitted = Fu.Isotonic.fit(rows, "det_logit", "label").apply(rows, "det_logit", "calibrated")
+    return fitted.groupBy("p_det").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("calibrated")).alias("calibrated"))
+
+
 def scored(spark, sf_dir):
     """Candidates with two logits, a group number and a validation and a test part."""
     groups = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("grp")) - 1
@@ -360,3 +375,66 @@ def _features(spark, sf_dir):
 @query("image_fingerprints")
 def _image_prints(spark, sf_dir):
     return K.image_fingerprint(text_images(spark, sf_dir), "doc_id")
+
+
+# two-coloured pictures, one per document, as files; every 97th file is cut off inside its header
+_HALVES = """
+halves AS (SELECT doc_id, doc_id * 37 % 256 AS r1, doc_id * 59 % 256 AS g1, doc_id * 83 % 256 AS b1,
+                  doc_id * 101 % 256 AS r2, doc_id * 17 % 256 AS g2, doc_id * 43 % 256 AS b2 FROM documents),
+sides AS (SELECT doc_id, r1 / 255.0::double AS r1, g1 / 255.0::double AS g1, b1 / 255.0::double AS b1,
+                 r2 / 255.0::double AS r2, g2 / 255.0::double AS g2, b2 / 255.0::double AS b2 FROM halves),
+tones AS (SELECT *, 0.299 * r1 + 0.587 * g1 + 0.114 * b1 AS l1, 0.299 * r2 + 0.587 * g2 + 0.114 * b2 AS l2,
+                 r1 - g1 AS p1, r2 - g2 AS p2, (r1 + g1) / 2 - b1 AS q1, (r2 + g2) / 2 - b2 AS q2 FROM sides)
+"""
+
+
+def picture_files(spark, sf_dir):
+    """Folder of bitmaps of 16 x 8 pixels, the left half in one colour and the right half in another."""
+    folder = scratch_path(spark, "pictures")
+    docs = T.read(spark, sf_dir, "documents").select("doc_id")
+
+    @F.pandas_udf("binary")
+    def picture(ids: pd.Series) -> pd.Series:
+        out = []
+        for i in ids:
+            rgb = np.empty((8, 16, 3), np.uint8)
+            rgb[:, :8], rgb[:, 8:] = [i * m % 256 for m in (37, 59, 83)], [i * m % 256 for m in (101, 17, 43)]
+            content = I.bitmap(rgb)
+            out.append(content[:20] if i % 97 == 0 else content)
+        return pd.Series(out)
+
+    name = F.concat(F.lit("p"), F.pmod("doc_id", F.lit(16)), F.lit("/"), F.col("doc_id"), F.lit(".bmp"))
+    I.write_files(docs.select(name.alias("name"), picture("doc_id").alias("content")), folder)
+    return folder
+
+
+@query(
+    "image_headers",
+    """
+SELECT 'p' || doc_id % 16 AS split, '.bmp' AS ext, CASE WHEN doc_id % 97 = 0 THEN 'header ends early' END AS problem,
+       count(*) AS files, sum(CASE WHEN doc_id % 97 <> 0 THEN 16 END)::bigint AS width, sum(CASE WHEN doc_id % 97 <> 0 THEN 8 END)::bigint AS height
+FROM documents GROUP BY ALL""",
+)
+def _headers(spark, sf_dir):
+    """Sizes of written image files from their headers; files that are cut off are counted, too."""
+    files = I.image_files(spark, f"{picture_files(spark, sf_dir)}/*/*")
+    return files.groupBy("split", "ext", "problem").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("width").alias("width"), F.sum("height").alias("height")
+    )
+
+
+@query(
+    "image_file_features",
+    "WITH " + _HALVES.strip() + """
+SELECT doc_id, round((r1 + r2) / 2, 5) AS mean_r, round((g1 + g2) / 2, 5) AS mean_g, round((b1 + b2) / 2, 5) AS mean_b,
+       round((l1 + l2) / 2, 5) AS mean_luma, round(abs(l1 - l2) / 2, 5) AS std_luma,
+       round(sqrt(((p1 - p2) / 2) ** 2 + ((q1 - q2) / 2) ** 2) + 0.3::double * sqrt(((p1 + p2) / 2) ** 2 + ((q1 + q2) / 2) ** 2), 5) AS colourfulness,
+       round((l1 - l2) ** 2 / 7, 5) AS sharpness
+FROM tones WHERE doc_id % 97 <> 0""",
+)
+def _file_features(spark, sf_dir):
+    """Style features of image files: written, decoded by Spark's reader, and described in closed form."""
+    loaded = spark.read.format("image").option("dropInvalid", True).load(f"{picture_files(spark, sf_dir)}/*/*").select("image.*")
+    out = K.style_features(loaded, "origin")
+    number = F.regexp_extract("origin", r"(\d+)\.bmp$", 1).cast("long").alias("doc_id")
+    return out.select(number, *[F.round(c, 5).alias(c) for c in K.STYLE_FEATURES])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.ranking import running_totals
+from plumbline.sources import images
 
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp")  # fixed values: order of preference
 DEFAULT_CAMERA, DEFAULT_BACKGROUND = "unknown", "b0"  # fixed values: group without metadata
@@ -59,17 +60,8 @@ def read_label_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
-    """(split, stem, ext, path, width, height) of ``images/<split>/*`` in readable formats."""
-    loaded = spark.read.format("image").option("dropInvalid", True).load(f"{root}/images/*/*")
-    path = F.col("image.origin")
-    return loaded.select(
-        F.element_at(F.split(path, "/"), -2).alias("split"),
-        F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1).alias("stem"),
-        F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).alias("ext"),
-        path.alias("path"),
-        F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-    )
+    """(split, stem, ext, path, width, height, problem) of ``images/<split>/*``, unreadable files included."""
+    return images.image_files(spark, f"{root}/images/*/*")
 
 
 def preferred_image(files: DataFrame, keys: Sequence[str] = ("split", "stem")) -> DataFrame:
@@ -126,12 +118,13 @@ def labels_to_boxes(lines: DataFrame, files: DataFrame, single_class: bool = Tru
     """Images and boxes from normalised ``class cx cy w h`` lines.
 
     Image ids number the label files of a split in name order, also those without an
-    image, which then drop out. Lines with other than five fields are skipped.
+    readable image, which then drop out. Lines with other than five fields are skipped.
     """
     stems = running_totals(lines.select("split", "stem").distinct(), ["split"], [F.col("stem")], {}).select(
         "split", "stem", (F.col("rank") - 1).alias("image_id")
     )
-    images = stems.join(preferred_image(files), ["split", "stem"])
+    readable = files.where("problem IS NULL") if "problem" in files.columns else files
+    images = stems.join(preferred_image(readable), ["split", "stem"])
     field = F.split(F.trim("line"), r"\s+")
     good = lines.withColumn("f", field).where(F.size("f") == 5)
     cls, cx, cy, bw, bh = (F.col("f")[i].cast("double") for i in range(5))

@@ -10,6 +10,7 @@ from plumbline.operators import neardup as N
 from plumbline.sources import annotations as D
 from plumbline.sources import corpus as P
 from plumbline.sources import dumps as U
+from plumbline.sources import images as I
 from pyspark.sql import functions as F
 
 
@@ -163,6 +164,37 @@ def bmp(rgb):
     return head + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(rows), 2835, 2835, 0, 0) + rows
 
 
+def test_sizes_from_headers(spark, tmp_path):
+    """PNG, JPEG with a long first segment, both TIFF orders, bitmaps; what is broken keeps its row."""
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"\x08\x02\0\0\0"
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 60_002) + b"\xff" * 60_000 + b"\xff\xdb\0\x04ab\xff\xff\xc2" + struct.pack(">HBHH", 11, 8, 33, 44) + b"rest"
+    def tiff(e, head):
+        return head + struct.pack(e + "IHHHIHHHHII", 8, 2, 256, 3, 1, 70, 0, 257, 4, 1, 90)
+    files = {
+        "a.png": png, "b.JPG": jpeg, "c.tif": tiff("<", b"II*\0"), "d.tiff": tiff(">", b"MM\0*"),
+        "e.bmp": I.bitmap(np.zeros((5, 7, 3))), "f.png": png[:18], "g.jpg": jpeg[:500], "h.bmp": b"", "i.png": b"text",
+        "j.bmp": b"BM" + b"\0" * 60, "k.bmp": b"BM" + b"\0" * 12 + struct.pack("<IHH", 12, 3, 4),
+    }
+    assert I.bitmap(np.arange(105).reshape(5, 7, 3)) == bmp(np.arange(105).reshape(5, 7, 3))
+    rows = spark.createDataFrame([(f"train/{n}", bytearray(c)) for n, c in files.items()], "name string, content binary")
+    assert I.write_files(rows.repartition(3), str(tmp_path)).count() == 11
+    assert I.size_of(b"") == (None, None, "empty file")  # Spark's reader does not list such files
+    got = {r.stem: (r.width, r.height, r.problem) for r in I.image_files(spark, f"{tmp_path}/*/*").collect()}
+    want = {"a": (640, 480), "b": (44, 33), "c": (70, 90), "d": (70, 90), "e": (7, 5), "k": (3, 4)}
+    assert {k: v[:2] for k, v in got.items() if v[2] is None} == want
+    assert {k: v[2] for k, v in got.items() if v[2]} == {
+        "f": "header ends early", "g": "header ends early", "i": "unknown format", "j": "no extent",
+    }
+
+
+def test_images_without_candidates_per_run(spark):
+    images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
+    found = spark.createDataFrame([("a", 0, 1), ("a", 0, 2), ("b", 0, 2), ("b", 0, 9)], "method string, seed int, image_id long")
+    got = A.images_without_candidates(images, found, ["method", "seed"]).collect()
+    assert sorted((r.method, r.image_id) for r in got) == [("a", 3), ("b", 1), ("b", 3)]
+    assert {r.image_id for r in A.images_without_candidates(images, found).collect()} == {3}
+
+
 def test_image_features(spark, tmp_path):
     rng = np.random.default_rng(0)
     rgb = rng.integers(0, 256, (40, 30, 3))
