@@ -150,9 +150,15 @@ def full_report(images: DataFrame, detections: DataFrame, boxes: DataFrame, scor
 
 
 def subgroup_study(df: DataFrame, keys: Sequence[str], group: str, draws: int = 2000) -> dict[str, DataFrame]:
-    """Counts, occupancy, intervals, binning, stages, equal recall and metrics per run and group."""
-    sums = C.bin_sums(df, [*keys, group], "fused", iou="iou")
-    per_image = C.bin_sums(df, [*keys, group, "image_id"], "fused")
+    """Counts, occupancy, intervals, binning, stages, equal recall and metrics per run and group.
+
+    The scores are written once and all tables read that copy. Sums per (group, image, bin) are made in
+    one pass over it; the bootstrap and, added up over images, the metrics come from them.
+    """
+    df = materialize(df.select(*keys, group, "image_id", "det_id", "label", "iou", "p_det", "p_ver", "fused"))
+    per_image = materialize(C.bin_sums(df, [*keys, group, "image_id"], "fused", iou="iou"))
+    totals = [c for c in per_image.columns if c not in (*keys, group, "image_id", "bin")]
+    sums = per_image.groupBy(*keys, group, "bin").agg(*[F.sum(c).alias(c) for c in totals])
     return {
         "counts": C.candidate_counts(df, [*keys, group], "fused"),
         "occupancy": C.bin_occupancy(df, [*keys, group], "fused"),
@@ -164,6 +170,25 @@ def subgroup_study(df: DataFrame, keys: Sequence[str], group: str, draws: int =
     }
 
 
+def study_rows(parts: dict[str, DataFrame], keys: Sequence[str], group: str, details: Sequence[str] = ("binning", "stage")) -> DataFrame:
+    """All tables of a study as one: (keys, group, part, detail, name, value), a row per figure.
+
+    ``detail`` is the binning or the stage of a figure; lists of counts are left out.
+    """
+    tables = []
+    for part, table in parts.items():
+        told = [c for c in details if c in table.columns]
+        kinds = dict(table.dtypes)
+        figures = [c for c in table.columns if c not in (*keys, group, *told) and not kinds[c].startswith("array")]
+        pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in figures])
+        detail = F.col(told[0]) if told else F.lit("")
+        tables.append(table.select(*keys, F.col(group).cast("string").alias(group), F.lit(part).alias("part"), detail.alias("detail"), F.inline(pairs)))
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
 def significance_report(diffs: DataFrame, keys: Sequence[str], order: str, draws: int = 10000) -> DataFrame:
     """Sign test, signed-rank test and bootstrap interval of the mean difference per comparison."""
     keys = list(keys)

@@ -383,3 +383,38 @@ def _annotation_documents(spark, sf_dir):
         "split", "images", "cameras", F.coalesce("boxes", zero).alias("boxes"),
         F.round(F.coalesce("area", zero.cast("double")), 3).alias("area"), F.coalesce("ids", zero).alias("ids"),
     )
+
+
+_STUDY = {  # part: (the query whose SQL gives it, its detail, its figures)
+    "counts": ("candidate_counts", "''", ("n", "images", "positives", "positive_rate", "ece")),
+    "occupancy": ("bin_occupancy", "''", ("occupied_bins", "bins_with_one", "median_occupied")),
+    "intervals": ("cluster_bootstrap_ci", "''", ("ci_low", "ci_high")),
+    "binning": ("binning_robustness", "binning", ("ece",)),
+    "stages": ("stage_decomposition", "stage", ("ece",)),
+    "equal_recall": ("fp_matched_recall", "''", ("target_tp", "fp_reference", "fp_alternative", "delta_fp", "relative")),
+    "metrics": ("subgroup_metrics", "''", ("n", "ece", "laece", "brier", "nll")),
+}
+
+
+def _study_sql() -> str:
+    """The figures of seven queries over the same candidates, as one list; all runs count as one."""
+    one_run = "FROM (SELECT * REPLACE ('all' AS run) FROM cands)"
+    parts = []
+    for part, (name, detail, figures) in _STUDY.items():
+        sql = ORACLES[name].replace("FROM cands", one_run)
+        if part == "occupancy":
+            held = "(({c} > lo OR (bin = 1 AND {c} >= lo)) AND {c} <= hi)"
+            sql = sql.replace(held.format(c="p_ver"), held.format(c="fused"))
+        rows = " UNION ALL ".join(
+            f"SELECT grp::varchar AS grp, '{part}' AS part, {detail} AS detail, '{f}' AS name, round({f}::double, 6) AS value FROM q" for f in figures
+        )
+        parts.append(f"SELECT * FROM (WITH q AS MATERIALIZED ({sql}) {rows})")
+    return "SELECT grp, part, detail, name, value FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("subgroup_study", _study_sql())
+def _study(spark, sf_dir):
+    """Seven tables on the candidates of all runs together, from one written copy of the scores."""
+    df = cands(spark, sf_dir).withColumn("run", F.lit("all"))
+    rows = K.study_rows(K.subgroup_study(df, ["run"], "grp"), ["run"], "grp")
+    return rows.select("grp", "part", "detail", "name", r6("value").alias("value"))
