@@ -418,3 +418,30 @@ def _study(spark, sf_dir):
     df = cands(spark, sf_dir).withColumn("run", F.lit("all"))
     rows = K.study_rows(K.subgroup_study(df, ["run"], "grp"), ["run"], "grp")
     return rows.select("grp", "part", "detail", "name", r6("value").alias("value"))
+
+
+_WHOLE = {  # part: (the query whose SQL gives it, its figures)
+    "detection": ("detection_report", ("ap50", "ap75", "ap_range", "recall_small", "lrp50", "laece", "count_mae", "count_corr", "worst_group_ap50", "mean_ap50")),
+    "calibration": ("calibration_report", ("n", "ece", "brier", "laece", "groups_counted", "worst_group_ece")),
+    "selective": ("selective_report", ("rows", "accuracy", "aurc", "auroc", "auprc", "risk_90")),
+}
+
+
+def _whole_sql() -> str:
+    """The figures of three reports on all candidates as one list."""
+    parts = []
+    for part, (name, figures) in _WHOLE.items():
+        sql = ORACLES[name].replace("FROM cands", "FROM (SELECT * REPLACE ('all' AS run) FROM cands)")
+        rows = " UNION ALL ".join(f"SELECT '{part}' AS part, '{f}' AS name, round({f}::double, 6) AS value FROM q" for f in figures)
+        parts.append(f"SELECT * FROM (WITH q AS MATERIALIZED ({sql}) {rows})")
+    return " UNION ALL ".join(parts)
+
+
+@query("full_report", _whole_sql())
+def _whole(spark, sf_dir):
+    """Detection, calibration and selective figures of one run, a row per figure."""
+    scores = with_disagreement(spark, sf_dir)
+    parts = K.full_report(T.all_images(spark, sf_dir), T.detections(spark, sf_dir), T.boxes(spark, sf_dir), scores)
+    parts["selective"] = parts["selective"].withColumn("risk_90", F.element_at("risk", F.lit(0.9)))
+    listed = {part: parts[part].select(F.lit("all").alias("grp"), *figures) for part, (_, figures) in _WHOLE.items()}
+    return K.study_rows(listed, [], "grp").select("part", "name", r6("value").alias("value"))
