@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import as_bytes, batched, bit_filter, components, has_bit, marked
@@ -463,16 +464,27 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str
     nearest = far.groupBy("star").agg(F.min(F.struct("f", "g")).alias("_y"))
     close = far.join(nearest, "star").where((F.col("f") + F.col("_y.f") <= 0) & (F.col("g") != F.col("_y.g")))
     edges = materialize(edges.unionByName(close.select(F.col("g").alias("a"), F.col("_y.g").alias("b"))))
-    # all others must share a difference; all their differences are counted
-    there = materialize(labelled(moved.join(far.select("g", "n", "d"), "g")))
+    # all others must share differences, f(x) + f(y) counted by 2 (100 + percent) to each: with the rare ones
+    # first, what the lists still hold from a shared difference on must be enough, at the first shared one
+    seldom = moved.groupBy("star", "token").agg(F.count("*").alias("_c"))
+    place = F.row_number().over(W.partitionBy("g", "star").orderBy("_c", "token")) - 1
+    ordered = moved.join(seldom, ["star", "token"]).select("g", "star", "token", place.alias("i"))
+    there = materialize(labelled(ordered.join(far.select("g", "d", "f"), "g")).withColumn("left", F.col("d") - F.col("i")))
     rest, mixed = mixed_up(there, ["star", "token"])
+    enough = 2 * (100 + percent) * F.least("r.left", "o.left") >= F.col("r.f") + F.col("o.f")
+    may = materialize(
+        rest.join(mixed, (F.col("r.star") == F.col("o.star")) & (F.col("r.token") == F.col("o.token")) & across & enough)
+        .select(F.least("r.g", "o.g").alias("a"), F.greatest("r.g", "o.g").alias("b"), (F.col("r.f") + F.col("o.f")).alias("f"))
+        .distinct()
+    )
+    hold = lambda g: moved.select(F.col("g").alias(g), "star", "token")
     differ = (
-        rest.join(mixed, (F.col("r.star") == F.col("o.star")) & (F.col("r.token") == F.col("o.token")) & across)
-        .groupBy(F.least("r.g", "o.g").alias("a"), F.greatest("r.g", "o.g").alias("b"))
-        .agg(F.count("*").alias("k"), F.first(F.col("r.n") + F.col("o.n")).alias("n"), F.first(F.col("r.d") + F.col("o.d")).alias("d"))
-        .where((100 + percent) * (F.col("d") - 2 * F.col("k")) <= (100 - percent) * F.col("n"))
+        may.join(hold("a"), "a").join(hold("b"), ["b", "star", "token"])
+        .groupBy("a", "b").agg(F.count("*").alias("k"), F.first("f").alias("f"))
+        .where(F.col("f") <= 2 * (100 + percent) * F.col("k"))
     )
     edges = materialize(edges.unionByName(differ.select("a", "b")))
+    release(may)
     release(there, those, moved)
     # a group is of a star if all its members are: then they have met all others of that star
     star = (

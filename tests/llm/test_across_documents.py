@@ -65,6 +65,25 @@ def test_shingle_join(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_components(rows)
 
 
+def test_far_members_of_a_family(spark):
+    """Copies that lost the same line and carry edits of their own: some link only with each other."""
+    rng, base = random.Random(21), fx.prose(21, 160).split()
+    rows = []
+    for k in range(90):
+        w = list(base)
+        if k % 2:
+            w[30:42] = "another line that many of the copies hold in its place".split()
+        if k % 3 == 0:
+            w = w[:120] + fx.prose(22 + k % 2, 30).split() + w[120:]
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(10**6))
+        rows.append((k, " ".join(w)))
+    got = shingle_join.link(fx.documents(spark, rows)).collect()
+    want = plain_components(rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+    assert 3 < len({c for _, _, c in want}) < 60
+
+
 def test_one_of_each_component_stays(spark):
     rows = [r for r in fx.texts() if r[0] is not None] + [(500 + k, t) for k, t in enumerate(family(13, 12, 1))]
     df = fx.documents(spark, rows, CLASH)
