@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
+import time
 
 import fixtures as fx
 import pytest
@@ -209,12 +211,101 @@ def test_wrappers_keep_the_article():
     assert html_text.main_text(f"<body><article>{body}</article>{cards}</body>") == "\n".join(parts)
 
 
-def test_long_broken_page_is_linear():
-    assert html_text.main_text("<div class=\"" * 20_000) is not None
+def test_what_is_never_the_article():
+    """Comments, notices, adverts and sign-in forms stay out, however long they are."""
+    parts = [f"Paragraph {k} has some text, with commas, and it ends with a dot. It goes on, too." for k in range(6)]
+    body = "".join(f"<p>{t}</p>" for t in parts)
+    talk = "".join(f"<p>Comment {k} is longer, it has commas, and it goes on and on. Does it end? No, it does not.</p>" for k in range(20))
+    for page in (
+        f"<body><div class='post'>{body}</div><div id='comments'>{talk}</div></body>",
+        f"<body><article>{body}<div id='comments'>{talk}</div></article></body>",
+        f"<body><article class='post comments-open'>{body}<article class='comment'>{talk}</article></article></body>",
+        f"<body><div>{body}</div><div class='cookie-notice'>{talk}</div></body>",
+        f"<body><div>{body}</div><form class='sign-in'>{talk}</form></body>",
+        f"<body><div>{body}</div><form><input type='password'>{talk}</form></body>",
+        f"<body><div class='layout has-sidebar'><div>{body}</div></div><div id='comments'>{talk}</div></body>",
+        f"<body><div class='cookie-shell'><main>{body}</main></div></body>",
+        f"<body><div class='ad-wrapper'><article>{body}</article></div></body>",
+        f"<body><article class='sponsored post'>{body}</article></body>",
+    ):
+        assert html_text.main_text(page) == "\n".join(parts), page[:80]
+    assert html_text.main_text(f"<body><div class='related'>{body}</div><div class='ad'>{talk}</div></body>") == ""
+
+
+def plain_main_text(blocks):
+    """Tag-path ratios over (path, text) of a page without boilerplate, with paths as tuples."""
+    text, marks, count = {}, {}, {}
+    for path, t in blocks:
+        count[path] = count.get(path, 0) + 1
+        text[path] = text.get(path, 0) + len(t)
+        marks[path] = marks.get(path, 0) + sum(c in ".,;:!?" for c in t)
+    near = math.exp(-0.5)
+
+    def smooth(x):
+        y = [x[0], *x, x[-1]]
+        return [(near * y[i] + y[i + 1] + near * y[i + 2]) / (1 + 2 * near) for i in range(len(x))]
+
+    size = smooth([text[p] / count[p] for p, _ in blocks])
+    dots = smooth([marks[p] / count[p] for p, _ in blocks])
+    score = {}
+    for (path, _), a, b in zip(blocks, size, dots, strict=True):
+        score[path] = score.get(path, 0) + a * (1 + b) / count[path]
+    mean = sum(score.values()) / len(score)
+    spread = math.sqrt(sum((v - mean) ** 2 for v in score.values()) / len(score))
+    most = max(score.values())
+    holders = set()
+    for path, v in score.items():
+        if v >= min(most, max(spread, 0.1 * most)):
+            while path and path[-1] in ("p", "li", "ul", "h2"):
+                path = path[:-1]
+            holders.add(path)
+    return "\n".join(t for path, t in blocks if any(path[: len(h)] == h for h in holders))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_tag_paths_like_a_plain_version(seed):
+    rng = random.Random(seed)
+    blocks, out = [], []
+
+    def grow(path, depth):
+        for _ in range(rng.randint(1, 4)):
+            if depth < 4 and rng.random() < 0.4:
+                tag = rng.choice(["div", "section"])
+                out.append(f"<{tag}>")
+                grow((*path, tag), depth + 1)
+                out.append(f"</{tag}>")
+            else:
+                tag = rng.choice(["p", "h2"])
+                text = " ".join(rng.choice(["a", "word,", "longer", "text.", "ends!"]) for _ in range(rng.choice([1, 3, 20, 60])))
+                out.append(f"<{tag}>{text}</{tag}>")
+                blocks.append(((*path, tag), text))
+
+    grow(("body",), 0)
+    assert html_text.main_text("<body>" + "".join(out) + "</body>") == plain_main_text(blocks)
+
+
+def test_long_and_deep_pages_take_linear_time():
+    def seconds(page):
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    for unit in (
+        "<div>", "<div><p>a, b.", "<div class=sidebar>", "<ul><li>x", "<form>", "<span class=ad>a", "</zz><div>", '<div class="',
+        "<article>x", "<table><tr><td>x",
+    ):
+        short, long_ = seconds(unit * 5_000), seconds(unit * 40_000)
+        assert long_ < 20 * max(short, 0.05), unit
     assert html_text.main_text("<p>" * 5000 + "x, y.").endswith("x, y.")
     assert html.unescape("&amp;") == "&"
 
 
+def test_no_pages(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string, text string, path string")
+    assert html_text.extract(df).collect() == []
+    assert html_text.extract(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def plain_targets(sizes, weights=(3, 1, 2), budget=1.5, most=2.0):
     """Share by weight, cap, reshare the excess until none is above."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
