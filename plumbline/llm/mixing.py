@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import as_bytes, map_texts
+from plumbline.operators.ranking import running_totals
 from plumbline.session import materialize
 
-#: Documents of one length and source that are ranked together.
+#: Documents of one length and source that are ranked together, and rows of one id that are written together.
 RANKED = 1000
 #: Words that the dynamic program fills, at least; it is widened to the longest document.
 WINDOW = 16_384
@@ -107,29 +108,29 @@ def targets(
     times all words; a target stops at ``most`` times its source, and the excess goes to the
     others by weight. One level fits all: target = min(most * size, level * weight).
     """
+    last = F.col("source").asc_nulls_last()
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rising = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
-    before, onward = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
-    return (
-        by_source.withColumn("_w", weight)
-        .withColumn("_cap", most * F.col("source_size"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    capped = (
+        running_totals(by_source, [], [last], {})
+        .select("source", "source_size", weight.alias("_w"), (most * F.col("source_size")).alias("_cap"))
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
-        .withColumn("_budget", budget * F.sum("source_size").over(everything))
-        .withColumn(
-            "_level",
-            (F.col("_budget") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(onward),
-        )
-        .withColumn("_level", F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_level")))
-        .withColumn("_level", F.min("_level").over(everything)["_level"])
-        .select(
-            "source",
-            "source_size",
-            F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"),
+    )
+    rising = materialize(
+        running_totals(
+            capped, [], [F.col("_ratio"), last],
+            {"_caps": F.col("_cap"), "_weights": F.col("_w"), "_sizes": F.col("source_size")},
         )
     )
+    # the level if this source and all of higher ratio stay below their caps
+    level = (budget * F.col("_sizes_all") - (F.col("_caps") - F.col("_cap"))) / (F.col("_weights_all") - F.col("_weights") + F.col("_w"))
+    fits = rising.select("_ratio", level.alias("_level")).where("_level <= _ratio")
+    fitting = fits.agg(F.min(F.struct("_ratio", "_level"))["_level"].alias("_level"))
+    return rising.withColumn("_level", fitting.scalar()).select(
+        "source",
+        "source_size",
+        F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"),
+    )
 
 
 def _plan(group: pd.DataFrame) -> pd.DataFrame:
@@ -150,16 +151,12 @@ def _seeded(seed: int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def mix(sized: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
-    """Per row of ``sized`` (doc_id, source, size): source_size, target, copies and taken words.
-
-    ``taken`` is copies times size. Every run gives the same answer: rows of one source and
-    length are ranked by a hash of the id, and rows that agree in all three columns are taken
-    alike, all or none. An empty document is taken in whole passes only. Lengths per source, the
-    rows that one task of the plan sees, are no more than the longest document has words.
-    """
-    goal = targets(sized, **shares)
-    counted = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+def _picks(sized: DataFrame, seed: int, shares: dict) -> DataFrame:
+    """One row per (doc_id, source, size): how many ``rows`` it stands for, the whole ``passes``
+    over them, and how many of them are taken once ``more``."""
+    ids = materialize(sized.groupBy("source", "size", "doc_id").agg(F.count("*").alias("rows")))
+    counted = ids.groupBy("source", "size").agg(F.sum("rows").alias("n"))
+    goal = targets(counted.select("source", (F.col("size") * F.col("n")).alias("size")), **shares)
     plan = materialize(
         counted.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
@@ -171,45 +168,76 @@ def mix(sized: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
         )
     )
     p = plan.select(*[F.col(c).alias(f"_{c}") for c in ("source", "size")], "n", "source_size", "target", "passes", "extra")
-    rows = (
-        sized.join(p, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    drawn = (
+        ids.join(p, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
         .drop("_source", "_size")
         .withColumn("_u", _seeded(seed))
         .withColumn("_part", F.floor(F.col("_u") * F.ceil(F.col("n") / RANKED)).cast("bigint"))
     )
-    parts = rows.groupBy("source", "size", "_part").agg(F.count("*").alias("_n"), F.first("extra").alias("_extra"))
+    parts = drawn.groupBy("source", "size", "_part").agg(F.sum("rows").alias("_n"), F.first("extra").alias("_extra"))
     lower = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn(
-        "_quota",
-        F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_extra") - F.coalesce(F.sum("_n").over(lower), F.lit(0)))),
-    ).select(*[F.col(c).alias(f"_{c}") for c in ("source", "size")], F.col("_part").alias("_p"), "_quota")
-    rank = F.rank().over(Window.partitionBy("source", "size", "_part").orderBy("_u", "doc_id"))
-    return (
-        rows.join(
-            parts,
-            F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_part") == F.col("_p")),
-        )
-        .withColumn("copies", F.col("passes") + (rank <= F.col("_quota")).cast("bigint"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    left = F.col("_extra") - F.coalesce(F.sum("_n").over(lower), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in ("source", "size")], F.col("_part").alias("_p"), left.alias("_left"))
+    inside = Window.partitionBy("source", "size", "_part").orderBy("_u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("rows").over(inside), F.lit(0))
+    return drawn.join(
+        parts,
+        F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_part") == F.col("_p")),
+    ).select(
+        "doc_id", "source", "size", "source_size", "target", "rows", "passes",
+        F.greatest(F.lit(0), F.least(F.col("rows"), F.col("_left") - before)).cast("bigint").alias("more"),
     )
 
 
+def mix(sized: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
+    """Per row of ``sized`` (doc_id, source, size): source_size, target, copies and taken words.
+
+    ``taken`` is copies times size. Every run gives the same rows: ids of one source and length
+    are ordered by a hash of the id, and of rows that agree in all three columns as many are
+    taken once more as the target has room for. An empty document is taken in whole passes only.
+    Lengths per source, the rows that one task of the plan sees, are no more than the longest
+    document has words; an id of many rows is written out in pieces by many tasks.
+    """
+    picks = materialize(_picks(sized, seed, shares))
+
+    def listed(df: DataFrame, first: Column) -> DataFrame:
+        place = F.explode(F.sequence(first + 1, F.least(F.col("rows"), first + RANKED))).alias("_at")
+        copies = F.col("passes") + (F.col("_at") <= F.col("more")).cast("bigint")
+        return (
+            df.select("*", place)
+            .withColumn("copies", copies)
+            .withColumn("taken", copies * F.col("size"))
+            .select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+        )
+
+    few, many = picks.where(F.col("rows") <= RANKED), picks.where(F.col("rows") > RANKED)
+    pieces = many.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(rows - 1) div {RANKED}"))).alias("_piece"))
+    spread = pieces.repartition("doc_id", "source", "size", "_piece")
+    return listed(few, F.lit(0).cast("bigint")).unionByName(listed(spread, F.col("_piece") * RANKED))
+
+
 def apply(docs: DataFrame, seed: int = 17, **shares: object) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it; columns stay.
 
-    Rows that agree in id, source and size are taken equally often. Texts are shuffled once, by
-    id, so that no source or length is met by one task.
+    Of rows that agree in id, source and size, those with the smallest hash of the text are taken
+    once more if not all are. Texts are shuffled once, by id, so that no source or length is met
+    by one task; rows that agree are ordered by ranges of that hash.
     """
     sized = materialize(sizes(docs))
-    chosen = mix(sized, seed, **shares).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
+    picks = materialize(_picks(sized, seed, shares).where("passes > 0 or more > 0").select("doc_id", "source", "size", "rows", "passes", "more"))
     words = F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), ""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    d, c = docs.select(row, "doc_id", "source", words.alias("size")).alias("d"), chosen.alias("c")
-    same = (
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-        & (F.col("d.size") == F.col("c.size"))
-    )
-    repeated = F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("again")
+    d = docs.select(row, "doc_id", "source", words.alias("size")).alias("d")
+    c = F.col
+    same = c("d.doc_id").eqNullSafe(c("c.doc_id")) & c("d.source").eqNullSafe(c("c.source")) & (c("d.size") == c("c.size"))
     # a hash table of the narrow side, so that no text is sorted
-    return d.join(c.hint("shuffle_hash"), same).select("d.row", repeated).select("row.*")
+    evenly = d.join(picks.where("more = 0 or more = rows").alias("c").hint("shuffle_hash"), same).select(
+        "d.row", (c("passes") + F.least(c("more"), F.lit(1))).alias("copies")
+    )
+    tied = picks.where("more > 0 and more < rows")
+    if not tied.isEmpty():
+        found = d.join(tied.alias("c").hint("shuffle_hash"), same).select("d.row", "d.doc_id", "d.source", "d.size", "passes", "more")
+        ranked = running_totals(found, ["doc_id", "source", "size"], [F.xxhash64(c("row.text"))], {})
+        evenly = evenly.unionByName(ranked.select("row", (c("passes") + (c("rank") <= c("more")).cast("bigint")).alias("copies")))
+    repeated = F.explode(F.sequence(F.lit(1), c("copies").cast("int"))).alias("again")
+    return evenly.where("copies > 0").select("row", repeated).select("row.*")
