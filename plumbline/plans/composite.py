@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +39,30 @@ def leakage_report(images: DataFrame, max_distance: int = 4) -> DataFrame:
     )
 
 
-def corpus_audit(images: DataFrame, boxes: DataFrame, max_distance: int = 6, stride: int = 8) -> dict[str, DataFrame]:
-    """Group sizes, exact and near copies, box statistics and the resolution advice."""
-    prints = materialize(
-        images.select(
-            "image_id", A.content_hash(F.col("content")).alias("digest"), N.fingerprint_of(F.col("content")).alias("fingerprint")
-        )
-    )
+def corpus_audit(
+    images: DataFrame, boxes: DataFrame, max_distance: int = 6, stride: int = 8,
+    embed: Callable | None = None, cosine_min: float = 0.98,
+) -> dict[str, DataFrame]:
+    """Group sizes, exact and near copies, box statistics and the resolution advice.
+
+    With ``embed`` (contents of a batch to a matrix of vectors) also the near copies by cosine.
+    """
+    hashes = [A.content_hash(F.col("content")).alias("digest"), N.fingerprint_of(F.col("content")).alias("fingerprint")]
+    # contents are read once, for both kinds of hash and the vectors
+    read = images.select("image_id", "content") if embed is None else N.embedded(images.select("image_id", "content"), embed)
+    prints = materialize(read.select("image_id", *hashes, *([] if embed is None else ["vec"])))
     grouped = boxes.join(images.select("image_id", F.concat_ws("/", "camera", "background").alias("grp")), "image_id")
     stats = materialize(A.box_statistics(grouped.drop(boxes["grp"]) if "grp" in boxes.columns else grouped, "grp", images))
-    return {
+    parts = {
         "group_distribution": A.group_distribution(images),
         "exact_copies": A.exact_copies(prints),
         "near_copies": N.near_copies(prints, N.hamming_pairs(prints, max_distance)),
         "box_statistics": stats,
         "advice": A.finer_level_advice(stats, stride),
     }
+    if embed is not None:
+        parts["embedding_copies"] = N.embedding_copies(prints, cosine_min=cosine_min)
+    return parts
 
 
 def matched_laece(detections: DataFrame, hits: DataFrame, keys: Sequence[str] = (), bins: int = 15) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores as S
@@ -114,6 +119,37 @@ def _audit(spark, sf_dir):
     )
 
 
+def word_buckets(texts: pd.Series) -> np.ndarray:
+    """An embedding that needs no model: signed counts of words in 64 buckets of their hash."""
+    out = np.zeros((len(texts), 64))
+    for row, text in zip(out, texts, strict=True):
+        for word, count in Counter((text or "").split(" ")).items():
+            if word:
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                row[h % 64] += count if h >> 6 & 1 else -count
+    return out
+
+
+@query(
+    "audit_by_embedding",
+    with_tables("images", extra="""
+words AS (SELECT image_id, ('0x' || substr(md5(w), 1, 8))::bigint AS h
+          FROM (SELECT image_id, unnest(string_split(content, ' ')) AS w FROM images) WHERE w <> ''),
+buckets AS (SELECT image_id, h % 64 AS b, sum(CASE WHEN (h >> 6) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM words GROUP BY ALL),
+filled AS (SELECT image_id, list(coalesce(v, 0)::double ORDER BY b) AS vec
+           FROM (SELECT image_id, i::bigint AS b FROM images CROSS JOIN range(64) x(i)) LEFT JOIN buckets USING (image_id, b) GROUP BY 1),
+reps AS (SELECT vec, min(image_id) AS id, count(*) AS n FROM filled GROUP BY 1),
+unit AS (SELECT id, n, list_transform(vec, lambda x: x / (sqrt(list_inner_product(vec, vec)) + 1e-9)) AS v FROM reps)""", body="""
+SELECT a.id AS id_a, b.id AS id_b, round(list_inner_product(a.v, b.v), 6) AS cosine, a.n AS n_a, b.n AS n_b, a.n * b.n AS id_pairs
+FROM unit a JOIN unit b ON a.id < b.id WHERE list_inner_product(a.v, b.v) >= 0.98
+UNION ALL SELECT id, id, 1.0::double, n, n, n * (n - 1) // 2 FROM reps WHERE n > 1 AND list_inner_product(vec, vec) > 0"""),
+)
+def _audit_by_embedding(spark, sf_dir):
+    """Near copies that the audit finds with an embedding given by the caller."""
+    parts = K.corpus_audit(T.images(spark, sf_dir), T.boxes(spark, sf_dir), embed=word_buckets)
+    return parts["embedding_copies"].withColumn("cosine", r6("cosine"))
+
+
 @query(
     "significance_report",
     f"""SELECT variant, n, wins, mean_diff, p_sign, w_plus, p_wilcoxon, ci_low, ci_high FROM ({ORACLES["sign_test"]})

@@ -110,6 +110,24 @@ def test_cosine_bound_is_safe_and_saves_products():
     assert few.shape == (5, 5)
 
 
+def test_copies_by_a_given_embedding(spark):
+    """Every id pair within the cosine is behind one row; zeros, nulls and empty tables have none."""
+    texts = ["a b c d e f", "a b c d e f", "a b c d e f g h", "x y", None, "", "x y", "x y", "a a b c d e f", "zz"]
+
+    def letters(contents):
+        return np.array([[float((t or "").count(c)) for c in "abcdefghxyz"] for t in contents])
+
+    df = spark.createDataFrame(list(enumerate(texts)), "image_id long, content string")
+    got = N.embedding_copies(N.embedded(df, letters), cosine_min=0.9).collect()
+    v = letters(texts)
+    v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
+    close = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if v[i] @ v[j] >= 0.9]
+    assert sum(r.id_pairs for r in got) == len(close) and {(r.id_a, r.id_b) for r in got} == {(0, 0), (3, 3), (0, 8)}
+    assert N.embedding_copies(N.embedded(df.limit(0), letters)).collect() == []
+    with pytest.raises(Exception, match="vectors for"):
+        N.embedded(df, lambda c: np.zeros((len(c) + 1, 2))).collect()
+
+
 def corpus(spark):
     rows = [(1, "train", "a"), (2, "train", "a"), (3, "train", "b"), (4, "val", "b"), (5, "val", "c"), (6, "test", "a"), (7, "test", "d"), (8, "test", "c")]
     df = spark.createDataFrame(rows, "image_id long, split string, content string")
