@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.ranking import exact_quantiles
+from plumbline.operators.ranking import exact_quantiles, running_totals
 
 SPLIT_ORDER = ("train", "val", "test")
 Z_ALPHA, Z_POWER = 1.959963985, 0.8416212336  # fixed values: two-sided 5 %, power 80 %
@@ -102,11 +102,11 @@ def zero_filled_counts(groups: DataFrame, rows: DataFrame, key: str) -> DataFram
 def group_index(images: DataFrame) -> DataFrame:
     """Dimension table (camera, background, group_id): camera number * backgrounds + background number.
 
-    Numbers follow the alphabetical order of the names seen.
+    Numbers follow the alphabetical order of the names seen, which are ranked by ranges.
     """
     def numbered(col: str) -> DataFrame:
-        names = images.groupBy().agg(F.array_sort(F.collect_set(col)).alias("names"))
-        return names.select(F.posexplode("names").alias(f"{col}_no", col), F.size("names").alias(f"{col}_all"))
+        names = running_totals(images.select(col).where(F.col(col).isNotNull()).distinct(), [], [F.col(col)], {})
+        return names.select(col, (F.col("rank") - 1).alias(f"{col}_no"), F.col("n").alias(f"{col}_all"))
 
     pairs = images.select("camera", "background").distinct()
     return (
@@ -116,7 +116,7 @@ def group_index(images: DataFrame) -> DataFrame:
             "camera",
             "background",
             (F.col("camera_no") * F.col("background_all") + F.col("background_no")).cast("int").alias("group_id"),
-            F.col("background_all").alias("backgrounds"),
+            F.col("background_all").cast("int").alias("backgrounds"),
         )
     )
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores as S
@@ -147,6 +147,20 @@ def clean_and_shifted(df: DataFrame, variant: str, group: str, **columns) -> Dat
     return calibration.drop("per_group_ece").join(selective_report(df, [variant], **columns), variant)
 
 
+def under_shift(df: DataFrame, shifts: Mapping[str, Mapping[str, Column]], variant: str = "variant") -> DataFrame:
+    """Every candidate once as ``clean`` and once per shift, in one pass over the table.
+
+    A shift gives the score columns it changes as expressions of the clean row.
+    """
+    changed = sorted({c for columns in shifts.values() for c in columns})
+    rows = [
+        F.struct(F.lit(name).alias(variant), *[columns.get(c, F.col(c)).cast("double").alias(c) for c in changed])
+        for name, columns in {"clean": {}, **shifts}.items()
+    ]
+    kept = [c for c in df.columns if c not in (variant, *changed)]
+    return df.select(*kept, F.inline(F.array(*rows)))
+
+
 def full_report(images: DataFrame, detections: DataFrame, boxes: DataFrame, scores: DataFrame, group: str = "grp") -> dict[str, DataFrame]:
     """Detection, calibration and selective reports of one run."""
     one = scores.withColumn("run", F.lit("run"))

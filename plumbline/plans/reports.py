@@ -18,7 +18,7 @@ from plumbline.plans.comparison import diffs
 from plumbline.plans.detection import _FLAG_LEVELS, ap_sql
 from plumbline.plans.registry import ORACLES, query, r6
 from plumbline.plans.tables import with_tables
-from plumbline.session import scratch_path
+from plumbline.session import materialize, scratch_path
 from plumbline.sources import annotations as N
 from plumbline.sources import corpus as P
 from plumbline.sources import dumps as U
@@ -94,6 +94,31 @@ def _variants(spark, sf_dir):
     return out.select("variant", "n", *[r6(c).alias(c) for c in ("ece", "accuracy", "aurc", "auroc")])
 
 
+_SHIFTED = """
+noisy AS (SELECT * REPLACE ('noise' AS run, least(greatest(p_det + ((det_id % 101) - 50) / 250.0::double, 0.0), 1.0)::double AS p_det) FROM cands),
+blurred AS (SELECT * REPLACE ('blur' AS run, p_det * 0.5::double + 0.25::double AS p_det) FROM cands),
+variants AS (SELECT image_id, det_id, grp, iou, label, run, p_det, p_ver, (p_det + p_ver) / 2 AS fused FROM (
+  SELECT * REPLACE ('clean' AS run) FROM cands UNION ALL SELECT * FROM noisy UNION ALL SELECT * FROM blurred)),
+"""
+
+
+@query(
+    "under_shift",
+    with_tables("cands", extra=_SHIFTED + _SELECTIVE.replace("FROM cands", "FROM variants") + "," + bins_sql(), body=f"""
+SELECT run AS variant, rows AS n, round(ece, 6) AS ece, accuracy, aurc, auroc FROM sel JOIN ({ece_sql("run", source="variants")}) USING (run)"""),
+)
+def _under_shift(spark, sf_dir):
+    """Calibration and selective figures of the same candidates, clean and under two shifts of the detector's score."""
+    noisy = F.least(F.greatest(F.col("p_det") + (F.col("det_id") % 101 - 50) / F.lit(250.0), F.lit(0.0)), F.lit(1.0))
+    blurred = F.col("p_det") * 0.5 + 0.25
+    shifts = {name: {"p_det": p, "fused": (p + F.col("p_ver")) / 2} for name, p in (("noise", noisy), ("blur", blurred))}
+    # clean first, so that the disagreement is the one of the shifted scores
+    df = K.under_shift(cands(spark, sf_dir).drop("x1", "y1", "x2", "y2", "gt_id"), shifts)
+    df = materialize(df.withColumn("disagreement", S.js_divergence(F.col("p_det"), F.col("p_ver"))))
+    out = K.clean_and_shifted(df, "variant", "grp")
+    return out.select("variant", "n", *[r6(c).alias(c) for c in ("ece", "accuracy", "aurc", "auroc")])
+
+
 @query(
     "corpus_audit",
     with_tables("images", "boxes", extra=_HASHED + "," + _FINGERPRINTS.format(k=6) + """,
@@ -393,6 +418,31 @@ def _detection_dump(spark, sf_dir):
     return stored.groupBy("method", "seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean_score"))
 
 
+@query(
+    "predictions_per_image",
+    with_tables("all_images", "dets", "boxes", body="""
+SELECT image_id, grp, coalesce(n_preds, 0) AS n_preds, best_det, round(scores, 6) AS scores, coalesce(n_gts, 0) AS n_gts,
+       first_gt, round(area, 3) AS area FROM all_images
+LEFT JOIN (SELECT image_id, count(*)::int AS n_preds, first(det_id ORDER BY score DESC, det_id) AS best_det, sum(score) AS scores
+           FROM dets GROUP BY 1) USING (image_id)
+LEFT JOIN (SELECT image_id, count(*)::int AS n_gts, min(gt_id) AS first_gt, sum((x2 - x1) * (y2 - y1))::double AS area
+           FROM boxes GROUP BY 1) USING (image_id)"""),
+)
+def _predictions_per_image(spark, sf_dir):
+    """Detections and true boxes as one row per image, and what a scorer reads from it."""
+    rows = U.per_image(T.all_images(spark, sf_dir), T.detections(spark, sf_dir), T.boxes(spark, sf_dir))
+
+    def total(name, value):
+        return F.when(F.size(name) > 0, F.aggregate(F.transform(name, value), F.lit(0.0), lambda a, x: a + x))
+
+    return rows.select(
+        "image_id", "grp", F.size("preds").alias("n_preds"), F.get("preds", F.lit(0))["det_id"].alias("best_det"),
+        r6(total("preds", lambda x: x["score"])).alias("scores"), F.size("gts").alias("n_gts"),
+        F.get("gts", F.lit(0))["gt_id"].alias("first_gt"),
+        F.round(total("gts", lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])), 3).alias("area"),
+    )
+
+
 @query(
     "annotation_documents",
     with_tables("images", "boxes", body="""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,27 @@ def available_runs(spark: SparkSession, path: str, prefix: str = "") -> DataFram
     return spark.read.parquet(path).select("method", "seed").distinct().withColumn("tag", tag).where(F.col("tag").startswith(prefix))
 
 
+def per_image(images: DataFrame, detections: DataFrame, boxes: DataFrame, group: str = "grp") -> DataFrame:
+    """One row per image: its group, predictions (best score first, ties by id) and true boxes (by id).
+
+    An image without detections or boxes has empty arrays. A task holds the boxes of an image at a time.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+
+    def listed(df: DataFrame, order: Sequence[Column], fields: Sequence[str], name: str) -> DataFrame:
+        keyed = F.struct(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), F.struct(*fields).alias("v"))
+        return df.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["v"]).alias(name))
+
+    preds = listed(detections, [-F.col("score"), F.col("det_id")], ("det_id", "score", *corners), "preds")
+    gts = listed(boxes, [F.col("gt_id")], ("gt_id", *corners), "gts")
+    return (
+        images.select("image_id", group)
+        .join(preds, "image_id", "left")
+        .join(gts, "image_id", "left")
+        .withColumns({name: F.coalesce(F.col(name), F.array().cast(dict(df.dtypes)[name])) for name, df in (("preds", preds), ("gts", gts))})
+    )
+
+
 def pending_runs(requested: DataFrame, finished: DataFrame, keys: Sequence[str] = ("method", "seed"), force: bool = False) -> DataFrame:
     """Requested runs that still have to be done; all of them under ``force``."""
     if force:

@@ -6,6 +6,7 @@ from plumbline.functions import scores as S
 from plumbline.operators import matching as M
 from plumbline.plans import composite as K
 from plumbline.session import scratch_path, shared_dir
+from plumbline.sources import dumps as U
 from pyspark.sql import functions as F
 
 
@@ -111,3 +112,25 @@ def test_last_metadata_row_of_a_name_counts(spark, tmp_path):
     (tmp_path / "b.csv").write_text("file_name,camera,background\nf7.png,c,new\n")
     got = {r["file_name"]: r["background"] for r in read_metadata(spark, str(tmp_path)).collect()}
     assert got["f7.png"] == "new" and got["f8.png"] == "old" and len(got) == 2000
+
+
+def test_predictions_and_boxes_per_image(spark):
+    images = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "image_id long, grp string")
+    box = "x1 double, y1 double, x2 double, y2 double"
+    at = (0.0, 0.0, 2.0, 3.0)
+    dets = spark.createDataFrame([(1, 9, 0.5, *at), (1, 4, 0.5, *at), (1, 7, 0.9, *at), (3, 1, 0.1, *at)], "image_id long, det_id long, score double, " + box)
+    true = spark.createDataFrame([(2, 8, *at), (2, 3, *at), (9, 5, *at)], "image_id long, gt_id long, " + box)
+    got = {r.image_id: r for r in U.per_image(images, dets, true).collect()}
+    assert [p.det_id for p in got[1].preds] == [7, 4, 9] and got[1].gts == [] and got[1].grp == "a"
+    assert [g.gt_id for g in got[2].gts] == [3, 8] and got[2].preds == []
+    assert len(got) == 3 and got[3].grp is None and got[3].preds[0].x2 == 2.0
+    assert U.per_image(images.limit(0), dets, true).collect() == []
+
+
+def test_shifted_scores_keep_the_candidates(spark):
+    df = spark.createDataFrame([(1, 0.2, 0.4, 1), (2, None, 0.6, 0)], "det_id long, p_det double, fused double, label int")
+    half = F.col("p_det") / 2
+    got = K.under_shift(df, {"half": {"p_det": half, "fused": half + 0.1}, "same": {}})
+    rows = {(r.det_id, r.variant): (r.p_det, r.fused, r.label) for r in got.collect()}
+    assert rows[1, "clean"] == rows[1, "same"] == (0.2, 0.4, 1) and rows[1, "half"] == (0.1, 0.2, 1)
+    assert rows[2, "half"] == (None, None, 0) and len(rows) == 6
