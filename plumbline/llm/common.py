@@ -49,7 +49,7 @@ def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
 
 
 def drawn_first(df: DataFrame, number: Column, wanted: int, rows: int) -> DataFrame:
-    """The rows among which the ``wanted`` smallest of a hash ``number`` surely are, of about ``rows``.
+    """The rows among which the ``wanted`` smallest of a hash ``number`` surely are, of ``rows`` different ones.
 
     Cuts by the value before anything is ordered, so that no partition sends ``wanted`` rows of
     its own: twice as many as wanted pass, and some more.

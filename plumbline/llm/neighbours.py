@@ -159,7 +159,7 @@ def search(
     ``rows`` has ``vec_id`` and ``vector``; ``queries`` tells its query rows. Unusable vectors,
     null ids and vectors whose length differs from the sample's take no part. Rows that agree in id
     and vector count once; a row is never its own neighbour, equal vectors of other ids are.
-    The trees depend on at most ``sample`` rows, the index holds all. With few rows a query
+    The trees depend on the vectors of at most ``sample`` ids, the index holds all. With few rows a query
     visits all leaves; larger ``leaves`` raise recall, larger ``depth`` makes leaves finer.
     """
     spark = rows.sparkSession
@@ -168,9 +168,13 @@ def search(
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col(vector))).select(
         F.col("vec_id").cast("long"), F.col(vector).alias("_v"), queries.alias("_asks")
     )
-    place = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30))
-    few = drawn_first(good, F.xxhash64("vec_id", F.lit(seed)), sample, good.count())
-    drawn = [r[2] for r in sorted(few.select(place, "vec_id", "_v").collect())[:sample]]
+    number = F.xxhash64("vec_id", F.lit(seed))
+    place = F.pmod(number, F.lit(1 << 30))
+    # ids are drawn, so that repeated rows neither fill the sample nor empty it
+    ids = good.select("vec_id").distinct()
+    chosen = drawn_first(ids, number, sample, ids.count()).orderBy(place, "vec_id").limit(sample)
+    few = good.join(F.broadcast(chosen), "vec_id").groupBy("vec_id").agg(F.min("_v").alias("_v"))
+    drawn = [r[2] for r in sorted(few.select(place, "vec_id", "_v").collect())]  # at most ``sample`` rows
     if not drawn:
         return spark.createDataFrame([], empty)
     size = len(drawn[0])

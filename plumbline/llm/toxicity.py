@@ -265,9 +265,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_terms
     )
     # ids are drawn first: only the drawn rows' texts are read, and none is shuffled
     rows = docs.select("doc_id").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
-    totals = {r[0]: r[1] for r in rows.groupBy("_toxic").count().collect()}
+    # rows of a class, and ids among them: only ids are drawn, so that repeated rows do not empty the sample
+    per_id = rows.groupBy("_toxic", "doc_id").agg(F.count("*").alias("_rows"))
+    counted = per_id.groupBy("_toxic").agg(F.sum("_rows"), F.count("*")).collect()
+    totals, different = {r[0]: r[1] for r in counted}, {r[0]: r[2] for r in counted}
     parts = [
-        drawn_first(rows.where(F.col("_toxic") == c).dropDuplicates(["doc_id"]), F.col("_h"), examples, totals.get(c, 0))
+        drawn_first(rows.where(F.col("_toxic") == c).dropDuplicates(["doc_id"]), F.col("_h"), examples, different.get(c, 0))
         .orderBy(F.pmod("_h", F.lit(1 << 30)), "doc_id").limit(examples)
         for c in (0, 1)
     ]

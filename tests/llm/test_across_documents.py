@@ -234,6 +234,31 @@ def test_neighbours(spark):
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Many copies of few ids, all of them late in the sample's order, are found like single rows."""
+    rng = np.random.default_rng(4)
+    place = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30))
+    late = [r[0] for r in spark.range(4000).select(F.col("id").alias("vec_id")).where(place > 0.7 * 2**30).orderBy("vec_id").limit(60).collect()]
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in late]
+    one = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asks = F.col("vec_id") % 20 == 0
+    want = neighbours.search(one, asks, sample=100).orderBy("query_id", "rank").collect()
+    got = neighbours.search(one.crossJoin(spark.range(50).select("id")), asks, sample=100).orderBy("query_id", "rank").collect()
+    assert want and got == want
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Copies of few labelled ids leave the examples in place."""
+    late = [r[0] for r in spark.range(6000).where(
+        (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) > 0.8 * 2**30) & (common.fold("id") != 0)).orderBy("id").limit(80).collect()]
+    rows = [(i, fx.prose(i, 9) + (" scumbag" if k % 4 == 0 else "")) for k, i in enumerate(late)]
+    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(late)], "doc_id long, toxic int")
+    docs = fx.documents(spark, rows * 60)
+    model = toxicity.fit(docs, labels, examples=50)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert found == {i: int(k % 4 == 0) for k, i in enumerate(late)}
+
+
 def toxic_rows():
     rng = random.Random(9)
     rows, labels = [], []
