@@ -1,7 +1,9 @@
 """Masks as runs of foreground pixels, and features of decoded images.
 
-A run is a row (sample, y, x0, x1): the pixels x0 to x1 - 1 of line y. Runs may overlap until
-``overlay`` makes them disjoint; the other functions take disjoint runs.
+A run is a row (sample, y, x0, x1): the pixels x0 to x1 - 1 of line y. With a column ``lines`` it
+stands for as many equal lines, from y on (a band). Bands of one sample are cut at the same lines in
+all tables that are put together (``bands_of_boxes``). Runs may overlap until ``overlay`` makes them
+disjoint; the other functions take disjoint runs.
 """
 
 from __future__ import annotations
@@ -29,13 +31,54 @@ def runs_of_boxes(boxes: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFr
     return cut.select(*keys, F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
 
 
+def bands_of_boxes(*tables: tuple[DataFrame, Sequence[str]]) -> list[DataFrame]:
+    """Filled boxes of several (table, keys) as bands, one row per box and band instead of per line.
+
+    ``keys`` begin with the sample. The lines at which any box of a sample begins or ends cut the boxes
+    of all tables, so rows of a sample in one band have the same lines. A sample has at most as many
+    cuts as its picture has lines.
+    """
+    cut, sample = [], tables[0][1][0]
+    for boxes, keys in tables:
+        line = {c: F.greatest(F.ceil(c).cast("long"), F.lit(0)) for c in ("x1", "y1", "x2", "y2")}
+        cut.append(boxes.select(*keys, *[e.alias(c) for c, e in line.items()]).where("x2 > x1 AND y2 > y1"))
+    ends = [c.select(sample, F.explode(F.array("y1", "y2")).alias("y")) for c in cut]
+    every = ends[0]
+    for other in ends[1:]:
+        every = every.unionByName(other)
+    cuts = every.groupBy(sample).agg(F.array_sort(F.collect_set("y")).alias("_cuts"))
+    low, high = F.array_position("_cuts", F.col("y1")), F.array_position("_cuts", F.col("y2"))
+    out = []
+    for c, (_, keys) in zip(cut, tables, strict=True):
+        place = F.posexplode(F.slice("_cuts", low.cast("int"), (high - low).cast("int"))).alias("_i", "y")
+        rows = c.join(cuts, sample).select(*keys, "x1", "x2", "_cuts", low.alias("_low"), place)
+        after = F.element_at("_cuts", (F.col("_low") + F.col("_i") + 1).cast("int"))
+        out.append(rows.select(*keys, "y", (after - F.col("y")).alias("lines"), F.col("x1").alias("x0"), F.col("x2").alias("x1")))
+    return out
+
+
+def _lines(runs: DataFrame) -> list[str]:
+    return ["lines"] if "lines" in runs.columns else []
+
+
+def _banded(runs: DataFrame) -> DataFrame:
+    return runs if _lines(runs) else runs.withColumn("lines", F.lit(1).cast("long"))
+
+
 def overlay(runs: DataFrame, keys: Sequence[str] = ("sample",), at_least: int | Column = 1) -> DataFrame:
     """Disjoint longest runs of the pixels that ``at_least`` of the given runs hold, per keys and line.
 
-    Runs become steps up and down; a running sum along the line tells how many cover a place.
-    ``at_least`` may be a column of ``keys``.
+    Runs become steps up and down; a running sum along the line tells how many cover a place. If one
+    is enough, a run begins where all runs before have ended. ``at_least`` may be a column of ``keys``.
     """
-    keys = list(keys)
+    keys = [*keys, *_lines(runs)]
+    if isinstance(at_least, int) and at_least == 1:
+        line = W.partitionBy(*keys, "y").orderBy("x0")
+        before = F.max("x1").over(line.rowsBetween(W.unboundedPreceding, -1))
+        whole = F.max("x1").over(W.partitionBy(*keys, "y").orderBy("x0").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        reached = runs.select(*keys, "y", "x0", before.alias("_before"), whole.alias("_end"))
+        starts = reached.where("_before IS NULL OR x0 > _before")
+        return starts.select(*keys, "y", "x0", F.coalesce(F.lead("_before").over(line), F.col("_end")).alias("x1"))
     steps = (
         runs.select(*keys, "y", F.explode(F.array(
             F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d"))
@@ -54,14 +97,14 @@ def mask_components(runs: DataFrame) -> DataFrame:
 
     The runs of a mask pass in line order; only the pieces that reach the line before are remembered.
     """
-    ordered = runs.select("sample", "y", "x0", "x1").repartition("sample").sortWithinPartitions("sample", "y", "x0")
+    ordered = _banded(runs).select("sample", "y", "lines", "x0", "x1").repartition("sample").sortWithinPartitions("sample", "y", "x0")
     kind = runs.schema["sample"].dataType.simpleString()
     return ordered.mapInPandas(_count_pieces, f"sample {kind}, components long")
 
 
 def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    started, sample, line, pieces, nearest, fresh = False, None, None, 0, 0, 0
-    above: list = []  # (x0, x1, piece) of the line before
+    started, sample, line, below, pieces, nearest, fresh = False, None, None, None, 0, 0, 0
+    above: list = []  # (x0, x1, piece) of the band that ends just before line ``below``
     here: list = []
     parent: dict[int, int] = {}
 
@@ -72,15 +115,15 @@ def _count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for f in frames:
         done = []
-        for s, y, x0, x1 in zip(f["sample"].tolist(), f["y"].tolist(), f["x0"].tolist(), f["x1"].tolist()):
+        for s, y, lines, x0, x1 in zip(*(f[c].tolist() for c in ("sample", "y", "lines", "x0", "x1"))):
             if not started or s != sample:
                 if started:
                     done.append((sample, pieces))
                 started, sample, line, pieces, here = True, s, None, 0, []
             if y != line:
-                above = [(u, v, root(p)) for u, v, p in here] if line is not None and y == line + 1 else []
+                above = [(u, v, root(p)) for u, v, p in here] if line is not None and y == below else []
                 parent = {p: p for _, _, p in above}
-                here, line, nearest = [], y, 0
+                here, line, below, nearest = [], y, y + lines, 0
             fresh += 1
             piece = fresh
             parent[piece] = piece
@@ -113,20 +156,21 @@ def mask_morphology(runs: DataFrame, boxes: DataFrame) -> DataFrame:
         *[e.alias(f"r_{c}") for c, e in edge.items()],
     )
     zero, one = F.lit(0), F.lit(1)
-    within = (F.col("y") >= F.greatest(zero, F.col("r_y1"))) & (F.col("y") < F.greatest(one, F.col("r_y2")))
+    y, end = F.col("y"), F.col("y") + F.col("lines")
+    within = F.greatest(F.least(end, F.greatest(one, F.col("r_y2"))) - F.greatest(y, F.greatest(zero, F.col("r_y1"))), zero)
     common = F.least("x1", F.greatest(one, F.col("r_x2"))) - F.greatest("x0", F.greatest(zero, F.col("r_x1")))
     # whole numbers throughout: 2 x and 6 x x summed over a run, so that even masks have no slant
-    n, x0, x1, y = F.col("x1") - F.col("x0"), F.col("x0"), F.col("x1"), F.col("y")
+    n, x0, x1, lines = F.col("x1") - F.col("x0"), F.col("x0"), F.col("x1"), F.col("lines")
     along = n * (x0 + x1 - 1)
     squares = lambda e: (e - 1) * e * (2 * e - 1)  # noqa: E731  (of the places before e, six times)
+    down, down_squares = F.expr("lines * (2 * y + lines - 1) div 2"), F.expr("((y + lines - 1) * (y + lines) * (2 * (y + lines) - 1) - (y - 1) * y * (2 * y - 1)) div 6")
     sums = (
-        runs.join(whole.select("sample", "r_x1", "r_y1", "r_x2", "r_y2"), "sample")
+        _banded(runs).join(whole.select("sample", "r_x1", "r_y1", "r_x2", "r_y2"), "sample")
         .groupBy("sample")
         .agg(
-            F.sum(n).alias("area"),
-            F.sum(F.when(within, F.greatest(common, zero)).otherwise(zero)).alias("inside"),
-            F.sum(along).alias("sx"), F.sum(n * y).alias("sy"), F.sum(squares(x1) - squares(x0)).alias("sxx"),
-            F.sum(n * y * y).alias("syy"), F.sum(along * y).alias("sxy"),
+            F.sum(n * lines).alias("area"), F.sum(within * F.greatest(common, zero)).alias("inside"),
+            F.sum(along * lines).alias("sx"), F.sum(n * down).alias("sy"), F.sum((squares(x1) - squares(x0)) * lines).alias("sxx"),
+            F.sum(n * down_squares).alias("syy"), F.sum(along * down).alias("sxy"),
         )
     )
     big = lambda c: F.col(c).cast("decimal(18,0)")
@@ -172,12 +216,14 @@ def dice(masks: DataFrame, truth: DataFrame, samples: DataFrame) -> DataFrame:
     ``masks`` are disjoint runs per (sample, backend), ``truth`` per sample. ``samples`` lists every
     (sample, backend); empty masks have no runs.
     """
-    length = F.sum(F.col("x1") - F.col("x0"))
+    masks, truth = (_banded(masks), _banded(truth)) if _lines(masks) or _lines(truth) else (masks, truth)
+    length = F.sum((F.col("x1") - F.col("x0")) * (F.col("lines") if _lines(masks) else F.lit(1)))
+    place = [*_lines(masks), "y", "x0", "x1"]
     own = masks.groupBy("sample", "backend").agg(length.alias("own"))
     true_size = truth.groupBy("sample").agg(length.alias("truth"))
     listed = samples.select("sample", "backend").distinct()
-    beside = truth.join(listed, "sample").select("sample", "backend", "y", "x0", "x1")
-    shared = overlay(masks.select("sample", "backend", "y", "x0", "x1").unionByName(beside), ["sample", "backend"], 2)
+    beside = truth.join(listed, "sample").select("sample", "backend", *place)
+    shared = overlay(masks.select("sample", "backend", *place).unionByName(beside), ["sample", "backend"], 2)
     both = shared.groupBy("sample", "backend").agg(length.alias("common"))
     zero = F.lit(0)
     total = F.coalesce("own", zero) + F.coalesce("truth", zero)
@@ -192,7 +238,7 @@ def dice(masks: DataFrame, truth: DataFrame, samples: DataFrame) -> DataFrame:
 def consensus(masks: DataFrame, samples: DataFrame) -> DataFrame:
     """Runs of the pixels that at least half of the backends of a sample set."""
     backends = samples.groupBy("sample").agg(F.countDistinct("backend").alias("backends"))
-    counted = masks.select("sample", "y", "x0", "x1").join(backends, "sample")
+    counted = masks.select("sample", *_lines(masks), "y", "x0", "x1").join(backends, "sample")
     return overlay(counted, ["sample", "backends"], F.col("backends") / 2.0).drop("backends")
 
 

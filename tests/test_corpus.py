@@ -412,3 +412,29 @@ def test_reports_and_dumps(spark, tmp_path):
     import hashlib
 
     assert {r.digest for r in digests.where("path LIKE '%notes%'").collect()} == {hashlib.sha256(b"{}").hexdigest()}
+
+
+def test_filled_boxes_in_bands(spark):
+    """Bands give the figures of the lines they stand for, in one row per box and cut."""
+    rng = np.random.default_rng(3)
+    corner = rng.integers(-4, 40, (60, 2))
+    far = corner + rng.integers(0, 30, (60, 2))
+    rows = [(int(i % 5), f"b{i % 3}", *map(float, (*corner[i], *far[i]))) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample long, backend string, x1 double, y1 double, x2 double, y2 double")
+    truth, keys = df.where("backend = 'b2'").drop("backend"), ["sample", "backend"]
+    samples = df.select("sample", "backend").distinct()
+    around = truth.groupBy("sample").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    drawn, covered = K.bands_of_boxes((df, keys), (truth, ["sample"]))
+    lines = K.overlay(K.runs_of_boxes(df, keys), keys), K.overlay(K.runs_of_boxes(truth))
+    bands = K.overlay(drawn, keys), K.overlay(covered)
+    out = []
+    for masks, real in (lines, bands):
+        agreed = K.consensus(masks, samples)
+        out.append((
+            sorted(K.dice(masks, real, samples).collect()),
+            sorted(K.mask_morphology(agreed, around).collect()),
+        ))
+    assert out[0] == out[1]
+    tall = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 1e6), (1, 4.0, 10.0, 12.0, 20.0)], "sample long, x1 double, y1 double, x2 double, y2 double")
+    got = K.overlay(K.bands_of_boxes((tall, ["sample"]))[0])
+    assert sorted((r.y, r["lines"], r.x0, r.x1) for r in got.collect()) == [(0, 10, 0, 9), (10, 10, 0, 12), (20, 999980, 0, 9)]
