@@ -40,21 +40,64 @@ def draw(seed: int, *parts: Column) -> Column:
     return half(0) * F.lit(PRIMES[1]).cast("long") + half(1)
 
 
-def draw_array(seed: int, *parts: np.ndarray) -> np.ndarray:
-    """The same integers for NumPy arrays that broadcast against each other."""
-
-    def half(k: int) -> np.ndarray:
-        p = PRIMES[k]
-        mixed = np.int64(_start(seed, k))
-        for part, weight in zip(parts, WEIGHTS[k], strict=False):
-            mixed = mixed + (part.astype(np.int64) % p) * weight % p
+#: Numbers that are worked on together, few enough to stay in a processor's cache.
+_CACHED = 1 << 14
+
+
+def _fold(x: np.ndarray, k: int, room: np.ndarray, times: int = 2) -> None:
+    """Bring ``x`` in [0, 2**63) down modulo the prime, to it or little more: the primes lie just below 2**31.
+
+    The upper bits are put back as multiples of 2**31 - prime, which spares the division.
+    """
+    short, low = np.int64((1 << 31) - PRIMES[k]), np.int64((1 << 31) - 1)
+    for _ in range(times):
+        np.right_shift(x, 31, out=room)
+        np.bitwise_and(x, low, out=x)
+        np.multiply(room, short, out=room)
+        np.add(x, room, out=x)
+
+
+def _cube(v: np.ndarray, k: int, square: np.ndarray, room: np.ndarray) -> None:
+    np.multiply(v, v, out=square)
+    _fold(square, k, room)
+    np.multiply(square, v, out=v)
+    _fold(v, k, room)
+
+
+def _term(part: np.ndarray, weight: int, k: int) -> np.ndarray:
+    """``part`` modulo the prime times the weight; the terms of a draw add up to less than 2**63."""
+    if not part.size or part.max() >= PRIMES[k]:
+        part = part % PRIMES[k]
+    return part * np.int64(weight)
+
+
+def half_array(k: int, seed: int, *parts: np.ndarray) -> np.ndarray:
+    """One of the two numbers a draw is joined of, in [0, PRIMES[k])."""
+    p, start = PRIMES[k], np.int64(_start(seed, k))
+    terms = [_term(np.asarray(part, np.int64), weight, k) for part, weight in zip(parts, WEIGHTS[k], strict=False)]
+    out = np.empty(np.broadcast_shapes(*[t.shape for t in terms]), np.int64)
+    if out.ndim == 2:
+        rows = max(1, _CACHED // max(1, out.shape[1]))
+        cuts = [slice(i, i + rows) for i in range(0, len(out), rows)]
+    else:
+        cuts = [slice(i, i + _CACHED) for i in range(0, len(out), _CACHED)] if out.ndim else [...]
+    for cut in cuts:
+        v = out[cut]
+        np.copyto(v, start)
+        for t in terms:
+            np.add(v, t[cut] if t.ndim == out.ndim and t.shape[:1] == out.shape[:1] else t, out=v)
+        square, room = np.empty_like(v), np.empty_like(v)
+        _fold(v, k, room)
+        _cube(v, k, square, room)
+        np.add(v, SHIFTS[k], out=v)
+        _cube(v, k, square, room)
+        np.subtract(v, p, out=v, where=v >= p)
+    return out
 
-        def cube(v: np.ndarray) -> np.ndarray:
-            return (v * v % p) * v % p
-
-        return cube((cube(mixed % p) + SHIFTS[k]) % p)
 
-    return half(0) * np.int64(PRIMES[1]) + half(1)
+def draw_array(seed: int, *parts: np.ndarray) -> np.ndarray:
+    """The same integers for NumPy arrays that broadcast against each other."""
+    return half_array(0, seed, *parts) * np.int64(PRIMES[1]) + half_array(1, seed, *parts)
 
 
 def draw_sql(seed: int, *parts: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from plumbline.functions.draws import RANGE, draw_array
+from plumbline.functions.draws import PRIMES, RANGE, draw_array, half_array
 from plumbline.operators.calibration import POOLED
 from plumbline.operators.ranking import running_totals
 from plumbline.session import materialize
@@ -202,13 +202,37 @@ def poisson_weight_sql(u: str) -> str:
     return " + ".join(f"({u} >= {cut})::int" for cut in _poisson_cuts())
 
 
+#: Weights that nearly all draws have; larger ones are looked up one by one.
+_COMMON = 5
+#: Clusters whose weights are drawn together.
+WEIGHED = 64
+
+
+def poisson_weights(seed: int, draws: int, ids: np.ndarray) -> np.ndarray:
+    """Poisson(1) weight of every cluster in every replicate: [cluster, replicate].
+
+    The first half of a draw settles its weight unless it equals that of a cut.
+    """
+    cuts = _poisson_cuts()
+    upper = np.array([c // PRIMES[1] for c in cuts])
+    replicates = np.arange(draws)
+    first = half_array(0, seed, replicates[None, :], ids[:, None])
+    weights, open_ = np.zeros(first.shape, np.int8), np.zeros(first.shape, bool)
+    for cut in upper[:_COMMON]:
+        weights += (first > cut).view(np.int8)
+        open_ |= first == cut
+    open_ |= weights == _COMMON
+    row, b = np.nonzero(open_)
+    weights[row, b] = np.searchsorted(np.array(cuts), draw_array(seed, b, ids[row]), side="right")
+    return weights.astype(np.float64)
+
+
 def _poisson_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
     """Weighted bin sums of every replicate: (keys, bin, b, n, hits, conf), partial per task.
 
-    The weights of a batch of clusters are one matrix, so a task multiplies instead of
-    writing one row per cluster and replicate.
+    All rows of a cluster come to one task, so its weights are drawn once. The weights of a batch of
+    clusters are one matrix, so a task multiplies instead of writing one row per cluster and replicate.
     """
-    cuts = np.array(_poisson_cuts())
     values = ["n", "hits", "conf"]
 
     def spread(done: dict) -> pd.DataFrame:
@@ -227,13 +251,25 @@ def _poisson_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, s
         done: dict = {}
         for f in frames:
             ids, where = np.unique(f[cluster].to_numpy(dtype=np.int64), return_inverse=True)
-            u = draw_array(seed, np.arange(draws)[None, :], ids[:, None])
-            weights = np.searchsorted(cuts, u, side="right").astype(np.float64)
-            filled = f.assign(bin=f["bin"].fillna(-1).astype(int), _row=where)
-            for key, part in filled.groupby([*keys, "bin"], sort=False):
-                key = tuple(None if (i == len(keys) and k == -1) else k for i, k in enumerate(key))
-                sums = weights[part["_row"].to_numpy()].T @ part[values].to_numpy(dtype=np.float64)
-                done[key] = done[key] + sums if key in done else sums
+            filled = f.assign(bin=f["bin"].fillna(-1).astype(int))
+            code = filled.groupby([*keys, "bin"], sort=False, dropna=False).ngroup().to_numpy()
+            named = filled[[*keys, "bin"]].iloc[np.unique(code, return_index=True)[1]]
+            order = np.lexsort((code, where // WEIGHED))
+            part, code, where = f[values].to_numpy(np.float64)[order], code[order], where[order]
+            ends = np.flatnonzero(np.diff(code, append=-1) | np.diff(where // WEIGHED, append=-1)) + 1
+            sums: dict = {}
+            start, block, weights = 0, -1, None
+            for end in ends.tolist():
+                if where[start] // WEIGHED != block:
+                    block = where[start] // WEIGHED
+                    weights = poisson_weights(seed, draws, ids[block * WEIGHED : (block + 1) * WEIGHED])
+                more = weights[where[start:end] % WEIGHED].T @ part[start:end]
+                group = int(code[start])
+                sums[group] = sums[group] + more if group in sums else more
+                start = end
+            for group, key in enumerate(named.itertuples(index=False, name=None)):
+                key = tuple(None if pd.isna(k) or (i == len(keys) and k == -1) else k for i, k in enumerate(key))
+                done[key] = done[key] + sums[group] if key in done else sums[group]
             if len(done) * draws > 2_000_000:
                 yield spread(done)
                 done = {}
@@ -247,7 +283,7 @@ def _poisson_sums(cells: DataFrame, keys: list[str], cluster: str, draws: int, s
     for v in values:
         schema = schema.add(v, DoubleType())
     narrow = cells.select(*keys, F.col("bin").cast("int").alias("bin"), cluster, *[F.col(v).cast("double").alias(v) for v in values])
-    return narrow.mapInPandas(weigh, schema)
+    return narrow.repartition(cluster).sortWithinPartitions(cluster).mapInPandas(weigh, schema)
 
 
 #: Clusters of one block, replicates drawn together, and random words handled at a time.
@@ -371,7 +407,7 @@ def _resample_sums(
             counts = np.frombuffer(blob, "<i8")
             b = np.repeat(np.arange(len(counts)), counts)
             j = np.arange(len(b)) - np.repeat(np.cumsum(counts) - counts, counts)
-            pick = draw_array(2 * seed, b + first, np.full(len(b), block), j) % size
+            pick = draw_array(2 * seed, b + first, np.array([block]), j) % size
             weights = np.bincount(b * size + pick, minlength=len(counts) * size).reshape(-1, size).astype(np.float64)
             sums.append(weights @ spread)
             numbers.append(np.arange(first, first + len(counts)))
@@ -405,16 +441,18 @@ def cluster_bootstrap(
     """
     if scheme not in ("resample", "poisson"):
         raise ValueError(f"unknown scheme: {scheme}")
-    keys = [*keys, group]
-    cells = (
-        sums.withColumn(group, F.explode(F.array(F.col(group).cast("string"), F.lit(POOLED))))
-        .groupBy(*keys, cluster, "bin")
-        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("conf").alias("conf"))
-    )
-    values = ("n", "hits", "conf")
+    keys, values = [*keys, group], ("n", "hits", "conf")
+    both = F.explode(F.array(F.col(group).cast("string"), F.lit(POOLED)))
     if scheme == "poisson":
-        partial = _poisson_sums(cells, keys, cluster, draws, seed)
+        # a cluster weighs the same in its groups and in all of them, so pooled sums are sums of sums
+        own = _poisson_sums(sums, keys, cluster, draws, seed).groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
+        partial = own.withColumn(group, both)
     else:
+        cells = (
+            sums.withColumn(group, both)
+            .groupBy(*keys, cluster, "bin")
+            .agg(*[F.sum(c).alias(c) for c in values])
+        )
         partial = _resample_sums(cells, keys, cluster, values, draws, seed)
     per_bin = partial.groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("hits") - F.col("conf"))).otherwise(0.0)

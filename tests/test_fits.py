@@ -317,3 +317,43 @@ def test_flatten_and_aggregate(spark):
     assert {(r.seed, r.metric, r.value) for r in flat.collect()} == {(0, "a.b", 1.0), (0, "a.c.d", 0.5), (1, "a.b", 2.0)}
     agg = {r.metric: r for r in R.aggregate_seeds(flat).collect()}
     assert (agg["a.b"]["mean"], agg["a.b"]["std"], agg["a.b"].n) == (1.5, 0.5, 2) and agg["a.c.d"].n == 1
+
+
+def test_draws_without_division():
+    """Arrays get the integers of the plain arithmetic, at the ends of the ranges, too."""
+    from plumbline.functions import draws as D
+
+    def plain(seed, *parts):
+        halves = []
+        for k in (0, 1):
+            p = D.PRIMES[k]
+            v = (D._start(seed, k) + sum(x % p * w for x, w in zip(parts, D.WEIGHTS[k]))) % p
+            halves.append(pow(pow(v, 3, p) + D.SHIFTS[k], 3, p))
+        return halves[0] * D.PRIMES[1] + halves[1]
+
+    ends = [0, 1, D.PRIMES[1] - 1, D.PRIMES[0] - 1, D.PRIMES[0], (1 << 31) - 1, 1 << 31, (1 << 62) - 1]
+    a, b = np.array(ends)[:, None], np.array(ends)[None, :]
+    got = D.draw_array(5, a, b, a, b)
+    assert [[int(v) for v in row] for row in got] == [[plain(5, x, y, x, y) for y in ends] for x in ends]
+    assert int(D.draw_array(0, np.array(7))) == plain(0, 7)
+
+
+def test_poisson_weights_are_drawn_once_for_a_cluster(spark, monkeypatch):
+    """Weights agree with the cuts, and pooled sums do not draw them again."""
+    from plumbline.functions.draws import RANGE, draw_array
+
+    ids = np.array([0, 3, 1 << 40])
+    u = draw_array(4, np.arange(300)[None, :], ids[:, None])
+    assert (X.poisson_weights(4, 300, ids) == np.searchsorted(np.array(X._poisson_cuts()), u, side="right")).all()
+    rows = [(i, g, b, 1 + i % 2, float(i % 3 == 0), 0.1) for i in range(200) for g in ("a", None) for b in (None, 1, 7)]
+    sums = spark.createDataFrame(rows, "image_id long, grp string, bin int, n long, hits double, conf double")
+    plan = X._poisson_sums(sums, ["grp"], "image_id", 50, 1)
+    got = {(r.grp, r.bin, r.b): (r.n, r.hits) for r in plan.groupBy("grp", "bin", "b").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
+    w = X.poisson_weights(1, 50, np.arange(200))
+    assert len(got) == 300
+    for (g, b, k), (n, hits) in got.items():
+        assert n == pytest.approx(sum(w[i, k] * (1 + i % 2) for i in range(200)))
+        assert hits == pytest.approx(sum(w[i, k] * (i % 3 == 0) for i in range(200)))
+    per_task = plan.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) <= 6 * 50 * len(per_task)
+    assert RANGE > u.max()
