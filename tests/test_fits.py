@@ -357,3 +357,16 @@ def test_poisson_weights_are_drawn_once_for_a_cluster(spark, monkeypatch):
     per_task = plan.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in per_task) <= 6 * 50 * len(per_task)
     assert RANGE > u.max()
+
+
+@pytest.mark.parametrize("name", ["isotonic_calibration", "isotonic_scores", "calibrate_then_fuse"])
+def test_detections_are_matched_once(spark, monkeypatch, name):
+    """Fits and what comes after them read written candidates: no plan but the one written matches boxes."""
+    from plumbline.plans import QUERIES, models
+
+    seen = []
+    written = models.materialize
+    monkeypatch.setattr(models, "materialize", lambda df: seen.append(df) or written(df))
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "lineitem" in " ".join(seen[0].inputFiles())
+    assert not any("lineitem" in f for f in out.inputFiles())
