@@ -167,3 +167,26 @@ def test_sign_test_of_any_size(spark):
     for n, k in cases:
         assert abs(got[n, k] - sum(math.comb(n, j) for j in range(k, n + 1)) / 2**n) < 1e-10, (n, k)
     assert abs(got[3_000_000_000, 1_500_000_000] - 0.5) < 1e-3
+
+
+def test_as_many_tasks_as_ranges(spark):
+    """A range has its own task also where the session shuffles into fewer partitions."""
+    from plumbline.operators.ranking import running_totals
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        df = spark.range(4000).selectExpr("id % 2 AS k", "id AS v")
+        out = running_totals(df, ["k"], [F.col("v").desc()], {"s": F.col("v")}, rows_per_range=250)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.k, r["rank"], r.n, r.v, r.s) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "_range#" in plan and ", 16), REPARTITION_BY_NUM" in plan
+    want = []
+    for k in (0, 1):
+        total = 0
+        for i, v in enumerate(range(3998 + k, -1, -2)):
+            total += v
+            want.append((k, i + 1, 2000, v, total))
+    assert rows == want
