@@ -128,8 +128,7 @@ FROM near JOIN reps a ON a.fingerprint = fp_a JOIN reps b ON b.fingerprint = fp_
 )
 def _near(spark, sf_dir):
     """Near copies within 6 bits, as pairs of distinct fingerprints."""
-    fps = materialize(fingerprints(spark, sf_dir))
-    return N.near_copies(fps, N.hamming_pairs(fps, 6))
+    return N.near_copies(fingerprints(spark, sf_dir), 6)
 
 
 @query(
@@ -164,7 +163,7 @@ comp AS (SELECT u AS node, min(v) AS component FROM reach GROUP BY u)
                 body="SELECT node, component FROM comp"),
 )
 def _components(spark, sf_dir):
-    return N.components(N.hamming_pairs(fingerprints(spark, sf_dir), 6))
+    return N.components(N.hamming_links(fingerprints(spark, sf_dir), 6))
 
 
 @query(
@@ -180,7 +179,7 @@ def _component_removal(spark, sf_dir):
     """One image kept per group of near copies, by split priority."""
     images = T.images(spark, sf_dir)
     fps = materialize(images.select("image_id", "split", N.fingerprint_of(F.col("content")).alias("fingerprint")))
-    labels = N.components(N.hamming_pairs(fps, 6))
+    labels = N.components(N.hamming_links(fps, 6))
     return N.keep_one_per_component(fps, labels, A.split_rank(F.col("split")))
 
 

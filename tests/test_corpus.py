@@ -70,6 +70,29 @@ def test_hamming_join_of_a_full_key(spark):
     assert got == want and len(want) > 1000
 
 
+@pytest.mark.parametrize("list_size", [1024, 4])
+def test_links_and_leaks_of_a_crowd_take_no_pairs(spark, list_size):
+    """400 fingerprints in 12 bits are partners by the ten thousand; links stay a few per fingerprint and block."""
+    crowd = [(i << 9) ^ 5 for i in range(400)]
+    values = prints(3) + crowd
+    df = spark.createDataFrame([(i, v, "abc"[i % 3]) for i, v in enumerate(values + values[:40])], "image_id long, fingerprint long, split string")
+    pairs = N.hamming_pairs(df, 4, list_size)
+    links = N.hamming_links(df, 4, list_size)
+    assert pairs.count() > 20_000
+    if list_size == 1024:
+        assert links.count() < len(values)
+    as_sets = lambda edges: {(r.node, r.component) for r in N.components(edges).collect()}
+    assert as_sets(links) == as_sets(pairs)
+    want = N.cross_split_near(df, pairs).agg(F.sum("id_pairs")).first()[0]
+    assert N.near_leaks(df, 4, list_size=list_size).first().near_leaks == want
+    listed = {(r.fp_a, r.fp_b): (r.id_a, r.n_a, r.id_b, r.n_b, r.id_pairs) for r in N.near_copies(df, 4).collect()}
+    assert len(listed) == pairs.count()
+    ids = {}
+    for i, v in enumerate(values + values[:40]):
+        ids.setdefault(v, []).append(i)
+    assert all(x == (min(ids[a]), len(ids[a]), min(ids[b]), len(ids[b]), len(ids[a]) * len(ids[b])) for (a, b), x in listed.items())
+
+
 def test_components_on_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, 1000 + i) for i in range(1, 40)]
