@@ -70,7 +70,7 @@ def test_hamming_join_of_a_full_key(spark):
     assert got == want and len(want) > 1000
 
 
-@pytest.mark.parametrize("list_size", [1024, 4])
+@pytest.mark.parametrize("list_size", [1024, 8])
 def test_links_and_leaks_of_a_crowd_take_no_pairs(spark, list_size):
     """400 fingerprints in 12 bits are partners by the ten thousand; links stay a few per fingerprint and block."""
     crowd = [(i << 9) ^ 5 for i in range(400)]
@@ -118,6 +118,25 @@ def test_cosine_join_equals_matrix_product(spark, pivots, block):
         assert got == want and want
 
 
+def test_cosine_blocks_grow_with_the_table(spark, monkeypatch):
+    """Twice the vectors are sent to as many tasks each, and no pair is lost."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "BLOCKS", 4)
+    rng = np.random.default_rng(6)
+    sent = []
+    for n in (200, 400):
+        v = rng.normal(size=(n, 16))
+        v[n // 2 :] = v[: n // 2] + rng.normal(size=(n // 2, 16)) * 0.02
+        df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vec array<double>")
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if u[i] @ u[j] >= 0.98}
+        out = N.cosine_pairs(df, "id", "vec")
+        got = [(r.id_a, r.id_b) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        sent.append(out.rdd.getNumPartitions())
+    assert sent[1] <= 1.5 * sent[0]
+
+
 def test_cosine_bound_is_safe_and_saves_products():
     """No pair above the cosine is lost, and few of the others are multiplied in full."""
     rng = np.random.default_rng(3)
