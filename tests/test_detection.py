@@ -148,3 +148,27 @@ def test_failure_images_fall_back_to_all(spark):
     assert [(r.image_id, r.fp, r.fn) for r in out.collect()] == [(0, 0, 0)]
     with pytest.raises(ValueError):
         P.failure_images(d, g, d, 1, prefer="x")
+
+
+def test_precision_ranks_a_detection_once(spark, monkeypatch):
+    """Ten thresholds take one row per detection in the ranking, not one more per hit."""
+    ranked = []
+
+    def spy(rows, *args, **kw):
+        ranked.append(rows.count())
+        return whole(rows, *args, **kw)
+
+    whole = D.running_totals
+    monkeypatch.setattr(D, "running_totals", spy)
+    box = (0.0, 0.0, 10.0, 10.0)
+    dets = spark.createDataFrame([(i, 1, "a", 1.0 - i / 10, *box) for i in range(4)] + [(0, 2, "a", 0.95, *box)],
+                                 "image_id long, det_id long, grp string, score double, x1 double, y1 double, x2 double, y2 double")
+    boxes = spark.createDataFrame([(i, i, "a", *box) for i in range(5)],
+                                  "image_id long, gt_id long, grp string, x1 double, y1 double, x2 double, y2 double")
+    levels = M.COCO_THRESHOLDS
+    hits = M.true_positives(dets, boxes, levels, carry=["grp"])
+    npos = boxes.groupBy("grp").agg(F.count("gt_id").alias("npos"))
+    out = {r.iou_threshold: r.ap for r in D.average_precision(dets, hits, npos, ["grp"], levels).collect()}
+    # hits at places 1, 3, 4 and 5 of five boxes: precision 1 up to recall 0.2, then 0.8
+    assert ranked == [5] and set(out) == set(levels)
+    assert all(abs(ap - (21 * 1.0 + 60 * 0.8) / 101) < 1e-9 for ap in out.values())
