@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scores import edge_bin, log_loss, squared_error, width_bin
 from plumbline.operators.ranking import exact_quantiles
+from plumbline.session import materialize
 
 POOLED = "pooled"
 _SUMS = ("n", "conf", "hits", "loc", "sq", "ll")
@@ -93,7 +94,8 @@ def equal_mass_edges(df: DataFrame, keys: Sequence[str], conf: str, bins: int) -
 
 
 def equal_mass_ece(df: DataFrame, keys: Sequence[str], conf: str, label: str = "label", bins: int = 10) -> DataFrame:
-    edges = equal_mass_edges(df, keys, conf, bins)
+    # written, so that its size is known and the rows are not dealt by their few keys
+    edges = materialize(equal_mass_edges(df, keys, conf, bins))
     tagged = df.join(edges, list(keys))
     sums = bin_sums(tagged, keys, conf, label, bin_column=edge_bin(F.col(conf), F.col("edges")))
     return metrics(sums, keys).select(*keys, "ece")

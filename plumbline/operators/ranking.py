@@ -8,7 +8,7 @@ before it. Hot keys and long ties are cut by the range boundaries like anything
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,45 +80,92 @@ def running_totals(
     )
 
 
+#: Parts into which the values of a key are cut to find a position.
+BUCKETS = 4096
+
+
+def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Join condition on ``keys`` of two aliased frames; nulls are equal, no keys join everything."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return on
+
+
+def around_positions(
+    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column],
+    points: Callable[[Column], Column], descending: bool = False,
+) -> DataFrame:
+    """The few rows among which wanted positions lie, with the totals of all rows before them.
+
+    The values of a key are cut into ``BUCKETS`` parts of equal width, which only takes sums per part;
+    rows of parts without a wanted position are left out. ``points`` makes an array of structs
+    with a 1-based long ``_at`` from the number of rows. ``sums`` must have ``rows``, the rows that a row stands for.
+    Adds the part ``_b``, ``_n`` (rows of the key), ``_points`` (those in the part) and
+    ``_before_<name>``. Parts come in the order of the value, nulls and NaN where Spark sorts
+    them. ``df`` is read three times.
+    """
+    keys, x = list(keys), F.col(value).cast("double")
+    finite = F.abs(x) < float("inf")  # false for NaN
+    ends = materialize(df.groupBy(*keys).agg(
+        (F.min(F.when(finite, x)) / 2).alias("_low"), (F.max(F.when(finite, x)) / 2).alias("_high")
+    ))
+    share = (x / 2 - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    part = (
+        F.when(x.isNull(), -2).when(F.isnan(x), BUCKETS + 2)
+        .when(x == float("inf"), BUCKETS + 1).when(x == float("-inf"), -1)
+        .otherwise(F.coalesce(F.floor(share * BUCKETS), F.lit(0))).cast("int")
+    )
+    numbered = df.alias("d").join(ends.alias("e"), same_keys("d", "e", keys)).select("d.*", part.alias("_b"))
+    parts = materialize(numbered.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()]))
+    order = F.col("_b").desc() if descending else F.col("_b").asc()
+    earlier = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.select(
+        *keys, "_b", "_s_rows", F.sum("_s_rows").over(W.partitionBy(*keys)).alias("_n"),
+        *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums],
+    )
+    here = F.filter(points(F.col("_n")), lambda p: (p["_at"] > F.col("_before_rows")) & (p["_at"] <= F.col("_before_rows") + F.col("_s_rows")))
+    wanted = materialize(placed.withColumn("_points", here).where(F.size("_points") > 0).drop("_s_rows"))
+    given = ["_n", "_points", *[f"_before_{name}" for name in sums]]
+    return numbered.alias("l").join(wanted.alias("r"), same_keys("l", "r", [*keys, "_b"])).select("l.*", *[f"r.{c}" for c in given])
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key and ``prob``.
 
-    The rows are first reduced to (key, value, count); only the distinct values are
-    ranked. Column ``quantile`` holds the result; keys without a value give no row. With
-    ``weight`` the rows already are (key, value, count).
+    Only rows near a wanted position are reduced to (key, value, count) and ranked. Column
+    ``quantile`` holds the result; keys without a value give no row. With ``weight`` the
+    rows already are (key, value, count).
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")
+    rows = F.col(weight) if weight else F.lit(1).cast("long")
+    # written once, so that the input is not worked out again for every pass
+    narrow = materialize(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), rows.alias("_c")))
+
+    def both_sides(n: Column) -> Column:
+        """0-based positions below and above each quantile, as 1-based rows."""
+        at = [(p, F.lit(float(p)) * (n - 1)) for p in probs]
+        return F.array(*[
+            F.struct(F.lit(float(p)).alias("prob"), pos.alias("pos"), F.lit(high).alias("high"),
+                     ((F.ceil(pos) if high else F.floor(pos)) + 1).cast("long").alias("_at"))
+            for p, pos in at for high in (False, True)
+        ])
+
+    near = around_positions(narrow, keys, "_v", {"rows": F.col("_c")}, both_sides)
+    counted = near.groupBy(*keys, "_b", "_v").agg(
+        F.sum("_c").alias("_c"), F.first("_points").alias("_points"), F.first("_before_rows").alias("_before")
     )
-    cum = running_totals(counted, keys, [F.col(value)], {"_cum": F.col("_c")})
+    cum = running_totals(counted, [*keys, "_b"], [F.col("_v")], {"_cum": F.col("_c")})
+    upto = F.col("_before") + F.col("_cum")
     wanted = cum.select(
-        *keys,
-        F.col(value).cast("double").alias("_x"),
-        (F.col("_cum") - F.col("_c")).alias("_from"),
-        F.col("_cum").alias("_to"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_cum_all") - 1)).alias("pos"))
-                    for p in probs
-                ]
-            )
-        ).alias("w"),
-    ).select(*keys, "_x", "_from", "_to", "w.prob", "w.pos")
-    low, high = F.floor("pos"), F.ceil("pos")
-    holds_low = (low >= F.col("_from")) & (low < F.col("_to"))
-    holds_high = (high >= F.col("_from")) & (high < F.col("_to"))
-    picked = (
-        wanted.where(holds_low | holds_high)
-        .groupBy(*keys, "prob")
-        .agg(
-            F.max("pos").alias("_pos"),
-            F.max(F.when(holds_low, F.col("_x"))).alias("_lo"),
-            F.max(F.when(holds_high, F.col("_x"))).alias("_hi"),
-        )
+        *keys, F.col("_v").cast("double").alias("_x"), upto.alias("_to"), (upto - F.col("_c")).alias("_from"), F.inline("_points")
+    ).where((F.col("_at") > F.col("_from")) & (F.col("_at") <= F.col("_to")))
+    picked = wanted.groupBy(*keys, "prob").agg(
+        F.max("pos").alias("_pos"),
+        F.max(F.when(~F.col("high"), F.col("_x"))).alias("_lo"),
+        F.max(F.when(F.col("high"), F.col("_x"))).alias("_hi"),
     )
     share = F.col("_pos") - F.floor("_pos")
     return picked.select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("quantile"))
