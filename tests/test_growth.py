@@ -73,3 +73,23 @@ def test_equal_mass_reads_are_shared_out(spark):
     with Moved(spark) as moved:
         assert C.binning_robustness(df, [], "grp", "p").count() == 16
     assert moved.task_read < 2_000_000  # the rows of the pool take more; sums per part take 1.3 MB
+
+
+def test_equal_recall_on_odd_scores(spark):
+    """The counts above the last hit are those of the whole ranking, also for scores that are no numbers."""
+    df = odd_scores(spark)
+    got = {r.grp: (r.target_tp, r.fp_reference, r.fp_alternative) for r in R.matched_recall(df, ["grp"], "p", "q").collect()}
+    want = {}
+    for i, c in enumerate("pq"):
+        ranked = running_totals(df, ["grp"], [F.col(c).desc(), F.col("image_id"), F.col("det_id")], {"tp": F.col("label")})
+        for r in ranked.where("label = 1 AND tp = tp_all").collect():
+            want.setdefault(r.grp, [r.tp, None, None])[i + 1] = r["rank"] - r.tp
+    assert got == {k: tuple(v) for k, v in want.items()} and len(got) == 4
+
+
+def test_equal_recall_moves_few_bytes(spark):
+    df = scored(spark)
+    with Moved(spark) as moved:
+        rows = R.matched_recall_table(df, [], "grp", reference="p", alternative="q").collect()
+    assert {r.grp for r in rows} == {"0", "1", "2", "all"}
+    assert moved.bytes < 400_000  # the rows alone take more than 4 MB
