@@ -310,8 +310,8 @@ FROM ranked JOIN (VALUES (1.0), (0.95), (0.9), (0.8)) v(c) ON k = greatest(1, ro
     ),
 )
 def _risk(spark, sf_dir):
-    ranked = R.error_ranking(referred(spark, sf_dir), ["grp"], "confidence", "correct", ["image_id", "det_id"])
-    return R.risk_at_coverage(ranked, ["grp"]).withColumn("risk", r6("risk"))
+    risk = R.risk_by_coverage(referred(spark, sf_dir), ["grp"], "confidence", "correct", ["image_id", "det_id"])
+    return risk.withColumn("risk", r6("risk"))
 
 
 @query(

@@ -93,3 +93,25 @@ def test_equal_recall_moves_few_bytes(spark):
         rows = R.matched_recall_table(df, [], "grp", reference="p", alternative="q").collect()
     assert {r.grp for r in rows} == {"0", "1", "2", "all"}
     assert moved.bytes < 400_000  # the rows alone take more than 4 MB
+
+
+def test_risk_by_coverage_on_odd_scores(spark):
+    df = odd_scores(spark)
+    keep = (1.0, 0.95, 0.5, 0.0001)
+    tie = ["image_id", "det_id"]
+    want = R.risk_at_coverage(R.error_ranking(df, ["grp"], "p", "correct", tie), ["grp"], keep).collect()
+    got = R.risk_by_coverage(df, ["grp"], "p", "correct", tie, keep).collect()
+    key = lambda rows: sorted((str(r.grp), r.coverage, r.risk) for r in rows)
+    assert key(got) == key(want) and len(got) == 16
+    same = df.withColumn("p", F.lit(0.25))  # all rows in one part
+    assert key(R.risk_by_coverage(same, ["grp"], "p", "correct", tie, keep).collect()) == key(
+        R.risk_at_coverage(R.error_ranking(same, ["grp"], "p", "correct", tie), ["grp"], keep).collect()
+    )
+
+
+def test_risk_by_coverage_moves_few_bytes(spark):
+    df = scored(spark)
+    with Moved(spark) as moved:
+        got = R.risk_by_coverage(df, ["grp"], "confidence", "correct", ["image_id", "det_id"]).collect()
+    assert len(got) == 12
+    assert moved.bytes < 2_000_000  # all rows written and shuffled take more than 8 MB
