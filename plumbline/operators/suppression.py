@@ -38,11 +38,15 @@ def suppress(
     rest = [c for c in df.columns if c not in keys and c not in _CORNERS and c not in ("det_id", "score")]
     rank = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"))
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    # of identical boxes only the best ranked can stay; boxes without area overlap nothing
-    firsts = df.where(solid).groupBy(*keys, *_CORNERS).agg(
-        F.min_by(F.struct("det_id", "score", *rest), rank).alias("r")
-    ).select(*keys, *_CORNERS, "r.*")
-    narrow = firsts.select(*keys, *_CORNERS, "det_id", (-F.col("score")).alias("s"))
+    # of identical boxes only the best ranked can stay; boxes without area overlap nothing, each stays.
+    # written once, so that the search for overlaps and the survivors do not work the input out again
+    flat = F.when(~solid, F.monotonically_increasing_id()).alias("_flat")
+    firsts = materialize(
+        df.where(solid.isNotNull()).groupBy(*keys, *_CORNERS, flat)
+        .agg(F.min_by(F.struct("det_id", "score", *rest), rank).alias("r"))
+        .select(*keys, *_CORNERS, F.col("_flat").isNull().alias("_solid"), "r.*")
+    )
+    narrow = firsts.where("_solid").select(*keys, *_CORNERS, "det_id", (-F.col("score")).alias("s"))
     other = narrow.withColumnsRenamed({"det_id": "det_b", "s": "s_b"})
     before = F.struct(F.col("s"), F.col("det_id").alias("d")) < F.struct(F.col("s_b").alias("s"), F.col("det_b").alias("d"))
     edges = materialize(
@@ -56,8 +60,8 @@ def suppress(
         fallen = _folded(edges.join(crowded, keys, "left_anti"), keys, keys).unionByName(_by_pieces(apart, keys, together))
     else:
         fallen = _folded(edges, keys, keys)
-    stay = firsts.join(fallen.withColumnRenamed("low", "det_id"), [*keys, "det_id"], "left_anti")
-    return stay.select(*df.columns).unionByName(df.where(~solid))
+    stay = firsts.where("_solid").join(fallen.withColumnRenamed("low", "det_id"), [*keys, "det_id"], "left_anti")
+    return stay.unionByName(firsts.where("NOT _solid")).select(*df.columns)
 
 
 def _folded(edges: DataFrame, keys: list[str], pieces: list[str]) -> DataFrame:
@@ -153,18 +157,36 @@ def tile_grid(images: DataFrame, tile: int, overlap: float, image: str = "image_
     )
 
 
-def to_image_coordinates(detections: DataFrame, grid: DataFrame, images: DataFrame, image: str = "image_id") -> DataFrame:
-    """Tile detections moved into their image and clipped to it."""
-    origin = grid.join(images.select(image, "width", "height"), image).select(
-        image, "tile_id", F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), "width", "height"
-    )
-    joined = detections.join(origin, [image, "tile_id"])
+def to_image_coordinates(
+    detections: DataFrame, grid: DataFrame | tuple[int, float], images: DataFrame, image: str = "image_id"
+) -> DataFrame:
+    """Tile detections moved into their image and clipped to it.
+
+    ``grid`` is a table of tiles, or (tile, overlap) of the regular grid that ``tile_grid`` makes: then the
+    origin is worked out from the size of the image and no tile without a detection is made.
+    """
+    if isinstance(grid, DataFrame):
+        origin = grid.join(images.select(image, "width", "height"), image).select(
+            image, "tile_id", F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), "width", "height"
+        )
+        joined = detections.join(origin, [image, "tile_id"])
+    else:
+        xs, ys = (tile_offsets(F.col(side), *grid) for side in ("width", "height"))
+        at = F.col("tile_id").cast("long")
+        joined = (
+            detections.join(images.select(image, "width", "height"), image)
+            .withColumns({"_xs": xs, "_ys": ys})
+            .where((at >= 0) & (at < F.size("_xs") * F.size("_ys")))
+            .withColumns({"_x0": F.get("_xs", F.pmod(at, F.size("_xs")).cast("int")), "_y0": F.get("_ys", F.floor(at / F.size("_xs")).cast("int"))})
+        )
     moved = clip(shift(Box.of(), F.col("_x0"), F.col("_y0")), F.col("width"), F.col("height"))
     rest = [c for c in detections.columns if c not in _CORNERS]
     return joined.select(*rest, *moved.columns())
 
 
-def fuse_tiles(detections: DataFrame, grid: DataFrame, images: DataFrame, threshold: float, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def fuse_tiles(
+    detections: DataFrame, grid: DataFrame | tuple[int, float], images: DataFrame, threshold: float, keys: Sequence[str] = ("image_id",)
+) -> DataFrame:
     """Detections of all tiles in image coordinates, suppressed across tiles."""
     return suppress(to_image_coordinates(detections, grid, images), keys, threshold)
 

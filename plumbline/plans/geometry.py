@@ -119,7 +119,7 @@ SELECT image_id, det_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS
 )
 def _shift(spark, sf_dir):
     images = sized_images(spark, sf_dir)
-    moved = P.to_image_coordinates(tiled_detections(spark, sf_dir), P.tile_grid(images, 200, 0.25), images)
+    moved = P.to_image_coordinates(tiled_detections(spark, sf_dir), (200, 0.25), images)
     return moved.select("image_id", "det_id", *[r6(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
@@ -170,7 +170,7 @@ def _nms_class(spark, sf_dir):
 )
 def _nms_tiles(spark, sf_dir):
     images = sized_images(spark, sf_dir)
-    kept = P.fuse_tiles(tiled_detections(spark, sf_dir), P.tile_grid(images, 200, 0.25), images, 0.5)
+    kept = P.fuse_tiles(tiled_detections(spark, sf_dir), (200, 0.25), images, 0.5)
     return kept.select("image_id", "det_id")
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from plumbline.operators import calibration as C
 from plumbline.operators import selective as R
+from plumbline.operators import suppression as P
 from plumbline.operators.ranking import exact_quantiles, running_totals
 from plumbline.session import materialize
 from pyspark.sql import functions as F
@@ -115,3 +116,25 @@ def test_risk_by_coverage_moves_few_bytes(spark):
         got = R.risk_by_coverage(df, ["grp"], "confidence", "correct", ["image_id", "det_id"]).collect()
     assert len(got) == 12
     assert moved.bytes < 2_000_000  # all rows written and shuffled take more than 8 MB
+
+
+def test_tiles_from_the_size_alone(spark):
+    """The regular grid needs no table of tiles, and the input of a suppression is worked out once."""
+    images = spark.range(60).selectExpr("id AS image_id", "int(50 + id * 7) AS width", "int(90 + id % 5 * 40) AS height")
+    dets = spark.range(4000).selectExpr(
+        "id % 60 AS image_id", "id AS det_id", "int(id % 13 - 1) AS tile_id", "double(id * 7919 % 1009) AS score",
+        "double(id * 31 % 50) AS x1", "double(id * 17 % 50) AS y1", "double(id * 31 % 50 + id % 9 * 4) AS x2", "double(id * 17 % 50 + 20) AS y2",
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    watched = dets.mapInPandas(counted, dets.schema)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    got = key(P.fuse_tiles(watched, (60, 0.25), images, 0.5))
+    assert seen.value == 4000
+    assert got == key(P.fuse_tiles(dets, P.tile_grid(images, 60, 0.25), images, 0.5)) and 500 < len(got) < 4000
+    assert sum(r[-2] == r[-4] for r in got) > 50  # boxes without area stay
