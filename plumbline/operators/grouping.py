@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -42,14 +43,50 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, np.maximum(far[np.arange(len(x)), best], 0.0)
 
 
+#: Rows of a block, and rows that one file of blocks holds at most.
+BLOCK_ROWS, FILE_ROWS = 2048, 65_536
+
+
+def _blocks(rows: DataFrame, vec: str, weights: Sequence[str]) -> DataFrame:
+    """Rows as written blocks of doubles: ``x`` holds their vectors one after another, ``w`` a line per weight.
+
+    Every round of a fit reads the rows again; a block needs no conversion, and the files are as many
+    as keep all cores busy.
+    """
+    spark = rows.sparkSession
+    rows = rows.select(vec, *weights)
+    n = rows.count()
+    files = max(min(2 * spark.sparkContext.defaultParallelism, -(-n // BLOCK_ROWS)), -(-n // FILE_ROWS), 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            t = pa.Table.from_batches(kept).combine_chunks()
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column(0).chunks]).astype("<f8")
+            w = b"".join(t.column(name).to_numpy().astype("<f8").tobytes() for name in weights)
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([w], pa.binary())], names=["x", "w"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                kept.append(batch.slice(at, BLOCK_ROWS))
+                if sum(b.num_rows for b in kept) >= BLOCK_ROWS:
+                    yield block()
+        if kept:
+            yield block()
+
+    return materialize(rows.repartition(files).mapInArrow(pack, "x binary, w binary"))
+
+
 def fit_together(
     rows: DataFrame, vec: str, models: Sequence[tuple[int, int, str | None]], rounds: int = 300, tolerance: float = 1e-4
 ) -> list[tuple[np.ndarray, float]]:
     """Centres and inertia of several k-means models, all fitted in the same passes over the rows.
 
     A model is (k, seed, weight): ``weight`` names a column of row weights, None counts every row once.
-    In a round every batch is multiplied once with the centres of all models still moving, and only
-    sums per centre are added up over the batches. A model stands still when the squared moves of its centres add up to
+    In a round every block of rows is multiplied once with the centres of all models still moving, and only
+    sums per centre are added up over the blocks. A model stands still when the squared moves of its centres add up to
     less than ``tolerance`` times the mean variance of the rows; a model that still moves after
     ``rounds`` raises. First centres come from ``SEED_ROWS`` rows, the smallest of a hash.
     """
@@ -62,46 +99,58 @@ def fit_together(
     centres = [_first_centres(sample, k, np.random.default_rng([seed, k])) for k, seed, _ in models]
     inertia = [math.inf] * len(models)
     moving = list(range(len(models)))
-    columns = [vec, *weights]
+    width = len(sample[0]) + 1
+    blocks = _blocks(rows, vec, weights)
     for _ in range(rounds + 1):
-        now = [(i, centres[i], models[i][2]) for i in moving]
-
-        def sums(frames: Iterator[pd.DataFrame], now: list = now) -> Iterator[pd.DataFrame]:
-            total = {i: (np.zeros((len(c), c.shape[1] + 1)), 0.0) for i, c, _ in now}
+        now = [(i, len(centres[i]), models[i][2]) for i in moving]
+        points = np.concatenate([centres[i] for i in moving])
+        lengths = (points**2).sum(axis=1)
+
+        def sums(frames: Iterator[pd.DataFrame], now: list = now, points: np.ndarray = points, lengths: np.ndarray = lengths) -> Iterator[pd.DataFrame]:
+            total, cost = np.zeros((len(points), points.shape[1] + 1)), dict.fromkeys((i for i, _, _ in now), 0.0)
+            for raw, lines in ((r, w) for f in frames for r, w in zip(f["x"], f["w"], strict=True)):
+                x = np.frombuffer(raw, "<f8").reshape(-1, points.shape[1])
+                weight = dict(zip(weights, np.frombuffer(lines, "<f8").reshape(len(weights), len(x)), strict=True))
+                # one product with the centres of all models, and one for all sums
+                far = (x**2).sum(axis=1)[:, None] - 2.0 * x @ points.T + lengths
+                hot, at, start = np.zeros(far.shape), np.arange(len(x)), 0
+                for i, k, w in now:
+                    best = far[:, start : start + k].argmin(axis=1) + start
+                    gap = np.maximum(far[at, best], 0.0)
+                    hot[at, best] = weight[w] if w else 1.0
+                    cost[i] += float(gap @ weight[w] if w else gap.sum())
+                    start += k
+                total[:, :-1] += hot.T @ x
+                total[:, -1] += hot.sum(axis=0)
+            out, start = [], 0
+            for i, k, _ in now:
+                out.append((i, cost[i], total[start : start + k].tobytes()))
+                start += k
+            yield pd.DataFrame(out, columns=["model", "cost", "sums"])
+
+        def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            whole: dict[int, tuple[float, np.ndarray]] = {}
             for f in frames:
-                if f.empty:
-                    continue
-                x = np.stack(f[vec].to_numpy()).astype(np.float64)
-                for i, c, w in now:
-                    best, gap = _nearest(x, c)
-                    own = f[w].to_numpy(np.float64) if w else np.ones(len(x))
-                    hot = np.zeros((len(x), len(c)))
-                    hot[np.arange(len(x)), best] = own
-                    add = np.concatenate((hot.T @ x, hot.sum(axis=0)[:, None]), axis=1)
-                    total[i] = total[i][0] + add, total[i][1] + float((own * gap).sum())
-            yield pd.DataFrame([
-                (i, j, [float(v) for v in part[j]], cost if j == 0 else 0.0)
-                for i, (part, cost) in total.items() for j in range(len(part))
-            ], columns=["model", "centre", "sums", "cost"])
-
-        width = len(sample[0]) + 1
-        added = rows.select(*columns).mapInPandas(sums, "model int, centre int, sums array<double>, cost double")
-        found = added.groupBy("model", "centre").agg(
-            F.array(*[F.sum(F.col("sums")[j]) for j in range(width)]).alias("sums"), F.sum("cost").alias("cost")
-        ).collect()  # one row per model and centre
+                for i, c, raw in zip(f["model"], f["cost"], f["sums"], strict=True):
+                    before = whole.get(i, (0.0, 0.0))
+                    whole[i] = before[0] + c, before[1] + np.frombuffer(raw)
+            yield pd.DataFrame([(i, c, s.tobytes()) for i, (c, s) in whole.items()], columns=["model", "cost", "sums"])
+
+        parts = "model int, cost double, sums binary"
+        found = blocks.mapInPandas(sums, parts).repartition("model").mapInPandas(added, parts).collect()  # one row per model
         still = []
-        for i in moving:
-            parts = {r["centre"]: r for r in found if r["model"] == i}
+        for i, cost, raw in found:
+            lines = np.frombuffer(raw).reshape(len(centres[i]), width)
+            some = lines[:, -1] > 0  # an empty centre stays where it is
             new = centres[i].copy()
-            for j, r in parts.items():
-                if r["sums"][-1] > 0:  # an empty centre stays where it is
-                    new[j] = np.array(r["sums"][:-1]) / r["sums"][-1]
-            inertia[i] = sum(r["cost"] for r in parts.values())
+            new[some] = lines[some, :-1] / lines[some, -1:]
+            inertia[i] = cost
             if ((new - centres[i]) ** 2).sum() > tolerance * scale:
                 centres[i] = new
                 still.append(i)
-        moving = still
+        moving = sorted(still)
         if not moving:
+            release(blocks)
             return [(c, v) for c, v in zip(centres, inertia, strict=True)]
     raise RuntimeError(f"{len(moving)} models still move after {rounds} rounds")
 

@@ -138,3 +138,25 @@ def test_tiles_from_the_size_alone(spark):
     assert seen.value == 4000
     assert got == key(P.fuse_tiles(dets, P.tile_grid(images, 60, 0.25), images, 0.5)) and 500 < len(got) < 4000
     assert sum(r[-2] == r[-4] for r in got) > 50  # boxes without area stay
+
+
+def test_models_are_fitted_on_blocks(spark):
+    """A round reads few whole blocks on all cores, and sends one row per model to be added up."""
+    from plumbline.operators import grouping as G
+
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.3, (2500, 6)) for c in (-3.0, 0.0, 3.0)])
+    rows = spark.createDataFrame([(p.tolist(), float(i % 3)) for i, p in enumerate(points)], "v array<double>, w double").coalesce(1)
+    blocks = G._blocks(rows, "v", ["w"])
+    packed = blocks.collect()
+    x = np.concatenate([np.frombuffer(b.x, "<f8").reshape(-1, 6) for b in packed])
+    w = np.concatenate([np.frombuffer(b.w, "<f8") for b in packed])
+    assert sorted(map(tuple, np.column_stack([x, w]))) == sorted((*p, float(i % 3)) for i, p in enumerate(points))
+    assert 4 <= len(packed) <= 8 and len(blocks.inputFiles()) == 4
+    (plain, cost), (weighed, _) = G.fit_together(rows, "v", [(3, 0, None), (3, 1, "w")])
+    gaps = ((points[:, None, :] - plain[None]) ** 2).sum(axis=2)
+    own = gaps.argmin(axis=1)
+    assert cost == pytest.approx(gaps.min(axis=1).sum())
+    assert np.allclose(plain, [points[own == j].mean(axis=0) for j in range(3)], atol=1e-2)
+    near = ((points[:, None, :] - weighed[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(weighed, [np.average(points[near == j], axis=0, weights=(np.arange(7500) % 3)[near == j]) for j in range(3)], atol=1e-2)
