@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import tarfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -75,15 +78,11 @@ def _sizes(contents: pd.Series) -> pd.DataFrame:
     return out.astype({"width": "Int32", "height": "Int32"})
 
 
-def image_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(split, stem, ext, path, width, height, problem) of every file; no pixel is decoded.
-
-    ``split`` is the folder. A file that is no image of a known format keeps its row, with NULL sizes and
-    the reason in ``problem``. Only files without a single byte are missing, as Spark's reader skips them.
-    """
+def described(files: DataFrame) -> DataFrame:
+    """(split, stem, ext, path, width, height, problem) of rows with ``path`` and ``content``."""
     path = F.col("path")
     return (
-        spark.read.format("binaryFile").load(glob).select("path", _sizes("content").alias("s"))
+        files.select("path", _sizes("content").alias("s"))
         .select(
             F.element_at(F.split(path, "/"), -2).alias("split"),
             F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1).alias("stem"),
@@ -93,6 +92,16 @@ def image_files(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
+def image_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(split, stem, ext, path, width, height, problem) of every file; no pixel is decoded.
+
+    ``split`` is the folder. A file that is no image of a known format keeps its row, with NULL sizes and
+    the reason in ``problem``. Only files without a single byte are missing, as Spark's reader skips them.
+    The driver lists the files; keep very many small ones in archives (``write_archives``, ``archived``).
+    """
+    return described(spark.read.format("binaryFile").load(glob))
+
+
 def bitmap(rgb: np.ndarray) -> bytes:
     """An uncompressed 24-bit bitmap of (height, width, 3) values 0..255."""
     height, width, _ = rgb.shape
@@ -122,3 +131,84 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame({"name": f["name"], "bytes": [len(c) for c in f["content"]]})
 
     return materialize(df.select("name", "content").mapInPandas(write, "name string, bytes long"))
+
+
+#: Files that one archive holds at most.
+MEMBERS = 4096
+
+
+def write_archives(df: DataFrame, folder: str, members: int = MEMBERS) -> DataFrame:
+    """Write ``content`` of every row as member ``name`` of tar archives in ``folder``; (name, bytes) of the archives.
+
+    What is opened and listed is one file for many images. A task that runs again leaves the same archives.
+    """
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        system.create_dir(base, recursive=True)
+        task, number, left = TaskContext.get().partitionId(), 0, []
+
+        def put() -> pd.DataFrame:
+            raw = io.BytesIO()
+            with tarfile.open(fileobj=raw, mode="w") as tar:
+                for name, content in left:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(content)
+                    tar.addfile(info, io.BytesIO(content))
+            file = f"part-{task:06d}-{number:06d}.tar"
+            with system.open_output_stream(f"{base}/{file}") as out:
+                out.write(raw.getvalue())
+            left.clear()
+            return pd.DataFrame({"name": [file], "bytes": [raw.tell()]})
+
+        for f in frames:
+            for name, content in zip(f["name"], f["content"], strict=True):
+                left.append((name, bytes(content)))
+                if len(left) >= members:
+                    yield put()
+                    number += 1
+        if left:
+            yield put()
+
+    return materialize(df.select("name", "content").mapInPandas(write, "name string, bytes long"))
+
+
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of every member of the tar archives in ``folder``; the path goes on behind the archive's name."""
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    found = [(f"{path}/{m.name}", tar.extractfile(m).read()) for m in tar if m.isfile()]
+                yield pd.DataFrame(found, columns=["path", "content"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder).select("path", "content")
+    return files.mapInPandas(members, "path string, content binary")
+
+
+def _bitmap_pixels(content: bytes) -> tuple[int, int, bytes] | None:
+    """Height, width and BGR lines from the top of an uncompressed 24-bit bitmap; None if it is cut off."""
+    if len(content) < 54 and content[:2] == b"BM":
+        return None
+    depth, packing = struct.unpack("<HI", content[28:34]) if content[:2] == b"BM" else (0, 0)
+    if (depth, packing) != (24, 0):
+        raise ValueError("only uncompressed 24-bit bitmaps are decoded from archives")
+    (start,), (width, height) = struct.unpack("<I", content[10:14]), struct.unpack("<ii", content[18:26])
+    line, lines = -(-width * 3 // 4) * 4, abs(height)
+    if len(content) < start + line * lines:
+        return None
+    rows = np.frombuffer(content, np.uint8, line * lines, start).reshape(lines, line)[:, : width * 3]
+    return lines, width, (rows[::-1] if height > 0 else rows).tobytes()
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Bitmaps of (path, content) in the columns of Spark's image source; those that are cut off are left out."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            read = [(p, _bitmap_pixels(bytes(c))) for p, c in zip(f["path"], f["content"], strict=True)]
+            yield pd.DataFrame(
+                [(p, r[0], r[1], 3, r[2]) for p, r in read if r], columns=["origin", "height", "width", "nChannels", "data"]
+            )
+
+    return files.mapInPandas(work, "origin string, height int, width int, nChannels int, data binary")

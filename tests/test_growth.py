@@ -160,3 +160,27 @@ def test_models_are_fitted_on_blocks(spark):
     assert np.allclose(plain, [points[own == j].mean(axis=0) for j in range(3)], atol=1e-2)
     near = ((points[:, None, :] - weighed[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert np.allclose(weighed, [np.average(points[near == j], axis=0, weights=(np.arange(7500) % 3)[near == j]) for j in range(3)], atol=1e-2)
+
+
+def test_archived_images_are_those_of_loose_files(spark, tmp_path):
+    """Many small images lie in few files, with the same sizes, problems and pixels as loose files."""
+    from plumbline.sources import images as I
+
+    rng = np.random.default_rng(5)
+    made = []
+    for i in range(40):
+        raw = I.bitmap(rng.integers(0, 256, (1 + i % 5, 1 + i % 7, 3), dtype=np.uint8))
+        made.append((f"s{i % 3}/{i}.bmp", raw[: 20 if i % 9 == 0 else len(raw) - 1 if i % 9 == 1 else len(raw)]))
+    rows = spark.createDataFrame(made, "name string, content binary").repartition(2)
+    loose, packed = str(tmp_path / "loose"), str(tmp_path / "packed")
+    I.write_files(rows, loose)
+    assert I.write_archives(rows, packed, members=12).count() == 4
+    told = lambda df: sorted((r.split, r.stem, r.ext, r.width, r.height, r.problem) for r in df.collect())
+    files = I.archived(spark, packed)
+    got = told(I.described(files))
+    assert len(got) == 40 and [str(g) for g in got] == [str(g) for g in told(I.image_files(spark, f"{loose}/*/*"))]
+    whole = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in files.collect() if len(r.content) > 20}
+    seen = spark.read.format("image").option("dropInvalid", True).load(f"{loose}/*/*").select("image.*")
+    pixels = lambda df: {r.origin.rsplit("/", 1)[1]: (r.height, r.width, bytes(r.data)) for r in df.collect()}
+    mine, theirs = pixels(I.decoded(files)), pixels(seen)
+    assert mine == {k: v for k, v in theirs.items() if k in mine} and len(mine) >= 30 and set(mine) <= set(whole)
