@@ -7,14 +7,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from plumbline.functions.draws import PRIMES, RANGE, draw_array, half_array
+from plumbline.functions.draws import LINE, PRIMES, RANGE, DrawLines, draw_array, half_array
 from plumbline.operators.calibration import POOLED
 from plumbline.operators.ranking import running_totals
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 
 def paired_differences(reports: DataFrame, variant: str, baseline: str, on: Sequence[str], value: str) -> DataFrame:
@@ -292,10 +292,20 @@ REPLICATES = 64
 _WORDS = 1 << 20
 #: Random bits taken from one draw; the lowest of its 62 are as good as even.
 WORD = 60
+#: Words from which on a line of draws is cheaper than single draws, and draws that stay in the cache.
+_LINE_WORDS, _LINE_DRAWS = 8, 1 << 14
 
 
 def _ones(r: np.ndarray, seed: int, b: np.ndarray, node: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Number of ones among ``r`` random bits of every (replicate, node) at its step ``t``."""
+    out, long = np.zeros(len(r), np.int64), r > _LINE_WORDS * WORD
+    for at, count in ((np.flatnonzero(long), _ones_in_lines), (np.flatnonzero(~long), _ones_one_by_one)):
+        if len(at):
+            out[at] = count(r[at], seed, b[at], node[at], t[at])
+    return out
+
+
+def _ones_one_by_one(r: np.ndarray, seed: int, b: np.ndarray, node: np.ndarray, t: np.ndarray) -> np.ndarray:
     words = -(-r // WORD)
     ends = np.cumsum(words)
     out = np.zeros(len(r), np.int64)
@@ -312,6 +322,35 @@ def _ones(r: np.ndarray, seed: int, b: np.ndarray, node: np.ndarray, t: np.ndarr
     return out
 
 
+def _ones_in_lines(r: np.ndarray, seed: int, b: np.ndarray, node: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The same from lines of up to ``LINE`` words."""
+    lines = -(-r // (WORD * LINE))
+    ends = np.cumsum(lines)
+    out = np.zeros(len(r), np.int64)
+    total, whole = int(ends[-1]), np.int64((1 << WORD) - 1)
+    for start in range(0, total, _WORDS // LINE * 16):
+        at = np.arange(start, min(start + _WORDS // LINE * 16, total))
+        owner = np.searchsorted(ends, at, "right")
+        first = (at - (ends - lines)[owner]) * LINE
+        left = np.minimum(r[owner] - first * WORD, LINE * WORD)
+        order = np.argsort(-left, kind="stable")
+        owner, first, left = owner[order], first[order], left[order]
+        words = -(-left // WORD)
+        draws = DrawLines(seed, b[owner], node[owner], t[owner], first=first)
+        low = 0
+        while low < len(owner):
+            length = int(words[low])
+            rows = slice(low, low + max(1, _LINE_DRAWS // length))
+            bits = draws.whole(rows, length) & whole
+            last = words[rows] - 1
+            bits[np.arange(len(last)), last] &= (np.int64(1) << (left[rows] - last * WORD)) - 1
+            if last[-1] < length - 1:
+                bits[np.arange(length) > last[:, None]] = 0
+            np.add.at(out, owner[rows], np.bitwise_count(bits).sum(axis=1, dtype=np.int64))
+            low = rows.stop
+    return out
+
+
 def _binomial(m: np.ndarray, share: np.ndarray, whole: np.ndarray, seed: int, b: np.ndarray, node: np.ndarray) -> np.ndarray:
     """How many of ``m`` picks fall left where ``share`` of ``whole`` clusters lie left.
 
@@ -359,16 +398,53 @@ def block_counts(total: int, replicates: np.ndarray, seed: int, size: int = PICK
     return counts
 
 
+#: Blocks and keys that a task weighs together at most, and lines of picks that stay in the cache.
+BLOCKS_AT_ONCE, KEYS_AT_ONCE = 32, 8
+_LINES_AT_ONCE = 32
+#: Tasks that the splitting of picks is dealt to at most.
+MOST_TASKS = 2048
+
+
+def picked(block: int, size: int, replicates: np.ndarray, counts: np.ndarray, seed: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """How often each cluster of a block is picked: some replicates at a time, a matrix [replicate, cluster] per key.
+
+    ``counts`` are the picks that fall on the block: [key, replicate]. A pick depends on its replicate, block
+    and number only, so the picks that all keys have are drawn and counted once.
+    """
+    least, most = counts.min(axis=0), counts.max(axis=0)
+    if size != PICK_BLOCK or size & (size - 1):
+        for i, b in enumerate(replicates):
+            drawn = draw_array(2 * seed, np.array([b]), np.array([block]), np.arange(most[i])) % size
+            yield slice(i, i + 1), [np.bincount(drawn[:n], minlength=size)[None].astype(np.float64) for n in counts[:, i]]
+        return
+    lines = DrawLines(2 * seed, replicates, np.full(len(replicates), block))
+    for start in range(0, len(replicates), _LINES_AT_ONCE):
+        rows = slice(start, min(start + _LINES_AT_ONCE, len(replicates)))
+        shared, length = int(least[rows].min()), int(most[rows].max())
+        n = rows.stop - start
+        pick = lines.low_bits(rows, length, size.bit_length() - 1)
+        pick += np.arange(n)[:, None] * size
+        common = np.bincount(pick[:, :shared].ravel(), minlength=n * size)
+        rest, number = pick[:, shared:], np.arange(shared, length)
+        yield rows, [
+            np.add(common, np.bincount(rest[number < own[rows, None]], minlength=n * size), dtype=np.float64).reshape(n, size)
+            for own in counts
+        ]
+
+
 def _resample_sums(
     cells: DataFrame, keys: list[str], cluster: str, values: Sequence[str], draws: int, seed: int
 ) -> DataFrame:
-    """Weighted sums of ``values`` in every replicate: (keys, bin, b, values), partial per block of clusters.
+    """Weighted sums of ``values`` in every replicate: (keys, bin, b, values), partial per span of blocks.
 
     As many picks as clusters, with replacement. How many picks a block of clusters gets is drawn
     down a tree of blocks; the block then places its picks among its own clusters. Only one number
-    per replicate and block travels, and the work is clusters times draws.
+    per replicate and block travels, and the work is clusters times draws. A task weighs some blocks
+    of some keys and returns their sums.
     """
     values = list(values)
+    # written once: the clusters are numbered and then found again
+    cells = materialize(cells.select(*keys, cluster, "bin", *values))
     clusters = running_totals(cells.select(*keys, cluster).distinct(), keys, [F.col(cluster)], {}).select(
         *keys, cluster, F.col("n").alias("total"), (F.col("rank") - 1).alias("idx")
     )
@@ -378,9 +454,18 @@ def _resample_sums(
             *[F.col(v).cast("double").alias(v) for v in values],
         )
     )
-    parts = located.groupBy(*keys).agg(F.max("total").alias("total")).select(
+    release(cells)
+    totals = materialize(located.groupBy(*keys).agg(F.max("total").alias("total")))
+    known, most = totals.agg(F.count(F.lit(1)), F.max("total")).first()
+    blocks, cores = -(-(most or 1) // PICK_BLOCK), cells.sparkSession.sparkContext.defaultParallelism
+    # numbers of partitions are given: by their bytes these few rows would all go to one task
+    span = max(1, min(BLOCKS_AT_ONCE, blocks // (4 * cores)))
+    buckets = max(1, known // KEYS_AT_ONCE)
+    tasks = min(MOST_TASKS, -(-blocks // span) * buckets)
+    rows = max(1, known * -(-draws // REPLICATES))
+    parts = totals.select(
         *keys, "total", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(REPLICATES))).alias("first")
-    ).repartition(*keys, "first")
+    ).repartition(min(MOST_TASKS, rows), *keys, "first")
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -394,38 +479,52 @@ def _resample_sums(
                 yield out[[*keys, "block", "first", "counts"]]
 
     def weigh(drawn: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        block, total = int(part["block"].iloc[0]), int(part["total"].iloc[0])
-        size = min(PICK_BLOCK, total - block * PICK_BLOCK)
+        place = [*keys, "block"]
+        own = {key: f for key, f in part.groupby(place, sort=False)}
+        alike: dict = {}  # keys whose block has the same number of clusters
+        for key, f in drawn.groupby(place, sort=False):
+            size = min(PICK_BLOCK, int(own[key]["total"].iloc[0]) - key[-1] * PICK_BLOCK)
+            alike.setdefault((key[-1], size), []).append((key[:-1], f.sort_values("first")))
         code, bins = pd.factorize(part["bin"].fillna(-1).astype("int64"))
-        spread = np.zeros((size, len(bins), len(values)))
-        at = (part["idx"] % PICK_BLOCK).to_numpy(np.int64)
-        for k, v in enumerate(values):
-            np.add.at(spread[:, :, k], (at, code), part[v].to_numpy(np.float64))
-        spread = spread.reshape(size, -1)
-        numbers, sums = [], []
-        for first, blob in zip(drawn["first"], drawn["counts"], strict=True):
-            counts = np.frombuffer(blob, "<i8")
-            b = np.repeat(np.arange(len(counts)), counts)
-            j = np.arange(len(b)) - np.repeat(np.cumsum(counts) - counts, counts)
-            pick = draw_array(2 * seed, b + first, np.array([block]), j) % size
-            weights = np.bincount(b * size + pick, minlength=len(counts) * size).reshape(-1, size).astype(np.float64)
-            sums.append(weights @ spread)
-            numbers.append(np.arange(first, first + len(counts)))
-        out = pd.DataFrame(np.concatenate(sums).reshape(-1, len(values)), columns=values)
-        b = np.concatenate(numbers)
-        out["b"], out["bin"] = np.repeat(b, len(bins)), pd.Series(np.tile(bins, len(b))).replace(-1, pd.NA).astype("Int32")
-        for k in keys:
-            out[k] = part[k].iloc[0]
-        return out[[*keys, "bin", "b", *values]].astype({"b": "int32"})
+        codes = pd.Series(code, index=part.index)
+        done: dict = {}
+        for (block, size), members in alike.items():
+            spreads = []
+            for key, _ in members:
+                rows = own[*key, block]
+                spread = np.zeros((size, len(bins), len(values)))
+                at, c = (rows["idx"] % PICK_BLOCK).to_numpy(np.int64), codes[rows.index].to_numpy()
+                for k, v in enumerate(values):
+                    np.add.at(spread[:, :, k], (at, c), rows[v].to_numpy(np.float64))
+                spreads.append(spread.reshape(size, -1))
+                if key not in done:
+                    done[key] = np.zeros((draws, spreads[-1].shape[1]))
+            counts = np.stack([np.concatenate([np.frombuffer(x, "<i8") for x in f["counts"]]) for _, f in members])
+            for b, weights in picked(block, size, np.arange(draws, dtype=np.int64), counts, seed):
+                for (key, _), spread, w in zip(members, spreads, weights, strict=True):
+                    done[key][b] += w @ spread
+        sums = [(key, b, total[:, i * len(values) : (i + 1) * len(values)]) for key, total in done.items() for i, b in enumerate(bins)]
+        out = pd.DataFrame({k: [key[i] for key, _, _ in sums] for i, k in enumerate(keys)}, index=range(len(sums)))
+        out["bin"] = pd.Series([b for _, b, _ in sums], dtype="Int32").replace(-1, pd.NA)
+        for i, v in enumerate(values):
+            out[v] = [np.ascontiguousarray(s[:, i]) for _, _, s in sums]
+        return out
 
     key_fields = [cells.schema[k] for k in keys]
     drawn = parts.mapInPandas(
         split, StructType([*key_fields, *StructType.fromDDL("block long, first int, counts binary").fields])
     )
-    schema = StructType([*key_fields, *StructType.fromDDL("bin int, b int").fields])
+    schema = StructType([*key_fields, *StructType.fromDDL("bin int").fields])
     for v in values:
-        schema = schema.add(v, DoubleType())
-    return drawn.groupBy(*keys, "block").cogroup(located.groupBy(*keys, "block")).applyInPandas(weigh, schema)
+        schema = schema.add(v, ArrayType(DoubleType()))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)) if keys else F.lit(0).cast("long")
+
+    def dealt(df: DataFrame) -> GroupedData:
+        placed = df.withColumns({"_span": F.floor(F.col("block") / span), "_bucket": bucket})
+        return placed.repartition(tasks, "_span", "_bucket").groupBy("_span", "_bucket")
+
+    sums = dealt(drawn).cogroup(dealt(located)).applyInPandas(weigh, schema)
+    return sums.select(*keys, "bin", F.posexplode(F.arrays_zip(*values)).alias("b", "_v")).select(*keys, "bin", "b", "_v.*")
 
 
 def cluster_bootstrap(
@@ -441,21 +540,23 @@ def cluster_bootstrap(
     """
     if scheme not in ("resample", "poisson"):
         raise ValueError(f"unknown scheme: {scheme}")
-    keys, values = [*keys, group], ("n", "hits", "conf")
+    keys = [*keys, group]
     both = F.explode(F.array(F.col(group).cast("string"), F.lit(POOLED)))
     if scheme == "poisson":
         # a cluster weighs the same in its groups and in all of them, so pooled sums are sums of sums
-        own = _poisson_sums(sums, keys, cluster, draws, seed).groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
+        own = _poisson_sums(sums, keys, cluster, draws, seed).groupBy(*keys, "b", "bin").agg(
+            F.sum("n").alias("n"), (F.sum("hits") - F.sum("conf")).alias("gap")
+        )
         partial = own.withColumn(group, both)
     else:
         cells = (
             sums.withColumn(group, both)
             .groupBy(*keys, cluster, "bin")
-            .agg(*[F.sum(c).alias(c) for c in values])
+            .agg(F.sum("n").alias("n"), (F.sum("hits") - F.sum("conf")).alias("gap"))
         )
-        partial = _resample_sums(cells, keys, cluster, values, draws, seed)
-    per_bin = partial.groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
-    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("hits") - F.col("conf"))).otherwise(0.0)
+        partial = _resample_sums(cells, keys, cluster, ["n", "gap"], draws, seed)
+    per_bin = partial.groupBy(*keys, "b", "bin").agg(F.sum("n").alias("n"), F.sum("gap").alias("gap"))
+    gap = F.when(F.col("bin").isNotNull(), F.abs("gap")).otherwise(0.0)
     errors = per_bin.groupBy(*keys, "b").agg((F.sum(gap) / F.sum("n")).alias("ece"))
     return _interval(errors, keys, "ece")
 

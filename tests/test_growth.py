@@ -184,3 +184,49 @@ def test_archived_images_are_those_of_loose_files(spark, tmp_path):
     pixels = lambda df: {r.origin.rsplit("/", 1)[1]: (r.height, r.width, bytes(r.data)) for r in df.collect()}
     mine, theirs = pixels(I.decoded(files)), pixels(seen)
     assert mine == {k: v for k, v in theirs.items() if k in mine} and len(mine) >= 30 and set(mine) <= set(whole)
+
+
+def test_lines_of_draws_are_single_draws():
+    from plumbline.functions.draws import DrawLines, draw_array
+
+    rng = np.random.default_rng(4)
+    b, node, first = (rng.integers(0, 1 << n, 70) for n in (12, 40, 33))
+    lines = DrawLines(5, b, node, first=first)
+    for length in (1, 100, 300, 1500):
+        single = draw_array(5, b[:, None], node[:, None], first[:, None] + np.arange(length))
+        assert (lines.whole(slice(0, 70), length) == single).all()
+        assert (lines.low_bits(slice(9, 70), length, 10) == single[9:] % 1024).all()
+
+
+def test_picks_of_a_block_are_single_draws():
+    """Keys share their picks, and each has as many of them as fall on its block."""
+    from plumbline.functions.draws import draw_array
+    from plumbline.operators import significance as X
+
+    replicates = np.arange(70)
+    for block, size in ((3, X.PICK_BLOCK), (9, 700)):
+        counts = np.random.default_rng(block).integers(0, 90, (3, 70)) + np.array([[0], [900], [1000]])
+        for rows, weights in X.picked(block, size, replicates, counts, 6):
+            for key, w in enumerate(weights):
+                for b, got in zip(replicates[rows], w, strict=True):
+                    single = draw_array(12, np.array([b]), np.array([block]), np.arange(counts[key, b])) % size
+                    assert (got == np.bincount(single, minlength=size)).all()
+
+
+def test_bootstrap_reads_once_and_is_dealt_out(spark):
+    """The sums are worked out once, and no task splits the picks of all replicates or weighs all blocks."""
+    from plumbline.operators import significance as X
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    sums = spark.range(40_000).selectExpr("string(id % 2) AS grp", "id AS image_id", "int(id % 15 + 1) AS bin", "1L AS n", "double(id % 3 % 2) AS hits", "0.3D AS conf")
+    with Moved(spark) as moved:
+        got = X.cluster_bootstrap(sums.mapInPandas(counted, sums.schema), [], "grp", "image_id", 200).collect()
+        tasks = [s.numTasks() for s in moved.stages() if s.stageId() > moved.before]
+    assert {r.grp for r in got} == {"0", "1", "pooled"} and seen.value == 40_000
+    assert sum(n >= 12 for n in tasks) >= 2  # 3 keys of 4 batches of replicates; 40 blocks
