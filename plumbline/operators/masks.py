@@ -42,18 +42,20 @@ def bands_of_boxes(*tables: tuple[DataFrame, Sequence[str]]) -> list[DataFrame]:
     for boxes, keys in tables:
         line = {c: F.greatest(F.ceil(c).cast("long"), F.lit(0)) for c in ("x1", "y1", "x2", "y2")}
         cut.append(boxes.select(*keys, *[e.alias(c) for c, e in line.items()]).where("x2 > x1 AND y2 > y1"))
-    ends = [c.select(sample, F.explode(F.array("y1", "y2")).alias("y")) for c in cut]
-    every = ends[0]
-    for other in ends[1:]:
-        every = every.unionByName(other)
-    cuts = every.groupBy(sample).agg(F.array_sort(F.collect_set("y")).alias("_cuts"))
+    every = W.partitionBy(sample)
+    cuts = F.array_sort(F.array_union(F.collect_set("y1").over(every), F.collect_set("y2").over(every)))
     low, high = F.array_position("_cuts", F.col("y1")), F.array_position("_cuts", F.col("y2"))
     out = []
-    for c, (_, keys) in zip(cut, tables, strict=True):
+    for i, (_, keys) in enumerate(tables):
+        # boxes travel once, by their sample, and stay there for all that follows
+        rows = cut[i].withColumn("_own", F.lit(True))
+        for other in (*cut[:i], *cut[i + 1 :]):
+            rows = rows.unionByName(other.select(sample, "y1", "y2", F.lit(False).alias("_own")), allowMissingColumns=True)
+        here = rows.where(F.col(sample).isNotNull()).repartition(sample).withColumn("_cuts", cuts).where("_own")
         place = F.posexplode(F.slice("_cuts", low.cast("int"), (high - low).cast("int"))).alias("_i", "y")
-        rows = c.join(cuts, sample).select(*keys, "x1", "x2", "_cuts", low.alias("_low"), place)
+        bands = here.select(*keys, "x1", "x2", "_cuts", low.alias("_low"), place)
         after = F.element_at("_cuts", (F.col("_low") + F.col("_i") + 1).cast("int"))
-        out.append(rows.select(*keys, "y", (after - F.col("y")).alias("lines"), F.col("x1").alias("x0"), F.col("x2").alias("x1")))
+        out.append(bands.select(*keys, "y", (after - F.col("y")).alias("lines"), F.col("x1").alias("x0"), F.col("x2").alias("x1")))
     return out
 
 
@@ -216,30 +218,54 @@ def dice(masks: DataFrame, truth: DataFrame, samples: DataFrame) -> DataFrame:
     ``masks`` are disjoint runs per (sample, backend), ``truth`` per sample. ``samples`` lists every
     (sample, backend); empty masks have no runs.
     """
-    masks, truth = (_banded(masks), _banded(truth)) if _lines(masks) or _lines(truth) else (masks, truth)
-    length = F.sum((F.col("x1") - F.col("x0")) * (F.col("lines") if _lines(masks) else F.lit(1)))
-    place = [*_lines(masks), "y", "x0", "x1"]
-    own = masks.groupBy("sample", "backend").agg(length.alias("own"))
-    true_size = truth.groupBy("sample").agg(length.alias("truth"))
-    listed = samples.select("sample", "backend").distinct()
-    beside = truth.join(listed, "sample").select("sample", "backend", *place)
-    shared = overlay(masks.select("sample", "backend", *place).unionByName(beside), ["sample", "backend"], 2)
-    both = shared.groupBy("sample", "backend").agg(length.alias("common"))
+    masks, truth = _banded(masks), _banded(truth)
+    place = ["lines", "y", "x0", "x1"]
+    # rows travel once, by their sample: listed names, masks and truth meet there
+    rows = (
+        samples.select("sample", "backend", F.lit(0).alias("kind"))
+        .unionByName(masks.where("sample IS NOT NULL AND backend IS NOT NULL").select("sample", "backend", *place, F.lit(1).alias("kind")), allowMissingColumns=True)
+        .unionByName(truth.where("sample IS NOT NULL").select("sample", *place, F.lit(2).alias("kind")), allowMissingColumns=True)
+        .repartition("sample")
+    )
+    every = W.partitionBy("sample")
+    size = (F.col("x1") - F.col("x0")) * F.col("lines")
+    beside = rows.select(
+        "*", F.collect_set(F.when(F.col("kind") == 0, F.col("backend"))).over(every).alias("_listed"),
+        F.sum(F.when(F.col("kind") == 2, size)).over(every).alias("_truth"),
+    )
+    own = F.when(F.col("kind") == 1, size)
+    step = lambda x, d, own: F.struct(F.col(x).alias("x"), F.lit(d).alias("d"), own.alias("own"))
+    named = beside.withColumn("backend", F.explode(F.when(F.col("kind") == 2, F.col("_listed")).otherwise(F.array("backend"))))
+    steps = named.select("sample", "backend", "kind", "_truth", "lines", "y", F.inline(F.array(
+        step("x0", 1, own), step("x1", -1, F.lit(None).cast("long"))
+    )))
+    line = W.partitionBy("sample", "backend", "lines", "y").orderBy("x")
+    # rows at one place have the same sum, and all but the last of them no length
+    common = F.when(F.col("_in") >= 2, (F.col("_next") - F.col("x")) * F.col("lines"))
     zero = F.lit(0)
-    total = F.coalesce("own", zero) + F.coalesce("truth", zero)
-    return (
-        listed.join(own, ["sample", "backend"], "left")
-        .join(both, ["sample", "backend"], "left")
-        .join(true_size, "sample", "left")
-        .select("sample", "backend", F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.coalesce("common", zero) / total).alias("dice"))
+    sums = (
+        steps.select("*", F.sum("d").over(line).alias("_in"), F.lead("x").over(line).alias("_next"))
+        .groupBy("sample", "backend")
+        .agg(
+            F.min("kind").alias("kind"), F.coalesce(F.sum("own"), zero).alias("own"), F.coalesce(F.sum(common), zero).alias("common"),
+            F.coalesce(F.max("_truth"), zero).alias("truth"),
+        )
+        .where("kind = 0")
     )
+    total = F.col("own") + F.col("truth")
+    return sums.select("sample", "backend", F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.col("common") / total).alias("dice"))
 
 
 def consensus(masks: DataFrame, samples: DataFrame) -> DataFrame:
     """Runs of the pixels that at least half of the backends of a sample set."""
-    backends = samples.groupBy("sample").agg(F.countDistinct("backend").alias("backends"))
-    counted = masks.select("sample", *_lines(masks), "y", "x0", "x1").join(backends, "sample")
-    return overlay(counted, ["sample", "backends"], F.col("backends") / 2.0).drop("backends")
+    rows = samples.select("sample", "backend", F.lit(True).alias("_lists")).unionByName(
+        masks.select("sample", *_lines(masks), "y", "x0", "x1", F.lit(False).alias("_lists")), allowMissingColumns=True
+    )
+    every = W.partitionBy("sample")
+    counted = rows.where("sample IS NOT NULL").repartition("sample").select(
+        "*", F.size(F.collect_set("backend").over(every)).alias("backends"), F.max("_lists").over(every).alias("_known")
+    ).where("_known AND NOT _lists")
+    return overlay(counted.drop("backend", "_known", "_lists"), ["sample", "backends"], F.col("backends") / 2.0).drop("backends")
 
 
 def pilot_summary(masks: DataFrame, truth: DataFrame, samples: DataFrame, boxes: DataFrame, dice_min: float = 0.7) -> DataFrame:

@@ -230,3 +230,35 @@ def test_bootstrap_reads_once_and_is_dealt_out(spark):
         tasks = [s.numTasks() for s in moved.stages() if s.stageId() > moved.before]
     assert {r.grp for r in got} == {"0", "1", "pooled"} and seen.value == 40_000
     assert sum(n >= 12 for n in tasks) >= 2  # 3 keys of 4 batches of replicates; 40 blocks
+
+
+def test_masks_travel_by_their_sample(spark):
+    """Boxes, masks and truth go to their sample once; bands of lines and steps along them stay there."""
+    from plumbline.operators import masks as K
+
+    boxes = materialize(spark.range(60_000).selectExpr(
+        "id % 6000 AS sample", "concat('b', id div 6000 % 2) AS backend", "double(id * 7919 % 401) AS x1", "double(id * 104729 % 397) AS y1",
+        "double(id * 7919 % 401 + 20 + id % 31) AS x2", "double(id * 104729 % 397 + 20 + id % 29) AS y2",
+    ))
+    samples, keys = boxes.select("sample", "backend").distinct(), ["sample", "backend"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables of size are not sent whole
+    with Moved(spark) as moved:
+        drawn, covered = K.bands_of_boxes((boxes, keys), (boxes.where("x1 < 200").drop("backend"), ["sample"]))
+        masks = materialize(K.overlay(drawn, keys))
+        assert 0 < K.dice(masks, K.overlay(covered), samples).agg(F.avg("dice")).first()[0] < 1
+        assert K.consensus(masks, samples).agg(F.sum("x1")).first()[0] > 60_000
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved.bytes < 17_000_000  # three times as many where bands and steps are dealt out anew
+
+
+def test_odd_names_of_masks(spark):
+    """Samples and backends without a name, listed twice or without any mask keep their rows."""
+    from plumbline.operators import masks as K
+
+    masks = spark.createDataFrame([(1, "a", 0, 0, 4), (1, None, 0, 0, 9), (None, "a", 0, 0, 9), (2, "a", 0, 0, 4), (4, "a", 0, 0, 2)], "sample int, backend string, y long, x0 long, x1 long")
+    truth = spark.createDataFrame([(1, 0, 2, 6), (None, 0, 0, 9), (3, 0, 0, 5)], "sample int, y long, x0 long, x1 long")
+    samples = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "b"), (None, "a"), (3, "a"), (5, "a")], "sample int, backend string")
+    got = {(r["sample"], r.backend): r.dice for r in K.dice(masks, truth, samples).collect()}
+    assert got == {(1, "a"): 0.5, (1, None): 0.0, (2, "b"): 1.0, (None, "a"): 1.0, (3, "a"): 0.0, (5, "a"): 1.0}
+    agreed = K.consensus(masks, samples)
+    assert sorted((r["sample"], r.x0, r.x1) for r in agreed.collect()) == [(1, 0, 9), (2, 0, 4)]
