@@ -262,3 +262,36 @@ def test_odd_names_of_masks(spark):
     assert got == {(1, "a"): 0.5, (1, None): 0.0, (2, "b"): 1.0, (None, "a"): 1.0, (3, "a"): 0.0, (5, "a"): 1.0}
     agreed = K.consensus(masks, samples)
     assert sorted((r["sample"], r.x0, r.x1) for r in agreed.collect()) == [(1, 0, 9), (2, 0, 4)]
+
+
+def test_figures_of_one_ranking(spark, monkeypatch):
+    """One ranking gives the figures of the three, also where levels are cut by many ranges and values are odd."""
+    from plumbline.operators import ranking
+
+    monkeypatch.setattr(ranking.running_totals, "__defaults__", (37, False, None))
+    tie, keep = ["image_id", "det_id"], (1.0, 0.95, 0.5, 0.0001)
+    odd = odd_scores(spark).where("grp IS NOT NULL")
+    for df in (odd, odd.withColumn("p", F.lit(0.25)), odd.withColumn("correct", F.lit(1)), odd.withColumn("p", F.round("q", 1))):
+        df = materialize(df)
+        got = {r.grp: r for r in R.ranking_figures(df, ["grp"], "p", "correct", tie, keep).collect()}
+        ranked = R.error_ranking(df, ["grp"], "p", "correct", tie)
+        areas = {r.grp: (r.auroc, r.auprc) for r in R.failure_ranking(df, ["grp"], "p", "correct").collect()}
+        aurc = {r.grp: r.aurc for r in R.aurc(ranked, ["grp"]).collect()}
+        risk = {(r.grp, r.coverage): r.risk for r in R.risk_at_coverage(ranked, ["grp"], keep).collect()}
+        assert len(got) == 3
+        for grp, r in got.items():
+            assert [r.auroc, r.auprc] == [None if x is None else pytest.approx(x, rel=1e-9) for x in areas[grp]]
+            assert r.aurc == pytest.approx(aurc[grp]) and r.risk == {c: risk[grp, c] for c in keep}
+
+
+def test_selective_report_moves_rows_twice(spark):
+    """Rows are ranked once for all figures and never dealt by their few keys."""
+    from plumbline.plans import composite as K
+
+    df = scored(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    with Moved(spark) as moved:
+        rows = K.selective_report(df.withColumn("disagreement", F.col("q") / 2), ["grp"], fused="p").collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 3 and all(len(r.risk) == 4 for r in rows)
+    assert moved.bytes < 18_000_000  # twice as many where three rankings are made
