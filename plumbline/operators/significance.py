@@ -488,6 +488,7 @@ def _resample_sums(
         code, bins = pd.factorize(part["bin"].fillna(-1).astype("int64"))
         codes = pd.Series(code, index=part.index)
         done: dict = {}
+        known: dict = {}
         for (block, size), members in alike.items():
             spreads = []
             for key, _ in members:
@@ -496,18 +497,25 @@ def _resample_sums(
                 at, c = (rows["idx"] % PICK_BLOCK).to_numpy(np.int64), codes[rows.index].to_numpy()
                 for k, v in enumerate(values):
                     np.add.at(spread[:, :, k], (at, c), rows[v].to_numpy(np.float64))
-                spreads.append(spread.reshape(size, -1))
+                spread = spread.reshape(size, -1)
+                # an undefined sum counts as none for its block, bin and value
+                undefined = np.isnan(spread).any(axis=0)
+                spreads.append(np.where(undefined, 0.0, spread))
                 if key not in done:
-                    done[key] = np.zeros((draws, spreads[-1].shape[1]))
+                    done[key], known[key] = np.zeros((draws, len(undefined))), np.zeros(len(undefined), bool)
+                known[key] |= np.repeat(np.isin(np.arange(len(bins)), c), len(values)) & ~undefined
             counts = np.stack([np.concatenate([np.frombuffer(x, "<i8") for x in f["counts"]]) for _, f in members])
             for b, weights in picked(block, size, np.arange(draws, dtype=np.int64), counts, seed):
                 for (key, _), spread, w in zip(members, spreads, weights, strict=True):
                     done[key][b] += w @ spread
-        sums = [(key, b, total[:, i * len(values) : (i + 1) * len(values)]) for key, total in done.items() for i, b in enumerate(bins)]
+        sums = [
+            (key, b, [np.ascontiguousarray(total[:, at]) if known[key][at] else None for at in range(i * len(values), (i + 1) * len(values))])
+            for key, total in done.items() for i, b in enumerate(bins) if known[key][i * len(values) : (i + 1) * len(values)].any()
+        ]
         out = pd.DataFrame({k: [key[i] for key, _, _ in sums] for i, k in enumerate(keys)}, index=range(len(sums)))
         out["bin"] = pd.Series([b for _, b, _ in sums], dtype="Int32").replace(-1, pd.NA)
         for i, v in enumerate(values):
-            out[v] = [np.ascontiguousarray(s[:, i]) for _, _, s in sums]
+            out[v] = pd.Series([s[i] for _, _, s in sums], dtype=object)
         return out
 
     key_fields = [cells.schema[k] for k in keys]
@@ -524,7 +532,9 @@ def _resample_sums(
         return placed.repartition(tasks, "_span", "_bucket").groupBy("_span", "_bucket")
 
     sums = dealt(drawn).cogroup(dealt(located)).applyInPandas(weigh, schema)
-    return sums.select(*keys, "bin", F.posexplode(F.arrays_zip(*values)).alias("b", "_v")).select(*keys, "bin", "b", "_v.*")
+    none = F.array_repeat(F.lit(None).cast("double"), draws)
+    filled = F.arrays_zip(*[F.coalesce(v, none).alias(v) for v in values])
+    return sums.select(*keys, "bin", F.posexplode(filled).alias("b", "_v")).select(*keys, "bin", "b", "_v.*")
 
 
 def cluster_bootstrap(
@@ -540,23 +550,21 @@ def cluster_bootstrap(
     """
     if scheme not in ("resample", "poisson"):
         raise ValueError(f"unknown scheme: {scheme}")
-    keys = [*keys, group]
+    keys, values = [*keys, group], ("n", "hits", "conf")
     both = F.explode(F.array(F.col(group).cast("string"), F.lit(POOLED)))
     if scheme == "poisson":
         # a cluster weighs the same in its groups and in all of them, so pooled sums are sums of sums
-        own = _poisson_sums(sums, keys, cluster, draws, seed).groupBy(*keys, "b", "bin").agg(
-            F.sum("n").alias("n"), (F.sum("hits") - F.sum("conf")).alias("gap")
-        )
+        own = _poisson_sums(sums, keys, cluster, draws, seed).groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
         partial = own.withColumn(group, both)
     else:
         cells = (
             sums.withColumn(group, both)
             .groupBy(*keys, cluster, "bin")
-            .agg(F.sum("n").alias("n"), (F.sum("hits") - F.sum("conf")).alias("gap"))
+            .agg(*[F.sum(c).alias(c) for c in values])
         )
-        partial = _resample_sums(cells, keys, cluster, ["n", "gap"], draws, seed)
-    per_bin = partial.groupBy(*keys, "b", "bin").agg(F.sum("n").alias("n"), F.sum("gap").alias("gap"))
-    gap = F.when(F.col("bin").isNotNull(), F.abs("gap")).otherwise(0.0)
+        partial = _resample_sums(cells, keys, cluster, values, draws, seed)
+    per_bin = partial.groupBy(*keys, "b", "bin").agg(*[F.sum(c).alias(c) for c in values])
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("hits") - F.col("conf"))).otherwise(0.0)
     errors = per_bin.groupBy(*keys, "b").agg((F.sum(gap) / F.sum("n")).alias("ece"))
     return _interval(errors, keys, "ece")
 

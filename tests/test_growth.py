@@ -295,3 +295,15 @@ def test_selective_report_moves_rows_twice(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(rows) == 3 and all(len(r.risk) == 4 for r in rows)
     assert moved.bytes < 18_000_000  # twice as many where three rankings are made
+
+
+def test_undefined_sums_are_left_out_of_their_block(spark):
+    """A sum that is null counts as none for its block, bin and value; the other values of the row stay."""
+    from plumbline.operators import significance as X
+
+    rows = [("g", i, i % 3 + 1 if i % 5 else None, 1.0, None if i % 5 == 0 else 0.5) for i in range(300)]
+    cells = spark.createDataFrame(rows, "grp string, image_id long, bin int, n double, conf double")
+    got = X._resample_sums(cells, ["grp"], "image_id", ["n", "conf"], 4, 0).collect()
+    assert sorted((r.bin or 0, r.b) for r in got) == [(k, b) for k in range(4) for b in range(4)]
+    assert all((r.conf is None) == (r.bin is None) and r.n > 0 for r in got)
+    assert all(sum(r.n for r in got if r.b == b) == 300 for b in range(4))
